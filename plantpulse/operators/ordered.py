@@ -30,9 +30,11 @@ class InOrder:
         self.by, self.order = by, order
         self.max_rows = max_rows or MAX_GROUP_ROWS
         total = None
+        self.biggest: int | None = None
         if split is None:
             biggest, total = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
-            split = (biggest or 0) > self.max_rows
+            self.biggest = biggest or 0
+            split = self.biggest > self.max_rows
         self.split = split
         self.df = self._pieces(df, total) if split else df
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantpulse.operators.validate import parse_records, validate
+from plantpulse.operators.dedup import dedup_in_batch, insert_new
+from plantpulse.operators.validate import accepted, parse_records, validate
 from plantpulse.session import prepare
 
 RECORD_FIELDS = [
@@ -39,8 +40,8 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     return e.select(
         n.alias("n"),
-        F.concat(F.lit("ev-"), F.lpad(n.cast("string"), 8, "0")).alias("event_id"),
-        F.concat(F.lit("dev-"), F.lpad(F.col("user_id").cast("string"), 3, "0")).alias("device_id"),
+        F.concat(F.lit("ev-"), F.lpad(n.cast("string"), 12, "0")).alias("event_id"),
+        F.concat(F.lit("dev-"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("device_id"),
         F.col("user_id").alias("user_id"),
         F.col("ts").cast("timestamp").alias("t"),
         F.when(n % 10 != 0, n).alias("sequence"),
@@ -163,10 +164,54 @@ def dirty_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty records as request bodies, one per batch (a batch holds at most a few hundred records).
+
+    The truncated records would make a whole body unreadable, so a bare number stands in their place.
+    """
+    rows = dirty_json(spark, sf_dir).withColumn("raw", F.when(F.col("raw").endswith("}"), F.col("raw")).otherwise("42"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("idx", "raw"))), lambda x: x["raw"])
+    body = F.concat(F.lit('{"events":['), F.array_join(items, ","), F.lit("]}"))
+    return rows.groupBy("batch_id").agg(F.max("received_at").alias("received_at"), body.alias("body"))
+
+
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(dirty_json(spark, sf_dir))
 
 
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked records with the repeats inside a batch refused."""
+    return dedup_in_batch(checked(spark, sf_dir))
+
+
+def earlier_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that already holds the clean readings of two sites."""
+    return readings(spark, sf_dir).where(F.col("site_id").isin("click", "view"))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted records against the earlier store, in arrival order (batch, then position)."""
+    rows = accepted(deduped(spark, sf_dir)).withColumn("_batch", F.col("batch_id").cast("bigint"))
+    return insert_new(rows, earlier_store(spark, sf_dir), ["_batch", "idx"]).drop("_batch")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live messages: each clean reading and the alerts it raised, at the reading's place in the stream."""
+    r = readings(spark, sf_dir)
+    events = r.select(
+        F.col("n").alias("offset"), F.lit("event").alias("type"), "device_id", "event_id", "event_time",
+        "temperature_c", "vibration_mm_s", F.lit(None).cast("string").alias("rule"),
+    )
+    hits = F.array(
+        F.when(F.col("temperature_c") >= 85.0, F.lit("temperature_high")), F.when(F.col("vibration_mm_s") >= 7.1, F.lit("vibration_high"))
+    )
+    alerts = events.where(F.col("type") == "event").select(
+        "offset", F.lit("alert").alias("type"), "device_id", "event_id", "event_time", "temperature_c", "vibration_mm_s",
+        F.explode(hits).alias("rule"),
+    ).where(F.col("rule").isNotNull())
+    return events.unionByName(alerts)
+
+
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty records as an import sees them: raw time text, numbers where the value is one."""
     return parse_records(dirty_json(spark, sf_dir))
