@@ -9,8 +9,9 @@ from plantpulse import schemas as S
 from plantpulse.operators.ordered import carry_forward
 from plantpulse.operators.validate import zero_filled
 from plantpulse.schemas import Thresholds
+from plantpulse.session import once
 
-HISTORY_IN_PLAN = 1_000
+HISTORY_IN_PLAN = 200
 
 
 def alert_id(event_id: Column, rule: Column) -> Column:
@@ -50,25 +51,32 @@ def evaluate_alerts(events: DataFrame, thresholds: Thresholds = Thresholds(), cr
 def evaluate_with_history(events: DataFrame, history: DataFrame, at: str = "processed_at") -> DataFrame:
     """Each reading meets the thresholds in force when it was processed (A3).
 
-    `history` has (valid_from, temperature_c, vibration_mm_s). A short history, which is counted first, becomes one
-    array value in the plan and needs no join; a longer one is merged into the readings in time order. Readings
+    `history` has (valid_from, temperature_c, vibration_mm_s). A history of at most HISTORY_IN_PLAN entries becomes
+    a constant of the plan and needs no join; a longer one is merged into the readings in time order. Readings
     from before the first entry raise nothing.
     """
     changes = history.select(
-        F.col("valid_from"), F.col("temperature_c").alias("t_limit"), F.col("vibration_mm_s").alias("v_limit")
+        F.unix_micros("valid_from").alias("us"), F.col("temperature_c").alias("t_limit"), F.col("vibration_mm_s").alias("v_limit")
     )
-    if changes.limit(HISTORY_IN_PLAN + 1).count() <= HISTORY_IN_PLAN:
-        steps = changes.agg(F.array_sort(F.collect_list(F.struct("valid_from", "t_limit", "v_limit"))).alias("s")).scalar()
-        dated = events.withColumn(
-            "_now", F.get(F.reverse(F.filter(steps, lambda s: s["valid_from"] <= F.col(at))), F.lit(0))
+    steps = changes.limit(HISTORY_IN_PLAN + 1).collect()
+    if len(steps) <= HISTORY_IN_PLAN:
+        newest_first = F.array(
+            *[
+                F.struct(
+                    F.timestamp_micros(F.lit(s["us"])).alias("valid_from"), F.lit(s["t_limit"]).alias("t_limit"),
+                    F.lit(s["v_limit"]).alias("v_limit"),
+                )
+                for s in sorted(steps, key=lambda s: -s["us"])
+            ]
         )
+        dated = once(events, _now=F.get(F.filter(newest_first, lambda s: s["valid_from"] <= F.col(at)), F.lit(0)))
     else:
         rows = events.select(F.struct("*").alias("_row"), F.col(at).alias("_at"), F.lit(1).alias("_side"))
         marks = changes.select(
             F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
-            F.col("valid_from").alias("_at"),
+            F.timestamp_micros("us").alias("_at"),
             F.lit(0).alias("_side"),
-            F.struct("valid_from", "t_limit", "v_limit").alias("_limits"),
+            F.struct(F.timestamp_micros("us").alias("valid_from"), "t_limit", "v_limit").alias("_limits"),
         )
         both = rows.withColumn("_limits", F.lit(None).cast(marks.schema["_limits"].dataType)).unionByName(marks)
         merged = carry_forward(both, [], ["_at", "_side"], "_limits", "_now")

@@ -334,11 +334,9 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def threshold_history(spark: SparkSession, sf_dir: str, every: int = 1000) -> DataFrame:
-    """Threshold changes taken from the data: each `every`-th event sets new limits (a settings log)."""
-    e = table(spark, sf_dir, "events")
-    return e.where(F.col("event_id") % every == 0).select(
-        F.col("ts").cast("timestamp").alias("valid_from"),
-        (80.0 + (F.col("event_id") / every) % 7).alias("temperature_c"),
-        (7.0 + ((F.col("event_id") / every) % 3) / 10.0).alias("vibration_mm_s"),
-    )
+def threshold_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings log: on each day of the recording new limits hold from its first reading on."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("t"))
+    first = e.groupBy(F.to_date("t").alias("day")).agg(F.min("t").alias("valid_from"))
+    day = F.dayofmonth("day")
+    return first.select("valid_from", (F.lit(80.0) + day % 7).alias("temperature_c"), ((70 + day % 3) / F.lit(10.0)).alias("vibration_mm_s"))
