@@ -16,7 +16,11 @@ from plantpulse.functions.times import format_ms, parse_rfc3339
 from plantpulse.operators.ordered import InOrder
 
 MEASUREMENTS = ["temperature_c", "vibration_mm_s"]
-SCORE = F.col("gaps") + F.col("out_of_order") + F.col("stuck_runs")
+
+
+def _score() -> Column:
+    """What the device list is ordered by."""
+    return F.col("gaps") + F.col("out_of_order") + F.col("stuck_runs")
 
 
 def rejections_by_reason(checked: DataFrame, shown: int = S.MAX_REJECTION_EXAMPLES) -> DataFrame:
@@ -236,7 +240,7 @@ def out_of_order(report: DataFrame) -> DataFrame:
 
 def worst_devices(report: DataFrame, n: int = S.MAX_REPORT_DEVICES) -> DataFrame:
     """The devices with most findings."""
-    return report.orderBy(SCORE.desc(), F.col("device").asc()).limit(n)
+    return report.orderBy(_score().desc(), F.col("device").asc()).limit(n)
 
 
 def report_totals(
@@ -265,7 +269,7 @@ def _worst_by(score: Column) -> Column:
     """struct of the listed device with the highest score; the earlier one in the list wins a tie."""
     return F.min_by(
         F.struct("device", "longest_gap_seconds", "usual_interval_seconds"),
-        F.struct(-score, -SCORE, F.col("device")),
+        F.struct(-score, -_score(), F.col("device")),
     )
 
 

@@ -36,7 +36,9 @@ add("batch_envelopes", RECORD, """
 SELECT batch_id, CAST(count(*) AS INTEGER) AS n_events, CASE WHEN count(*) > 500 THEN 413 END AS status,
        CASE WHEN count(*) > 500 THEN 'batch_too_large' END AS error, CASE WHEN count(*) > 500 THEN 'too many events in one request' END AS detail
 FROM record GROUP BY 1""")
-add("payload_reasons", DEDUPED, "SELECT batch_id, coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM deduped GROUP BY 1, 2")
+# A request is judged at one moment: the arrival of its last record.
+ONE_MOMENT = "FROM (SELECT * REPLACE (max(received_at) OVER (PARTITION BY batch_id) AS received_at) FROM record)),\nchecked AS"
+add("payload_reasons", DEDUPED.replace("FROM record),\nchecked AS", ONE_MOMENT), "SELECT batch_id, coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM deduped GROUP BY 1, 2")
 add("rejection_examples", CHECKED + """,
 bad AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY row_no) AS r, count(*) OVER (PARTITION BY reason) AS n
   FROM checked WHERE reason IS NOT NULL)""",
@@ -310,9 +312,8 @@ IMPORT = CHECKED + """,
 lines AS (SELECT *, row_number() OVER (ORDER BY row_no) AS line FROM record WHERE NOT broken)"""
 add("import_csv_rows", IMPORT, """
 SELECT line AS row_no, device_id || '-' || line AS event_id, device_id, temperature_c, vibration_mm_s,
-       CASE WHEN temperature_c IS NULL THEN 'malformed_json' WHEN device_id = 'press/01' THEN 'invalid_device_id'
-            WHEN event_time IS NULL THEN 'invalid_timestamp' WHEN temperature_c > 250 THEN 'out_of_range'
-            WHEN site_id = 'never' THEN 'invalid_site_id' END AS reason FROM lines""")
+       CASE WHEN temperature_c IS NULL THEN 'malformed_json' WHEN device_id = 'press/01' THEN 'invalid_event_id'
+            WHEN event_time IS NULL THEN 'invalid_timestamp' WHEN temperature_c > 250 THEN 'out_of_range' END AS reason FROM lines""")
 add("import_ndjson_summary", IMPORT, f"""
 SELECT 'ndjson' AS format, count(*) AS rows, count(DISTINCT device_id) AS devices, 'Machine,Operator,Temp,Timestamp,Vibration' AS columns,
        'Machine=device_id,Temp=temperature_c,Timestamp=event_time,Vibration=vibration_mm_s' AS mapped, 'Operator' AS ignored,

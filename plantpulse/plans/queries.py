@@ -591,7 +591,8 @@ def import_csv_rows(spark, d):
 def import_ndjson_summary(spark, d):
     """Written as NDJSON, read back by the importer: the summary row."""
     path = folder(spark, "recording")
-    _recording(spark, d).select(F.to_json(F.struct("Timestamp", "Machine", "Temp", "Vibration", "Operator")).alias("value")).write.text(path)
+    number = F.regexp_replace(F.to_json(F.struct("Timestamp", "Machine", "Temp", "Vibration", "Operator")), r'"Temp":"([0-9.]+)"', '"Temp":$1')
+    _recording(spark, d).select(number.alias("value")).write.text(path)
     done = mapping.import_file(spark, path)
     summary = mapping.dataset_summary(done, done.checked(instant("2025-01-01T00:00:00Z")))
     return summary.withColumns({c: F.array_join(c, ",") for c in ("columns", "mapped", "ignored", "derived")})
