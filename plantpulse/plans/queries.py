@@ -26,7 +26,7 @@ from plantpulse.operators import runs as L
 from plantpulse.operators import store as Q
 from plantpulse.operators import validate as V
 from plantpulse.plans import views
-from plantpulse.session import ensure_checkpoint_dir
+from plantpulse.session import ensure_checkpoint_dir, pin
 from plantpulse.sources import exports, mapping, readers
 from plantpulse.streaming import jobs
 
@@ -149,7 +149,9 @@ def replay_idempotence(spark, d):
 
 @query
 def conservation_check(spark, d):
-    return L.conservation_check(views.deduped(spark, d), views.outcomes(spark, d))
+    checked = views.deduped(spark, d)
+    rows = V.accepted(checked).withColumn("_batch", F.col("batch_id").cast("bigint"))
+    return L.conservation_check(checked, D.insert_new(rows, views.earlier_store(spark, d), ["_batch", "idx"]))
 
 
 # --- alerts -----------------------------------------------------------------
@@ -282,38 +284,34 @@ def states_as_of(spark, d):
 
 
 # --- data-quality report ----------------------------------------------------
-def _report(spark, d):
-    return R.device_report(views.imported(spark, d))
-
-
 @query
 def device_report(spark, d):
-    return _report(spark, d)
+    return R.device_report(views.decoded(spark, d))
 
 
 @query
 def worst_devices(spark, d):
-    return R.worst_devices(_report(spark, d))
+    return R.worst_devices(R.device_report(views.decoded(spark, d)))
 
 
 @query
 def usual_interval(spark, d):
-    return R.usual_interval(_report(spark, d))
+    return R.usual_interval(R.device_report(views.decoded(spark, d)))
 
 
 @query
 def gaps(spark, d):
-    return R.gaps(_report(spark, d))
+    return R.gaps(R.device_report(views.decoded(spark, d)))
 
 
 @query
 def stuck_runs(spark, d):
-    return R.stuck_runs(_report(spark, d))
+    return R.stuck_runs(R.device_report(views.decoded(spark, d)))
 
 
 @query
 def out_of_order(spark, d):
-    return R.out_of_order(_report(spark, d))
+    return R.out_of_order(R.device_report(views.decoded(spark, d)))
 
 
 @query
@@ -333,12 +331,14 @@ def value_stats(spark, d):
 
 @query
 def report_totals(spark, d):
-    return R.report_totals(views.imported(spark, d), views.checked(spark, d), _report(spark, d))
+    rows = views.decoded(spark, d)
+    return R.report_totals(rows, V.check_records(rows), R.device_report(rows))
 
 
 @query
 def findings(spark, d):
-    rows, checked, report = views.imported(spark, d), views.checked(spark, d), _report(spark, d)
+    rows = views.decoded(spark, d)
+    checked, report = V.check_records(rows), pin(R.device_report(rows))
     return R.findings(R.report_totals(rows, checked, report), R.rejections_by_reason(checked), report)
 
 
@@ -391,7 +391,7 @@ def thin_timeline(spark, d):
 
 
 def _records(spark, d):
-    log, runs = views.attempts(spark, d), views.runs(spark, d)
+    log, runs = pin(views.attempts(spark, d)), pin(views.runs(spark, d))
     points = L.timeline(log, runs)
     return L.run_records(log, runs, points), points
 
@@ -408,8 +408,8 @@ def run_records(spark, d):
 
 @query
 def compare_runs(spark, d):
-    records, _ = _records(spark, d)
-    return L.compare_runs(records, L.run_pairs(views.runs(spark, d)))
+    records = pin(_records(spark, d)[0])  # one row per run, read as A and as B
+    return L.compare_runs(records, L.run_pairs(records))
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from plantpulse.operators.dedup import dedup_in_batch, insert_new
 from plantpulse.operators.validate import accepted, parse_records, validate
-from plantpulse.session import prepare
+from plantpulse.session import pin, prepare
 
 RECORD_FIELDS = [
     "schema_version", "event_id", "device_id", "event_time", "sequence", "temperature_c", "vibration_mm_s", "site_id",
@@ -20,10 +20,10 @@ RECORD_FIELDS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. One that comes in fewer splits than there are cores is spread, since decoding is CPU work."""
+    """A driver table. One that comes in fewer files than there are cores is spread, since decoding is CPU work."""
     df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _k() -> Column:
@@ -181,7 +181,7 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked records with the repeats inside a batch refused."""
-    return dedup_in_batch(checked(spark, sf_dir))
+    return pin(dedup_in_batch(checked(spark, sf_dir)))
 
 
 def earlier_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +191,7 @@ def earlier_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted records against the earlier store, in arrival order (batch, then position)."""
-    rows = accepted(deduped(spark, sf_dir)).withColumn("_batch", F.col("batch_id").cast("bigint"))
+    rows = pin(accepted(deduped(spark, sf_dir)).withColumn("_batch", F.col("batch_id").cast("bigint")))
     return insert_new(rows, earlier_store(spark, sf_dir), ["_batch", "idx"]).drop("_batch")
 
 
@@ -217,6 +217,11 @@ def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_records(dirty_json(spark, sf_dir))
 
 
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The imported rows as a written table: the report reads them several times, the JSON is decoded once."""
+    return pin(imported(spark, sf_dir))
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A delivery log: one attempt per driver event, 2500 attempts a run, ten a second."""
     e = table(spark, sf_dir, "events")
