@@ -106,15 +106,15 @@ def _scan(undecided: DataFrame) -> DataFrame:
         return rows.loc[keep, ["_n"]]
 
     code = lambda key: F.dense_rank().over(Window.orderBy(key))
-    numbered = undecided.select(
+    numbered = pin(undecided.select(
         "_id",
         "_seq",
         "_ord",
         F.row_number().over(Window.orderBy("_ord")).alias("_n"),
         code("_id").alias("_i"),
         F.when(F.col("_seq").isNull(), F.lit(-1)).otherwise(code("_seq")).alias("_s"),
-    )
-    kept = numbered.select("_n", "_i", "_s").groupBy(F.lit(0)).applyInPandas(scan, "_n int")
+    ))
+    kept = numbered.select("_n", "_i", "_s", F.lit(0).alias("_g")).groupBy("_g").applyInPandas(scan, "_n int")
     return numbered.join(kept, "_n", "left_semi").select("_id", "_seq", "_ord")
 
 

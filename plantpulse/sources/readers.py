@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
@@ -85,7 +85,7 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """
     files = prepare(spark).read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     text = F.regexp_replace("value", f"\\A{BOM}", "")
-    parsed = once(files, items=F.from_json(text, "array<string>"), kind=F.schema_of_variant(F.try_parse_json(text)))
+    parsed = once(files, items=_elements(text), kind=F.schema_of_variant(F.try_parse_json(text)))
     broken = parsed.where(F.col("items").isNull() | ~F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False)))
     if broken.limit(1).count():
         raise BadFile("the file is not a valid JSON array")
@@ -139,20 +139,32 @@ def display_names(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Request bodies
 # ---------------------------------------------------------------------------
+def _elements(text: Column, member: str | None = None) -> Column:
+    """JSON texts of the elements of an array (or of the array under `member`), keys in their order.
+
+    A string element would come back without its quotes and could pass for the JSON it spells; it is kept as an
+    empty JSON string instead, which is refused like any other string.
+    """
+    texts = F.from_json(text, f"struct<{member}: array<string>>")[member] if member else F.from_json(text, "array<string>")
+    path = f"$.{member}" if member else "$"
+    values = F.try_variant_get(F.try_parse_json(text), path, "array<variant>")
+    pick = lambda t, v: F.when(F.schema_of_variant(v) == "STRING", F.lit('""')).otherwise(F.coalesce(t, F.lit("null")))
+    return F.zip_with(texts, values, pick)
+
+
 def explode_payload(df: DataFrame, shape: str = "batch") -> DataFrame:
     """Records of request bodies with their position: (…, idx, raw).
 
-    `shape` is batch ({"events":[…]}), array, ndjson or single. Elements keep their original text.
+    `shape` is batch ({"events":[…]}), array, ndjson or single.
     """
     kept = [c for c in df.columns if c != "body"]
     items = {
-        "batch": lambda: F.from_json("body", "struct<events: array<string>>")["events"],
-        "array": lambda: F.from_json("body", "array<string>"),
+        "batch": lambda: _elements(F.col("body"), "events"),
+        "array": lambda: _elements(F.col("body")),
         "ndjson": lambda: F.filter(F.split("body", "\n"), lambda line: F.trim(F.regexp_replace(line, r"\s", "")) != ""),
         "single": lambda: F.array("body"),
     }[shape]()
-    rows = df.select(*kept, F.posexplode(items).alias("idx", "raw"))
-    return rows.withColumn("raw", F.coalesce("raw", F.lit("null")))
+    return df.select(*kept, F.posexplode(items).alias("idx", "raw"))
 
 
 def batch_envelope(df: DataFrame, max_events: int = S.MAX_BATCH_EVENTS, max_bytes: int = S.MAX_BODY_BYTES) -> DataFrame:
