@@ -67,15 +67,17 @@ def duplicate_readings(rows: DataFrame) -> DataFrame:
 
 def value_stats(rows: DataFrame) -> DataFrame:
     """Count, smallest, largest and mean of each measurement over the rows that hold a finite number."""
-    long = rows.select(
-        F.explode(F.create_map(*[p for m in MEASUREMENTS for p in (F.lit(m), F.col(m))])).alias("field", "value")
-    ).where(is_finite(F.col("value")))
-    return long.groupBy("field").agg(
-        F.count("*").alias("n"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.avg("value").alias("mean_value"),
+    part = lambda f, m: f(F.when(is_finite(F.col(m)), F.col(m)))
+    wide = rows.agg(
+        *[
+            F.struct(
+                F.lit(m).alias("field"), part(F.count, m).alias("n"), part(F.min, m).alias("min_value"),
+                part(F.max, m).alias("max_value"), part(F.avg, m).alias("mean_value"),
+            ).alias(m)
+            for m in MEASUREMENTS
+        ]
     )
+    return wide.select(F.inline(F.array(*MEASUREMENTS))).where(F.col("n") > 0)
 
 
 def _device_rows(rows: DataFrame) -> DataFrame:
@@ -246,23 +248,25 @@ def worst_devices(report: DataFrame, n: int = S.MAX_REPORT_DEVICES) -> DataFrame
 def report_totals(
     rows: DataFrame, checked: DataFrame, report: DataFrame, derived_ids: bool = False
 ) -> DataFrame:
-    """One row of totals (R11). Each part is one aggregated row; they are laid side by side by a constant key."""
-    one = lambda df: df.withColumn("_k", F.lit(1))
+    """One row of totals (R11). Each part is aggregated on its own and enters as a scalar."""
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    counts = one(
-        checked.agg(F.count("*").alias("rows"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
-    )
-    ids = one(duplicate_ids(rows, derived_ids))
-    repeated = one(duplicate_readings(rows).agg(zero("duplicate_readings").alias("duplicate_readings")))
-    devices = one(
-        report.agg(
+    repeated = duplicate_readings(rows).agg(zero("duplicate_readings"))
+    devices = report.agg(
+        F.struct(
             zero("out_of_order").alias("out_of_order"),
             zero("gaps").alias("gaps"),
             zero("stuck_runs").alias("stuck_runs"),
             F.count("*").alias("devices_total"),
         )
     )
-    return counts.join(ids, "_k").join(repeated, "_k").join(devices, "_k").drop("_k")
+    counts = checked.agg(F.count("*").alias("rows"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
+    return counts.select(
+        "rows",
+        "rejected",
+        duplicate_ids(rows, derived_ids).scalar().alias("duplicate_ids"),
+        repeated.scalar().alias("duplicate_readings"),
+        devices.scalar().alias("_d"),
+    ).select("rows", "rejected", "duplicate_ids", "duplicate_readings", "_d.*")
 
 
 def _worst_by(score: Column) -> Column:
@@ -276,18 +280,15 @@ def _worst_by(score: Column) -> Column:
 def findings(totals: DataFrame, reasons: DataFrame, report: DataFrame) -> DataFrame:
     """The report as ordered sentences (R12): one row of totals becomes at most six lines, or one `ok` line."""
     listed = worst_devices(report).agg(
-        _worst_by(F.col("longest_gap_seconds")).alias("gap"),
-        _worst_by(F.col("stuck_runs")).alias("stuck"),
+        F.struct(
+            _worst_by(F.col("longest_gap_seconds")).alias("gap"), _worst_by(F.col("stuck_runs")).alias("stuck")
+        )
     )
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "reason", "n", "label")))  # one per reason
     parts = reasons.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "reason", "n", "label"))).alias("r")
-    ).select(
-        F.array_join(
-            F.transform("r", lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["label"])), ", "
-        ).alias("parts")
+        F.array_join(F.transform(entries, lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["label"])), ", ")
     )
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    facts = one(totals).join(one(parts), "_k").join(one(listed), "_k")
+    facts = totals.select("*", parts.scalar().alias("parts"), listed.scalar().alias("_w")).select("*", "_w.*")
     n = lambda c: F.col(c).cast("string")
     line = lambda when, level, *text: F.when(
         when, F.struct(F.lit(level).alias("level"), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]).alias("text"))

@@ -196,19 +196,20 @@ def timeline(attempts: DataFrame, runs: DataFrame) -> DataFrame:
         "run_id", "t", tenth_ms(F.get("l", F.floor((F.size("l") - 1) / 2).cast("int"))).alias("p50_ms"),
         tenth_ms(at(0.95)).alias("p95_ms"),
     )
-    dense = points.groupBy("run_id").agg(F.max("t").alias("m")).select(
-        "run_id", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("t")
-    )
+    # Silent seconds: each point is repeated up to the next one of its run (at most 3600 points a run).
+    by_run = Window.partitionBy("run_id").orderBy("t")
+    start = F.when(F.lag("t").over(by_run).isNull(), F.lit(0)).otherwise(F.col("t"))
+    end = F.coalesce(F.lead("t").over(by_run) - 1, F.col("t"))
     counts = ["requests", "sent", "records", "throttled", "errors"]
-    return (
-        dense.join(points, ["run_id", "t"], "left")
-        .join(marks, ["run_id", "t"], "left")
-        .select(
-            "run_id",
-            "t",
-            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
-            *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50_ms", "p95_ms")],
-        )
+    values = [*counts, "p50_ms", "p95_ms"]
+    spans = points.join(marks, ["run_id", "t"], "left").select("*", F.sequence(start, end).alias("_span"))
+    dense = spans.select("run_id", F.col("t").alias("_t"), *values, F.explode("_span").alias("t"))
+    here = F.col("t") == F.col("_t")
+    return dense.select(
+        "run_id",
+        "t",
+        *[F.when(here, F.col(c)).otherwise(0).cast("bigint").alias(c) for c in counts],
+        *[F.when(here, F.col(c)).otherwise(0.0).alias(c) for c in ("p50_ms", "p95_ms")],
     )
 
 

@@ -233,7 +233,7 @@ def newest_alerts(spark, d):
 
 @query
 def run_history(spark, d):
-    return Q.run_history(views.runs(spark, d)).select("run_id", "state", format_nano(F.col("started_at")).alias("started_at"))
+    return Q.run_history(_log(spark, d)[1]).select("run_id", "state", format_nano(F.col("started_at")).alias("started_at"))
 
 
 @query
@@ -343,6 +343,11 @@ def findings(spark, d):
 
 
 # --- delivery log -----------------------------------------------------------
+def _log(spark, d):
+    log = views.attempts(spark, d)
+    return log, views.runs(log)
+
+
 @query
 def record_outcomes(spark, d):
     cols = ["run_id", "batch_no", "attempt_no", "kind", "accepted", "rejected", "gave_up", "errored"]
@@ -351,7 +356,7 @@ def record_outcomes(spark, d):
 
 @query
 def run_totals(spark, d):
-    return rounded(L.run_totals(views.attempts(spark, d), views.runs(spark, d)), "elapsed_s", "throughput_per_s")
+    return rounded(L.run_totals(*_log(spark, d)), "elapsed_s", "throughput_per_s")
 
 
 @query
@@ -376,22 +381,22 @@ def first_error(spark, d):
 
 @query
 def timeline(spark, d):
-    return L.timeline(views.attempts(spark, d), views.runs(spark, d))
+    return L.timeline(*_log(spark, d))
 
 
 @query
 def timeline_summary(spark, d):
-    return L.timeline_summary(L.timeline(views.attempts(spark, d), views.runs(spark, d)))
+    return L.timeline_summary(L.timeline(*_log(spark, d)))
 
 
 @query
 def thin_timeline(spark, d):
-    points = L.thin_timeline(L.timeline(views.attempts(spark, d), views.runs(spark, d)))
+    points = L.thin_timeline(L.timeline(*_log(spark, d)))
     return points.select("run_id", "t", "step", "requests", "sent", "records")
 
 
 def _records(spark, d):
-    log, runs = pin(views.attempts(spark, d)), pin(views.runs(spark, d))
+    log, runs = _log(spark, d)
     points = L.timeline(log, runs)
     return L.run_records(log, runs, points), points
 
@@ -420,13 +425,13 @@ def report_lines(spark, d):
 
 @query
 def run_outcome(spark, d):
-    log, runs = views.attempts(spark, d), views.runs(spark, d)
+    log, runs = _log(spark, d)
     return L.run_outcome(L.run_totals(log, runs), runs)
 
 
 @query
 def redacted_targets(spark, d):
-    return views.runs(spark, d).select("run_id", display_address(F.col("target")).alias("shown"), saved_address(F.col("target")).alias("saved"))
+    return _log(spark, d)[1].select("run_id", display_address(F.col("target")).alias("shown"), saved_address(F.col("target")).alias("saved"))
 
 
 # --- counters ---------------------------------------------------------------

@@ -223,7 +223,7 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A delivery log: one attempt per driver event, 2500 attempts a run, ten a second."""
+    """A delivery log: one attempt per driver event, 2500 attempts a run, ten a second; written like a real log."""
     e = table(spark, sf_dir, "events")
     n = F.col("event_id")
     pair = (n / 2).cast("bigint")
@@ -254,7 +254,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     external = F.floor(F.col("n") / 2500) % 2 == 1
     rejected = F.least(n_records, (F.col("pair") % 3).cast("int"))
-    return rows.select(
+    log = rows.select(
         F.concat(F.lit("run-"), F.lpad(F.floor(F.col("n") / 2500).cast("string"), 5, "0")).alias("run_id"),
         (F.when(F.col("retry"), F.col("pair") * 2).otherwise(F.col("n")) % 2500).cast("int").alias("batch_no"),
         F.when(F.col("retry"), F.col("pos")).otherwise(0).cast("int").alias("attempt_no"),
@@ -275,11 +275,11 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("ack_rejection_counts"),
         (F.col("retry") & (F.col("pos") == 0)).alias("will_retry"),
     )
+    return pin(log)
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per run of the log."""
-    log = attempts(spark, sf_dir)
+def runs(log: DataFrame) -> DataFrame:
+    """One row per run of a log."""
     number = F.substring("run_id", 5, 10).cast("int")
     started = F.timestamp_micros(F.lit(1_704_067_200_000_000) + number.cast("bigint") * 3_600_000_000)
     return (

@@ -80,9 +80,18 @@ def current_thresholds(spark: SparkSession, path: str | None) -> Thresholds:
 
 
 def persist(
-    batch: DataFrame, epoch: int, place: Tables, thresholds_path: str | None = None, limits: Limits = Limits()
+    batch: DataFrame,
+    epoch: int,
+    place: Tables,
+    thresholds_path: str | None = None,
+    limits: Limits = Limits(),
+    horizon_days: int | None = None,
 ) -> None:
-    """One micro-batch (T2): events first, then their alerts, then counters and live messages."""
+    """One micro-batch (T2): events first, then their alerts, then counters and live messages.
+
+    Every micro-batch reads the key columns of the whole store. `horizon_days` narrows that to the dates around the
+    micro-batch; it is off by default because a repeat that carries another event time may then pass.
+    """
     spark = batch.sparkSession
     put = lambda df, table: df.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
     # The micro-batch is decoded once: `dedup_in_batch` works on the written table.
@@ -90,6 +99,11 @@ def persist(
     store = read_table(spark, place.events, STORED_EVENTS)
     if store is not None:
         store = store.where(F.col("epoch") != epoch)
+    if store is not None and horizon_days is not None:
+        day = F.to_date("event_time")
+        first, last = accepted(judged).agg(F.date_sub(F.min(day), horizon_days), F.date_add(F.max(day), horizon_days)).first()
+        if first is not None:
+            store = store.where(F.col("event_date").between(F.lit(first), F.lit(last)))
     good = accepted(judged).withColumn("_batch", F.col("batch_id").try_cast("bigint"))
     outcomes = pin(insert_new(good, store, ["_batch", "batch_id", "idx"]).drop("_batch"))
     stored = stored_rows(outcomes).select(*S.EVENT_SCHEMA.fieldNames())
@@ -152,11 +166,12 @@ def run_ingest(
     thresholds_path: str | None = None,
     limits: Limits = Limits(),
     until_empty: bool = True,
+    horizon_days: int | None = None,
 ):
     """Start the ingest stream. `until_empty` processes what is there and stops."""
     lines = read_lines(spark, source, max_files)
     writer = lines.writeStream.foreachBatch(
-        lambda batch, epoch: persist(batch, epoch, place, thresholds_path, limits)
+        lambda batch, epoch: persist(batch, epoch, place, thresholds_path, limits, horizon_days)
     ).option("checkpointLocation", place.progress)
     if not until_empty:
         return writer.start()
