@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
+from plantpulse.functions.skew import null_salt
 from plantpulse.operators.validate import zero_filled
 from plantpulse.session import pin
 
@@ -69,8 +70,9 @@ def _judged(undecided: DataFrame) -> DataFrame:
     """Add `_won` (first under both keys) and `_open` (neither winner nor neighbour of one)."""
     won = _first_under_both(undecided)
     ids = won.select("_id", F.col("_ord").alias("_by_id"))
-    seqs = won.where(F.col("_seq").isNotNull()).select("_seq", F.lit(True).alias("_by_seq"))
-    joined = undecided.join(ids, "_id", "left").join(seqs, "_seq", "left")
+    seqs = won.select("_seq", F.lit(0).cast("bigint").alias("_salt"), F.lit(True).alias("_by_seq"))
+    salted = undecided.withColumn("_salt", null_salt(F.col("_seq").isNull(), "_id"))
+    joined = salted.join(ids, "_id", "left").join(seqs, ["_seq", "_salt"], "left")
     return joined.select(
         "_id",
         "_seq",
@@ -86,7 +88,8 @@ def _first_under_both(undecided: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("_ord", "_seq")).alias("_m"))
         .select("_id", F.col("_m._seq").alias("_seq"), F.col("_m._ord").alias("_ord"))
     )
-    by_seq = undecided.where(F.col("_seq").isNotNull()).groupBy("_seq").agg(F.min("_ord").alias("_ord"))
+    # No filter on NULL keys here: it would sink below the collapse and keep the two sides from sharing its shuffle.
+    by_seq = undecided.groupBy("_seq").agg(F.min("_ord").alias("_ord"))
     free = by_id.where(F.col("_seq").isNull())
     return by_id.join(by_seq, ["_seq", "_ord"], "left_semi").select("_id", "_seq", "_ord").unionByName(free)
 
@@ -153,10 +156,11 @@ def insert_new(df: DataFrame, existing: DataFrame | None, order_cols: list[str])
             .join(df.select("device_id", "sequence"), ["device_id", "sequence"], "left_semi")
             .distinct()
         )
+        pairs = pairs.select("*", F.lit(0).cast("bigint").alias("_salt"), F.lit(True).alias("_has_seq"))
         flagged = pin(
-            df.join(ids.withColumn("_has_id", F.lit(True)), "event_id", "left").join(
-                pairs.withColumn("_has_seq", F.lit(True)), ["device_id", "sequence"], "left"
-            )
+            df.withColumn("_salt", null_salt(F.col("sequence").isNull(), "event_id"))
+            .join(ids.withColumn("_has_id", F.lit(True)), "event_id", "left")
+            .join(pairs, ["device_id", "sequence", "_salt"], "left")
         )
         seen = F.col("_has_id").isNotNull() | F.col("_has_seq").isNotNull()
         known = flagged.where(seen).select(*df.columns).withColumn("outcome", F.lit("duplicate"))

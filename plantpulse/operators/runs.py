@@ -482,6 +482,26 @@ def report_lines(records: DataFrame, points: DataFrame, checks: DataFrame | None
     return out
 
 
+def run_documents(records: DataFrame, points: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """The report of each run as one JSON object: the run, its timeline and the data check.
+
+    A run has at most 3600 points and a check at most six lines, so a document stays small.
+    """
+
+    def listed(df: DataFrame, name: str, order: str) -> DataFrame:
+        fields = [c for c in df.columns if c != "run_id"]
+        entry = F.struct(order, *[c for c in fields if c != order])
+        return df.groupBy("run_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+
+    run = F.struct(*records.columns)
+    out = records.select("run_id", run.alias("run")).join(listed(points, "timeline", "t"), "run_id", "left")
+    parts = ["run", "timeline"]
+    if checks is not None:
+        out = out.join(listed(checks, "data_check", "line_no"), "run_id", "left")
+        parts.append("data_check")
+    return out.select("run_id", F.to_json(F.struct(*parts)).alias("document"))
+
+
 def run_outcome(totals: DataFrame, runs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The closing line of each run (L17). `stored` has (run_id, stored): rows the run added to the store."""
     joined = runs.select("run_id", "state", "external", display_address(F.col("target")).alias("target")).join(totals, "run_id")

@@ -479,12 +479,12 @@ def scrape_sums(spark, d):
 
 @query
 def counter_deltas(spark, d):
-    return M.counter_deltas(M.scrape_long(views.scrapes(spark, d)))
+    return M.counter_deltas(pin(M.scrape_long(views.scrapes(spark, d))))
 
 
 @query
 def metrics_as_of(spark, d):
-    """The queue depth known at the time of each order line: as-of over two tables."""
+    """The last event known at moments up to six minutes before each event."""
     events = views.table(spark, d, "events")
     series = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("sample"))
     asked = events.select((F.unix_micros(F.col("ts").cast("timestamp")) - F.col("event_id") % 7 * 60_000_000).alias("asked"))

@@ -83,3 +83,31 @@ def test_batch_duplicates_get_the_reason_of_the_key(spark):
         (2, "duplicate_in_batch", "device_id and sequence already appear earlier in this batch"),
         (3, "out_of_range", None),
     ]
+
+
+def test_a_hot_key_is_split_by_adaptive_execution(spark):
+    """The join back to the rows has one row per key on its other side, so a hot key can be cut into parts."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(30_000).repartition(8).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.format_string("e%d", "id")).alias("event_id"), F.lit("d").alias("device_id"),
+            F.col("id").alias("sequence"), F.col("id").alias("idx"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        marked = D.first_accepted(df, ["event_id"], ["device_id", "sequence"], ["idx"])
+        assert marked.where("outcome = 'accepted'").count() == 20_001
+        marked.write.format("noop").mode("overwrite").save()
+        counted = marked.select("idx", "outcome", "payload")
+        counted.collect()
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -132,3 +132,24 @@ def test_bounded_state_dedup_and_seconds(spark, tmp_path):
     assert rows(spark.read.parquet(out), "event_id") == [("a",), ("b",)]
     counts = jobs.run_per_second(spark, source, schema, str(tmp_path / "seconds"))
     assert [r["n"] for r in counts.orderBy("second").collect()] == [2, 1]
+
+
+def test_stateless_validation_stream(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "checked")
+    put(source, "1.jsonl", [line(1, 0, "a", 1), line(1, 1, "bad id", 2)])
+    put(source, "2.jsonl", [line(2, 0, "b", 1, minute=1)])
+    checked = jobs.stream_ingest(spark, source, max_files=1)
+    checked.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(out), "batch_id", "idx", "reason") == [("1", 0, None), ("1", 1, "invalid_event_id"), ("2", 0, None)]
+
+
+def test_horizon_limits_what_is_looked_up(spark, tmp_path):
+    place = jobs.Tables(str(tmp_path / "out"))
+    parse = lambda lines: spark.createDataFrame([(x,) for x in lines], "value string").select(
+        F.from_json("value", jobs.LINE_SCHEMA).alias("r")).select("r.*")
+    jobs.persist(parse([line(1, 0, "a", 1)]), 0, place)
+    jobs.persist(parse([line(2, 0, "a", 1, minute=1)]), 1, place, horizon_days=0)
+    assert spark.read.parquet(place.events).count() == 1
+    moved = line(3, 0, "a", 1).replace("2025-01-15T08", "2025-01-10T08")
+    jobs.persist(parse([moved]), 2, place, horizon_days=1)
+    assert spark.read.parquet(place.events).count() == 2

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -109,6 +111,11 @@ def test_comparison(spark):
     assert got["Records sent"] == ("same", "") and got["Request errors"] == ("same", "")
     lines = [r["text"] for r in L.report_lines(records, L.timeline(attempts, runs(spark, "a", "b"))).where("run_id = 'b'").collect()]
     assert "| Sent to | http://h:1 |" in lines and "| Responses | 202 x 9, 429 x 1 |" in lines
+    checks = spark.createDataFrame([("a", 1, "ok", "fine")], "run_id string, line_no int, level string, text string")
+    points = L.timeline(attempts, runs(spark, "a", "b"))
+    document = json.loads(L.run_documents(records, points, checks).where("run_id = 'a'").first()["document"])
+    assert document["run"]["accepted"] == 100 and [p["t"] for p in document["timeline"]] == list(range(10))
+    assert document["data_check"] == [{"line_no": 1, "level": "ok", "text": "fine"}]
     stored = spark.createDataFrame([("a", 97)], "run_id string, stored bigint")
     closing = {r["run_id"]: r["line"] for r in L.run_outcome(L.run_totals(attempts, runs(spark, "a", "b")), runs(spark, "a", "b"), stored).collect()}
     assert closing == {"a": "Replay done: 100 sent, 97 stored, 0 rejected (3 already stored)",
@@ -146,3 +153,11 @@ def test_metrics_as_of(spark, monkeypatch):
     assert rows(M.metrics_as_of(asked, series, ["run"]), "asked", "depth") == sorted(expected, key=repr)
     monkeypatch.setattr("plantpulse.operators.ordered.MAX_GROUP_ROWS", 4)
     assert rows(M.metrics_as_of(asked, series, ["run"]), "asked", "depth") == sorted(expected, key=repr)
+
+
+def test_failures_and_stored_rows(spark):
+    failures = spark.createDataFrame([("persist",), ("persist",)], "stage string")
+    assert rows(M.failure_stages(failures), "stage", "n") == [("alert_persist", 0), ("persist", 2), ("shutdown_drop", 0)]
+    series = spark.createDataFrame([("r", "stored", t, float(t * t)) for t in range(10)], "run_id string, metric string, t int, value double")
+    spans = spark.createDataFrame([("r", 2, 5)], "run_id string, from_t int, to_t int")
+    assert rows(M.stored_by_run(series, spans), "run_id", "stored") == [("r", 21.0)]
