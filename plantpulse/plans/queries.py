@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -508,8 +509,6 @@ def fault_plan_counts(spark, d):
 @query
 def expected_vs_stored(spark, d):
     """Ids and alerts an ideal receiver would hold against what the operators store: no row means they agree."""
-    from plantpulse.operators.faults import differences
-
     ideal = I.expected_outcome(_plan(spark, d), 10, 85.0, 7.1)
     sent = ideal["sent"].select(
         F.col("batch_no").cast("string").alias("batch_id"), (F.col("_n") % 10).cast("int").alias("idx"), "_n",
@@ -518,24 +517,20 @@ def expected_vs_stored(spark, d):
     # Copies share device and sequence with their original, so both keys agree on every repeat.
     stored = D.insert_new(V.accepted(D.dedup_in_batch(V.validate(sent, S.Limits(temp_max_c=1000.0)))), None, ["_n"])
     kept = D.stored_rows(stored)
-    ids = differences(ideal["stored"].select(F.col("event_id").alias("id")), kept.select(F.col("event_id").alias("id")))
+    ids = I.differences(ideal["stored"].select(F.col("event_id").alias("id")), kept.select(F.col("event_id").alias("id")))
     fired = A.evaluate_alerts(kept).select(F.col("alert_id").alias("id"))
-    return ids.unionByName(differences(ideal["alerts"].select(F.col("alert_id").alias("id")), fired))
+    return ids.unionByName(I.differences(ideal["alerts"].select(F.col("alert_id").alias("id")), fired))
 
 
 # --- rebase, exports, frames ------------------------------------------------
 @query
 def rebase_latest(spark, d):
-    from datetime import datetime, timezone
-
     rows = views.imported(spark, d).select("row_no", "event_time")
     return B.rebase_latest(rows, datetime(2025, 6, 1, tzinfo=timezone.utc))
 
 
 @query
 def rebase_first(spark, d):
-    from datetime import datetime, timezone
-
     rows = views.readings(spark, d).select(F.col("n").alias("row_no"), format_nano(F.col("event_time")).alias("event_time"))
     return B.rebase_first(rows, datetime(2025, 6, 1, tzinfo=timezone.utc))
 

@@ -16,6 +16,8 @@ from plantpulse.schemas import Limits
 from plantpulse.session import once
 from plantpulse.sources.readers import BOM, BadFile, detect_format, read_csv, read_json_array, read_ndjson
 
+MAX_COLUMNS = 10_000
+
 ALIAS_OF = {alias: name for name, words in S.COLUMN_ALIASES.items() for alias in words}
 
 
@@ -161,10 +163,14 @@ def _filled(df: DataFrame, plan: ColumnPlan, values: dict[str, Column], shape: C
 
 
 def object_columns(df: DataFrame) -> list[str]:
-    """Keys of all objects by first appearance, those of one object by name. One row per key reaches the driver."""
+    """Keys of all objects by first appearance, those of one object by name. One row per key reaches the driver; a
+    file whose keys are data and not names is refused."""
     keys = df.select("row_no", F.explode(F.json_object_keys("raw")).alias("key"))
     first = keys.groupBy("key").agg(F.min("row_no").alias("row_no"))
-    return [r["key"] for r in first.orderBy("row_no", "key").collect()]
+    found = first.orderBy("row_no", "key").limit(MAX_COLUMNS + 1).collect()
+    if len(found) > MAX_COLUMNS:
+        raise BadFile(f"the file has more than {MAX_COLUMNS} different column names")
+    return [r["key"] for r in found]
 
 
 @dataclass
