@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.llm import mixing, mixing_sql, quality, quality_sql, shards
+from plantpulse.llm import decontaminate, mixing, mixing_sql, personal, quality, quality_sql, secrets, shards, spans_sql
 from plantpulse.llm.common import table
 
 
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, findings = secrets.update_ledger(docs)
+    return secrets.findings_by_path(docs, findings).select(F.col("path").alias("doc_id"), *secrets.digest(secrets.BASE_KINDS))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal.personal_spans(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *secrets.digest(personal.BASE_KINDS))
+
+
 def op5_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_rules(docs).drop("source", "text")
@@ -23,9 +38,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_doc").withColumn("target", F.round("target", 3))
 
 
-QUERIES = {f.__name__: f for f in (op5_differencing_shards, op9_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_secret_ledger, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op9_quality_rules, op10_mix_sources)}
 
 SQL = {
+    "op3_secret_ledger": spans_sql.SECRETS,
     "op9_quality_rules": quality_sql.SQL,
     "op10_mix_sources": mixing_sql.SQL,
 }
