@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.llm import decontaminate, mixing, mixing_sql, personal, quality, quality_sql, secrets, shards, spans_sql, token_shards
+from plantpulse.llm import decontaminate, mixing, mixing_sql, pages, personal, quality, quality_sql, secrets, shards, spans_sql, token_shards
 from plantpulse.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shard_table(spark, manifest)
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     _, findings = secrets.update_ledger(docs)
@@ -43,7 +47,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_doc").withColumn("target", F.round("target", 3))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op3_secret_ledger, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op9_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op9_quality_rules, op10_mix_sources)}
 
 SQL = {
     "op3_secret_ledger": spans_sql.SECRETS,
