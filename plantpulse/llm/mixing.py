@@ -58,9 +58,8 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     total = F.sum("target").over(Window.partitionBy())
     parts = targets.withColumn("_to", F.round(F.sum("target").over(order) / total * POINTS).cast("bigint"))
     parts = parts.withColumn("_from", F.coalesce(F.lag("_to").over(order), F.lit(0))).filter("_to > _from")
-    slots = F.broadcast(targets.agg(F.ceil(F.coalesce(F.sum("target"), F.lit(0.0)) / block).cast("bigint").alias("_n")))
-    numbers = slots.select(F.explode(F.expr("if(_n > 0, sequence(0L, (_n - 1) div 65536), array())")).alias("_chunk"), "_n").repartition(F.col("_chunk"))
-    numbers = numbers.select(F.explode(F.expr("sequence(_chunk * 65536, least(_n, (_chunk + 1) * 65536) - 1)")).alias("_slot"))
+    n = targets.agg(F.ceil(F.coalesce(F.sum("target"), F.lit(0.0)) / block).cast("bigint")).first()[0]
+    numbers = spark.range(n).withColumnRenamed("id", "_slot")
     point = F.pmod(F.pmod("_slot", F.lit(POINTS)) * GOLDEN, F.lit(POINTS))
     width = POINTS // POINT_BUCKETS
     numbers = numbers.withColumn("_point", point).withColumn("_bucket", F.floor(F.col("_point") / width))
