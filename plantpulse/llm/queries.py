@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.llm import decontaminate, mixing, mixing_sql, pages, personal, quality, quality_sql, secrets, shards, spans_sql, token_shards
+from plantpulse.llm import decontaminate, jaccard, mixing, mixing_sql, pages, personal, quality, quality_sql, secrets, shards, spans_sql, token_shards
 from plantpulse.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *secrets.digest(personal.BASE_KINDS))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_doc").withColumn("target", F.round("target", 3))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op9_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op4_jaccard_join, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op9_quality_rules, op10_mix_sources)}
 
 SQL = {
     "op3_secret_ledger": spans_sql.SECRETS,
