@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse.llm.common import restored, shielded, spread_key
 from plantpulse.llm.components import components
 from plantpulse.llm.tokens import Words, groups, mix, words
 from plantpulse.session import pin
@@ -22,8 +23,8 @@ COMMON = 16
 CHECK_COST = 8
 #: Shingles of one bucket of lists, about; a bucket is worked on by one task at a time.
 BUCKET_SHINGLES = 1_000_000
-#: Texts whose postings are packed together.
-PACK_BYTES = 16_000_000
+#: Shingles of prefixes that a task packs together.
+PACK_SHINGLES = 1_000_000
 #: A second choice of prefix, for documents that mostly hold common shingles, is longer than any first choice.
 LONG = 1 << 30
 
@@ -64,9 +65,9 @@ def _class(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n == 0, np.uint64(0), mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))).view(np.int64)
 
 
-def sets(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, keys, first key of each row, class of each row) for groups of rows."""
-    for begin, end in groups(column) if size is None else groups(column, size):
+    for begin, end in groups(column):
         keys, first = shingle_sets(words(column.slice(begin, end - begin)))
         yield begin, end, keys, first, _class(keys, first)
 
@@ -86,13 +87,16 @@ def stored(n):
     return np.minimum(n, first_prefix(n) + n // 12 + 3)
 
 
-def _ids(docs: DataFrame) -> DataFrame:
+def _ids(docs: DataFrame, more: str = "") -> DataFrame:
+    names = [c for c in docs.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, _, first, own in sets(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(np.diff(first), pa.int64()), pa.array(own, pa.int64())], names=["doc_id", "n", "cid"])
+                held = [batch.column(c).slice(begin, end - begin) for c in names]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(np.diff(first), pa.int64()), pa.array(own, pa.int64())], names=[*names, "n", "cid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cid long")
+    return docs.mapInArrow(run, ", ".join(filter(None, (f"doc_id {dict(docs.dtypes)['doc_id']}", more, "n long, cid long"))))
 
 
 def _postings(docs: DataFrame, buckets: int) -> DataFrame:
@@ -100,45 +104,52 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
     of one pack hold is common for certain; its documents are told so in rows of kind 1, which go to any bucket, and its
     own bucket only learns its name (kind 2). So no list of a common shingle travels to one task."""
 
+    def pack(k: np.ndarray, at: np.ndarray, cids: np.ndarray, turn: int) -> pa.RecordBatch:
+        order = np.lexsort((cids[at], k))
+        k, at = k[order], at[order]
+        new = np.ones(len(k), dtype=bool)
+        new[1:] = (k[1:] != k[:-1]) | (cids[at[1:]] != cids[at[:-1]])
+        k, at = k[new], at[new].astype(np.uint32)
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff(np.append(begin, len(k)))
+        common = np.repeat(count > COMMON, count)
+        out = []
+        names = k[begin[count > COMMON]]
+        if len(names):
+            out.append(((int(cids[0]) + turn) % buckets, 1, k[common], at[common]))
+            nb = (mix(names) % np.uint64(buckets)).astype(np.int32)
+            out += [(int(b), 2, names[nb == b], None) for b in np.unique(nb)]
+        k, at = k[~common], at[~common]
+        # Prefixes hold small numbers, so a bucket is told by the mixed bits.
+        bucket = (mix(k) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        k, at, bucket = k[order], at[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        out += [(b, 0, k[edges[b] : edges[b + 1]], at[edges[b] : edges[b + 1]]) for b in np.unique(bucket).tolist()]
+        rows = {"bucket": [], "kind": [], "keys": [], "at": [], "cids": []}
+        for b, kind, ks, a in out:
+            used, place = np.unique(a, return_inverse=True) if a is not None else (np.zeros(0, dtype=np.int64), np.zeros(0))
+            for name, value in zip(rows, (b, kind, ks.tobytes(), place.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), cids[used].tobytes()), strict=True):
+                rows[name].append(value)
+        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("cids", pa.binary())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        held, n_keys, n_sets, turn = [], 0, 0, 0
         for batch in batches:
-            for _, _, keys, first, own in sets(batch.column("text"), PACK_BYTES):
+            for _, _, keys, first, own in sets(batch.column("text")):
                 n = np.diff(first)
                 _, chosen = np.unique(own, return_index=True)
                 chosen = chosen[n[chosen] > 0]
-                if not len(chosen):
-                    continue
                 length = stored(n[chosen])
                 at = np.repeat(np.arange(len(chosen)), length)
                 within = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-                k = keys[first[chosen][at] + within]
-                order = np.argsort(k, kind="stable")
-                k, at = k[order], at[order].astype(np.uint32)
-                begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                count = np.diff(np.append(begin, len(k)))
-                common = np.repeat(count > COMMON, count)
-                cids = own[chosen].astype(np.int64)
-                out = []
-                # Buckets follow the low bits: prefixes hold small numbers, so high bits are uneven.
-                bucket = (mix(k) % np.uint64(buckets)).astype(np.int32)
-                names = k[begin[count > COMMON]]
-                if len(names):
-                    turn += 1
-                    out.append(((int(cids[0]) + turn) % buckets, 1, k[common], at[common]))
-                    nb = (mix(names) % np.uint64(buckets)).astype(np.int32)
-                    out += [(int(b), 2, names[nb == b], None) for b in np.unique(nb)]
-                k, at, bucket = k[~common], at[~common], bucket[~common]
-                order = np.argsort(bucket, kind="stable")
-                k, at, bucket = k[order], at[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                out += [(b, 0, k[edges[b] : edges[b + 1]], at[edges[b] : edges[b + 1]]) for b in np.unique(bucket).tolist()]
-                rows = {"bucket": [], "kind": [], "keys": [], "at": [], "cids": []}
-                for b, kind, ks, a in out:
-                    used, place = np.unique(a, return_inverse=True) if a is not None else (np.zeros(0, dtype=np.int64), np.zeros(0))
-                    for name, value in zip(rows, (b, kind, ks.tobytes(), place.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), cids[used].tobytes()), strict=True):
-                        rows[name].append(value)
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("cids", pa.binary())]))
+                held.append((keys[first[chosen][at] + within], at + n_sets, own[chosen].astype(np.int64)))
+                n_keys, n_sets = n_keys + len(at), n_sets + len(chosen)
+                if n_keys >= PACK_SHINGLES:
+                    yield pack(*map(np.concatenate, zip(*held, strict=True)), turn)
+                    held, n_keys, n_sets, turn = [], 0, 0, turn + 1
+        if n_keys:
+            yield pack(*map(np.concatenate, zip(*held, strict=True)), turn)
 
     return docs.select("text").mapInArrow(run, "bucket int, kind int, keys binary, at binary, cids binary")
 
@@ -368,8 +379,19 @@ def _class_texts(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without those that have a smaller document in their component; of equal doc_ids one row stays."""
-    near = pin(near_duplicates(docs)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = near.select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of `docs` without those that have a smaller document in their component.
+
+    A component's smallest doc_id stays, null only where it has no other; of several rows with it the one with the
+    smallest hash of the text, and of full repeats one. Rows without words are linked with nothing and all stay.
+    """
+    rows, names = shielded(docs)
+    doc_id, text = F.col(names["doc_id"]), F.col(names["text"])
+    rows = rows.withColumn("_key", spread_key(doc_id, text)).withColumn("_empty", ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    plain = docs.select("doc_id", "text")
+    ids = pin(_ids(plain.withColumn("_key", spread_key(F.col("doc_id"), F.col("text"))), "_key long"))
+    member = class_components(plain, ids)
+    full = ids.filter("n > 0").join(member, ids["cid"] == member["node"], "left").withColumn("_c", F.coalesce("component", "cid"))
+    keep = full.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).getField("_key").alias("_key")).select("_key")
+    kept = rows.filter("not _empty").join(keep, "_key", "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(*names.values()))
+    return restored(kept.withColumn("_turn", turn).filter("_turn = 1").drop("_turn").unionByName(rows.filter("_empty")), names)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in groups of about so many bytes; one longer text is a group by itself.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
