@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.llm import decontaminate, jaccard, mixing, mixing_sql, pages, personal, quality, quality_sql, secrets, shards, spans_sql, token_shards
+import corpus_pipeline
+from plantpulse.llm import decontaminate, jaccard, mixing, mixing_sql, pages, personal, quality, quality_sql, repeats, secrets, shards, spans_sql, token_shards
 from plantpulse.llm.common import table
 
 
@@ -41,6 +42,15 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.repeated_passages(table(spark, sf_dir, "documents"))
+    return rows.drop("spans")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_rules(docs).drop("source", "text")
@@ -51,7 +61,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_doc").withColumn("target", F.round("target", 3))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op4_jaccard_join, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op9_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op4_jaccard_join, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op8_repeated_passages, op9_quality_rules, op10_mix_sources, pipeline)}
 
 SQL = {
     "op3_secret_ledger": spans_sql.SECRETS,
