@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import array
 import base64
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ SEQUENCE_TOKENS = 1024
 SHARD_SLOTS = 16_384
 ROUNDS = 6
 #: Token lists of words are kept by each Python worker for so many different words.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 
 
 def stride(tokens: int = SEQUENCE_TOKENS) -> int:
@@ -67,6 +69,20 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+class Known(dict):
+    """Tokens of words that follow a space."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.encode(word)
+        if len(self) < CACHED_WORDS and len(word) < 64:
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Byte-level BPE of a rank file; tokens of a text as little-endian 16-bit numbers, with an end token."""
 
@@ -74,20 +90,13 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end = max(ranks.values()) + 1
-        assert self.end < 2**16, "two bytes per token"
+        if self.end >= 2**16 or sys.byteorder != "little":
+            raise ValueError("tokens are written as two little-endian bytes")
         self.encoding = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        self.known = Known(lambda word: self._encode(" " + word))
 
     def _encode(self, piece: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(piece), dtype="<u2").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            found = self._encode(piece)
-            if len(self.known) < CACHED_WORDS and len(piece) < 64:
-                self.known[piece] = found
-        return found
+        return array.array("H", self.encoding.encode_ordinary(piece)).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The pattern always parts a text before a space that stands before something else, so the pieces between such
@@ -97,8 +106,7 @@ class Encoder:
         if _LOOSE_SPACE.search(text):
             return self._encode(text) + self.encoding_end()
         first, *rest = text.split(" ")
-        piece = self._piece
-        return b"".join([piece(first), *[piece(" " + x) for x in rest]]) + self.encoding_end()
+        return b"".join([self._encode(first), *map(self.known.__getitem__, rest), self.encoding_end()])
 
     def encoding_end(self) -> bytes:
         return struct.pack("<H", self.end)
@@ -201,8 +209,8 @@ def write_shards(docs: DataFrame, folder: str, key: int = 20240229, tokens: int
 
     rows = docs.mapInArrow(pieces, "shard long, slot long, sequence long, place int, data binary")
     n_shards = -(-sequences // slots)
-    rows = rows.repartitionByRange(n_shards, "shard").sortWithinPartitions("slot", "place")
-    # The writer takes the bytes of a string as they are and closes each with the line end, the last byte of a record.
+    rows = rows.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("slot", "place")
+    # A shard is a task, so no sample of the rows is needed to part them. The writer takes the bytes of a string as they are and closes each with the line end, the last byte of a record.
     written = rows.mapInArrow(records, "shard long, record binary").select("shard", F.col("record").cast("string").alias("value"))
     written.write.partitionBy("shard").option("lineSep", "\n").text(folder)
     return manifest
