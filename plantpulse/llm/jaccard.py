@@ -99,8 +99,8 @@ def _ids(docs: DataFrame, more: str = "") -> DataFrame:
     return docs.mapInArrow(run, ", ".join(filter(None, (f"doc_id {dict(docs.dtypes)['doc_id']}", more, "n long, cid long"))))
 
 
-def _postings(docs: DataFrame, buckets: int) -> DataFrame:
-    """Prefix shingles in packed lists: `bucket, kind, keys, at, cids`. A shingle that more than COMMON different sets
+def _postings(docs: DataFrame, buckets: int, limit: int) -> DataFrame:
+    """Prefix shingles in packed lists: `bucket, kind, keys, at, cids`. A shingle that more than `limit` different sets
     of one pack hold is common for certain; its documents are told so in rows of kind 1, which go to any bucket, and its
     own bucket only learns its name (kind 2). So no list of a common shingle travels to one task."""
 
@@ -112,9 +112,9 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
         k, at = k[new], at[new].astype(np.uint32)
         begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         count = np.diff(np.append(begin, len(k)))
-        common = np.repeat(count > COMMON, count)
+        common = np.repeat(count > limit, count)
         out = []
-        names = k[begin[count > COMMON]]
+        names = k[begin[count > limit]]
         if len(names):
             out.append(((int(cids[0]) + turn) % buckets, 1, k[common], at[common]))
             nb = (mix(names) % np.uint64(buckets)).astype(np.int32)
@@ -154,8 +154,8 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, kind int, keys binary, at binary, cids binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """`cid, key, df` of a bucket: shingles in at least two sets' prefixes; df is COMMON + 1 for common ones."""
+def _shared(table: pa.Table, limit: int) -> pa.Table:
+    """`cid, key, df` of a bucket: shingles in at least two sets' prefixes; df is `limit` + 1 for common ones."""
     names, own, own_cids, told, told_cids = [], [], [], [], []
     for kind, keys, at, cids in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "at", "cids")), strict=True):
         k, c = np.frombuffer(keys, dtype=np.uint64), np.frombuffer(cids, dtype=np.int64)
@@ -174,15 +174,15 @@ def _shared(table: pa.Table) -> pa.Table:
         k, c = k[new], c[new]
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
     count = np.diff(np.append(begin, len(k)))
-    df = np.minimum(count, COMMON + 1)
-    df[np.isin(k[begin], known)] = COMMON + 1
+    df = np.minimum(count, limit + 1)
+    df[np.isin(k[begin], known)] = limit + 1
     df = np.repeat(df, count)
     keep = df > 1
-    k, c, df = np.concatenate([k[keep], join(told, np.uint64)]), np.concatenate([c[keep], join(told_cids, np.int64)]), np.concatenate([df[keep], np.full(sum(map(len, told)), COMMON + 1)])
+    k, c, df = np.concatenate([k[keep], join(told, np.uint64)]), np.concatenate([c[keep], join(told_cids, np.int64)]), np.concatenate([df[keep], np.full(sum(map(len, told)), limit + 1)])
     return pa.table({"cid": pa.array(c, pa.int64()), "key": pa.array(k.view(np.int64), pa.int64()), "df": pa.array(df, pa.int32())})
 
 
-def choose(df: np.ndarray, n: int, lengths: range) -> tuple[int, int] | None:
+def choose(df: np.ndarray, n: int, lengths: range, limit: int = COMMON) -> tuple[int, int] | None:
     """(matches asked for, matches among uncommon shingles asked for) of the cheapest prefix, or None.
 
     `df[i]` is how many sets hold shingle i in their prefixes. With `l` shared shingles asked for, the prefix is the
@@ -191,8 +191,8 @@ def choose(df: np.ndarray, n: int, lengths: range) -> tuple[int, int] | None:
     matches, and no more than (entries read) / (matches asked for) sets can have these.
     """
     p = first_prefix(n)
-    common = np.concatenate([[0], np.cumsum(df > COMMON)])
-    reads = np.concatenate([[0], np.cumsum(np.where(df > COMMON, 0, df - 1))])
+    common = np.concatenate([[0], np.cumsum(df > limit)])
+    reads = np.concatenate([[0], np.cumsum(np.where(df > limit, 0, df - 1))])
     best = None
     for l in lengths:
         if p + l - 1 > len(df):
@@ -212,7 +212,7 @@ def _one_set(text: str) -> np.ndarray:
 INDEX = "key long, cid long, n int, asked int, needed int"
 
 
-def _first_choice(rows: DataFrame) -> DataFrame:
+def _first_choice(rows: DataFrame, limit: int) -> DataFrame:
     """Index entries of every set (`cid, text, keys, dfs`); sets without a choice give one entry with `asked` 0 each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +223,10 @@ def _first_choice(rows: DataFrame) -> DataFrame:
                 n = len(own)
                 df = np.ones(int(stored(n)), dtype=np.int64)
                 df[np.searchsorted(own, np.array(ks, dtype=np.int64).view(np.uint64))] = dfs
-                got = choose(df, n, range(1, n // 16 + 2))
+                got = choose(df, n, range(1, n // 16 + 2), limit)
                 asked, needed = got or (0, 0)
                 length = first_prefix(n) + asked - 1 if got else len(df)
-                at = np.flatnonzero((df[:length] > 1) & ((df[:length] <= COMMON) | (asked == 0)))
+                at = np.flatnonzero((df[:length] > 1) & ((df[:length] <= limit) | (asked == 0)))
                 for values, value in zip(out, (own[at].view(np.int64), np.full(len(at), cid), np.full(len(at), n), np.full(len(at), asked), np.full(len(at), needed)), strict=True):
                     values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["key", "cid", "n", "asked", "needed"])
@@ -234,7 +234,7 @@ def _first_choice(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, INDEX)
 
 
-def _second_choice(rows: DataFrame) -> DataFrame:
+def _second_choice(rows: DataFrame, limit: int) -> DataFrame:
     """Index entries of sets that mostly hold common shingles: `cid, text, keys, dfs` with the counts among such sets,
     and `keys1, dfs1` with the first counts."""
 
@@ -247,9 +247,9 @@ def _second_choice(rows: DataFrame) -> DataFrame:
                 df, df1 = np.ones(n, dtype=np.int64), np.ones(n, dtype=np.int64)
                 df[np.searchsorted(own, np.array(ks, dtype=np.int64).view(np.uint64))] = dfs
                 df1[np.searchsorted(own, np.array(ks1, dtype=np.int64).view(np.uint64))] = dfs1
-                got = choose(df, n, range(n // 12 + 3, least_overlap(n) + 1))
+                got = choose(df, n, range(n // 12 + 3, least_overlap(n) + 1), limit)
                 place = np.arange(n)
-                uncommon = ((df1 > 1) & (df1 <= COMMON)) | ((df > 1) & (df <= COMMON) & (place < (first_prefix(n) + got[0] - 1 if got else n)))
+                uncommon = ((df1 > 1) & (df1 <= limit)) | ((df > 1) & (df <= limit) & (place < (first_prefix(n) + got[0] - 1 if got else n)))
                 at = np.flatnonzero(uncommon if got else uncommon | ((place < first_prefix(n)) & ((df > 1) | (df1 > 1))))
                 asked, needed = got or (LONG, 1)
                 for values, value in zip(out, (own[at].view(np.int64), np.full(len(at), cid), np.full(len(at), n), np.full(len(at), asked), np.full(len(at), needed)), strict=True):
@@ -318,7 +318,7 @@ def _cross(index: DataFrame, member: DataFrame) -> DataFrame:
     return counts.filter("c >= need").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row of `docs`.
 
     Sets of shingles are compared through 64-bit hashes; rows with equal sets are one class and linked. Between classes, every
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     ids = pin(_ids(docs))
-    member = class_components(docs, ids)
+    member = class_components(docs, ids, common)
     rows = ids.join(member, ids["cid"] == member["node"], "left").withColumn("_c", F.coalesce("component", "cid"))
     full = rows.filter("n > 0")
     names = full.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
@@ -336,23 +336,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def class_components(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def class_components(docs: DataFrame, ids: DataFrame, limit: int = COMMON) -> DataFrame:
     """`node, component` of the classes that link with another class."""
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (2 * BUCKET_SHINGLES)))
-    shared = pin(_postings(docs, buckets).groupBy("bucket").applyInArrow(_shared, "cid long, key long, df int"))
+    shared = pin(_postings(docs, buckets, limit).groupBy("bucket").applyInArrow(lambda t: _shared(t, limit), "cid long, key long, df int"))
     lists = shared.groupBy("cid").agg(F.collect_list(F.struct("key", "df")).alias("l")).select("cid", F.col("l.key").alias("keys"), F.col("l.df").alias("dfs"))
     texts = pin(_class_texts(docs).join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("text").alias("text")))
-    first = pin(_first_choice(texts.join(lists, "cid")))
+    first = pin(_first_choice(texts.join(lists, "cid"), limit))
     late = pin(first.filter("asked = 0").groupBy("cid").agg(F.lit(1).alias("_one")).select("cid"))
     late_texts = texts.join(late, "cid", "left_semi")
     entries = pin(_explode_sets(late_texts))
     counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    counts = entries.join(counts.withColumn("df", F.least("df", F.lit(COMMON + 1))), "key").groupBy("cid").agg(F.collect_list(F.struct("key", F.col("df").cast("int").alias("df"))).alias("l"))
+    counts = entries.join(counts.withColumn("df", F.least("df", F.lit(limit + 1))), "key").groupBy("cid").agg(F.collect_list(F.struct("key", F.col("df").cast("int").alias("df"))).alias("l"))
     second = late_texts.join(counts, "cid", "left").join(lists.select("cid", F.col("keys").alias("keys1"), F.col("dfs").alias("dfs1")), "cid")
     none = F.array()
     second = second.select("cid", "text", F.coalesce("l.key", none.cast("array<bigint>")).alias("keys"), F.coalesce("l.df", none.cast("array<int>")).alias("dfs"), "keys1", "dfs1")
-    index = pin(first.filter("asked > 0").unionByName(_second_choice(second)))
+    index = pin(first.filter("asked > 0").unionByName(_second_choice(second, limit)))
     links = pin(_linked(_best_heads(index, F.min), texts))
     member = components(links)
     open_lists = index.join(member, index["cid"] == member["node"], "left").withColumn("_c", F.coalesce("component", "cid"))

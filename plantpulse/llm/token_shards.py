@@ -210,7 +210,8 @@ def write_shards(docs: DataFrame, folder: str, key: int = 20240229, tokens: int
     rows = docs.mapInArrow(pieces, "shard long, slot long, sequence long, place int, data binary")
     n_shards = -(-sequences // slots)
     rows = rows.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("slot", "place")
-    # A shard is a task, so no sample of the rows is needed to part them. The writer takes the bytes of a string as they are and closes each with the line end, the last byte of a record.
+    # A shard is a task, so no sample of the rows is needed to part them. The writer takes the bytes of a string as they
+    # are and closes each with the line end, the last byte of a record.
     written = rows.mapInArrow(records, "shard long, record binary").select("shard", F.col("record").cast("string").alias("value"))
     written.write.partitionBy("shard").option("lineSep", "\n").text(folder)
     return manifest
