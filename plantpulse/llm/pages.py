@@ -192,7 +192,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     parsed = pin(parsed_pages(pages))
     low = style_tree(parsed).filter((F.col("role") == OPEN) & (F.col("importance") < MIN_IMPORTANCE) & F.col("path").contains("/"))
-    removed = low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("removed"))
+    # Written first: its size is then known, so Spark moves the pages by host only when it is large.
+    removed = pin(low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("removed")))
     rows = parsed.select("page_id", "url", "host", "pieces").join(removed, "host", "left").select("page_id", "url", "pieces", "removed")
     types = dict(pages.dtypes)
 
