@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plantpulse.functions.numbers import fixed_text
 from plantpulse.schemas import ID_RULE, REASON_LABELS
 
 
@@ -43,9 +44,9 @@ def reason_label(reason: Column) -> Column:
 
 def human_seconds(seconds: Column) -> Column:
     return (
-        F.when(seconds < 90, F.format_string("%.0f s", seconds))
-        .when(seconds < 5400, F.format_string("%.1f min", seconds / 60))
-        .otherwise(F.format_string("%.1f h", seconds / 3600))
+        F.when(seconds < 90, F.concat(fixed_text(seconds, 0), F.lit(" s")))
+        .when(seconds < 5400, F.concat(fixed_text(seconds / 60, 1), F.lit(" min")))
+        .otherwise(F.concat(fixed_text(seconds / 3600, 1), F.lit(" h")))
     )
 
 

@@ -9,9 +9,6 @@ from plantpulse import schemas as S
 from plantpulse.operators.ordered import carry_forward
 from plantpulse.operators.validate import zero_filled
 from plantpulse.schemas import Thresholds
-from plantpulse.session import once
-
-HISTORY_IN_PLAN = 200
 
 
 def alert_id(event_id: Column, rule: Column) -> Column:
@@ -51,36 +48,19 @@ def evaluate_alerts(events: DataFrame, thresholds: Thresholds = Thresholds(), cr
 def evaluate_with_history(events: DataFrame, history: DataFrame, at: str = "processed_at") -> DataFrame:
     """Each reading meets the thresholds in force when it was processed (A3).
 
-    `history` has (valid_from, temperature_c, vibration_mm_s). A history of at most HISTORY_IN_PLAN entries becomes
-    a constant of the plan and needs no join; a longer one is merged into the readings in time order. Readings
-    from before the first entry raise nothing.
+    `history` has (valid_from, temperature_c, vibration_mm_s), as many entries as there are; it is merged into the
+    readings in time order. Readings from before the first entry raise nothing.
     """
-    changes = history.select(
-        F.unix_micros("valid_from").alias("us"), F.col("temperature_c").alias("t_limit"), F.col("vibration_mm_s").alias("v_limit")
+    rows = events.select(F.struct("*").alias("_row"), F.col(at).alias("_at"), F.lit(1).alias("_side"))
+    marks = history.select(
+        F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
+        F.col("valid_from").alias("_at"),
+        F.lit(0).alias("_side"),
+        F.struct("valid_from", F.col("temperature_c").alias("t_limit"), F.col("vibration_mm_s").alias("v_limit")).alias("_limits"),
     )
-    steps = changes.limit(HISTORY_IN_PLAN + 1).collect()
-    if len(steps) <= HISTORY_IN_PLAN:
-        newest_first = F.array(
-            *[
-                F.struct(
-                    F.timestamp_micros(F.lit(s["us"])).alias("valid_from"), F.lit(s["t_limit"]).alias("t_limit"),
-                    F.lit(s["v_limit"]).alias("v_limit"),
-                )
-                for s in sorted(steps, key=lambda s: -s["us"])
-            ]
-        )
-        dated = once(events, _now=F.get(F.filter(newest_first, lambda s: s["valid_from"] <= F.col(at)), F.lit(0)))
-    else:
-        rows = events.select(F.struct("*").alias("_row"), F.col(at).alias("_at"), F.lit(1).alias("_side"))
-        marks = changes.select(
-            F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
-            F.timestamp_micros("us").alias("_at"),
-            F.lit(0).alias("_side"),
-            F.struct(F.timestamp_micros("us").alias("valid_from"), "t_limit", "v_limit").alias("_limits"),
-        )
-        both = rows.withColumn("_limits", F.lit(None).cast(marks.schema["_limits"].dataType)).unionByName(marks)
-        merged = carry_forward(both, [], ["_at", "_side"], "_limits", "_now")
-        dated = merged.where(F.col("_side") == 1).select("_row.*", "_now")
+    both = rows.withColumn("_limits", F.lit(None).cast(marks.schema["_limits"].dataType)).unionByName(marks)
+    merged = carry_forward(both, [], ["_at", "_side"], "_limits", "_now")
+    dated = merged.where(F.col("_side") == 1).select("_row.*", "_now")
     return _fire(dated, F.col("_now.t_limit"), F.col("_now.v_limit"), F.col(at))
 
 
@@ -90,12 +70,11 @@ def alerts_for_new(outcomes: DataFrame, thresholds: Thresholds = Thresholds()) -
 
 
 def merge_alerts(alerts: DataFrame, existing: DataFrame) -> DataFrame:
-    """Alerts whose id is not stored yet, each id once (A5).
-
-    An id is derived from its event and rule, so equal ids carry the same reading and any one of them will do.
-    """
+    """Alerts whose id is not stored yet, each id once (A5): the one that was made first, then by its values."""
     known = existing.select("alert_id").join(alerts.select("alert_id"), "alert_id", "left_semi")
-    return alerts.dropDuplicates(["alert_id"]).join(known, "alert_id", "left_anti").select(*alerts.columns)
+    order = ["created_at", "event_time", "device_id", "event_id", "rule", "observed", "threshold"]
+    first = alerts.groupBy("alert_id").agg(F.min_by(F.struct(*alerts.columns), F.struct(*[c for c in order if c in alerts.columns])).alias("_first"))
+    return first.join(known, "alert_id", "left_anti").select("_first.*")
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:

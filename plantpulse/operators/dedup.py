@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
 from plantpulse.functions.skew import null_salt
+from plantpulse.operators.components import components
 from plantpulse.operators.validate import zero_filled
 from plantpulse.session import pin
 
 ROUNDS_BEFORE_SCAN = 8
-SCAN_LIMIT = 100_000
 
 
 def first_accepted(
@@ -28,17 +28,18 @@ def first_accepted(
     """Mark each row `accepted`, `repeated_id` or `repeated_sequence` as a scan in order would (D3).
 
     A row is accepted when no earlier accepted row has its id or its sequence key; a NULL in the sequence key
-    conflicts with nothing; a refused row blocks nobody. `order_cols` must be unique.
+    conflicts with nothing; a refused row blocks nobody. Rows with one place in the order follow by id; of rows that
+    agree in id and place, as when a request arrives twice, one is accepted and the others repeat its id.
 
     Each round accepts the rows that come first under both keys among the undecided ones and removes their
     neighbours. Rows equal in both keys are collapsed first and the candidates are plain minima, so a key with a
-    huge number of copies shrinks before any shuffle. Rounds run until nothing is undecided; a long chain of
-    conflicts that has become small (its size is counted) is finished by one ordered scan instead.
+    huge number of copies shrinks before any shuffle. What is undecided after `rounds_before_scan` rounds are long chains of
+    conflicts; each chain is then scanned in order by itself.
     """
     keyed = df.select(
         F.struct(*id_cols).alias("_id"),
         F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in seq_cols]), F.struct(*seq_cols)).alias("_seq"),
-        F.struct(*order_cols).alias("_ord"),
+        F.struct(*dict.fromkeys([*order_cols, *id_cols])).alias("_ord"),
     )
     undecided = keyed.groupBy("_id", "_seq").agg(F.min("_ord").alias("_ord"))
     winners: list[DataFrame] = []
@@ -52,18 +53,19 @@ def first_accepted(
         left = undecided.count()
         if left == 0:
             break
-        if rounds >= rounds_before_scan and left <= SCAN_LIMIT:
+        if rounds >= rounds_before_scan:
             winners.append(_scan(undecided))
             break
     first = reduce(DataFrame.unionByName, [w.select("_id", F.col("_ord").alias("_first")) for w in winners])
-    marked = df.withColumn("_id", F.struct(*id_cols)).join(first, "_id", "left")
-    here = F.struct(*order_cols)
+    copies = Window.partitionBy(*dict.fromkeys([*id_cols, *order_cols])).orderBy(*seq_cols)
+    marked = df.withColumn("_copy", F.row_number().over(copies)).withColumn("_id", F.struct(*id_cols)).join(first, "_id", "left")
+    here = F.struct(*dict.fromkeys([*order_cols, *id_cols]))
     return marked.withColumn(
         outcome,
-        F.when(F.col("_first") == here, F.lit("accepted"))
-        .when(F.col("_first") < here, F.lit("repeated_id"))
+        F.when((F.col("_first") == here) & (F.col("_copy") == 1), F.lit("accepted"))
+        .when(F.col("_first") <= here, F.lit("repeated_id"))
         .otherwise(F.lit("repeated_sequence")),
-    ).drop("_id", "_first")
+    ).drop("_id", "_first", "_copy")
 
 
 def _judged(undecided: DataFrame) -> DataFrame:
@@ -95,30 +97,25 @@ def _first_under_both(undecided: DataFrame) -> DataFrame:
 
 
 def _scan(undecided: DataFrame) -> DataFrame:
-    """Ordered scan of a residue whose size the caller has counted (at most SCAN_LIMIT rows)."""
+    """Ordered scan of every chain of conflicts: a group of rows that are connected by shared ids and sequences."""
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, seqs, keep = set(), set(), []
+        taken, keep = set(), []
         rows = rows.sort_values("_n")
-        for id_code, seq_code in zip(rows["_i"], rows["_s"]):
-            free = id_code not in ids and (seq_code < 0 or seq_code not in seqs)
+        for own in zip(rows["_row"], rows["_s"]):
+            free = own[0] not in taken and (own[1] is None or own[1] not in taken)
             keep.append(free)
             if free:
-                ids.add(id_code)
-                seqs.add(seq_code)
-        return rows.loc[keep, ["_n"]]
-
-    code = lambda key: F.dense_rank().over(Window.orderBy(key))
-    numbered = pin(undecided.select(
-        "_id",
-        "_seq",
-        "_ord",
-        F.row_number().over(Window.orderBy("_ord")).alias("_n"),
-        code("_id").alias("_i"),
-        F.when(F.col("_seq").isNull(), F.lit(-1)).otherwise(code("_seq")).alias("_s"),
-    ))
-    kept = numbered.select("_n", "_i", "_s", F.lit(0).alias("_g")).groupBy("_g").applyInPandas(scan, "_n int")
-    return numbered.join(kept, "_n", "left_semi").select("_id", "_seq", "_ord")
+                taken.update(own)
+        return rows.loc[keep, ["_c", "_n"]]
+
+    name = lambda kind, key: F.concat(F.lit(kind), F.to_json(key))
+    named = pin(undecided.withColumn("_row", name("i", F.col("_id"))).withColumn("_s", F.when(F.col("_seq").isNotNull(), name("s", F.col("_seq")))))
+    chains = components(named.where("_s IS NOT NULL").select(F.col("_row").alias("a"), F.col("_s").alias("b")))
+    placed = named.join(chains, named["_row"] == chains["node"], "left").withColumn("_c", F.coalesce("component", "_row"))
+    numbered = pin(placed.withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy("_ord"))).drop("node", "component"))
+    kept = numbered.select("_c", "_n", "_row", "_s").groupBy("_c").applyInPandas(scan, "_c string, _n int")
+    return numbered.join(kept, ["_c", "_n"], "left_semi").select("_id", "_seq", "_ord")
 
 
 def dedup_in_batch(checked: DataFrame, batch: str = "batch_id", idx: str = "idx") -> DataFrame:

@@ -91,13 +91,13 @@ def fault_counts(plan: DataFrame) -> DataFrame:
     return plan.where(F.col("kind") != "ok").groupBy("kind", "malformed_kind").agg(F.count("*").alias("n"))
 
 
-def expected_outcome(plan: DataFrame, batch_size: int, temperature: float, vibration: float, max_rows: int | None = None) -> dict[str, DataFrame]:
+def expected_outcome(plan: DataFrame, batch_size: int, temperature: float, vibration: float, pieces: int | None = None) -> dict[str, DataFrame]:
     """What an ideal receiver ends up with (L15): stored ids, in-batch repeats and alert ids.
 
     Built from the plan alone, not from the operators it is compared with: the first well-formed version of each id
     is kept, and a repeat inside one request is refused.
     """
-    sent = InOrder(plan, [], ["row_no", "copy_no"], max_rows).rank("_n").withColumn(
+    sent = InOrder(plan, [], ["row_no", "copy_no"], pieces).rank("_n").withColumn(
         "batch_no", F.floor((F.col("_n") - 1) / batch_size)
     )
     good = sent.where(F.col("kind") != "malformed")

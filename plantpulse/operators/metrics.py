@@ -158,9 +158,9 @@ def scrape_series(lines: DataFrame, prefix: str = "pulse") -> DataFrame:
     return named.groupBy("t").pivot("metric", S.SCRAPE_COLUMNS).agg(F.sum("value").cast("bigint"))
 
 
-def counter_deltas(series: DataFrame, max_rows: int | None = None) -> DataFrame:
+def counter_deltas(series: DataFrame, pieces: int | None = None) -> DataFrame:
     """Growth of each counter since its previous sample (M8). A metric may have any number of samples."""
-    lagged = InOrder(series, ["metric"], ["t"], max_rows).lag(F.col("value"), "_before")
+    lagged = InOrder(series, ["metric"], ["t"], pieces).lag(F.col("value"), "_before")
     return lagged.select("metric", "t", "value", (F.col("value") - F.col("_before")).alias("delta"))
 
 

@@ -1,56 +1,37 @@
 """Row order inside groups of any size.
 
-A window gives one task the whole group. That is fine for a bounded group and not for a device, run or metric
-that holds a third of all rows. `InOrder` counts the groups first (an aggregation that combines before its
-shuffle). When every group is within `MAX_GROUP_ROWS` it uses plain windows: one shuffle. Otherwise the rows are
-range-partitioned by group and order, so that a large group spreads over many partitions; each piece is worked on
-alone and what crosses a boundary (a count, a last value, a running maximum) is carried between pieces through a
-table with one row per group and piece.
+A window gives one task the whole group, which is not for a device, run or metric that holds a third of all rows.
+`InOrder` range-partitions the rows by group and order, so that a large group spreads over many partitions; each piece
+is worked on alone and what crosses a boundary (a count, a last value, a running maximum) is carried between pieces
+through a table with one row per group and piece.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plantpulse.session import pin
 
-MAX_GROUP_ROWS = 2_000_000
 PIECE = "_piece"
 
 
 class InOrder:
-    """`df` ordered by `order` (unique within a group) inside groups `by`."""
+    """`df` ordered by `order` (unique within a group) inside groups `by`, in `pieces` partitions or Spark's choice."""
 
-    def __init__(
-        self, df: DataFrame, by: list[str], order: list[str], max_rows: int | None = None, split: bool | None = None
-    ):
+    def __init__(self, df: DataFrame, by: list[str], order: list[str], pieces: int | None = None):
         self.by, self.order = by, order
-        self.max_rows = max_rows or MAX_GROUP_ROWS
-        total = None
-        self.biggest: int | None = None
-        if split is None:
-            biggest, total = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
-            self.biggest = biggest or 0
-            split = self.biggest > self.max_rows
-        self.split = split
-        self.df = self._pieces(df, total) if split else df
-
-    def _pieces(self, df: DataFrame, total: int | None) -> DataFrame:
-        total = df.count() if total is None else total
-        default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n = max(default, math.ceil(2 * total / self.max_rows))
+        keys = [F.col(c) for c in (*by, *order)]
+        cut = df.repartitionByRange(pieces, *keys) if pieces else df.repartitionByRange(*keys)
         # Pinned: the pieces are read more than once, and a second sampling would draw other bounds.
-        return pin(df.repartitionByRange(n, *self.by, *self.order).withColumn(PIECE, F.spark_partition_id()))
+        self.df = pin(cut.withColumn(PIECE, F.spark_partition_id()))
 
     @property
     def keys(self) -> list[str]:
-        return [*self.by, PIECE] if self.split else self.by
+        return [*self.by, PIECE]
 
     def window(self) -> WindowSpec:
-        """Window inside a piece (the whole group when not split)."""
+        """Window inside a piece."""
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def _across(self) -> WindowSpec:
@@ -69,8 +50,6 @@ class InOrder:
     def rank(self, out: str) -> DataFrame:
         """Row number inside the group."""
         rows = self.df.withColumn(out, F.row_number().over(self.window()).cast("bigint"))
-        if not self.split:
-            return rows
         before = lambda edge, over: F.sum(edge).over(over.rowsBetween(Window.unboundedPreceding, -1))
         joined = self._carried(F.count("*"), before, rows)
         return joined.withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_carry", PIECE)
@@ -78,8 +57,6 @@ class InOrder:
     def lag(self, value: Column, out: str) -> DataFrame:
         """Value of the previous row of the group."""
         rows = self.df.withColumn("_value", value).withColumn(out, F.lag("_value").over(self.window()))
-        if not self.split:
-            return rows.drop("_value")
         rows = rows.withColumn("_at_start", F.row_number().over(self.window()) == 1)
         joined = self._carried(F.max_by(value, self._last_first()), lambda edge, over: F.lag(edge).over(over), rows)
         return joined.withColumn(
@@ -90,8 +67,6 @@ class InOrder:
         rows = self.df.withColumn(
             out, F.sum(value).over(self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
         )
-        if not self.split:
-            return rows
         before = lambda edge, over: F.sum(edge).over(over.rowsBetween(Window.unboundedPreceding, -1))
         joined = self._carried(F.sum(value), before, rows)
         return joined.withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_carry", PIECE)
@@ -99,8 +74,6 @@ class InOrder:
     def max_before(self, value: Column, out: str) -> DataFrame:
         """Largest value among the earlier rows of the group."""
         rows = self.df.withColumn(out, F.max(value).over(self.window().rowsBetween(Window.unboundedPreceding, -1)))
-        if not self.split:
-            return rows
         before = lambda edge, over: F.max(edge).over(over.rowsBetween(Window.unboundedPreceding, -1))
         joined = self._carried(F.max(value), before, rows)
         return joined.withColumn(out, F.greatest(F.col(out), F.col("_carry"))).drop("_carry", PIECE)
@@ -109,8 +82,6 @@ class InOrder:
         """Latest non-NULL value at or before each row."""
         frame = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = self.df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
-        if not self.split:
-            return rows
         latest = F.max_by(value, F.when(value.isNotNull(), self._last_first()))
         before = lambda edge, over: F.last(edge, ignorenulls=True).over(
             over.rowsBetween(Window.unboundedPreceding, -1)
@@ -120,26 +91,12 @@ class InOrder:
 
     def long_runs(self, values: dict[str, Column], length: int) -> DataFrame:
         """Per group, the number of runs of at least `length` equal consecutive values; NULL breaks a run."""
-        if not self.split:
-            marked = self.df
-            for name, value in values.items():
-                marked = marked.withColumn(name, self.run_reached(value, length))
-            return marked.groupBy(*self.by).agg(*[F.sum(F.col(name).cast("bigint")).alias(name) for name in values])
         out = None
         for name, value in values.items():
             counted = self._runs_over_pieces(value, length, name)
             out = counted if out is None else out.join(counted, self.by, "full")
         return out.select(*self.by, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in values])
 
-    def run_reached(self, value: Column, length: int) -> Column:
-        """True on the row where a run reaches `length`: the last `length` values are equal, the one before is not."""
-        last = self.window().rowsBetween(1 - length, Window.currentRow)
-        return (
-            (F.count(value).over(last) == length)
-            & (F.min(value).over(last) == F.max(value).over(last))
-            & ~F.lag(value, length).over(self.window()).eqNullSafe(value)
-        )
-
     def _runs_over_pieces(self, value: Column, length: int, out: str) -> DataFrame:
         window = self.window()
         rows = self.df.withColumn("_value", value)

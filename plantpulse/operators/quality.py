@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
-from plantpulse.functions.numbers import is_finite
+from plantpulse.functions.numbers import fixed_text, is_finite
 from plantpulse.functions.text import counted, human_seconds, reason_label
 from plantpulse.functions.times import format_ms, parse_rfc3339
 from plantpulse.operators.ordered import InOrder
+from plantpulse.session import pin
 
 MEASUREMENTS = ["temperature_c", "vibration_mm_s"]
 
@@ -95,73 +96,47 @@ def _device_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def _spacing(rows: DataFrame, out_of_order: Column, split: bool) -> DataFrame:
+def _spacing(ordered: InOrder, out_of_order: Column) -> DataFrame:
     """Per device and spacing between neighbours in time: how often, with the counts that ride along.
 
     Rows without a readable time sort first and only count as rows. The result is far smaller than the rows when
     readings come at a steady pace, and everything else of the report is computed from it.
     """
-    ordered = InOrder(rows, ["device_id"], ["t", "row_no"], split=split)
-    stuck = [ordered.run_reached(F.col(m), S.STUCK_RUN_LENGTH) for m in MEASUREMENTS] if not split else []
-    lagged = ordered.lag(F.col("t"), "_before") if split else ordered.df.withColumn(
-        "_before", F.lag("t").over(ordered.window())
-    )
-    for i, reached in enumerate(stuck):
-        lagged = lagged.withColumn(f"_stuck{i}", reached)
+    lagged = ordered.lag(F.col("t"), "_before")
     step = F.col("t") - F.col("_before")
-    stuck_sum = (
-        F.sum(F.col("_stuck0").cast("bigint") + F.col("_stuck1").cast("bigint")) if stuck else F.lit(0).cast("bigint")
-    )
     return lagged.groupBy("device_id", F.when(step > 0, step).alias("step")).agg(
         F.count("*").alias("n"),
         F.min("t").alias("first_t"),
         F.max("t").alias("last_t"),
         F.count_if(out_of_order).alias("out_of_order"),
-        stuck_sum.alias("stuck_runs"),
     )
 
 
-def device_report(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
+def device_report(rows: DataFrame, pieces: int | None = None) -> DataFrame:
     """One row per device: rows, first and last time, disorder, usual spacing, gaps and stuck runs.
 
-    With ordinary groups the rows are shuffled once, by device, and sorted twice (file order, then time order).
+    The rows are put into file order and into time order once each, in pieces, so one device may hold most of them.
     """
-    slim = _device_rows(rows)
-    in_file = InOrder(slim, ["device_id"], ["row_no"], max_rows)
-    late = F.coalesce(F.col("t") < F.col("_latest"), F.lit(False))
-    seen = in_file.max_before(F.col("t"), "_latest")
-    spacing = _spacing(seen, late, in_file.split)
+    seen = InOrder(_device_rows(rows), ["device_id"], ["row_no"], pieces).max_before(F.col("t"), "_latest")
+    ordered = InOrder(seen, ["device_id"], ["t", "row_no"], pieces)
+    spacing = pin(_spacing(ordered, F.coalesce(F.col("t") < F.col("_latest"), F.lit(False))))
     totals = spacing.groupBy("device_id").agg(
         F.sum("n").alias("rows"),
         F.min("first_t").alias("first_t"),
         F.max("last_t").alias("last_t"),
         F.sum("out_of_order").alias("out_of_order"),
-        F.sum("stuck_runs").alias("stuck_runs"),
     )
-    if not in_file.split:
-        # Same key all the way: no further shuffle. Each spacing meets the usual one of its device in a window.
-        by_device = Window.partitionBy("device_id")
-        up_to = by_device.orderBy(F.col("step").asc_nulls_first())
-        counts = F.when(F.col("step").isNotNull(), F.col("n")).otherwise(0)
-        marked = spacing.withColumn("_upto", F.sum(counts).over(up_to)).withColumn("_all", F.sum(counts).over(by_device))
-        return _summarised(_with_usual(marked, counts, by_device))
     steps = spacing.where(F.col("step").isNotNull())
     sizes = steps.groupBy("device_id").agg(F.sum("n").alias("_all"))
-    ranked = InOrder(steps.select("device_id", "step", "n"), ["device_id"], ["step"], in_file.max_rows).running_sum(
-        F.col("n"), "_upto"
-    )
+    ranked = InOrder(steps.select("device_id", "step", "n"), ["device_id"], ["step"], pieces).running_sum(F.col("n"), "_upto")
     usual = (
         ranked.join(sizes, "device_id")
         .where(_is_middle(F.col("n")))
         .select("device_id", F.col("step").alias("usual"))
     )
-    gaps = steps.join(usual, "device_id").groupBy("device_id").agg(
-        F.first("usual").alias("usual"), *_gap_columns()
-    )
-    runs = InOrder(slim, ["device_id"], ["t", "row_no"], max_rows, split=True).long_runs(
-        {f"_s{i}": F.col(m) for i, m in enumerate(MEASUREMENTS)}, S.STUCK_RUN_LENGTH
-    )
-    joined = totals.drop("stuck_runs").join(gaps, "device_id", "left").join(runs, "device_id", "left")
+    gaps = steps.join(usual, "device_id").groupBy("device_id").agg(F.first("usual").alias("usual"), *_gap_columns())
+    runs = ordered.long_runs({f"_s{i}": F.col(m) for i, m in enumerate(MEASUREMENTS)}, S.STUCK_RUN_LENGTH)
+    joined = totals.join(gaps, "device_id", "left").join(runs, "device_id", "left")
     return _report_columns(
         joined.withColumn("stuck_runs", F.coalesce("_s0", F.lit(0)) + F.coalesce("_s1", F.lit(0)))
     )
@@ -178,10 +153,6 @@ def _is_middle(counts: Column) -> Column:
     )
 
 
-def _with_usual(marked: DataFrame, counts: Column, by_device) -> DataFrame:
-    return marked.withColumn("usual", F.max(F.when(_is_middle(counts), F.col("step"))).over(by_device))
-
-
 def _gap_columns() -> list[Column]:
     gap = F.col("step") > F.col("usual") * S.GAP_FACTOR
     return [
@@ -190,20 +161,6 @@ def _gap_columns() -> list[Column]:
     ]
 
 
-def _summarised(spacing: DataFrame) -> DataFrame:
-    return _report_columns(
-        spacing.groupBy("device_id").agg(
-            F.sum("n").alias("rows"),
-            F.min("first_t").alias("first_t"),
-            F.max("last_t").alias("last_t"),
-            F.sum("out_of_order").alias("out_of_order"),
-            F.sum("stuck_runs").alias("stuck_runs"),
-            F.max("usual").alias("usual"),
-            *_gap_columns(),
-        )
-    )
-
-
 def _report_columns(df: DataFrame) -> DataFrame:
     seconds = lambda c: F.coalesce(F.col(c) / 1e6, F.lit(0.0))
     time = lambda c: format_ms(F.timestamp_micros(c))
@@ -270,7 +227,7 @@ def report_totals(
 
 
 def _worst_by(score: Column) -> Column:
-    """struct of the listed device with the highest score; the earlier one in the list wins a tie."""
+    """struct of the device with the highest score; of equal ones the one with more findings, then the first by name."""
     return F.min_by(
         F.struct("device", "longest_gap_seconds", "usual_interval_seconds"),
         F.struct(-score, -_score(), F.col("device")),
@@ -279,7 +236,7 @@ def _worst_by(score: Column) -> Column:
 
 def findings(totals: DataFrame, reasons: DataFrame, report: DataFrame) -> DataFrame:
     """The report as ordered sentences (R12): one row of totals becomes at most six lines, or one `ok` line."""
-    listed = worst_devices(report).agg(
+    listed = report.agg(
         F.struct(
             _worst_by(F.col("longest_gap_seconds")).alias("gap"), _worst_by(F.col("stuck_runs")).alias("stuck")
         )
@@ -296,7 +253,7 @@ def findings(totals: DataFrame, reasons: DataFrame, report: DataFrame) -> DataFr
     ids, readings, late, silent, stuck = (
         F.col(c) for c in ("duplicate_ids", "duplicate_readings", "out_of_order", "gaps", "stuck_runs")
     )
-    share = F.format_string("%.1f", 100.0 * F.col("rejected") / F.col("rows"))
+    share = fixed_text(100.0 * F.col("rejected") / F.col("rows"), 1)
     lines = F.array(
         line(
             F.col("rejected") > 0, "problem", n("rejected"), " of ", n("rows"), " rows (", share,

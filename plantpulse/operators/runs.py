@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
-from plantpulse.functions.numbers import tenth_ms, third_decimal_ms
+from plantpulse.functions.numbers import fixed_text, tenth_ms, third_decimal_ms
 from plantpulse.functions.text import clean_excerpt, display_address, plain_number, table_cell
 from plantpulse.functions.times import format_ms
 from plantpulse.operators.ordered import InOrder
@@ -117,28 +117,33 @@ def status_counts(attempts: DataFrame) -> DataFrame:
     )
 
 
-def _latency() -> Column:
-    return (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
+def _latency_us() -> Column:
+    return F.unix_micros("finished_at") - F.unix_micros("started_at")
 
 
-def latency_summary(attempts: DataFrame, kept: int = S.MAX_LATENCY_LOG, max_rows: int | None = None) -> DataFrame:
-    """Nearest-rank percentiles, maximum and mean per run in ms (L5), over the first `kept` attempts of each run.
+def _ranked(latencies: DataFrame, by: list[str]) -> DataFrame:
+    """`_us`, how many rows have it (`_n`), how many have it or less (`_upto`) and the rows of the group (`_all`).
 
-    That cap is part of the figure, and it bounds the list one task sorts. Runs within it need no ranking at all.
+    Equal latencies are counted before anything is ordered, so a group of any size is as large as its number of different
+    microseconds, and no list of it is ever built.
     """
-    slim = attempts.select("run_id", *FINISH_ORDER, _latency().alias("latency"))
-    ordered = InOrder(slim, ["run_id"], FINISH_ORDER, max_rows)
-    within = slim if ordered.biggest <= kept else ordered.rank("_n").where(F.col("_n") <= kept)
-    lists = within.groupBy("run_id").agg(F.array_sort(F.collect_list("latency")).alias("l"), F.avg("latency").alias("mean"))
-    nearest = lambda p: F.element_at(
-        "l", F.greatest(F.lit(1), F.ceil(F.lit(p / 100) * F.size("l"))).cast("int")
-    )
-    return lists.select(
-        "run_id",
-        F.size("l").cast("bigint").alias("count"),
-        *[third_decimal_ms(nearest(p)).alias(f"p{p}_ms") for p in (50, 95, 99)],
-        third_decimal_ms(F.element_at("l", -1)).alias("max_ms"),
-        third_decimal_ms(F.col("mean")).alias("mean_ms"),
+    counts = latencies.groupBy(*by, F.col("latency_us").alias("_us")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy("_us").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(group))
+
+
+def latency_summary(attempts: DataFrame) -> DataFrame:
+    """Nearest-rank percentiles, maximum and mean per run in ms (L5), over all attempts of the run."""
+    ranked = _ranked(attempts.select("run_id", _latency_us().alias("latency_us")), ["run_id"])
+    nearest = lambda p: F.min(
+        F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p / 100) * F.col("_all"))), F.col("_us"))
+    )
+    return ranked.groupBy("run_id").agg(
+        F.max("_all").cast("bigint").alias("count"),
+        *[third_decimal_ms(nearest(p) / 1e6).alias(f"p{p}_ms") for p in (50, 95, 99)],
+        third_decimal_ms(F.max("_us") / 1e6).alias("max_ms"),
+        third_decimal_ms(F.sum(F.col("_us") * F.col("_n")) / F.max("_all") / 1e6).alias("mean_ms"),
     )
 
 
@@ -171,11 +176,8 @@ def _in_seconds(attempts: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def timeline(attempts: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row per run and second, silent seconds included (L7), with the percentiles of L8.
-
-    Only the first hour counts, and only the first 500 latencies of a second; both limits are part of the figures.
-    """
-    timed = _in_seconds(attempts, runs).where(F.col("t") < S.MAX_TIMELINE_SECONDS).withColumn("kind", classify_attempt())
+    """One row per run and second, silent seconds included (L7), with the percentiles of L8 over all its answers."""
+    timed = _in_seconds(attempts, runs).withColumn("kind", classify_attempt())
     points = timed.groupBy("run_id", "t").agg(
         F.count("*").alias("requests"),
         F.sum("n_records").alias("sent"),
@@ -183,20 +185,13 @@ def timeline(attempts: DataFrame, runs: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "throttled").alias("throttled"),
         F.count_if(F.col("kind") == "error").alias("errors"),
     )
-    arrived = Window.partitionBy("run_id", "t").orderBy(*FINISH_ORDER)
-    kept = (
-        timed.select("run_id", "t", *FINISH_ORDER, _latency().alias("latency"))
-        .withColumn("_n", F.row_number().over(arrived))
-        .where(F.col("_n") <= S.MAX_SAMPLES_PER_SECOND)
-        .groupBy("run_id", "t")
-        .agg(F.array_sort(F.collect_list("latency")).alias("l"))
+    ranked = _ranked(timed.select("run_id", "t", _latency_us().alias("latency_us")), ["run_id", "t"])
+    above = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_us"))) / 1e6
+    marks = ranked.groupBy("run_id", "t").agg(
+        tenth_ms(above(F.floor((F.col("_all") - 1) / 2))).alias("p50_ms"),
+        tenth_ms(above(F.floor((F.col("_all") - 1) * F.lit(0.95)))).alias("p95_ms"),
     )
-    at = lambda share: F.get("l", F.floor((F.size("l") - 1) * F.lit(share)).cast("int"))
-    marks = kept.select(
-        "run_id", "t", tenth_ms(F.get("l", F.floor((F.size("l") - 1) / 2).cast("int"))).alias("p50_ms"),
-        tenth_ms(at(0.95)).alias("p95_ms"),
-    )
-    # Silent seconds: each point is repeated up to the next one of its run (at most 3600 points a run).
+    # Silent seconds: each point is repeated up to the next one of its run.
     by_run = Window.partitionBy("run_id").orderBy("t")
     start = F.when(F.lag("t").over(by_run).isNull(), F.lit(0)).otherwise(F.col("t"))
     end = F.coalesce(F.lead("t").over(by_run) - 1, F.col("t"))
@@ -213,17 +208,8 @@ def timeline(attempts: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def truncated_runs(attempts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Whether a run went on after the recorded hour."""
-    return (
-        _in_seconds(attempts, runs)
-        .groupBy("run_id")
-        .agg((F.max("t") >= S.MAX_TIMELINE_SECONDS).alias("truncated"))
-    )
-
-
 def timeline_summary(points: DataFrame, edge: int = 3) -> DataFrame:
-    """Best second, first trouble and the slowest requests at both ends (L9). A run has at most 3600 points."""
+    """Best second, first trouble and the slowest requests at both ends."""
     first = lambda when: F.min_by(
         F.when(when, F.struct("t", "sent")), F.when(when, F.col("t"))
     )
@@ -277,7 +263,6 @@ def run_records(attempts: DataFrame, runs: DataFrame, points: DataFrame | None =
         .join(run_totals(attempts, runs), "run_id")
         .join(latency_summary(attempts), "run_id", "left")
         .join(timeline_summary(points), "run_id", "left")
-        .join(truncated_runs(attempts, runs), "run_id", "left")
         .join(statuses, "run_id", "left")
         .join(errors, "run_id", "left")
         .withColumn("id", F.date_format("started_at", "yyyyMMdd'T'HHmmss.SSS'Z'"))
@@ -407,7 +392,7 @@ def report_lines(records: DataFrame, points: DataFrame, checks: DataFrame | None
         ("head", [
             F.lit("# Replay report"),
             text("Run started ", F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), ", state: **", F.col("state"),
-                 "**, took ", F.format_string("%.1f", "elapsed_s"), " s."),
+                 "**, took ", fixed_text(F.col("elapsed_s"), 1), " s."),
         ]),
         ("setup", [
             text("| Sent to | ", table_cell(F.col("target")), " |"),
@@ -428,7 +413,7 @@ def report_lines(records: DataFrame, points: DataFrame, checks: DataFrame | None
             text("| Rejected as invalid | ", s("rejected"), " |"),
             text("| Told to slow down (429) | ", s("throttled"), " times, ", s("retries"), " retries, ", s("gave_up_records"), " records given up |"),
             text("| Request errors | ", s("request_errors"), " (", s("errored_records"), " records) |"),
-            text("| Average throughput | ", F.format_string("%.0f", "throughput_per_s"), " records/s |"),
+            text("| Average throughput | ", fixed_text(F.col("throughput_per_s"), 0), " records/s |"),
             F.when(
                 F.col("count").isNotNull(),
                 text("| Request latency | p50 ", g("p50_ms"), " ms, p95 ", g("p95_ms"), " ms, p99 ", g("p99_ms"), " ms, max ", g("max_ms"), " ms |"),
@@ -451,7 +436,6 @@ def report_lines(records: DataFrame, points: DataFrame, checks: DataFrame | None
                 text("- First error at ", s("first_error_at_s"), " s, at about ", s("sent_per_s_at_first_error"), " records a second."),
             ),
             text("- The slowest 5% of requests took ", g("p95_first_ms"), " ms at the start and ", g("p95_last_ms"), " ms at the end."),
-            F.when(F.col("truncated"), F.lit("- Only the first hour is recorded.")),
         ]),
     ]
     fixed = F.array(
@@ -485,7 +469,7 @@ def report_lines(records: DataFrame, points: DataFrame, checks: DataFrame | None
 def run_documents(records: DataFrame, points: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """The report of each run as one JSON object: the run, its timeline and the data check.
 
-    A run has at most 3600 points and a check at most six lines, so a document stays small.
+    A document holds every second of its run; for runs of many days take the rows of `timeline` instead.
     """
 
     def listed(df: DataFrame, name: str, order: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plantpulse.plans.oracle import (
-    ALERTS, CHECKED, COMPARED, DEDUPED, GOOD, LABELS, LOG, OUTCOMES, READING, REASONS, RECORD, REPORT, REPORT_TOTALS, SRC, TOTALS,
+    ALERTS, CHECKED, COMPARED, DEDUPED, GOOD, IMPORTED, LABELS, LOG, OUTCOMES, READING, REASONS, RECORD, REPORT, REPORT_TOTALS, SRC, TOTALS,
     fired, first_wins, histogram_sql, millis, nano, number,
 )
 from plantpulse.schemas import LAG_BOUNDS, LATENCY_BOUNDS
@@ -143,10 +143,10 @@ add("usual_interval", REPORT, "SELECT device, usual_interval_seconds FROM report
 add("gaps", REPORT, "SELECT device, gaps, longest_gap_seconds, usual_interval_seconds FROM report WHERE gaps > 0")
 add("stuck_runs", REPORT, "SELECT device, stuck_runs FROM report WHERE stuck_runs > 0")
 add("out_of_order", REPORT, "SELECT device, out_of_order FROM report WHERE out_of_order > 0")
-add("duplicate_ids", REPORT, "SELECT CAST(count(*) - count(DISTINCT event_id) AS BIGINT) AS duplicate_ids FROM rows")
-add("duplicate_readings", REPORT,
+add("duplicate_ids", IMPORTED, "SELECT CAST(count(*) - count(DISTINCT event_id) AS BIGINT) AS duplicate_ids FROM rows")
+add("duplicate_readings", IMPORTED,
     "SELECT device_id, CAST(count(*) - count(DISTINCT time_text) AS BIGINT) AS duplicate_readings FROM rows GROUP BY 1")
-add("value_stats", REPORT, """
+add("value_stats", IMPORTED, """
 SELECT 'temperature_c' AS field, count(temperature_c) AS n, min(temperature_c) AS min_value, max(temperature_c) AS max_value,
        round(avg(temperature_c), 6) AS mean_value FROM rows
 UNION ALL SELECT 'vibration_mm_s', count(vibration_mm_s), min(vibration_mm_s), max(vibration_mm_s), round(avg(vibration_mm_s), 6) FROM rows""")
@@ -155,8 +155,8 @@ HUMAN = "CASE WHEN {s} < 90 THEN printf('%.0f s', {s}) WHEN {s} < 5400 THEN prin
 add("findings", REPORT_TOTALS + f""",
 reasons AS (SELECT reason, count(*) AS n FROM checked WHERE reason IS NOT NULL GROUP BY 1),
 parts AS (SELECT string_agg(n || ' ' || {LABELS}, ', ' ORDER BY n DESC, reason) AS parts FROM reasons),
-wg AS (SELECT * FROM listed ORDER BY longest_gap_seconds DESC, gaps + out_of_order + stuck_runs DESC, device LIMIT 1),
-ws AS (SELECT * FROM listed ORDER BY stuck_runs DESC, gaps + out_of_order + stuck_runs DESC, device LIMIT 1),
+wg AS (SELECT * FROM report ORDER BY longest_gap_seconds DESC, gaps + out_of_order + stuck_runs DESC, device LIMIT 1),
+ws AS (SELECT * FROM report ORDER BY stuck_runs DESC, gaps + out_of_order + stuck_runs DESC, device LIMIT 1),
 lines AS (
   SELECT 1 AS o, 'problem' AS level, rejected || ' of ' || "rows" || ' rows (' || printf('%.1f', 100.0::DOUBLE * rejected / "rows")
          || '%) would be rejected by the schema checks: ' || (SELECT parts FROM parts) || '.' AS text FROM totals WHERE rejected > 0
@@ -197,7 +197,7 @@ add("run_records", TOTALS, """
 SELECT run_id, strftime(started_at, '%Y%m%dT%H%M%S.%g') || 'Z' AS id, 'http://host-' || run_no || ':8080' AS target, CAST(planned AS INTEGER) AS planned,
        CAST(records_done AS BIGINT) AS records_done, CAST(accepted AS BIGINT) AS accepted, CAST(rejected AS BIGINT) AS rejected, throttled, retries,
        request_errors, p50_ms, p95_ms, p99_ms, max_ms, peak_sent_per_s, peak_accepted_per_s, first_throttled_at_s, first_error_at_s,
-       false AS truncated, message
+       message
 FROM run JOIN total USING (run_id) JOIN latency USING (run_id) JOIN summary USING (run_id) LEFT JOIN first_bad USING (run_id)""")
 SIGN = "CASE WHEN b > a THEN '+' ELSE '−' END"
 add("compare_runs", COMPARED + """,

@@ -34,7 +34,7 @@ from plantpulse.streaming import jobs
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
-BROWSE = Q.make_query("2024-01-01T00:00:00Z", "2024-12-31T00:00:00Z", browse=True)
+BROWSE = Q.make_query(browse=True)
 DAY = Q.make_query("2024-01-10T06:00:00Z", "2024-01-11T06:00:00Z", limit=100)
 
 
@@ -407,7 +407,7 @@ def run_records(spark, d):
     records, _ = _records(spark, d)
     kept = [
         "run_id", "id", "target", "planned", "records_done", "accepted", "rejected", "throttled", "retries", "request_errors",
-        "p50_ms", "p95_ms", "p99_ms", "max_ms", "peak_sent_per_s", "peak_accepted_per_s", "first_throttled_at_s", "first_error_at_s", "truncated",
+        "p50_ms", "p95_ms", "p99_ms", "max_ms", "peak_sent_per_s", "peak_accepted_per_s", "first_throttled_at_s", "first_error_at_s",
     ]
     return records.select(*kept, F.col("first_error.message").alias("message"))
 

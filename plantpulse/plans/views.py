@@ -20,10 +20,8 @@ RECORD_FIELDS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. One that comes in fewer files than there are cores is spread, since decoding is CPU work."""
-    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A driver table."""
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _k() -> Column:
@@ -73,15 +71,16 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty(spark: SparkSession, sf_dir: str, silence: bool = False) -> DataFrame:
     """Record columns with faults, before they become JSON text: `kind` 0..11 is a malformed record, NULL a good one.
 
-    Also: days with a stuck temperature, days of silence, readings one hour late, and copies that collide on the
-    event id, on the sequence, on both, and in a chain.
+    Also: days with a stuck temperature, readings one hour late, and copies that collide on the event id, on the
+    sequence, on both, and in a chain; with `silence`, as the device report needs, no readings of some devices for days.
     """
     s = source(spark, sf_dir)
     day = F.dayofmonth("t")
-    s = s.where(~((F.col("user_id") % 25 == 0) & day.between(18, 24)))
+    if silence:
+        s = s.where(~((F.col("user_id") % 25 == 0) & day.between(18, 24)))
     s = s.withColumn(
         "temperature_c",
         F.when((F.col("user_id") % 15 == 0) & day.between(5, 16), F.lit(50.0)).otherwise(F.col("temperature_c")),
@@ -127,9 +126,9 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("row_no", F.col("n") * 10 + F.col("copy_no") + 1)
 
 
-def dirty_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_json(spark: SparkSession, sf_dir: str, silence: bool = False) -> DataFrame:
     """The dirty records as JSON texts with their place in a request: batch_id, idx, row_no, received_at, raw."""
-    d = dirty(spark, sf_dir)
+    d = dirty(spark, sf_dir, silence)
     kind = F.col("kind")
     is_kind = lambda i: F.coalesce(kind == i, F.lit(False))
     text = lambda value: F.concat(F.lit('"'), value, F.lit('"'))
@@ -212,14 +211,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(alerts)
 
 
-def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def imported(spark: SparkSession, sf_dir: str, silence: bool = False) -> DataFrame:
     """The dirty records as an import sees them: raw time text, numbers where the value is one."""
-    return parse_records(dirty_json(spark, sf_dir))
+    return parse_records(dirty_json(spark, sf_dir, silence))
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The imported rows as a written table: the report reads them several times, the JSON is decoded once."""
-    return pin(imported(spark, sf_dir))
+    """The imported rows with days of silence, as a written table: the report reads them several times, the JSON is
+    decoded once."""
+    return pin(imported(spark, sf_dir, silence=True))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

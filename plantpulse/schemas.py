@@ -203,9 +203,6 @@ STUCK_RUN_LENGTH = 10
 TREND_POINTS = 60
 MAX_FEED_ALERTS = 100
 MAX_RUN_HISTORY = 30
-MAX_LATENCY_LOG = 200_000
-MAX_TIMELINE_SECONDS = 3600
-MAX_SAMPLES_PER_SECOND = 500
 MAX_REPORT_SECONDS = 120
 EXPORT_PAGE_ROWS = 1000
 QUERY_DEFAULT_LIMIT = 100

@@ -58,7 +58,7 @@ def test_replay_stores_and_alerts_nothing(events):
     assert A.merge_alerts(fired, fired).count() == 0 and A.merge_alerts(fired.union(fired), fired.limit(0)).count() == 6
 
 
-def test_threshold_history_short_and_long(spark, events, monkeypatch):
+def test_threshold_history(spark, events):
     history = spark.createDataFrame(
         [("2025-01-15 08:00:03", 60.0, 7.1), ("2025-01-15 08:00:07", 200.0, 50.0)], "v string, temperature_c double, vibration_mm_s double"
     ).select(F.col("v").cast("timestamp").alias("valid_from"), "temperature_c", "vibration_mm_s")
@@ -71,9 +71,6 @@ def test_threshold_history_short_and_long(spark, events, monkeypatch):
         expected += [(r["event_id"] + ":temperature_high", t)] if r["temperature_c"] >= t else []
         expected += [(r["event_id"] + ":vibration_high", v)] if r["vibration_mm_s"] >= v else []
     assert short == sorted(expected, key=repr)
-    monkeypatch.setattr(A, "HISTORY_IN_PLAN", 1)
-    monkeypatch.setattr("plantpulse.operators.ordered.MAX_GROUP_ROWS", 10)
-    assert rows(A.evaluate_with_history(dated, history), "alert_id", "threshold") == short
 
 
 def test_threshold_checks():

@@ -111,3 +111,26 @@ def test_a_hot_key_is_split_by_adaptive_execution(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_request_that_arrives_twice_is_stored_once(spark):
+    df = spark.createDataFrame([(7, 0, "e1", "d1", 1), (7, 0, "e1", "d1", 1), (7, 0, "e2", "d1", 2), (8, 0, "e1", "d1", 9), (7, 1, "e3", "d1", 2)],
+                               "batch_id int, idx int, event_id string, device_id string, sequence long")
+    out = D.insert_new(df, None, ["batch_id", "idx"])
+    assert rows(out.where("outcome = 'stored'"), "batch_id", "idx", "event_id") == [(7, 0, "e1"), (7, 0, "e2")]
+    assert out.count() == 5
+
+
+def test_long_chains_of_conflicts_are_scanned_one_by_one(spark):
+    """Row i shares its id with row i - 1 and its sequence with row i + 1, or the other way round, in two chains."""
+    links = [(c, i, f"{c}{(i + 1) // 2}", f"d{c}", i // 2) for c in "ab" for i in range(61)]
+    df = spark.createDataFrame(links, "c string, idx int, event_id string, device_id string, sequence long")
+    for rounds in (1, 3):
+        out = D.first_accepted(df, ["event_id"], ["device_id", "sequence"], ["idx", "c"], rounds_before_scan=rounds)
+        ids, seqs, want = set(), set(), []
+        for c, i, e, d, s in sorted(links, key=lambda r: (r[1], r[0])):
+            if e not in ids and (d, s) not in seqs:
+                want.append((c, i))
+                ids.add(e)
+                seqs.add((d, s))
+        assert rows(out.where("outcome = 'accepted'"), "c", "idx") == sorted(want, key=repr)

@@ -27,16 +27,14 @@ def brute(records, f):
     return sorted(out, key=repr)
 
 
-def ordered(data, whole):
-    made = InOrder(data, ["g"], ["t", "n"], max_rows=10_000 if whole else 20)
-    assert made.split is not whole
-    return made
+def ordered(data, pieces):
+    return InOrder(data, ["g"], ["t", "n"], pieces)
 
 
-@pytest.mark.parametrize("whole", [True, False])
-def test_against_brute_force(data, whole):
+@pytest.mark.parametrize("pieces", [None, 1, 40])
+def test_against_brute_force(data, pieces):
     df, records = data
-    made = ordered(df, whole)
+    made = ordered(df, pieces)
     v = F.col("v")
     assert rows(made.rank("x"), "n", "x") == brute(records, lambda rs: [(r[2], i + 1) for i, r in enumerate(rs)])
     assert rows(made.lag(v, "x"), "n", "x") == brute(records, lambda rs: [(r[2], rs[i - 1][3] if i else None) for i, r in enumerate(rs)])
@@ -50,9 +48,9 @@ def test_against_brute_force(data, whole):
     assert rows(made.last_known(v, "x"), "n", "x") == brute(records, lambda rs: [(r[2], last(rs[: i + 1])) for i, r in enumerate(rs)])
 
 
-@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("pieces", [None, 1, 40])
 @pytest.mark.parametrize("length", [2, 5])
-def test_long_runs(data, whole, length):
+def test_long_runs(data, pieces, length):
     df, records = data
 
     def count(rs):
@@ -63,11 +61,10 @@ def test_long_runs(data, whole, length):
             runs += r[3] is not None and n == length
         return [(rs[0][0], runs)]
 
-    assert rows(ordered(df, whole).long_runs({"x": F.col("v")}, length), "g", "x") == brute(records, count)
+    assert rows(ordered(df, pieces).long_runs({"x": F.col("v")}, length), "g", "x") == brute(records, count)
 
 
-def test_rank_over_the_whole_table(data, monkeypatch):
+def test_rank_over_the_whole_table(data):
     df, records = data
-    monkeypatch.setattr("plantpulse.operators.ordered.MAX_GROUP_ROWS", 50)
     expected = [(r[2], i + 1) for i, r in enumerate(sorted(records, key=lambda r: (r[1], r[2])))]
     assert rows(global_rank(df, ["t", "n"], "x"), "n", "x") == sorted(expected, key=repr)

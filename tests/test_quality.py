@@ -23,8 +23,8 @@ def table(spark, records):
     return spark.createDataFrame(records, SCHEMA)
 
 
-def report(spark, records, max_rows=None):
-    return {r["device"]: r for r in R.device_report(table(spark, records), max_rows).collect()}
+def report(spark, records, pieces=None):
+    return {r["device"]: r for r in R.device_report(table(spark, records), pieces).collect()}
 
 
 def sentences(spark, records, derived=False):
@@ -53,12 +53,12 @@ def test_rejected_rows_are_counted_with_three_examples(spark):
     assert lines[0] == ("problem", "12 of 30 rows (40.0%) would be rejected by the schema checks: 12 value out of range.")
 
 
-@pytest.mark.parametrize("max_rows", [None, 8])
-def test_disorder_gap_and_stuck_sensor(spark, max_rows):
+@pytest.mark.parametrize("pieces", [None, 8])
+def test_disorder_gap_and_stuck_sensor(spark, pieces):
     records = [row(i + 1, "a", i) for i in range(20)]
     records += [row(21, "a", 5), row(22, "a", 120)]
     records += [row(23 + i, "b", i, temp=50.0) for i in range(15)]
-    got = report(spark, records, max_rows)
+    got = report(spark, records, pieces)
     a, b = got["a"], got["b"]
     assert (a["rows"], a["out_of_order"], a["gaps"], a["longest_gap_seconds"], a["usual_interval_seconds"]) == (22, 1, 1, 101 * 60.0, 60.0)
     assert (b["stuck_runs"], b["gaps"], b["out_of_order"]) == (1, 0, 0)

@@ -85,19 +85,25 @@ def test_percentiles(spark):
     assert (four["p50_ms"], four["max_ms"], four["mean_ms"]) == (2.0, 4.0, 2.5)
 
 
-@pytest.mark.parametrize("max_rows", [None, 10])
-def test_latency_cap_keeps_the_first_attempts(spark, max_rows):
-    attempts = log(spark, [("r", i, 0, i, i / 1000, 1, 202, False) for i in range(1, 61)] + [("q", 0, 0, 1, 0.5, 1, 202, False)])
-    got = rows(L.latency_summary(attempts, kept=20, max_rows=max_rows), "run_id", "count", "max_ms")
-    assert got == [("q", 1, 500.0), ("r", 20, 20.0)]
+def test_all_attempts_of_a_large_run_and_a_busy_second_count(spark):
+    """More attempts than any list of them should hold, all of one run and most of one second."""
+    n = 210_000
+    attempts = spark.range(n).selectExpr(
+        "'r' AS run_id", "int(id) AS batch_no", "0 AS attempt_no", "timestamp_micros(bigint(1704067200000000) + id DIV 700 * 1000) AS started_at",
+        "timestamp_micros(bigint(1704067200000000) + id DIV 700 * 1000 + id % 700) AS finished_at", "1 AS n_records", "202 AS status",
+        "string(null) AS error", "string(null) AS body", "false AS external", "false AS is_ack", "0 AS ack_accepted", "0 AS ack_rejected",
+        "map('x', 1) AS ack_rejection_counts", "false AS will_retry")
+    p = L.latency_summary(attempts).first()
+    assert (p["count"], p["p50_ms"], p["max_ms"], p["mean_ms"]) == (n, 0.349, 0.699, 0.35)
+    point = L.timeline(attempts, runs(spark, "r")).first()
+    assert (point["t"], point["requests"], point["p50_ms"], point["p95_ms"]) == (0, n, 0.3, 0.7)
 
 
-def test_first_hour_only_and_dense_seconds(spark):
+def test_dense_seconds_beyond_an_hour(spark):
     attempts = log(spark, [("r", 0, 0, -5, 0.1, 1, 202, False), ("r", 1, 0, 4.2, 0.1, 1, 202, False), ("r", 2, 0, 3600.0, 0.1, 1, 202, False)])
     points = L.timeline(attempts, runs(spark, "r"))
-    assert rows(points, "t", "requests") == [(0, 1), (1, 0), (2, 0), (3, 0), (4, 1)]
-    assert L.truncated_runs(attempts, runs(spark, "r")).first()["truncated"] is True
-    assert rows(L.thin_timeline(points, most=2), "t") == [(0,), (3,)]
+    assert rows(points, "t", "requests") == sorted(((t, int(t in (0, 4, 3600))) for t in range(3601)), key=repr)
+    assert rows(L.thin_timeline(points, most=2), "t") == [(0,), (1801,)]
 
 
 def test_comparison(spark):
@@ -139,20 +145,18 @@ def test_scrapes(spark):
     assert M.sample_sum(M.sample_values(lines), "nope").first()[0] is None
 
 
-@pytest.mark.parametrize("max_rows", [None, 10])
-def test_counter_deltas(spark, max_rows):
+@pytest.mark.parametrize("pieces", [None, 10])
+def test_counter_deltas(spark, pieces):
     series = spark.createDataFrame([("a", i, float(i * i)) for i in range(50)] + [("b", 0, 1.0)], "metric string, t int, value double")
-    got = dict(rows(M.counter_deltas(series, max_rows).where("metric = 'a'"), "t", "delta"))
+    got = dict(rows(M.counter_deltas(series, pieces).where("metric = 'a'"), "t", "delta"))
     assert got == {i: (float(2 * i - 1) if i else None) for i in range(50)}
 
 
-def test_metrics_as_of(spark, monkeypatch):
+def test_metrics_as_of(spark):
     series = spark.createDataFrame([("r", t, t * 10) for t in range(10, 100, 10)], "run string, t int, depth int")
     asked = spark.createDataFrame([("r", t) for t in (5, 10, 25, 25, 99)], "run string, asked int")
     expected = [(5, None), (10, 100), (25, 200), (25, 200), (99, 900)]
     assert rows(M.metrics_as_of(asked, series, ["run"]), "asked", "depth") == sorted(expected, key=repr)
-    monkeypatch.setattr("plantpulse.operators.ordered.MAX_GROUP_ROWS", 4)
-    assert rows(M.metrics_as_of(asked, series, ["run"]), "asked", "depth") == sorted(expected, key=repr)
 
 
 def test_failures_and_stored_rows(spark):
