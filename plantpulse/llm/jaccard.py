@@ -25,6 +25,9 @@ CHECK_COST = 8
 BUCKET_SHINGLES = 1_000_000
 #: Shingles of prefixes that a task packs together.
 PACK_SHINGLES = 1_000_000
+#: Sets of one block in the comparison of sets that meet in lists of common shingles, and shingles of one matrix product.
+BLOCK = 256
+STRETCH = 16_384
 #: A second choice of prefix, for documents that mostly hold common shingles, is longer than any first choice.
 LONG = 1 << 30
 
@@ -318,6 +321,75 @@ def _cross(index: DataFrame, member: DataFrame) -> DataFrame:
     return counts.filter("c >= need").select("a", "b")
 
 
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """`a, b`: enough links between the rows of side 0 and those of side 1 to connect what they connect.
+
+    Intersections of all sets of two blocks are one product of matrices, in stretches of shingles. Rows of side 2 are on both sides.
+    """
+    cid, component, side = (table.column(c).to_numpy() for c in ("cid", "component", "side"))
+    if component.min() == component.max():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    column = table.column("text").combine_chunks()
+    keys, first = shingle_sets(words(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column))
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    names, place = np.unique(keys, return_inverse=True)
+    often = np.bincount(place, minlength=len(names)) > 1
+    number = np.cumsum(often) - 1
+    row, place = row[often[place]], number[place[often[place]]]
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for begin in range(0, int(often.sum()), STRETCH):
+        own = (place >= begin) & (place < begin + STRETCH)
+        held = np.zeros((len(n), min(STRETCH, int(often.sum()) - begin)), dtype=np.float32)
+        held[row[own], place[own] - begin] = 1
+        both += held[left] @ held[right].T
+    both = np.rint(both).astype(np.int64)
+    linked = (100 * both >= PERCENT * (n[left][:, None] + n[right][None, :] - both)) & (component[left][:, None] != component[right][None, :])
+    parent = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        x, y = root(int(component[left[i]])), root(int(component[right[j]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(cid[left[i]]), int(cid[right[j]])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _dense_links(index: DataFrame, long_lists: DataFrame, member: DataFrame, texts: DataFrame) -> DataFrame:
+    """`a, b`: links of sets that meet in lists of common shingles, where no prefix tells them apart.
+
+    Sets that are connected by such lists are a group. A group is cut into blocks of BLOCK sets of similar size, and every
+    two blocks whose sizes can link are compared in a task of their own: a group of any size is many bounded tasks, and no
+    row is made for a pair. Blocks that are in one component already are not looked at.
+    """
+    rows = index.join(long_lists, "key", "left_semi").select("key", "cid", "n")
+    heads = rows.groupBy("key").agg(F.min("cid").alias("a"))
+    groups_of = components(rows.join(heads, "key").select("a", F.col("cid").alias("b")).distinct())
+    sets_of = rows.select("cid", "n").distinct().join(groups_of, F.col("cid") == F.col("node"))
+    sets_of = sets_of.select("cid", F.col("component").alias("g"), F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int").alias("s"))
+    sets_of = sets_of.join(member, sets_of["cid"] == member["node"], "left").withColumn("component", F.coalesce("component", "cid")).drop("node")
+    mixed_groups = sets_of.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("g")
+    sets_of = sets_of.join(mixed_groups, "g")
+    sizes = pin(sets_of.groupBy("g", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    placed = sets_of.join(sizes, ["g", "s"]).withColumn("h", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    above = sizes.select("g", (F.col("s") - 1).alias("s"), F.col("blocks").alias("above"))
+    below = sizes.select("g", (F.col("s") + 1).alias("s"), F.col("blocks").alias("below"))
+    placed = placed.join(above, ["g", "s"], "left").join(below, ["g", "s"], "left")
+    tasks = F.expr("""concat(
+        transform(sequence(0, blocks - 1), k -> named_struct('s1', s, 'h1', least(h, k), 's2', s, 'h2', greatest(h, k), 'side', if(k = h, 2, if(h < k, 0, 1)))),
+        if(above is null, array(), transform(sequence(0, coalesce(above, 1) - 1), k -> named_struct('s1', s, 'h1', h, 's2', s + 1, 'h2', k, 'side', 0))),
+        if(below is null, array(), transform(sequence(0, coalesce(below, 1) - 1), k -> named_struct('s1', s - 1, 'h1', k, 's2', s, 'h2', h, 'side', 1))))""")
+    dealt = placed.select("g", "cid", "component", F.inline(tasks)).join(texts, "cid")
+    return dealt.groupBy("g", "s1", "h1", "s2", "h2").applyInArrow(_compare_blocks, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row of `docs`.
 
@@ -360,7 +432,12 @@ def class_components(docs: DataFrame, ids: DataFrame, limit: int = COMMON) -> Da
     again = _best_heads(index.join(mixed_lists, "key", "left_semi"), F.max)
     links = pin(links.unionByName(_linked(again, texts)))
     member = components(links)
-    links = links.unionByName(pin(_linked(_cross(index, member), texts)))
+    # Lists longer than this hold only sets of the second choice that are full of common shingles.
+    long_lists = pin(index.groupBy("key").count().filter(F.col("count") > 2 * limit).select("key"))
+    dense = pin(_dense_links(index, long_lists, member, texts))
+    links = pin(links.unionByName(dense))
+    member = components(links)
+    links = links.unionByName(pin(_linked(_cross(index.join(long_lists, "key", "left_anti"), member), texts)))
     return components(links)
 
 

@@ -193,6 +193,7 @@ def test_components_with_common_passages_and_chains(spark, monkeypatch):
     """Most sets hold more common shingles than others, so prefixes are lengthened, in the first and in the second choice."""
     monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 300)
     monkeypatch.setattr(jaccard, "PACK_SHINGLES", 200)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
     rng = random.Random(11)
     prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     passages = [prose(n) for n in (20, 40, 60)]
@@ -204,7 +205,7 @@ def test_components_with_common_passages_and_chains(spark, monkeypatch):
     near = prose(70)
     for _ in range(40):
         w = list(near)
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, 5)):
             w[rng.randrange(70)] = f"x{rng.randrange(9)}"
         texts.append(w)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
