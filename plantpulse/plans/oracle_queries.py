@@ -330,3 +330,12 @@ add("stream_live_latest", STREAMED, """
 SELECT device_id, event_id, temperature_c FROM (
   SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY received_at DESC, batch_id DESC, idx DESC) AS r FROM stored) WHERE r = 1""")
 add("stream_per_second", GOOD, f"SELECT {nano('''date_trunc('second', event_time)''')} AS second, count(*) AS n FROM good GROUP BY date_trunc('second', event_time)")
+
+# --- tables on disk, names and failures --------------------------------------
+add("lenient_lines", RECORD, "SELECT count(*) FILTER (broken) AS unreadable_lines, count(*) FILTER (NOT broken) AS readable_lines FROM record")
+add("stored_day", READING, "SELECT site_id, count(*) AS n, max(temperature_c) AS max_temperature_c FROM reading WHERE CAST(event_time AS DATE) = DATE '2024-01-10' GROUP BY 1")
+add("cleared_rows", ALERTS, "SELECT (SELECT count(*) FROM reading) AS deleted_events, (SELECT count(*) FROM fired) AS deleted_alerts, CAST(0 AS BIGINT) AS \"left\"")
+add("failure_stages", SRC, """
+SELECT s.stage, count(f.n) AS n FROM (VALUES ('persist', 0), ('alert_persist', 50), ('shutdown_drop', -1)) s(stage, rest)
+LEFT JOIN (SELECT n, n % 100 AS rest FROM src WHERE n % 50 = 0) f ON f.rest = s.rest GROUP BY 1""")
+add("file_names", SRC, "SELECT 'run-' || (n % 50) || '.csv' AS name, 'Authorization: (hidden)' AS header, count(*) AS n FROM src GROUP BY 1")

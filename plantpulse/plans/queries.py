@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
 from plantpulse.functions.cursors import cursor_parts, cursor_token, encode_cursor
-from plantpulse.functions.text import display_address, saved_address
+from plantpulse.functions.text import base_name, display_address, hide_header_values, saved_address
 from plantpulse.functions.times import format_nano, instant, parse_rfc3339_text
 from plantpulse.operators import alerts as A
 from plantpulse.operators import dedup as D
@@ -634,3 +634,51 @@ def stream_per_second(spark, d):
     V.accepted(views.checked(spark, d)).select("event_time", "event_id").write.parquet(f"{path}/in")
     counts = jobs.run_per_second(spark, f"{path}/in", "event_time timestamp, event_id string", path)
     return counts.select(format_nano(F.col("second")).alias("second"), "n")
+
+
+# --- tables on disk, names and failures --------------------------------------
+@query
+def lenient_lines(spark, d):
+    """Every record as a line of a file: how many a lenient reading keeps, and how many it skips."""
+    path = folder(spark, "lines")
+    views.dirty_json(spark, d).select(F.col("raw").alias("value")).write.text(path)
+    kept = readers.read_ndjson(spark, path).agg(F.count("*"))
+    return readers.unreadable_lines(spark, path).select("unreadable_lines", kept.scalar().alias("readable_lines"))
+
+
+@query
+def stored_day(spark, d):
+    """Rows written by event date, of which one date is read back from its folder."""
+    path = folder(spark, "store")
+    Q.write_rows(views.readings(spark, d), path)
+    day = spark.read.parquet(path).where(F.col(Q.PARTITION) == F.lit("2024-01-10").cast("date"))
+    return day.groupBy("site_id").agg(F.count("*").alias("n"), F.max("temperature_c").alias("max_temperature_c"))
+
+
+@query
+def cleared_rows(spark, d):
+    """Both tables written and emptied: what was deleted, and what is left."""
+    events, alerts = folder(spark, "events"), folder(spark, "alerts")
+    r = views.readings(spark, d)
+    r.write.parquet(events)
+    A.evaluate_alerts(r).write.parquet(alerts)
+    deleted = Q.clear_data(spark, events, alerts, "DELETE")
+    return deleted.select("*", spark.read.parquet(events).agg(F.count("*")).scalar().alias("left"))
+
+
+@query
+def failure_stages(spark, d):
+    """Failures of a log, per stage; a stage without failures is listed."""
+    n = F.col("event_id")
+    failed = views.table(spark, d, "events").where(n % 50 == 0)
+    return M.failure_stages(failed.select(F.when(n % 100 == 0, S.FAILURE_STAGES[0]).otherwise(S.FAILURE_STAGES[1]).alias("stage")))
+
+
+@query
+def file_names(spark, d):
+    """Short names of recordings, and their headers without values."""
+    e = views.table(spark, d, "events")
+    path = F.concat(F.lit("C:\\data\\"), "event_type", F.lit("/run-"), (F.col("event_id") % 50).cast("string"), F.lit(".csv"))
+    hidden = F.map_entries(hide_header_values(F.create_map(F.lit("Authorization"), F.col("props"))))
+    shown = F.array_join(F.transform(hidden, lambda x: F.concat(x["key"], F.lit(": "), x["value"])), ",")
+    return e.groupBy(base_name(path).alias("name"), shown.alias("header")).agg(F.count("*").alias("n"))
