@@ -72,10 +72,11 @@ def stream_ingest(spark: SparkSession, path: str, limits: Limits = Limits(), max
 
 
 def current_thresholds(spark: SparkSession, path: str | None) -> Thresholds:
-    """The newest row of the settings table."""
+    """The newest row of the settings table that holds by now."""
     if path is None:
         return Thresholds()
-    row = spark.read.parquet(path).orderBy(F.col("valid_from").desc()).first()
+    held = spark.read.parquet(path).where(F.col("valid_from") <= F.current_timestamp())
+    row = held.orderBy(F.col("valid_from").desc()).first()
     return Thresholds(row["temperature_c"], row["vibration_mm_s"]) if row else Thresholds()
 
 
