@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +62,39 @@ def pin(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables pinned inside are removed at the end, unless the given function is told of a result that reads them.
+
+    For steps that end with a written result: nothing that leaves may still have to read another table.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+    token = _scopes.set((*_scopes.get(), made))
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(path for path in made if any(os.path.basename(path) in f for f in df.inputFiles()))
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            if path not in kept:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are evaluated exactly once per row.
 
