@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plantpulse.llm.common import restored, shielded, spread_key
 from plantpulse.llm.tokens import Words, groups, mix, words
 from plantpulse.operators.components import components
-from plantpulse.session import pin
+from plantpulse.session import pin, scratch
 
 SHINGLE_WORDS = 5
 #: Two documents link when 100 * intersection >= PERCENT * union.
@@ -409,7 +409,12 @@ def near_duplicates(docs: DataFrame, common: int = COMMON) -> DataFrame:
 
 
 def class_components(docs: DataFrame, ids: DataFrame, limit: int = COMMON) -> DataFrame:
-    """`node, component` of the classes that link with another class."""
+    """`node, component` of the classes that link with another class; what is written on the way is removed."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_class_components(docs, ids, limit))
+
+
+def _class_components(docs: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (2 * BUCKET_SHINGLES)))
     shared = pin(_postings(docs, buckets, limit).groupBy("bucket").applyInArrow(lambda t: _shared(t, limit), "cid long, key long, df int"))
