@@ -50,6 +50,19 @@ def test_lines_of_many_documents_go_and_depleted_documents_are_rejected(spark):
     assert 50 not in cleaned and notice not in cleaned[3] and notice in cleaned[51] and len(cleaned) == len(rows) - 1
 
 
+def test_shared_lines_that_occur_together_go(spark):
+    """Header and footer lines name no family: each is counted by the different documents that hold it."""
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    shared = ["About us", "Contact", "Terms of use"]
+    rows = [(i, "\n".join([*shared[:2], words(i, 60), shared[2]]), "s") for i in range(11)]
+    # Ten different documents are not above the limit, and exact copies don't add to them.
+    rows += [(100 + i, "\n".join(["Home", words(200 + min(i, 9), 60), "Imprint"]), "t") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.doc_id < 100, r.kept, r.n_removed_words) for r in quality.quality_rules(df).collect()} == {(True, True, 6), (False, True, 0)}
+    cleaned = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert cleaned == {d: words(d, 60) if d < 100 else t for d, t, _ in rows}
+
+
 @pytest.mark.parametrize("run", [quality.quality_rules, quality.clean, quality.base_figures])
 def test_quality_takes_empty_tables_and_clashing_columns(docs, clashing, nothing, run):
     assert run(nothing).count() == 0
