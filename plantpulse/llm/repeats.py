@@ -59,12 +59,17 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
+def _side(hashes: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Name of a side in 16 bits: 1 to 65535, and 0 only where there is none."""
+    return np.where(there, hashes % np.uint64(0xFFFF) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray) -> Phrases:
     """A rolling hash of TRIGGER_BYTES bytes picks the triggers: each run of MATCH_BYTES bytes has the smallest hash in
     it as its trigger, the leftmost of equal ones. So equal runs have the same trigger wherever they stand, and no phrase
     is longer than two matches."""
     n = len(data)
-    none = Phrases(*[np.zeros(0, dtype=np.int64)] * 5, *[np.zeros(0, dtype=np.uint64)] * 4)
+    none = Phrases(*[np.zeros(0, dtype=np.int64)] * 5, *[np.zeros(0, dtype=np.uint64)] * 2, *[np.zeros(0, dtype=np.uint16)] * 2)
     if n < MATCH_BYTES:
         return none
     total = np.zeros(n + 1, dtype=np.uint64)
@@ -104,7 +109,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> Phrases:
     has_left, has_right = left >= offsets[row], right <= offsets[row + 1]
     return Phrases(
         row, np.arange(len(low)) - first[row], low, high, p, h[p], rolled(low, end),
-        np.where(has_left, rolled(np.maximum(left, 0), p + TRIGGER_BYTES), np.uint64(0)), np.where(has_right, rolled(p, np.minimum(right, n)), np.uint64(0)),
+        _side(rolled(np.maximum(left, 0), p + TRIGGER_BYTES), has_left), _side(rolled(p, np.minimum(right, n)), has_right),
     )
 
 
@@ -134,7 +139,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
         later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-        sides = ((left >> np.uint64(48)) << np.uint64(16) | right >> np.uint64(48)).astype(np.uint32)
+        sides = left.astype(np.uint32) << np.uint32(16) | right
         small = (mix(key ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
 
         def row(bucket: int, kind: int, chosen: np.ndarray) -> tuple:

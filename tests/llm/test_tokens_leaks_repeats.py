@@ -144,6 +144,27 @@ def test_repeats_of_dull_and_shifted_bytes(spark):
     assert found_repeats(df) == removed([(d, t.encode()) for d, t in rows])
 
 
+def test_repeats_beside_a_side_of_any_hash(spark):
+    """Passages that documents share only up to a trigger, on sides whose hash begins or ends with 16 zero bits."""
+    data = np.random.Generator(np.random.PCG64(8)).integers(97, 123, 3_000_000, dtype=np.uint8)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(repeats._BYTES[data] * tokens.powers(len(data), repeats._BASE), dtype=np.uint64)])
+    back = tokens.powers(len(data) + 1, repeats._INVERSE)
+    found = repeats.phrases(data, np.array([0, len(data)]))
+    reach = repeats.PLACES - 1
+    p = found.trigger[found.low == found.trigger - reach]
+    begin, end = p - repeats.SIDE, p + repeats.TRIGGER_BYTES
+    side = tokens.mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    high, rest = p[side >> np.uint64(48) == 0], p[side % np.uint64(0xFFFF) == 0]
+    assert len(high) and len(rest)
+    rng = random.Random(4)
+    own = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90))
+    passages = [data[q - reach : q + repeats.TRIGGER_BYTES].tobytes().decode() for q in [*high[:3], *rest[:3]]]
+    rows = [(10 * k + i, own() + x + own()) for k, x in enumerate(passages) for i in range(8)]
+    want = removed([(d, t.encode()) for d, t in rows])
+    assert sum(n >= 50 for _, _, n, *_ in want) == 7 * len(passages)
+    assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_phrases_cover_every_match_once():
     data = np.frombuffer(random.Random(1).randbytes(3000), dtype=np.uint8)
     offsets = np.array([0, 0, 700, 730, 779, 829, 3000])
