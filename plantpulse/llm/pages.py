@@ -69,14 +69,16 @@ def _label(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(re.sub(r"[^a-z]+", "-", x.lower()) for x in named)])[:60]
 
 
-def parse(page: str) -> tuple[list[tuple[int, str, str, int]], dict[str, tuple[str, str, int]]]:
-    """Pieces of text (block, path, text, role) in page order, and per path (presentation, content, role) of the page.
+def parse(page: str) -> tuple[list[tuple[int, str, str, int, int]], dict[str, tuple[str, str, int]]]:
+    """Pieces of text (block, path, text, role, safe) in page order, and per path (presentation, content, role) of the page.
+
+    `safe` is the length of the path at which the main text begins: no branch above takes the piece away; 0 if none.
 
     A path is the names of the elements from below the root down, with their classes; a page's elements of one path are
     one node. The presentation of a node is the run of names of its children, its content the text below it.
     """
-    stack: list[tuple[str, str, int]] = []
-    pieces: list[tuple[int, str, str, int]] = []
+    stack: list[tuple[str, str, int, int]] = []
+    pieces: list[tuple[int, str, str, int, int]] = []
     below: dict[str, list[str]] = defaultdict(list)
     children: dict[str, list[str]] = defaultdict(list)
     roles: dict[str, int] = {}
@@ -86,9 +88,9 @@ def parse(page: str) -> tuple[list[tuple[int, str, str, int]], dict[str, tuple[s
         if not raw:
             return
         own = SPACE.sub(" ", html.unescape(raw))
-        path, role = (stack[-1][1], stack[-1][2]) if stack else ("", OPEN)
-        pieces.append((block, path, own, role))
-        for _, p, _ in stack:
+        path, role, safe = stack[-1][1:] if stack else ("", OPEN, 0)
+        pieces.append((block, path, own, role, safe))
+        for _, p, *_ in stack:
             below[p].append(own)
 
     def close(upto: int) -> None:
@@ -120,7 +122,7 @@ def parse(page: str) -> tuple[list[tuple[int, str, str, int]], dict[str, tuple[s
             continue
         if tag not in INLINE:
             block += 1
-        inside_path, inside = (stack[-1][1], stack[-1][2]) if stack else ("", OPEN)
+        inside_path, inside, safe = stack[-1][1:] if stack else ("", OPEN, 0)
         label = _label(tag, m[3])
         path = label if tag == "html" or inside_path in ("", "html") else f"{inside_path}/{label}"
         children[inside_path].append(label)
@@ -130,8 +132,9 @@ def parse(page: str) -> tuple[list[tuple[int, str, str, int]], dict[str, tuple[s
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, path, _role(tag, m[3], inside)))
-        roles[path] = min(roles.get(path, MAIN), stack[-1][2])
+        role = _role(tag, m[3], inside)
+        stack.append((tag, path, role, safe or (len(path) if role == MAIN else 0)))
+        roles[path] = min(roles.get(path, MAIN), role)
     text(page[at:])
     nodes = {}
     for path, role in roles.items():
@@ -145,30 +148,32 @@ def _hash(text: str) -> int:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """`page_id, url, host, pieces, nodes`: a page's text pieces outside of noise, and its nodes with hashed presentation and content."""
+    """`page_id, url, host, pieces, nodes, tree`: a page's text pieces outside of noise, its nodes with hashed presentation and
+    content, and a hash of all its nodes."""
     types = dict(pages.dtypes)
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        out = {"page_id": batch.column("page_id"), "url": batch.column("url"), "host": batch.column("host"), "pieces": [], "nodes": []}
+        out = {"page_id": batch.column("page_id"), "url": batch.column("url"), "host": batch.column("host"), "pieces": [], "nodes": [], "tree": []}
         for page in batch.column("html").to_pylist():
             pieces, nodes = parse(page or "")
-            out["pieces"].append([{"block": b, "path": p, "text": t} for b, p, t, role in pieces if role != NOISE])
+            out["pieces"].append([{"block": b, "path": p, "text": t, "safe": safe} for b, p, t, role, safe in pieces if role != NOISE])
             out["nodes"].append([{"path": p, "style": _hash(s), "content": _hash(c), "role": role} for p, (s, c, role) in nodes.items()])
+            out["tree"].append(_hash(repr([tuple(x.values()) for x in out["nodes"][-1]])))
         return out
 
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    return map_rows(rows, f"page_id {types['page_id']}, url string, host string, pieces array<struct<block:int,path:string,text:string>>, "
-                          "nodes array<struct<path:string,style:long,content:long,role:int>>", run)
+    return map_rows(rows, f"page_id {types['page_id']}, url string, host string, pieces array<struct<block:int,path:string,text:string,safe:int>>, "
+                          "nodes array<struct<path:string,style:long,content:long,role:int>>, tree long", run)
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
     """`host, path, n_pages, presentation, content, importance, role` of every node of every site's style tree.
 
-    The nodes of a path over all pages of a host are merged. The importance of presentation is the entropy of the
+    The nodes of a path over all different pages of a host are merged; pages with the same tree count once. The importance of presentation is the entropy of the
     different runs of children over the pages, that of content the entropy of the different texts, both in parts of the
     greatest possible entropy: 0 when all pages have the same, 1 when all differ or when there are fewer than MIN_PAGES.
     """
-    nodes = parsed.select("host", F.inline("nodes"))
+    nodes = parsed.select("host", "tree", "nodes").dropDuplicates(["host", "tree"]).select("host", F.inline("nodes"))
     kinds = F.array(F.struct(F.lit("style").alias("kind"), F.col("style").alias("value")), F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")))
     values = nodes.select("host", "path", "role", F.inline(kinds))
     counts = values.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("role"))
@@ -186,9 +191,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Branches that name themselves as menus, adverts, forms and the like are noise, and those below `article`, `main` and
     the like are the main text; every other branch stays when its importance in the site's style tree is at least
-    MIN_IMPORTANCE. Blocks stand in page order, one per line. Null and empty pages, and pages without main text, give an
-    empty text; null and strange URLs are a site of their own; repeated rows count as pages; an empty table gives an empty
-    result; other columns are not looked at.
+    MIN_IMPORTANCE. A branch that goes leaves the main text inside it. Blocks stand in page order, one per line. Null and
+    empty pages, and pages without main text, give an empty text; null and strange URLs are a site of their own; equal
+    pages of a site count once; an empty table gives an empty result; other columns are not looked at.
     """
     parsed = pin(parsed_pages(pages))
     low = style_tree(parsed).filter((F.col("role") == OPEN) & (F.col("importance") < MIN_IMPORTANCE) & F.col("path").contains("/"))
@@ -202,9 +207,10 @@ def main_text(pages: DataFrame) -> DataFrame:
         for pieces, gone in zip(batch.column("pieces").to_pylist(), batch.column("removed").to_pylist(), strict=True):
             blocks: dict[int, list[str]] = defaultdict(list)
             cut = tuple(gone or ())
-            out = {p["path"] for p in pieces if any(p["path"] == g or p["path"].startswith(g + "/") for g in cut)} if cut else ()
+            places = {(p["path"], p["safe"]) for p in pieces} if cut else ()
+            out = {(p, safe) for p, safe in places if any(len(g) >= safe and (p == g or p.startswith(g + "/")) for g in cut)}
             for p in pieces:
-                if p["path"] not in out:
+                if (p["path"], p["safe"]) not in out:
                     blocks[p["block"]].append(p["text"])
             lines = [SPACE.sub(" ", "".join(b)).strip() for _, b in sorted(blocks.items())]
             texts.append("\n".join(x for x in lines if x))

@@ -43,6 +43,17 @@ def test_branches_that_all_pages_of_a_site_share_go(spark):
     assert tree["two.example", "body/div.top"].importance == 1
 
 
+def test_copies_count_once_and_main_text_outlives_its_wrapper(spark):
+    body = "<body><div class=wrap><p>Text {0}</p></div></body>"
+    held = "<body><div class=wrap>Same<article><p>Text {0}</p></article></div></body>"
+    rows = [(i, "http://copied.example/", body.format(max(i, 60))) for i in range(100)]
+    # The wrapper has one text for all pages but three, whose articles stay all the same.
+    rows += [(100 + i, "http://held.example/", held.format(max(i, 27)) + f"<p id=n>{i}</p>") for i in range(30)]
+    out = {r.page_id: r.text for r in pages.main_text(table(spark, rows)).collect()}
+    assert all(out[i] == f"Text {max(i, 60)}" for i in range(100))
+    assert all(out[100 + i].split("\n") == [f"Text {max(i, 27)}", str(i)] for i in range(30))
+
+
 def test_pages_take_empty_tables_and_clashing_columns(spark):
     df = table(spark, [(1, "http://a.b/", PAGE.format(1))])
     assert pages.main_text(df.limit(0)).count() == 0
