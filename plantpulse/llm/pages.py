@@ -27,21 +27,29 @@ NOISE_WORDS = frozenset(
     "login signup search footer header masthead copyright legal toolbar topbar pager pagination complementary contentinfo".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements that a class word never makes noise.
+FIRM_TAGS = frozenset(("html", "body", *MAIN_TAGS))
 MAIN_WORDS = frozenset("article main content post entry story articlebody".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[a-z]+")
+#: Names that tell what a page has, not what the element is.
+STATE = re.compile(r"(?:^|\s)(?:has|with|without|no|is)[-_]\S*")
 SPACE = re.compile(r"\s+")
 
-#: A branch whose role is not stated by its element stays when its importance is at least this.
+#: A branch stays when its weighed importance is at least this.
 MIN_IMPORTANCE = 0.5
+#: Prior weights of role words: the importance of a branch that is named as noise is multiplied by the first, so that it stays
+#: only where nearly everything in it differs from page to page; the second is added below names of main text.
+DOUBT_WEIGHT = 0.52
+LIKELY_BONUS = 0.25
 #: Share of the content in a branch's importance; the rest is the presentation of its children.
 CONTENT_WEIGHT = 0.9
 #: Pages that must have a branch before its importance counts; with fewer it is 1.
 MIN_PAGES = 3
 
-NOISE, OPEN, MAIN = 0, 1, 2
+NOISE, DOUBT, OPEN, LIKELY, MAIN = range(5)
 
 
 def host_of(url):
@@ -50,18 +58,29 @@ def host_of(url):
 
 
 def _role(tag: str, attributes: str, inside: int) -> int:
-    """Role of an element within an element of role `inside`."""
-    if inside == NOISE or tag in NOISE_TAGS or (tag == "header" and inside != MAIN):
+    """Role of an element within an element of role `inside`.
+
+    NOISE and MAIN are stated by elements: MAIN are article, main and the plain elements of their text. DOUBT and LIKELY are
+    priors that names give: DOUBT an element named as noise, LIKELY one named as main text and all below it, and elements in
+    main text that have a name or are mere boxes.
+    """
+    if inside == NOISE or tag in NOISE_TAGS or (tag == "header" and inside < LIKELY):
         return NOISE
     own = {}
     for m in ATTRIBUTE.finditer(attributes):
         own[m[1].lower()] = (m[2] or m[3] or m[4] or "").lower()
     if re.search(r"\shidden(?:[\s=/]|$)", attributes) or "display:none" in own.get("style", "").replace(" ", ""):
         return NOISE
-    words = set(WORD.findall(f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}"))
-    if words & NOISE_WORDS:
-        return NOISE
-    return MAIN if inside == MAIN or tag in MAIN_TAGS or words & MAIN_WORDS else OPEN
+    words = set(WORD.findall(STATE.sub(" ", f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}")))
+    if words & NOISE_WORDS and tag not in FIRM_TAGS:
+        return DOUBT
+    if tag in MAIN_TAGS:
+        return MAIN
+    if inside >= LIKELY:
+        # An inline element is part of the sentence around it.
+        plain = tag in INLINE or (inside == MAIN and tag not in ("div", "section") and not own.get("class") and not own.get("id"))
+        return MAIN if plain else LIKELY
+    return LIKELY if words & MAIN_WORDS and tag not in ("html", "body") else OPEN
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -72,11 +91,13 @@ def _label(tag: str, attributes: str) -> str:
 def parse(page: str) -> tuple[list[tuple[int, str, str, int, int]], dict[str, tuple[str, str, int]]]:
     """Pieces of text (block, path, text, role, safe) in page order, and per path (presentation, content, role) of the page.
 
-    `safe` is the length of the path at which the main text begins: no branch above takes the piece away; 0 if none.
+    `safe` is the length of the path at which the main text begins: no branch above takes the piece away; 0 if none. Main text
+    does not begin inside an element of doubt, but with `main`.
 
     A path is the names of the elements from below the root down, with their classes; a page's elements of one path are
     one node. The presentation of a node is the run of names of its children, its content the text below it.
     """
+    # The last is -1 in an element of doubt outside of main text.
     stack: list[tuple[str, str, int, int]] = []
     pieces: list[tuple[int, str, str, int, int]] = []
     below: dict[str, list[str]] = defaultdict(list)
@@ -89,7 +110,7 @@ def parse(page: str) -> tuple[list[tuple[int, str, str, int, int]], dict[str, tu
             return
         own = SPACE.sub(" ", html.unescape(raw))
         path, role, safe = stack[-1][1:] if stack else ("", OPEN, 0)
-        pieces.append((block, path, own, role, safe))
+        pieces.append((block, path, own, role, max(safe, 0)))
         for _, p, *_ in stack:
             below[p].append(own)
 
@@ -133,7 +154,9 @@ def parse(page: str) -> tuple[list[tuple[int, str, str, int, int]], dict[str, tu
             at = end.end() if end else len(page)
             continue
         role = _role(tag, m[3], inside)
-        stack.append((tag, path, role, safe or (len(path) if role == MAIN else 0)))
+        if safe == 0 or (safe < 0 and tag == "main"):
+            safe = len(path) if role >= LIKELY else -1 if role == DOUBT else 0
+        stack.append((tag, path, role, safe))
         roles[path] = min(roles.get(path, MAIN), role)
     text(page[at:])
     nodes = {}
@@ -189,14 +212,18 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """`page_id, url, text, n_chars` for every row of `pages`.
 
-    Branches that name themselves as menus, adverts, forms and the like are noise, and those below `article`, `main` and
-    the like are the main text; every other branch stays when its importance in the site's style tree is at least
-    MIN_IMPORTANCE. A branch that goes leaves the main text inside it. Blocks stand in page order, one per line. Null and
+    Elements such as `nav`, `form` and `footer` are noise, and `article` and `main` with their plain elements are main text.
+    Every other branch, at any depth, stays when its importance in the site's style tree is at least MIN_IMPORTANCE; names
+    of classes and ids only weigh the importance, and decide alone where a site has fewer than MIN_PAGES pages with the branch.
+    `html` and `body` never go. A branch that goes leaves the main text inside it. Blocks stand in page order, one per line. Null and
     empty pages, and pages without main text, give an empty text; null and strange URLs are a site of their own; equal
     pages of a site count once; an empty table gives an empty result; other columns are not looked at.
     """
     parsed = pin(parsed_pages(pages))
-    low = style_tree(parsed).filter((F.col("role") == OPEN) & (F.col("importance") < MIN_IMPORTANCE) & F.col("path").contains("/"))
+    weighed = (F.when(F.col("role") == DOUBT, F.when(F.col("n_pages") < MIN_PAGES, 0.0).otherwise(DOUBT_WEIGHT * F.col("importance")))
+               .when(F.col("role") == LIKELY, F.col("importance") + LIKELY_BONUS).otherwise(F.col("importance")))
+    judged = F.col("role").isin(DOUBT, OPEN, LIKELY) & ~F.col("path").rlike(r"(^|/)(html|body)(\.[^/]*)?$")
+    low = style_tree(parsed).filter(judged & (weighed < MIN_IMPORTANCE))
     # Written first: its size is then known, so Spark moves the pages by host only when it is large.
     removed = pin(low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("removed")))
     rows = parsed.select("page_id", "url", "host", "pieces").join(removed, "host", "left").select("page_id", "url", "pieces", "removed")

@@ -54,6 +54,28 @@ def test_copies_count_once_and_main_text_outlives_its_wrapper(spark):
     assert all(out[100 + i].split("\n") == [f"Text {max(i, 27)}", str(i)] for i in range(30))
 
 
+def test_role_words_weigh_and_do_not_decide(spark):
+    body = "<p>Text {0}</p>"
+    page = {
+        "body": f"<body class='search has-sidebar'>{body}</body>",
+        "article": f"<body><article class='post with-comments'>{body}</article></body>",
+        "main": f"<body><div class='page sidebar'><main>{body}</main></div></body>",
+        "right": f"<body><div id=content>{body}<div class=col-right>Same</div></div></body>",
+        "inner": f"<body><article>{body}<div class=col-right>Same <b>box</b></div><ul><li>one</ul></article></body>",
+        "top": f"<div class=hello>Same</div>{body}",
+        "word": f"<body><div class=sidebar><article>{body}</article></div><p>Open {{0}}</p></body>",
+    }
+    rows = [(10 * k + i, f"http://{name}.example/", html.format(i)) for k, (name, html) in enumerate(page.items()) for i in range(6)]
+    rows += [(900, "http://alone.example/", "<div class=sidebar>side</div><p>Text</p>")]
+    out = {r.page_id: r.text for r in pages.main_text(table(spark, rows)).collect()}
+    want = {"inner": "Text {0}\none", "word": "Open {0}"}
+    assert out == {10 * k + i: want.get(name, "Text {0}").format(i) for k, name in enumerate(page) for i in range(6)} | {900: "Text"}
+    # What differs throughout stays in spite of its name.
+    varied = [(i, "http://varied.example/", "<div class=story-search>" + "".join(f"<{'h2 p ul dl pre'.split()[i * j % 5]}>Text {i}.{j}" for j in range(1, 9)) + "</div>") for i in range(5)]
+    texts = {r.page_id: r.text for r in pages.main_text(table(spark, varied)).collect()}
+    assert all(f"Text {i}.8" in texts[i] for i in range(5))
+
+
 def test_pages_take_empty_tables_and_clashing_columns(spark):
     df = table(spark, [(1, "http://a.b/", PAGE.format(1))])
     assert pages.main_text(df.limit(0)).count() == 0
