@@ -25,6 +25,8 @@ SIDE = PLACES // 2
 #: Phrases of one bucket, and dictionary suffixes of one bucket, about.
 BUCKET_PHRASES = 1_000_000
 BUCKET_EDGES = 50_000
+#: Edges of one trigger in a bucket's task; the suffixes of triggers with more are compared by hash, in no task alone.
+HOT_EDGES = 1_000
 #: Phrases that a task packs together.
 PACK_PHRASES = 1_000_000
 _AT_BITS = 28
@@ -174,9 +176,12 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "_row", "text").mapInArrow(run, PACK)
 
 
-def _marks(table: pa.Table) -> pa.Table:
-    """`_row, number, edge` of a bucket: phrases that a smaller document has as a whole, and, as edges, the first ones of
-    their content that share a trigger and a side with a phrase of another document."""
+WHOLE, EDGE, HOT = range(3)
+
+
+def _marks(table: pa.Table, hot_edges: int) -> pa.Table:
+    """`_row, number, edge` of a bucket: phrases that a smaller document has as a whole (WHOLE), and, as EDGE, the first ones of
+    their content that share a trigger and a side with a phrase of another document; HOT where the trigger has many such."""
     small, content, sides, doc, row, number, told = [], [], [], [], [], [], []
     for r in zip(*(table.column(c).to_pylist() for c in _FIELDS[1:]), strict=True):
         kind, keys, contents, side, texts, numbers, docs, rows = r
@@ -191,7 +196,7 @@ def _marks(table: pa.Table) -> pa.Table:
         doc.append(np.frombuffer(docs, dtype=np.int64)[place])
         row.append(np.frombuffer(rows, dtype=np.int64)[place])
         number.append(n)
-    out_row, out_number, out_edge = [x for x, _ in told], [x for _, x in told], [np.zeros(len(x), dtype=bool) for x, _ in told]
+    out_row, out_number, out_edge = [x for x, _ in told], [x for _, x in told], [np.full(len(x), WHOLE, dtype=np.int32) for x, _ in told]
     if small:
         small, content, sides, doc, row, number = map(np.concatenate, (small, content, sides, doc, row, number))
         order = np.lexsort((doc, content, small))
@@ -211,12 +216,13 @@ def _marks(table: pa.Table) -> pa.Table:
             stop = np.append(start[1:], len(name))
             several = np.repeat(d[start] < d[stop - 1], stop - start)
             edge[heads[by[several & (name & np.uint64(0xFFFF) != 0)]]] = True
-        for chosen in (whole, edge):
+        _, trigger, n_edges = np.unique(small[edge], return_inverse=True, return_counts=True)
+        for chosen, kind in ((whole, np.full(whole.sum(), WHOLE)), (edge, np.where(n_edges[trigger] > hot_edges, HOT, EDGE))):
             out_row.append(row[chosen])
             out_number.append(number[chosen])
-            out_edge.append(edge[chosen])
+            out_edge.append(kind.astype(np.int32))
     join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-    return pa.table({"_row": join(out_row, pa.int64()), "number": join([x.astype(np.int64) for x in out_number], pa.int32()), "edge": join(out_edge, pa.bool_())})
+    return pa.table({"_row": join(out_row, pa.int64()), "number": join([x.astype(np.int64) for x in out_number], pa.int32()), "edge": join(out_edge, pa.int32())})
 
 
 def _repeated_edges(table: pa.Table) -> pa.Table:
@@ -296,6 +302,29 @@ def _edges(held: DataFrame, buckets: int) -> DataFrame:
     return held.select("_row", "doc_id", "packed", "edges").mapInArrow(run, "bucket int, _row long, doc_id long, begin int, bytes binary")
 
 
+def _hot_ranges(held: DataFrame) -> DataFrame:
+    """`_row, begin, end` of the matches in hot edges that a smaller document has in a hot edge as well.
+
+    Matches are named by 128 bits of their content. The smallest document of each is found by partial aggregation; only
+    matches of several documents are joined back, one row for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc, packed, numbers in zip(*(batch.column(c).to_pylist() for c in ("_row", "doc_id", "packed", "hot")), strict=True):
+                data = _unpacked(packed)
+                found = phrases(data, np.array([0, len(data)]))
+                raw = data.tobytes()
+                at = [i for n in sorted(set(numbers)) for i in range(found.low[n], found.high[n] + 1)]
+                names = [hashlib.blake2b(raw[i : i + MATCH_BYTES], digest_size=16).digest() for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([row] * len(at), pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32())], names=["run", "_row", "doc_id", "begin"])
+
+    runs = held.filter("size(hot) > 0").select("_row", "doc_id", "packed", "hot").mapInArrow(run, "run binary, _row long, doc_id long, begin int")
+    first = runs.groupBy("run").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last")
+    # Written first: its size is then known, so Spark moves the matches only when it is large.
+    return runs.join(pin(first), "run").filter("doc_id > _first").select("_row", "begin", (F.col("begin") + MATCH_BYTES).alias("end"))
+
+
 def _cut(held: DataFrame) -> DataFrame:
     """`_row, n_removed, n_spans, kept, spans` from the phrases that are repeated as a whole and the ranges at the edges."""
 
@@ -340,12 +369,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     named = rows.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (20 * BUCKET_PHRASES)))
-    marks = _packed(named, buckets).groupBy("bucket").applyInArrow(_marks, "_row long, number int, edge boolean")
-    marks = marks.groupBy("_row").agg(F.collect_list(F.when(~F.col("edge"), F.col("number"))).alias("wholes"), F.collect_list(F.when(F.col("edge"), F.col("number"))).alias("edges"))
+    hot_edges = HOT_EDGES
+    marks = _packed(named, buckets).groupBy("bucket").applyInArrow(lambda table: _marks(table, hot_edges), "_row long, number int, edge int")
+    marks = marks.groupBy("_row").agg(*[F.collect_list(F.when(F.col("edge") == kind, F.col("number"))).alias(name) for kind, name in ((WHOLE, "wholes"), (EDGE, "edges"), (HOT, "hot"))])
     held = pin(_compressed(named).join(marks, "_row"))
     n_edges = held.agg(F.coalesce(F.sum(F.size("edges")), F.lit(0))).first()[0]
     edges = _edges(held, max(1, -(-n_edges // BUCKET_EDGES)))
-    ranges = pin(edges.groupBy("bucket").applyInArrow(_repeated_edges, "_row long, begin int, end int"))
+    ranges = pin(edges.groupBy("bucket").applyInArrow(_repeated_edges, "_row long, begin int, end int").unionByName(_hot_ranges(held)))
     ranges = ranges.groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     cut = _cut(held.join(ranges, "_row", "left").filter("size(wholes) > 0 or ranges is not null")).dropDuplicates(["_row"])
     base = rows.select("_row", "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha"))

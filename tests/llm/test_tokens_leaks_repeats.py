@@ -165,6 +165,26 @@ def test_repeats_beside_a_side_of_any_hash(spark):
     assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
+def test_edges_of_a_hot_passage_meet_in_no_single_task(spark, monkeypatch, tmp_path):
+    """No bucket gets more edges of one trigger than HOT_EDGES, and the results stay those of brute force."""
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    hot, mild = own(140), own(140)
+    rows = [(i // 2 * 2, own(80) + (hot if i % 3 else mild if i % 5 == 0 else "") + own(80)) for i in range(120)] + [(None, hot)]
+    plain = repeats._repeated_edges
+
+    def counted(table):
+        (tmp_path / str(random.SystemRandom().random())).write_text(str(table.num_rows))
+        return plain(table)
+
+    monkeypatch.setattr(repeats, "_repeated_edges", counted)
+    monkeypatch.setattr(repeats, "HOT_EDGES", 20, raising=False)
+    monkeypatch.setattr(repeats, "BUCKET_EDGES", 1)
+    assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == removed([(d, t.encode()) for d, t in rows])
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sizes and max(sizes) <= 2 * repeats.HOT_EDGES
+
+
 def test_phrases_cover_every_match_once():
     data = np.frombuffer(random.Random(1).randbytes(3000), dtype=np.uint8)
     offsets = np.array([0, 0, 700, 730, 779, 829, 3000])
