@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plantpulse.llm import decontaminate, jaccard, mixing, mixing_sql, pages, personal, quality, quality_sql, repeats, secrets, shards, spans_sql, token_shards
+from plantpulse.llm import decontaminate, fill_middle, fill_middle_sql, jaccard, mixing, mixing_sql, pages, personal, quality, quality_sql, repeats, secrets, shards, spans_sql, token_shards
 from plantpulse.llm.common import table
 
 
@@ -61,10 +61,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_doc").withColumn("target", F.round("target", 3))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op4_jaccard_join, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op8_repeated_passages, op9_quality_rules, op10_mix_sources, pipeline)}
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(x, 256).alias(name) for name, x in (("output_sha256", F.col("output")), ("restored_sha256", fill_middle.restored(F.col("output"), F.col("form"))))]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op4_jaccard_join, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op8_repeated_passages, op9_quality_rules, op10_mix_sources, op13_fill_middle, pipeline)}
 
 SQL = {
     "op3_secret_ledger": spans_sql.SECRETS,
     "op9_quality_rules": quality_sql.SQL,
     "op10_mix_sources": mixing_sql.SQL,
+    "op13_fill_middle": fill_middle_sql.SQL,
 }
