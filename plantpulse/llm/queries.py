@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plantpulse.llm import decontaminate, fill_middle, fill_middle_sql, jaccard, mixing, mixing_sql, pages, personal, prefix_trie, prefix_trie_sql, quality, quality_sql, repeats, secrets, shards, spans_sql, token_shards
+from plantpulse.llm import brown, decontaminate, fill_middle, fill_middle_sql, jaccard, mixing, mixing_sql, pages, personal, prefix_trie, prefix_trie_sql, quality, quality_sql, repeats, secrets, shards, spans_sql, token_shards
 from plantpulse.llm.common import table
 
 
@@ -65,13 +65,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.class_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     digests = [F.sha2(x, 256).alias(name) for name, x in (("output_sha256", F.col("output")), ("restored_sha256", fill_middle.restored(F.col("output"), F.col("form"))))]
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op4_jaccard_join, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op8_repeated_passages, op9_quality_rules, op10_mix_sources, op11_prefix_trie, op13_fill_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_site_style_tree, op3_secret_ledger, op4_jaccard_join, op5_differencing_shards, op6_personal_data, op7_benchmark_leaks, op8_repeated_passages, op9_quality_rules, op10_mix_sources, op11_prefix_trie, op12_class_scores, op13_fill_middle, pipeline)}
 
 SQL = {
     "op3_secret_ledger": spans_sql.SECRETS,
