@@ -3,21 +3,22 @@
 The probability of a word is that of its class after the class of the word before, times that of the word in its class.
 Classes come from exchange clustering: a word moves to the class in which its own contexts are likeliest, its own counts
 taken out of the class it is in. The words of a sweep move at the same time, given the counts of the sweep before; the
-first sweep moves frequent words only, the last one all.
+first sweep moves words that occur more than a few times, the last one all.
 
-Texts become packs once: a list of the different words of some MB of text and the tokens as places in that list. What a
-sweep needs travels per different word of a pack, and what it yields, the class contexts of its words, is counted inside
-the pack before it is shuffled. The driver gets class counts (`CLASSES` squared numbers) and totals of the vocabulary.
+Texts become packs once: numbers of tokens into the pack's list of different words. The words of all packs lie in buckets
+by hash, with their counts and classes. A sweep tells each pack the classes of its words, a byte per word; the pack counts
+the class contexts of its words, and these are added up in the buckets, where the words move. The driver gets class
+counts only (`CLASSES` squared numbers and a few per class).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,33 +28,56 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from plantpulse.llm import tokens
 from plantpulse.session import pin, scratch
 
+#: At most 127, so that a class and a mark fit into a byte.
 CLASSES = 64
 #: The end of a text is the word "" and has a class of its own; words that lead no class begin in `REST`.
 END, REST = 0, 1
 #: Words move in a sweep when they occur at least so often.
-SWEEPS = (256, 16, 1)
+SWEEPS = (16, 1)
 #: Documents with another remainder of crc32(id) are learnt from.
 FOLDS, HELD_OUT = 5, 1
-#: Weight of the class frequencies in the transitions, in tokens per class.
+#: Weight of the class frequencies in the transitions, in tokens.
 PRIOR = 64.0
 #: Added to a class count before its logarithm is taken for a move.
 SOFT = 0.5
 
-#: Bytes of text in a pack.
-PACK_BYTES = 8_000_000
-#: Contexts of about so many tokens meet in one task; contexts of about so many packs are added up before that.
-BUCKET_TOKENS, GROUP_PACKS = 1_000_000, 256
+#: Bytes of text in a pack, and per bucket of words.
+PACK_BYTES, BUCKET_BYTES = 6_000_000, 8_000_000
+#: Contexts of about so many packs are added up before all of a bucket are.
+GROUP_PACKS = 256
 #: Bucket of the counts of class pairs.
 MATRIX = -1
 #: Words whose contexts are spread out over all classes at once.
 WORDS_AT_ONCE = 16_384
 
+#: Contexts travel as pieces: the numbers of some words, how many entries each has, and per entry a code and a count. A code
+#: is a class before the word, after it (plus CLASSES), or that of the word itself (plus twice CLASSES).
+CODES = 3 * CLASSES
+#: Code of a word in a pack: its class, `MOVES` more if it may move in the sweep; `UNKNOWN` without a class.
+MOVES, UNKNOWN = 128, 127
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning; documents without an id are learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte by byte in as many planes as the largest needs, compressed."""
+    values = np.ascontiguousarray(values, dtype="<i8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, codec="zstd"), dtype=np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()
+
+
 def word_strings(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, A-Z as a-z, and how many each text has."""
     data, offsets = tokens.text_bytes(column)
@@ -71,16 +95,21 @@ def word_strings(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.diff(np.searchsorted(starts, offsets))
 
 
-def make_packs(docs: DataFrame) -> DataFrame:
-    """`pack, docs, held, lengths, words, counts, tokens`: per pack its documents, tokens in each (one end included), the
-    different words ("" first) with their count in documents that are learnt from, and the place of each token's word."""
+def make_packs(docs: DataFrame, buckets: int) -> DataFrame:
+    """Two kinds of rows. Without a bucket, a pack: its documents, how many tokens each has (one end included), the tokens as
+    ranks of words by frequency in the pack, and the ranks of its words in the order of bucket and hash. With a bucket, the
+    words of a pack in it: their hashes, ascending, and their counts in documents that are learnt from."""
     spark_schema = T.StructType([
-        T.StructField("pack", T.LongType()), T.StructField("docs", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("held", T.ArrayType(T.BooleanType())),
-        T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType())),
-        T.StructField("tokens", T.BinaryType()),
+        T.StructField("pack", T.LongType()), T.StructField("bucket", T.LongType()),
+        T.StructField("docs", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("held", T.ArrayType(T.BooleanType())),
+        T.StructField("lengths", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("ranks", T.BinaryType()),
+        T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()),
     ])
     schema = to_arrow_schema(spark_schema)
 
+    def rows(own: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in own], f.type) for f in schema], schema=schema)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -88,91 +117,140 @@ def make_packs(docs: DataFrame) -> DataFrame:
                 part = batch.slice(begin, end - begin)
                 words, n = word_strings(part["text"])
                 coded = words.dictionary_encode()
-                out = np.zeros(len(words) + len(n), dtype=np.int32)
-                last = np.cumsum(n + 1) - 1
-                inner = np.ones(len(out), dtype=bool)
-                inner[last] = False
-                out[inner] = coded.indices.to_numpy() + 1
-                learnt = np.repeat(~part["held"].to_numpy(zero_copy_only=False), n + 1)
-                counts = np.bincount(out[learnt], minlength=len(coded.dictionary) + 1)
-                row = [[pack], [part["doc_id"].to_pylist()], [part["held"].to_pylist()], [(n + 1).tolist()], [["", *coded.dictionary.to_pylist()]], [counts.tolist()], [out.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+                first = np.zeros(len(words) + len(n), dtype=np.int64)
+                inner = np.ones(len(first), dtype=bool)
+                inner[np.cumsum(n + 1) - 1] = False
+                first[inner] = coded.indices.to_numpy() + 1
+                names = [b"", *(w.encode() for w in coded.dictionary.to_pylist())]
+                digests = np.array([divmod(xxhash.xxh3_128_intdigest(w), 1 << 64) for w in names], dtype=np.uint64)
+                held = part["held"].to_numpy(zero_copy_only=False)
+                size = len(names)
+                counts = np.bincount(first[np.repeat(~held, n + 1)], minlength=size)
+                rank = np.empty(size, dtype=np.int64)
+                rank[np.argsort(-np.bincount(first, minlength=size), kind="stable")] = np.arange(size)
+                bucket = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((digests[:, 1], bucket))
+                yield rows([{"pack": pack, "docs": part["doc_id"].to_pylist(), "held": part["held"].to_pylist(), "lengths": squeeze(n + 1), "tokens": squeeze(rank[first]), "ranks": squeeze(rank[order])}])
+                yield rows([{"pack": pack, "bucket": int(bucket[own[0]]), "hashes": digests[own, 1].tobytes(), "counts": squeeze(counts[own])}
+                            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)])
                 pack += 1
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text").mapInArrow(packed, spark_schema)
 
 
-def vocabulary(packs: DataFrame) -> DataFrame:
-    """`word, n` of the words that occur in documents that are learnt from."""
-    words = packs.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).filter("w.counts > 0")
-    return words.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+WORDS = "bucket bigint, pack bigint, words binary, n binary, classes binary, n_words bigint, n_tokens bigint, once bigint, twice bigint"
 
 
-def first_classes(words: DataFrame) -> DataFrame:
-    """`h, n, class` with a row per word hash: the most frequent words lead a class each. Words of one hash share a class."""
-    hashed = pin(words.groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n"), F.max(F.col("word") == "").alias("end")))
-    leaders = hashed.filter("not end").orderBy(F.desc("n"), "h").limit(CLASSES - 2).collect()
-    lead = words.sparkSession.createDataFrame([(r["h"], REST + 1 + i) for i, r in enumerate(leaders)], "h bigint, lead int")
-    own = F.when(F.col("end"), END).otherwise(F.coalesce("lead", F.lit(REST)))
-    return hashed.join(lead, "h", "left").select("h", "n", own.cast("int").alias("class"))
+def _binary(values: list) -> pa.Array:
+    return pa.array(values, pa.binary())
 
 
-# Contexts travel as pieces: the hashes of some words, how many entries each has, and per entry a code and a count. A code
-# is a class before the word, after it (plus CLASSES), or that of the word itself (plus twice CLASSES).
-CODES = 3 * CLASSES
+def number_words(rows: DataFrame) -> DataFrame:
+    """Per bucket a row with count and class of each known word, and per pack in it a row with the numbers of its words there
+    plus one; 0 is a word that occurs in no document that is learnt from. All classes are `REST`, or `END` for the end."""
+    end = xxhash.xxh3_128_intdigest(b"") & (1 << 64) - 1
 
+    def numbered(key: tuple, table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, dtype=np.uint64) for x in table["hashes"].to_pylist()]
+        names, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([unsqueeze(x) for x in table["counts"].to_pylist()]), minlength=len(names)).astype(np.int64)
+        known = n > 0
+        number = np.where(known, np.cumsum(known), 0)[place]
+        n, classes = n[known], np.where(names[known] == end, END, REST)
+        pieces = np.split(number, np.cumsum([len(h) for h in hashes])[:-1])
+        packs, none = table["pack"].to_pylist(), [None] * len(hashes)
+        size = 1 + len(packs)
+        return pa.table({
+            "bucket": pa.array([key[0].as_py()] * size, pa.int64()), "pack": pa.array([None, *packs], pa.int64()), "words": _binary([None, *map(squeeze, pieces)]),
+            "n": _binary([squeeze(n), *none]), "classes": _binary([squeeze(classes), *none]),
+            **{name: pa.array([value, *none], pa.int64()) for name, value in (("n_words", len(n)), ("n_tokens", int(n.sum())), ("once", int((n == 1).sum())), ("twice", int((n == 2).sum())))},
+        })
 
-def to_piece(h: np.ndarray, code: np.ndarray, n: np.ndarray) -> bytes:
-    """Entries with one row per (h, code), ordered by h."""
-    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
-    each = np.diff(np.append(begin, len(h)))
-    parts = [h[begin].astype(np.int64), n.astype(np.int64), each.astype(np.int32), code.astype(np.uint16)]
-    return np.array([len(begin), len(h)], dtype=np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
+    return rows.filter("bucket is not null").select("bucket", "pack", "hashes", "counts").groupBy("bucket").applyInArrow(numbered, WORDS)
 
 
-def from_piece(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, entries = np.frombuffer(piece, dtype=np.int64, count=2)
-    at, out = 16, []
-    for kind, count in ((np.int64, words), (np.int64, entries), (np.int32, words), (np.uint16, entries)):
-        out.append(np.frombuffer(piece, dtype=kind, count=count, offset=at))
-        at += out[-1].nbytes
-    h, n, each, code = out
-    return np.repeat(h, each), code, n
-
-
-def merged(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The entries of several pieces, equal ones added up, ordered by h and code."""
-    h, code, n = (np.concatenate(x) for x in zip(*map(from_piece, pieces), strict=True))
-    order = np.lexsort((code, h))
-    h, code, n = h[order], code[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])])) if len(h) else np.zeros(0, dtype=np.int64)
-    return h[first], code[first], np.add.reduceat(n, first) if len(h) else n
+STATE = "bucket bigint, n binary, classes binary"
 
 
-def delivered(packs: DataFrame, known: DataFrame, key: Column, *columns: str) -> DataFrame:
-    """The packs with `told`: for each of their words that is in `known` (by `key`) its place in the pack and the columns."""
-    places = packs.select("pack", F.posexplode("words").alias("i", "word")).select("pack", "i", key.alias("key"))
-    told = places.join(known, "key").groupBy("pack").agg(F.collect_list(F.struct("i", *columns)).alias("told"))
-    return packs.join(told, "pack", "left")
-
-
-def _told(batch: pa.RecordBatch, r: int, *columns: str) -> list[np.ndarray]:
-    listed = batch["told"][r].values
-    if listed is None:
-        return [np.zeros(0, dtype=np.int64)] * (len(columns) + 1)
-    return [listed.field(c).to_numpy(zero_copy_only=False) for c in ("i", *columns)]
+def first_classes(state: DataFrame) -> DataFrame:
+    """The most frequent words lead a class each."""
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, n, classes in zip(*(batch[c].to_pylist() for c in ("bucket", "n", "classes")), strict=True):
+                n = np.where(unsqueeze(classes) == END, 0, unsqueeze(n))
+                best = np.argsort(-n, kind="stable")[: CLASSES - 2]
+                best = best[n[best] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(best), pa.int64()), pa.array(best, pa.int64()), pa.array(n[best], pa.int64())], ["bucket", "word", "n"])
+
+    top = state.mapInArrow(frequent, "bucket bigint, word bigint, n bigint").orderBy(F.desc("n"), "bucket", "word").limit(CLASSES - 2).collect()
+    lead: dict[int, list[tuple[int, int]]] = {}
+    for i, r in enumerate(top):
+        lead.setdefault(r["bucket"], []).append((r["word"], REST + 1 + i))
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for bucket, classes in zip(batch["bucket"].to_pylist(), batch["classes"].to_pylist(), strict=True):
+                classes = unsqueeze(classes)
+                for word, c in lead.get(bucket, ()):
+                    classes[word] = c
+                out.append(squeeze(classes))
+            yield pa.RecordBatch.from_arrays([batch["bucket"], batch["n"], _binary(out)], ["bucket", "n", "classes"])
+
+    return state.mapInArrow(led, STATE)
+
+
+def tell(places: DataFrame, state: DataFrame, least: int | None) -> DataFrame:
+    """`pack, bucket, codes, words, n`: for the words of a pack in a bucket their codes, and their numbers (for a sweep) or
+    counts (with no `least`)."""
+    def told(places: pa.Table, state: pa.Table) -> pa.Table:
+        classes, n = (np.concatenate([[first], unsqueeze(state[c][0].as_py())]) for c, first in (("classes", UNKNOWN), ("n", 0)))
+        codes = np.where((n >= least) & (classes != END) & (n > 0), classes + MOVES, classes) if least is not None else classes
+        words = [unsqueeze(x) for x in places["words"].to_pylist()]
+        return pa.table({
+            "pack": places["pack"], "bucket": places["bucket"], "codes": _binary([codes[w].astype(np.uint8).tobytes() for w in words]),
+            "words": _binary([None if least is None else squeeze(w) for w in words]), "n": _binary([squeeze(n[w]) if least is None else None for w in words]),
+        })
+
+    schema = "pack bigint, bucket bigint, codes binary, words binary, n binary"
+    return places.select("bucket", "pack", "words").groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(told, schema)
+
+
+def _by_rank(pack: pa.Table, told: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code, number or count, and bucket of the words of a pack by their rank."""
+    told = told.sort_by("bucket")
+    ranks = unsqueeze(pack["ranks"][0].as_py())
+    codes = np.frombuffer(b"".join(told["codes"].to_pylist()), dtype=np.uint8)
+    values = [unsqueeze(x) for x in told[column].to_pylist()]
+    out = []
+    for x in (codes.astype(np.int64), np.concatenate(values), np.repeat(told["bucket"].to_numpy(), [len(v) for v in values])):
+        out.append(np.empty(len(ranks), dtype=np.int64))
+        out[-1][ranks] = x
+    return out[0], out[1], out[2]
+
+
+def to_piece(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> bytes:
+    """Entries with one row per (word, code), ordered by word."""
+    begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, dtype=np.int64)
+    parts = [squeeze(x) for x in (np.diff(word[begin], prepend=0), np.diff(np.append(begin, len(word))), code, n)]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
-def _spread(size: int, at: np.ndarray, values: np.ndarray, missing: int) -> np.ndarray:
-    out = np.full(size, missing, dtype=np.int64)
-    out[at] = values
-    return out
+def from_piece(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, out = 0, []
+    for _ in range(4):
+        size = int.from_bytes(piece[at : at + 8], "little")
+        out.append(unsqueeze(piece[at + 8 : at + 8 + size]))
+        at += 8 + size
+    word, each, code, n = out
+    return np.repeat(np.cumsum(word), each), code, n
 
 
-def _documents(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a pack, and lengths and marks of its documents."""
-    lengths, held = batch["lengths"][r].values, batch["held"][r].values
-    return np.frombuffer(batch["tokens"][r].as_py(), dtype=np.int32), lengths.to_numpy(), held.to_numpy(zero_copy_only=False)
+def merged(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of several pieces, equal ones added up, ordered by word and code."""
+    word, code, n = (np.concatenate(x) for x in zip(*map(from_piece, pieces), strict=True))
+    key, place = np.unique(word * CODES + code, return_inverse=True)
+    return key // CODES, key % CODES, np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
 
 
 def _pair_piece(cls: np.ndarray) -> bytes:
@@ -185,48 +263,47 @@ def _pair_piece(cls: np.ndarray) -> bytes:
 PIECES = "bucket bigint, part bigint, piece binary"
 
 
-def _pieces(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _pieces(out: list[tuple[int, int, bytes]]) -> pa.Table:
     columns = list(zip(*out, strict=True)) or [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "part", "piece"])
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "part", "piece"])
+
+
+def _learnt(pack: pa.Table) -> np.ndarray:
+    """The tokens of a pack's documents that are learnt from."""
+    held = np.array(pack["held"][0].as_py(), dtype=bool)
+    return unsqueeze(pack["tokens"][0].as_py())[np.repeat(~held, unsqueeze(pack["lengths"][0].as_py()))]
+
+
+def contexts(packs: DataFrame, told: DataFrame, parts: int) -> DataFrame:
+    """Pieces per bucket with the contexts of all words that may move, and the class pairs as bucket `MATRIX`."""
+    def counted(pack: pa.Table, told: pa.Table) -> pa.Table:
+        token = _learnt(pack)
+        if not len(token):
+            return _pieces([])
+        code, number, bucket = _by_rank(pack, told, "words")
+        part = pack["pack"][0].as_py() % parts
+        cls = (code & 127)[token]
+        # The end of a text never moves, so that there is always a token before and after; a pack begins as after an end.
+        some = np.flatnonzero(code[token] >= MOVES)
+        before = np.concatenate([[END], cls[:-1]])[some]
+        entry, n = np.unique(np.concatenate([token[some] * CODES + before, token[some] * CODES + CLASSES + cls[some + 1]]), return_counts=True)
+        words = np.flatnonzero(np.bincount(token[some], minlength=len(code)))
+        entry, n = np.concatenate([entry, words * CODES + 2 * CLASSES + (code & 127)[words]]), np.concatenate([n, np.ones(len(words), dtype=n.dtype)])
+        word = entry // CODES
+        order = np.lexsort((number[word], bucket[word]))
+        word, entry, n = word[order], entry[order], n[order]
+        cuts = np.append(np.flatnonzero(np.diff(bucket[word], prepend=-2)), len(word))
+        return _pieces([(MATRIX, part, _pair_piece(cls)), *((int(bucket[word[a]]), part, to_piece(number[word[a:b]], entry[a:b] % CODES, n[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True))])
 
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        return _pieces([(key[0].as_py(), key[1].as_py(), to_piece(*merged(table["piece"].to_pylist())))])
 
-def contexts(packs: DataFrame, classes: DataFrame, least: int, buckets: int, parts: int) -> DataFrame:
-    """Pieces per bucket with the contexts of all words that occur `least` times, and the class pairs as bucket `MATRIX`."""
-    moving = (F.col("n") >= least) & (F.col("class") != END)
-    known = classes.select(F.col("h").alias("key"), F.col("h"), F.col("class"), moving.alias("moves"))
-    rows = delivered(packs, known, F.xxhash64("word"), "h", "class", "moves").select("pack", "held", "lengths", "tokens", "told")
+    told = told.select("pack", "bucket", "codes", "words")
+    return _with_packs(packs, told, counted, PIECES).groupBy("bucket", "part").applyInArrow(added, PIECES)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                token, lengths, held = _documents(batch, r)
-                size = int(token.max()) + 1
-                token = token[np.repeat(~held, lengths)].astype(np.int64)
-                if not len(token):
-                    continue
-                part = int(tokens.mix(np.array([batch["pack"][r].as_py()], dtype=np.uint64))[0] % np.uint64(parts))
-                at, h, c, m = _told(batch, r, "h", "class", "moves")
-                class_of, hash_of, moved = (_spread(size, at, x, 0) for x in (c, h, m))
-                cls = class_of[token]
-                out = [(MATRIX, part, _pair_piece(cls))]
-                # The end token of a text never moves, so that there is always a token before and after; a pack begins as after an end.
-                some = np.flatnonzero(moved[token])
-                before = np.concatenate([[END], cls[:-1]])[some]
-                entry, n = np.unique(np.concatenate([token[some] * CODES + before, token[some] * CODES + CLASSES + cls[some + 1]]), return_counts=True)
-                words = np.unique(token[some])
-                entry, n = np.concatenate([entry, words * CODES + 2 * CLASSES + class_of[words]]), np.concatenate([n, np.ones(len(words), dtype=n.dtype)])
-                names = hash_of[entry // CODES]
-                bucket = (names.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((names, bucket))
-                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    if len(own):
-                        out.append((int(bucket[own[0]]), part, to_piece(names[own], entry[own] % CODES, n[own])))
-                yield _pieces(out)
 
-    def added(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_pieces([(key[0].as_py(), key[1].as_py(), to_piece(*merged(table["piece"].to_pylist())))])])
-
-    return rows.mapInArrow(counted, PIECES).groupBy("bucket", "part").applyInArrow(added, PIECES)
+def _with_packs(packs: DataFrame, told: DataFrame, function, schema: str) -> DataFrame:
+    return packs.select("pack", "held", "lengths", "tokens", "ranks").groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(function, schema)
 
 
 def _pair_counts(pieces: DataFrame) -> np.ndarray:
@@ -234,7 +311,7 @@ def _pair_counts(pieces: DataFrame) -> np.ndarray:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in batch["piece"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in from_piece(piece)], ["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in from_piece(piece)], ["a", "b", "n"])
 
     rows = pieces.filter(F.col("bucket") == MATRIX).select("piece").mapInArrow(listed, "a bigint, b bigint, n bigint")
     pairs = np.zeros((CLASSES, CLASSES))
@@ -257,33 +334,33 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np
     return np.where(gain.max(axis=1) > stay, best, own)
 
 
-def moves(pieces: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """`h, to`: the class of each word that a sweep looks at."""
-    def chosen(table: pa.Table) -> pa.Table:
-        h, code, n = merged(table["piece"].to_pylist())
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        word = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
-        to = [np.zeros(0, dtype=np.int64)]
+def moves(state: DataFrame, pieces: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """The buckets after the moves of a sweep."""
+    def moved(state: pa.Table, pieces: pa.Table) -> pa.Table:
+        if not len(pieces):
+            return state
+        number, code, n = merged(pieces["piece"].to_pylist())
+        begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        word = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(number))))
+        classes = unsqueeze(state["classes"][0].as_py())
         for a in range(0, len(begin), WORDS_AT_ONCE):
             count = min(WORDS_AT_ONCE, len(begin) - a)
             some = slice(*np.searchsorted(word, [a, a + count]))
             seen = np.bincount((word[some] - a) * CODES + code[some], weights=n[some], minlength=count * CODES).reshape(count, CODES)
-            to.append(best_classes(seen[:, :CLASSES], seen[:, CLASSES : 2 * CLASSES], seen[:, 2 * CLASSES :].argmax(axis=1), pairs))
-        return pa.table({"h": pa.array(h[begin], pa.int64()), "to": pa.array(np.concatenate(to), pa.int32())})
+            to = best_classes(seen[:, :CLASSES], seen[:, CLASSES : 2 * CLASSES], seen[:, 2 * CLASSES :].argmax(axis=1), pairs)
+            classes[number[begin[a : a + count]] - 1] = to
+        return pa.table({"bucket": state["bucket"], "n": state["n"], "classes": _binary([squeeze(classes)])})
 
-    return pieces.filter(F.col("bucket") != MATRIX).groupBy("bucket").applyInArrow(chosen, "h bigint, to int")
+    return state.groupBy("bucket").cogroup(pieces.filter(F.col("bucket") != MATRIX).groupBy("bucket")).applyInArrow(moved, STATE)
 
 
-def exchanged(packs: DataFrame, classes: DataFrame, n_tokens: int, sweeps: tuple[int, ...] | None = None) -> DataFrame:
-    """`h, n, class` after the sweeps of exchange clustering."""
-    buckets, parts = max(1, n_tokens // BUCKET_TOKENS), max(1, packs.count() // GROUP_PACKS)
-    for least in SWEEPS if sweeps is None else sweeps:
+def exchanged(packs: DataFrame, places: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+    """The buckets after the sweeps of exchange clustering."""
+    for least in SWEEPS:
         with scratch(packs.sparkSession) as keep:
-            pieces = pin(contexts(packs, classes, least, buckets, parts))
-            moved = moves(pieces, _pair_counts(pieces))
-            after = classes.join(moved, "h", "left").select("h", "n", F.coalesce("to", "class").alias("class"))
-            classes = keep(pin(after))
-    return classes
+            pieces = pin(contexts(packs, tell(places, state, least), parts))
+            state = keep(pin(moves(state, pieces, _pair_counts(pieces))))
+    return state
 
 
 @dataclass
@@ -318,27 +395,39 @@ def _scored(packs: DataFrame, model: Model, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                token, lengths, held = _documents(batch, r)
-                size = int(token.max()) + 1
-                at, n, c = _told(batch, r, "n", "class")
-                count, cls = _spread(size, at, n, 0), _spread(size, at, c, CLASSES)
+                token, lengths, cls, count = (unsqueeze(batch[c][r].as_py()) for c in ("tokens", "lengths", "classes", "n"))
                 base = np.log10((count + 0.5) / (model.n_tokens + 0.5 * (model.n_words + 1)))
-                emit = np.zeros(size)
-                emit[at] = np.log10((count[at] - model.discount) / model.sizes[cls[at]])
+                emit = np.zeros(len(cls))
+                some = cls < CLASSES
+                emit[some] = np.log10((count[some] - model.discount) / model.sizes[cls[some]])
                 first = np.cumsum(lengths) - lengths
                 here = cls[token]
-                before = np.concatenate([[END], here[:-1]])
+                before = np.concatenate([[END], np.minimum(here[:-1], CLASSES)])
                 before[first] = END
                 known = here < CLASSES
                 step = np.where(known, model.steps[before, np.minimum(here, CLASSES - 1)] + emit[token], model.unknown[before])
                 score = np.add.reduceat(step, first)
-                own = [batch["docs"][r].values, pa.array(held), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.full(len(held), model.n_tokens)),
+                own = [batch["docs"][r].values, batch["held"][r].values, pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.full(len(lengths), model.n_tokens)),
                        pa.array(np.add.reduceat(base[token], first)), pa.array(score), pa.array(10 ** np.minimum(-score / lengths, 300))]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(own, arrow, strict=True)], schema=arrow)
 
     return packs.mapInArrow(run, schema)
 
 
+def told_packs(packs: DataFrame, told: DataFrame) -> DataFrame:
+    """`pack, classes, n, pairs`: the final classes and counts of a pack's words by rank, and its class pairs."""
+    def joined(pack: pa.Table, told: pa.Table) -> pa.Table:
+        code, n, _ = _by_rank(pack, told, "n")
+        learnt = _learnt(pack)
+        pairs = _pair_piece(code[learnt]) if len(learnt) else None
+        return pa.table({"pack": pack["pack"], "tokens": pack["tokens"], "lengths": pack["lengths"], "held": pack["held"], "docs": pack["docs"], "classes": _binary([squeeze(code)]), "n": _binary([squeeze(n)]), "pairs": _binary([pairs])})
+
+    kept = packs.select("pack", "tokens", "lengths", "held", "docs", "ranks")
+    docs = packs.schema["docs"].dataType.simpleString()
+    schema = f"pack bigint, tokens binary, lengths binary, held array<boolean>, docs {docs}, classes binary, n binary, pairs binary"
+    return kept.groupBy("pack").cogroup(told.select("pack", "bucket", "codes", "n").groupBy("pack")).applyInArrow(joined, schema)
+
+
 def class_scores(docs: DataFrame) -> DataFrame:
     """`doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity` for every row of `docs`.
 
@@ -349,28 +438,28 @@ def class_scores(docs: DataFrame) -> DataFrame:
     probability 1 in both. An empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packs = pin(make_packs(docs))
-    words = pin(vocabulary(packs))
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = pin(make_packs(docs, 1 + size // BUCKET_BYTES))
+    packs = rows.filter("bucket is null")
+    words = pin(number_words(rows))
+    places = words.filter("pack is not null")
+    totals = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "once", "twice")]).first()
     n_tokens, n_words, once, twice = (int(x) for x in totals)
-    classes = exchanged(packs, pin(first_classes(words)), n_tokens) if n_words else first_classes(words)
-    known = words.withColumn("h", F.xxhash64("word")).join(classes.select("h", "class"), "h").select(F.col("word").alias("key"), "n", "class")
-    told = pin(delivered(packs, known, F.col("word"), "n", "class").drop("words", "counts"))
-    sizes = np.zeros(CLASSES)
-    for r in known.groupBy("class").count().collect():
-        sizes[r["class"]] = r["count"]
-    return _scored(told, estimate(_told_pairs(told), sizes, n_tokens, n_words, once, twice), kind)
+    state = pin(first_classes(words.filter("pack is null").select("bucket", "n", "classes")))
+    state = exchanged(packs, places, state, 1 + packs.count() // GROUP_PACKS)
+    told = pin(told_packs(packs, tell(places, state, None)))
+    pairs = _pair_counts(told.filter("pairs is not null").select(F.lit(MATRIX).alias("bucket"), F.col("pairs").alias("piece")))
+    return _scored(told, estimate(pairs, _words_per_class(state), n_tokens, n_words, once, twice), kind)
 
 
-def _told_pairs(packs: DataFrame) -> np.ndarray:
-    """Counts of class pairs with the classes that the packs were told."""
+def _words_per_class(state: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                token, lengths, held = _documents(batch, r)
-                at, c = _told(batch, r, "class")
-                learnt = token[np.repeat(~held, lengths)]
-                if len(learnt):
-                    yield _pieces([(MATRIX, 0, _pair_piece(_spread(int(token.max()) + 1, at, c, 0)[learnt]))])
+            for classes in batch["classes"].to_pylist():
+                n = np.bincount(unsqueeze(classes), minlength=CLASSES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n)], ["class", "n"])
 
-    return _pair_counts(packs.select("held", "lengths", "tokens", "told").mapInArrow(counted, PIECES))
+    out = np.zeros(CLASSES)
+    for r in state.mapInArrow(counted, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        out[r["class"]] = r["n"]
+    return out

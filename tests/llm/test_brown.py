@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from plantpulse.llm import brown
 
@@ -68,7 +69,7 @@ def scores_by_hand(rows, classes):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in (("CLASSES", 8), ("CODES", 24), ("PACK_BYTES", 1000), ("BUCKET_TOKENS", 500), ("GROUP_PACKS", 3), ("WORDS_AT_ONCE", 7)):
+    for name, value in (("CLASSES", 8), ("CODES", 24), ("PACK_BYTES", 1000), ("BUCKET_BYTES", 3000), ("GROUP_PACKS", 3), ("WORDS_AT_ONCE", 7)):
         monkeypatch.setattr(brown, name, value)
 
 
@@ -104,10 +105,19 @@ def test_scores_are_those_of_the_model(spark, small, monkeypatch):
     monkeypatch.setattr(brown, "SWEEPS", (40, 1))
     monkeypatch.setattr(brown, "exchanged", lambda *a: seen.append((a, plain(*a))) or seen[-1][1])
     found = {r.doc_id: r for r in brown.class_scores(df).collect()}
-    (packs, first, n, *_), last = seen[0]
-    assert packs.count() > 15 and n == len(steps_of(rows))
-    words = brown.vocabulary(packs).selectExpr("word", "xxhash64(word) h")
-    classes = {name: {r["word"]: r["class"] for r in words.join(x, "h").collect()} for name, x in (("first", first), ("last", last))}
+    (packs, places, first, parts), last = seen[0]
+    assert packs.count() > 15 and parts > 3 and last.count() > 5
+    names = {}  # bucket and number of each word, by its hash
+    for r in brown.make_packs(df, last.count()).filter("bucket is not null").collect():
+        hashes = np.frombuffer(r["hashes"], dtype=np.uint64).tolist()
+        names.setdefault(r["bucket"], {}).update((h, 0) for h, n in zip(hashes, brown.unsqueeze(r["counts"]), strict=True) if n)
+    known = {h: (b, i) for b, hs in names.items() for i, h in enumerate(sorted(hs))}
+    low = {w: xxhash.xxh3_128_intdigest(w.encode()) & (1 << 64) - 1 for _, w in steps_of(rows)}
+    classes = {}
+    for name, state in (("first", first), ("last", last)):
+        at = {r["bucket"]: brown.unsqueeze(r["classes"]) for r in state.collect()}
+        classes[name] = {w: int(at[known[h][0]][known[h][1]]) for w, h in low.items()}
+    assert Counter(classes["first"].values())[brown.END] == 1
     assert classes["last"] == swept(rows, classes["first"], (40, 1))
     for (d, _), want in zip(rows, scores_by_hand(rows, classes["last"]), strict=True):
         assert abs(found[d].score - want) < 1e-6
@@ -168,7 +178,7 @@ def test_pieces_add_up():
     rng = np.random.default_rng(2)
     pieces, want = [], Counter()
     for _ in range(5):
-        own = Counter(zip(rng.integers(-5, 5, 40).tolist(), rng.integers(0, 9, 40).tolist(), strict=True))
+        own = Counter(zip(rng.integers(0, 9, 40).tolist(), rng.integers(0, 9, 40).tolist(), strict=True))
         want += own
         rows = sorted(own.items())
         pieces.append(brown.to_piece(*(np.array(x) for x in ([k[0] for k, _ in rows], [k[1] for k, _ in rows], [n for _, n in rows]))))
