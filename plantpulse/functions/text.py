@@ -86,4 +86,4 @@ def base_name(path: Column) -> Column:
 
 def table_cell(text: Column) -> Column:
     """Text inside a markdown table cell."""
-    return F.translate(F.regexp_replace(text, r"\|", r"\\\\|"), "\n", " ")
+    return F.translate(F.regexp_replace(text, r"\|", r"\\|"), "\n", " ")

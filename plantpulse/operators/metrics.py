@@ -11,6 +11,7 @@ from plantpulse import schemas as S
 from plantpulse.functions.text import plain_number
 from plantpulse.operators.ordered import InOrder, carry_forward
 from plantpulse.operators.validate import zero_filled
+from plantpulse.session import pin
 
 
 def ingest_outcomes(attempts: DataFrame) -> DataFrame:
@@ -164,16 +165,20 @@ def counter_deltas(series: DataFrame, pieces: int | None = None) -> DataFrame:
     return lagged.select("metric", "t", "value", (F.col("value") - F.col("_before")).alias("delta"))
 
 
-def stored_by_run(series: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows each run added to the store: last minus first `stored` sample within the run (M8)."""
-    span = (F.col("t") >= F.col("from_t")) & (F.col("t") <= F.col("to_t"))
-    stored = series.where(F.col("metric") == "stored")
-    return (
-        stored.join(runs.select("run_id", "from_t", "to_t"), "run_id")
-        .where(span)
-        .groupBy("run_id")
-        .agg((F.max_by("value", "t") - F.min_by("value", "t")).alias("stored"))
-    )
+def growth_between(series: DataFrame, spans: DataFrame) -> DataFrame:
+    """`growth` of a counter over each span (M8): its samples (t, value) as of `to_t` less those as of `from_t`.
+
+    A value below the one before means that the counter began anew, and counts in full. A span that begins before the
+    first sample counts from that one; one that ends before it has no growth (NULL).
+    """
+    lagged = InOrder(series.select("t", "value"), [], ["t"]).lag(F.col("value"), "_before")
+    step = F.when(F.col("_before").isNull(), 0.0).when(F.col("value") >= F.col("_before"), F.col("value") - F.col("_before")).otherwise(F.col("value"))
+    total = InOrder(lagged.select("t", step.alias("_step")), [], ["t"]).running_sum(F.col("_step"), "_total").select("t", "_total")
+    asked = spans.select(F.explode(F.array("from_t", "to_t")).alias("asked")).distinct()
+    known = pin(metrics_as_of(asked, total).select("asked", "_total"))
+    ends = [known.select(F.col("asked").alias(t), F.col("_total").alias(f"_{t}")) for t in ("from_t", "to_t")]
+    growth = F.col("_to_t") - F.coalesce("_from_t", F.lit(0.0))
+    return spans.join(ends[0], "from_t").join(ends[1], "to_t").select(*spans.columns, growth.alias("growth"))
 
 
 def metrics_as_of(asked: DataFrame, series: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -269,13 +269,18 @@ def run_records(attempts: DataFrame, runs: DataFrame, points: DataFrame | None =
     )
 
 
-# Measures of a comparison, their unit and the better direction.
-MEASURES = [
+# Rows of a comparison; measures with their unit and the better direction, texts without.
+COMPARED = [
+    ("Started", None, "", ""),
+    ("Sent to", None, "", ""),
+    ("Data", None, "", ""),
+    ("Pace", None, "", ""),
     ("Records sent", "records_done", "", ""),
     ("Accepted", "accepted", "", "higher"),
     ("Peak sent per second", "peak_sent_per_s", "", ""),
     ("Peak accepted per second", "peak_accepted_per_s", "", "higher"),
     ("Requests told to slow down (429)", "throttled", "", "lower"),
+    ("First 429", None, "", ""),
     ("Request errors", "request_errors", "", "lower"),
     ("Latency p95", "p95_ms", " ms", "lower"),
     ("Latency p99", "p99_ms", " ms", "lower"),
@@ -284,18 +289,23 @@ MEASURES = [
 ]
 
 
-def _measures(records: DataFrame) -> DataFrame:
-    value = lambda c: F.round(c, 1) if c == "elapsed_s" else F.col(c).cast("double")
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("no"), F.lit(label).alias("measure"), value(c).alias("value"), F.lit(unit).alias("unit"),
-                F.lit(better).alias("better"),
-            )
-            for i, (label, c, unit, better) in enumerate(MEASURES, 1)
-        ]
-    )
-    return records.select("run_id", F.inline(rows))
+def _compared(records: DataFrame) -> DataFrame:
+    """One row per run and line of the comparison, with its number and what is shown."""
+    given = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.lit("–")).otherwise(F.col(c))
+    texts = {
+        "Started": F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"), "Sent to": given("target"), "Data": given("source"), "Pace": short_pace_text(),
+        "First 429": first_throttle_text(),
+    }
+
+    def entry(no: int, label: str, column: str | None, unit: str, better: str) -> Column:
+        value = F.lit(None).cast("double") if column is None else F.col(column).cast("double")
+        value = F.round(value, 1) if column == "elapsed_s" else value
+        text = texts.get(label, F.lit(None).cast("string"))
+        parts = {"no": F.lit(no), "measure": F.lit(label), "value": value, "text": text, "unit": F.lit(unit), "better": F.lit(better)}
+        return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+    long = records.select("run_id", F.inline(F.array(*[entry(i, *row) for i, row in enumerate(COMPARED, 1)])))
+    return long.withColumn("shown", F.coalesce("text", F.concat(_number_text(F.col("value")), F.col("unit")))).drop("text")
 
 
 def run_pairs(runs: DataFrame) -> DataFrame:
@@ -310,16 +320,16 @@ def run_pairs(runs: DataFrame) -> DataFrame:
 
 
 def compare_runs(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Measures of the older run A and the newer run B side by side with the change and its direction."""
-    long = _measures(records)
-    a = long.select(F.col("run_id").alias("run_a"), "no", "measure", F.col("value").alias("a"), "unit", "better")
-    b = long.select(F.col("run_id").alias("run_b"), "no", F.col("value").alias("b"))
+    """The older run A and the newer run B line by line, measures with the change and its direction."""
+    long = _compared(records)
+    a = long.select(F.col("run_id").alias("run_a"), "no", "measure", F.col("value").alias("a"), F.col("shown").alias("shown_a"), "unit", "better")
+    b = long.select(F.col("run_id").alias("run_b"), "no", F.col("value").alias("b"), F.col("shown").alias("shown_b"))
     d = F.col("b") - F.col("a")
     sign = F.when(d > 0, F.lit("+")).otherwise(F.lit("−"))
     diff = F.round(F.abs(d), 2)
     percent = F.when(F.col("a") != 0, F.round(F.abs(100 * d / F.col("a")), 0).cast("bigint"))
     shown = F.concat(
-        sign, plain_number(diff), F.col("unit"),
+        sign, _number_text(diff), F.col("unit"),
         F.coalesce(F.concat(F.lit(" ("), sign, percent.cast("string"), F.lit("%)")), F.lit("")),
     )
     good = (F.col("b") > F.col("a")) == (F.col("better") == "higher")
@@ -327,7 +337,7 @@ def compare_runs(records: DataFrame, pairs: DataFrame) -> DataFrame:
         pairs.join(a, "run_a")
         .join(b, ["run_b", "no"])
         .select(
-            "run_a", "run_b", "no", "measure", "a", "b",
+            "run_a", "run_b", "no", "measure", "a", "b", "shown_a", "shown_b",
             F.round(d, 2).alias("difference"),
             percent.alias("percent"),
             F.when(d == 0, F.lit("same")).otherwise(shown).alias("change"),
@@ -340,6 +350,7 @@ def compare_runs(records: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def first_throttle_text() -> Column:
+    """When and at what rate a run was first told to slow down."""
     return F.when(F.col("first_throttled_at_s").isNull(), F.lit("none")).otherwise(
         F.concat(
             F.lit("at "), F.col("first_throttled_at_s").cast("string"), F.lit(" s ("),
@@ -348,13 +359,18 @@ def first_throttle_text() -> Column:
     )
 
 
+def _number_text(value: Column) -> Column:
+    """`plain_number` inside a lambda: its long expression is not copied into the code of every line."""
+    return F.transform(F.array(value.cast("double")), plain_number)[0]
+
+
 def _setting(name: str) -> Column:
     return F.coalesce(F.get_json_object("config", f"$.{name}").try_cast("double"), F.lit(0.0))
 
 
 def pace_text() -> Column:
     """How fast the run was to send."""
-    g = lambda name: plain_number(_setting(name))
+    g = lambda name: _number_text(_setting(name))
     pace = (
         F.when(
             _setting("ramp_to_per_s") > 0,
@@ -367,16 +383,43 @@ def pace_text() -> Column:
     return F.when(_setting("speed") > 0, F.concat(pace, recorded)).otherwise(pace)
 
 
-def report_lines(records: DataFrame, points: DataFrame, checks: DataFrame | None = None) -> DataFrame:
-    """The report of each run as ordered text lines (L13). `checks` adds (run_id, line_no, level, text) findings."""
+def short_pace_text() -> Column:
+    """How fast the run was to send, as a comparison shows it."""
+    g = lambda name: _number_text(_setting(name))
+    plain = F.when(_setting("rate_per_s") > 0, F.concat(g("rate_per_s"), F.lit("/s"))).otherwise("as fast as possible")
+    ramp = F.concat(F.lit("ramp "), g("rate_per_s"), F.lit("→"), g("ramp_to_per_s"), F.lit("/s over "), g("ramp_s"), F.lit(" s"))
+    pace = F.when(_setting("ramp_to_per_s") > 0, ramp).otherwise(plain)
+    recorded = F.when(_setting("speed") > 0, F.concat(F.lit(", "), g("speed"), F.lit("× recorded"))).otherwise("")
+    many = F.when(_setting("concurrency") == 1, "").otherwise("s")
+    text = F.concat(pace, recorded, F.lit(", batches of "), g("batch_size"), F.lit(", "), g("concurrency"), F.lit(" connection"), many)
+    return F.when(F.col("config").isNull(), F.lit("–")).otherwise(text)
+
+
+# Lines of the report that hold no number.
+SECONDS_HEAD = ["| Second | Sent | Accepted | Requests | 429 | Errors | p95 ms |", "|---:|---:|---:|---:|---:|---:|---:|"]
+FOOTER = (
+    "Addresses are shown without their query string and header values are never included. Readings sent to your own service are not stored. "
+    "Rows are counted after a file's header."
+)
+
+
+def report_lines(
+    records: DataFrame, points: DataFrame, checks: DataFrame | None = None, datasets: DataFrame | None = None, rejections: DataFrame | None = None
+) -> DataFrame:
+    """The report of each run as ordered text lines (L13), sections in the order head, setup, results, over_time,
+    seconds_head, seconds, seconds_note, data_head, data_check, rejections, footer.
+
+    Of the data a run has sent, `datasets` (run_id, name, rows, devices) adds the heading, `checks` (run_id, line_no, level,
+    text) the findings, and `rejections` (run_id, reason, label, n, row, detail) the groups, with a row per example.
+    """
     s = lambda c: F.col(c).cast("string")
-    g = lambda c: plain_number(F.col(c).cast("double"))
+    g = lambda c: _number_text(F.col(c))
 
     def text(*parts: "Column | str") -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
     faults = _setting("malformed_rate") + _setting("duplicate_rate") + _setting("late_rate") > 0
-    percent = lambda name: plain_number(F.round(100 * _setting(name), 6))
+    percent = lambda name: _number_text(F.round(100 * _setting(name), 6))
     statuses = F.array_join(
         F.transform(
             F.map_entries("status_counts"),
@@ -398,13 +441,13 @@ def report_lines(records: DataFrame, points: DataFrame, checks: DataFrame | None
             text("| Sent to | ", table_cell(F.col("target")), " |"),
             text("| Data | ", table_cell(F.col("source")), " |"),
             text("| Pace | ", pace_text(), " |"),
-            text("| Batch size / connections | ", plain_number(_setting("batch_size")), " / ", plain_number(_setting("concurrency")), " |"),
-            text("| Retries on 429 | ", plain_number(_setting("retries")), " |"),
+            text("| Batch size / connections | ", _number_text(_setting("batch_size")), " / ", _number_text(_setting("concurrency")), " |"),
+            text("| Retries on 429 | ", _number_text(_setting("retries")), " |"),
             F.when(
                 faults | (_setting("burst_every") > 0),
                 text("| Faults added | malformed ", percent("malformed_rate"), "%, duplicated ", percent("duplicate_rate"),
-                     "%, late ", percent("late_rate"), "%, burst every ", plain_number(_setting("burst_every")),
-                     " batches of ", plain_number(_setting("burst_size")), " |"),
+                     "%, late ", percent("late_rate"), "%, burst every ", _number_text(_setting("burst_every")),
+                     " batches of ", _number_text(_setting("burst_size")), " |"),
             ),
         ]),
         ("results", [
@@ -454,6 +497,22 @@ def report_lines(records: DataFrame, points: DataFrame, checks: DataFrame | None
         F.concat(F.lit("| "), F.concat_ws(" | ", *cells, g("p95_ms")), F.lit(" |")).alias("text"),
     )
     out = out.unionByName(seconds)
+
+    def lines(df: DataFrame, section: str, *texts: Column) -> DataFrame:
+        numbered = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(i).alias("line_no"), t.alias("text")) for i, t in enumerate(texts, 1)])
+        return df.select("run_id", F.inline(numbered))
+
+    step = points.groupBy("run_id").agg(F.ceil(F.count("*") / S.MAX_REPORT_SECONDS).alias("step"))
+    out = out.unionByName(lines(step, "seconds_head", *map(F.lit, SECONDS_HEAD)))
+    out = out.unionByName(lines(step.where("step > 1"), "seconds_note", text("Every ", s("step"), " seconds are shown.")))
+    out = out.unionByName(lines(records, "footer", F.lit(FOOTER)))
+    if datasets is not None:
+        out = out.unionByName(lines(datasets, "data_head", text("## Data check of ", table_cell(F.col("name"))), text(s("rows"), " rows, ", s("devices"), " devices.")))
+    if rejections is not None:
+        example = F.struct("row", text("row ", s("row"), ": ", table_cell(F.col("detail"))).alias("text"))
+        groups = rejections.groupBy("run_id", "reason", "label", "n").agg(F.array_join(F.array_sort(F.collect_list(example))["text"], "; ").alias("examples"))
+        order = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("n"), "reason"))
+        out = out.unionByName(groups.select("run_id", F.lit("rejections").alias("section"), order.alias("line_no"), text("  - ", s("n"), " x ", F.col("label"), " (", F.col("examples"), ")").alias("text")))
     if checks is not None:
         out = out.unionByName(
             checks.select(

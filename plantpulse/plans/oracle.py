@@ -329,27 +329,40 @@ first_bad AS (
          CASE WHEN status0 = -1 THEN 'connection refused' ELSE 'the service answered 500 Internal Server Error' END AS message,
          CASE WHEN status0 = 500 THEN 'upstream ' || k || ' failed' END AS body FROM broke)"""
 
-MEASURES = [
-    ("Records sent", "records_done", "", ""),
-    ("Accepted", "accepted", "", "higher"),
-    ("Peak sent per second", "peak_sent_per_s", "", ""),
-    ("Peak accepted per second", "peak_accepted_per_s", "", "higher"),
-    ("Requests told to slow down (429)", "throttled", "", "lower"),
-    ("Request errors", "request_errors", "", "lower"),
-    ("Latency p95", "p95_ms", " ms", "lower"),
-    ("Latency p99", "p99_ms", " ms", "lower"),
-    ("Latency max", "max_ms", " ms", "lower"),
-    ("Took", "elapsed_s", " s", ""),
+SHORT_PACE = "'as fast as possible, batches of 50, 8 connections'"
+FIRST_429 = "CASE WHEN {0}.first_throttled_at_s IS NULL THEN 'none' ELSE 'at ' || {0}.first_throttled_at_s || ' s (' || {0}.sent_per_s_at_first_throttle || '/s)' END"
+COMPARED_TEXTS = {
+    "Started": "strftime({0}.started_at, '%Y-%m-%d %H:%M:%S')", "Sent to": "'http://host-' || {0}.run_no || ':8080'", "Data": "'generated data'",
+    "Pace": SHORT_PACE, "First 429": FIRST_429,
+}
+COMPARED_ROWS = [
+    ("Started", "", "", ""), ("Sent to", "", "", ""), ("Data", "", "", ""), ("Pace", "", "", ""),
+    ("Records sent", "records_done", "", ""), ("Accepted", "accepted", "", "higher"), ("Peak sent per second", "peak_sent_per_s", "", ""),
+    ("Peak accepted per second", "peak_accepted_per_s", "", "higher"), ("Requests told to slow down (429)", "throttled", "", "lower"),
+    ("First 429", "", "", ""), ("Request errors", "request_errors", "", "lower"), ("Latency p95", "p95_ms", " ms", "lower"),
+    ("Latency p99", "p99_ms", " ms", "lower"), ("Latency max", "max_ms", " ms", "lower"), ("Took", "elapsed_s", " s", ""),
 ]
+
+
+def _compared_row(no: int, label: str, column: str, unit: str, better: str) -> str:
+    """A line of the comparison of the facts `fa` and `fb`, as a struct."""
+    if column:
+        value = {side: f"CAST({side}.{column} AS DOUBLE)" for side in ("fa", "fb")}
+        shown = {side: f"{number(v)} || '{unit}'" for side, v in value.items()}
+    else:
+        value = dict.fromkeys(("fa", "fb"), "CAST(NULL AS DOUBLE)")
+        shown = {side: COMPARED_TEXTS[label].format(side) for side in value}
+    return (f"{{'no': {no}, 'measure': '{label}', 'a': {value['fa']}, 'b': {value['fb']}, 'shown_a': {shown['fa']}, 'shown_b': {shown['fb']},"
+            f" 'unit': '{unit}', 'better': '{better}'}}")
+
+
 COMPARED = (
     TOTALS
-    + ",\nfacts AS MATERIALIZED (SELECT r.run_id, r.started_at, round(r.elapsed_s, 1) AS elapsed_s, t.* EXCLUDE (run_id), l.* EXCLUDE (run_id), s.* EXCLUDE (run_id)"
-    + " FROM run r JOIN total t USING (run_id) JOIN latency l USING (run_id) JOIN summary s USING (run_id)),\nmeasure AS MATERIALIZED ("
-    + " UNION ALL ".join(
-        f"SELECT run_id, {i} AS no, '{label}' AS measure, CAST({c} AS DOUBLE) AS v, '{unit}' AS unit, '{better}' AS better FROM facts"
-        for i, (label, c, unit, better) in enumerate(MEASURES, 1)
-    )
-    + "),\npairs AS (SELECT * FROM (SELECT lag(run_id) OVER (ORDER BY started_at) AS run_a, run_id AS run_b FROM run) WHERE run_a IS NOT NULL)"
+    + ",\nfacts AS MATERIALIZED (SELECT r.run_id, r.run_no, r.started_at, round(r.elapsed_s, 1) AS elapsed_s, t.* EXCLUDE (run_id), l.* EXCLUDE (run_id), s.* EXCLUDE (run_id)"
+    + " FROM run r JOIN total t USING (run_id) JOIN latency l USING (run_id) JOIN summary s USING (run_id)),"
+    + "\npairs AS MATERIALIZED (SELECT * FROM (SELECT lag(run_id) OVER (ORDER BY started_at) AS run_a, run_id AS run_b FROM facts) WHERE run_a IS NOT NULL),"
+    + "\nsides AS (SELECT run_a, run_b, unnest([" + ", ".join(_compared_row(i, *row) for i, row in enumerate(COMPARED_ROWS, 1))
+    + "], recursive := true) FROM pairs p JOIN facts fa ON fa.run_id = p.run_a JOIN facts fb ON fb.run_id = p.run_b)"
 )
 
 

@@ -38,7 +38,10 @@ SELECT batch_id, CAST(count(*) AS INTEGER) AS n_events, CASE WHEN count(*) > 500
 FROM record GROUP BY 1""")
 # A request is judged at one moment: the arrival of its last record.
 ONE_MOMENT = "FROM (SELECT * REPLACE (max(received_at) OVER (PARTITION BY batch_id) AS received_at) FROM record)),\nchecked AS"
-add("payload_reasons", DEDUPED.replace("FROM record),\nchecked AS", ONE_MOMENT), "SELECT batch_id, coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM deduped GROUP BY 1, 2")
+add("payload_reasons", DEDUPED.replace("FROM record),\nchecked AS", ONE_MOMENT), """
+SELECT batch_id, outcome, CASE WHEN outcome = 'batch_too_large' THEN 1 ELSE count(*) END AS n FROM (
+  SELECT batch_id, CASE WHEN count(*) OVER (PARTITION BY batch_id) > 500 THEN 'batch_too_large' ELSE coalesce(reason, 'accepted') END AS outcome
+  FROM (SELECT batch_id, reason FROM deduped)) GROUP BY 1, 2""")
 add("rejection_examples", CHECKED + """,
 bad AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY row_no) AS r, count(*) OVER (PARTITION BY reason) AS n
   FROM checked WHERE reason IS NOT NULL)""",
@@ -200,16 +203,19 @@ SELECT run_id, strftime(started_at, '%Y%m%dT%H%M%S.%g') || 'Z' AS id, 'http://ho
        message
 FROM run JOIN total USING (run_id) JOIN latency USING (run_id) JOIN summary USING (run_id) LEFT JOIN first_bad USING (run_id)""")
 SIGN = "CASE WHEN b > a THEN '+' ELSE '−' END"
-add("compare_runs", COMPARED + """,
-sides AS (SELECT p.run_a, p.run_b, x.no, x.measure, x.v AS a, y.v AS b, x.unit, x.better
-  FROM pairs p JOIN measure x ON x.run_id = p.run_a JOIN measure y ON y.run_id = p.run_b AND y.no = x.no)""", f"""
-SELECT run_a, run_b, no, measure, a, b, round(b - a, 2) AS difference,
+add("compare_runs", COMPARED, f"""
+SELECT run_a, run_b, CAST(no AS INTEGER) AS no, measure, a, b, shown_a, shown_b, round(b - a, 2) AS difference,
        CASE WHEN a <> 0 THEN CAST(round(abs(100 * (b - a) / a), 0) AS BIGINT) END AS percent,
        CASE WHEN b = a THEN 'same' ELSE {SIGN} || {number('round(abs(b - a), 2)')} || unit
             || coalesce(' (' || {SIGN} || CASE WHEN a <> 0 THEN CAST(round(abs(100 * (b - a) / a), 0) AS BIGINT) END || '%)', '') END AS change,
        CASE WHEN better = '' OR a = b THEN '' WHEN (b > a) = (better = 'higher') THEN 'better' ELSE 'worse' END AS verdict
 FROM sides""")
-add("report_lines", TOTALS + f""",
+EXAMPLES = CHECKED + """,
+bad AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY row_no) AS r, count(*) OVER (PARTITION BY reason) AS n
+  FROM checked WHERE reason IS NOT NULL)"""
+add("report_lines", EXAMPLES + ",\n" + TOTALS.replace("judged AS (", "weighed AS (").replace("FROM judged)", "FROM weighed)") + f""",
+grouped AS (SELECT reason, {LABELS} AS label, any_value(n) AS n, string_agg('row ' || row_no || ': ' || replace(detail, '|', '\\|'), '; ' ORDER BY row_no) AS examples
+  FROM bad WHERE r <= 3 GROUP BY reason),
 facts AS (SELECT r.run_id, r.run_no, r.started_at, r.elapsed_s, r.planned, t.* EXCLUDE (run_id), l.* EXCLUDE (run_id), s.* EXCLUDE (run_id), b.* EXCLUDE (run_id, status),
     records_done / elapsed_s AS rate
   FROM run r JOIN total t USING (run_id) JOIN latency l USING (run_id) JOIN summary s USING (run_id) LEFT JOIN first_bad b USING (run_id)),
@@ -238,15 +244,28 @@ lines AS (
   UNION ALL SELECT run_id, 'over_time', 3, '- First error at ' || first_error_at_s || ' s, at about ' || sent_per_s_at_first_error || ' records a second.' FROM facts WHERE first_error_at_s IS NOT NULL
   UNION ALL SELECT run_id, 'over_time', 4, '- The slowest 5% of requests took ' || {number('p95_first_ms')} || ' ms at the start and ' || {number('p95_last_ms')} || ' ms at the end.' FROM facts
   UNION ALL SELECT p.run_id, 'seconds', p.t + 1, '| ' || p.t || ' | ' || sent || ' | ' || records || ' | ' || requests || ' | ' || throttled || ' | ' || errors || ' | ' || {number('p95_ms')} || ' |'
-  FROM point p JOIN thin USING (run_id) WHERE p.t % step = 0)""", "SELECT * FROM lines")
-add("run_outcome", TOTALS, """
-SELECT run_id, round(least(100.0::DOUBLE, 100.0::DOUBLE * records_done / planned), 1) AS progress_percent, CAST(NULL AS BIGINT) AS already_stored,
+  FROM point p JOIN thin USING (run_id) WHERE p.t % step = 0
+  UNION ALL SELECT run_id, 'seconds_head', 1, '| Second | Sent | Accepted | Requests | 429 | Errors | p95 ms |' FROM facts
+  UNION ALL SELECT run_id, 'seconds_head', 2, '|---:|---:|---:|---:|---:|---:|---:|' FROM facts
+  UNION ALL SELECT run_id, 'seconds_note', 1, 'Every ' || step || ' seconds are shown.' FROM thin WHERE step > 1
+  UNION ALL SELECT 'run-00000', 'data_head', 1, '## Data check of dirty\\|records'
+  UNION ALL SELECT 'run-00000', 'data_head', 2, count(*) || ' rows, ' || count(DISTINCT device_id) FILTER (NOT broken) || ' devices.' FROM record
+  UNION ALL SELECT 'run-00000', 'rejections', CAST(row_number() OVER (ORDER BY n DESC, reason) AS INTEGER), '  - ' || n || ' x ' || label || ' (' || examples || ')' FROM grouped
+  UNION ALL SELECT run_id, 'footer', 1, 'Addresses are shown without their query string and header values are never included. Readings sent to your own service are not stored. Rows are counted after a file''s header.' FROM facts)""", "SELECT * FROM lines")
+add("run_outcome", TOTALS + """,
+grown AS (SELECT event_id AS n, sum(g) OVER (ORDER BY event_id) AS total FROM (
+  SELECT event_id, CASE WHEN b IS NULL THEN 0 WHEN v >= b THEN v - b ELSE v END AS g FROM (
+    SELECT event_id, event_id * 2 % 9000 AS v, lag(event_id * 2 % 9000) OVER (ORDER BY event_id) AS b FROM events))),
+ends AS (SELECT run_id, max(n) AS last, any_value(run_no) * 2500 AS first FROM attempt GROUP BY 1),
+added AS (SELECT run_id, CAST(b.total - coalesce((SELECT max(g.total) FROM grown g WHERE g.n <= first), 0) AS BIGINT) AS stored FROM ends JOIN grown b ON b.n = last),
+told AS (SELECT *, CASE WHEN NOT outside AND accepted > stored THEN CAST(accepted - stored AS BIGINT) END AS already FROM run JOIN total USING (run_id) JOIN added USING (run_id))""", """
+SELECT run_id, round(least(100.0::DOUBLE, 100.0::DOUBLE * records_done / planned), 1) AS progress_percent, already AS already_stored,
        'Replay done: ' || records_done || CASE WHEN outside
          THEN ' sent to http://host-' || run_no || ':8080, ' || accepted || ' accepted, ' || errored_records || ' failed'
               || CASE WHEN throttled = 0 THEN '' WHEN throttled = 1 THEN ', answered 429 1 time' ELSE ', answered 429 ' || throttled || ' times' END
-         ELSE ' sent, ' || accepted || ' accepted, ' || rejected || ' rejected' END
+         ELSE ' sent, ' || stored || ' stored, ' || rejected || ' rejected' || coalesce(' (' || already || ' already stored)', '') END
        || CASE WHEN gave_up_records > 0 THEN ', ' || gave_up_records || ' gave up after retries' ELSE '' END AS line
-FROM run JOIN total USING (run_id)""")
+FROM told""")
 add("redacted_targets", TOTALS, "SELECT run_id, 'http://host-' || run_no || ':8080' AS shown, 'http://host-' || run_no || ':8080/api' AS saved FROM run")
 
 # --- counters ---------------------------------------------------------------
@@ -309,17 +328,24 @@ UNION ALL SELECT 'alert', device_id, '{{"type":"alert","data":{{"alert_id":"' ||
 
 # --- import of files --------------------------------------------------------
 IMPORT = CHECKED + """,
-lines AS (SELECT *, row_number() OVER (ORDER BY row_no) AS line FROM record WHERE NOT broken)"""
-add("import_csv_rows", IMPORT, """
-SELECT line AS row_no, device_id || '-' || line AS event_id, device_id, temperature_c, vibration_mm_s,
-       CASE WHEN temperature_c IS NULL THEN 'malformed_json' WHEN device_id = 'press/01' THEN 'invalid_event_id'
-            WHEN event_time IS NULL THEN 'invalid_timestamp' WHEN temperature_c > 250 THEN 'out_of_range' END AS reason FROM lines""")
+lines AS (SELECT row_number() OVER (ORDER BY row_no) AS line, CASE WHEN broken THEN NULL ELSE device_id END AS device_id, CASE WHEN broken THEN NULL ELSE temperature_c END AS temperature_c,
+    CASE WHEN broken THEN NULL ELSE vibration_mm_s END AS vibration_mm_s, CASE WHEN broken THEN NULL ELSE event_time END AS event_time, broken, site_id, sequence FROM record),
+read AS (SELECT *, CASE WHEN broken THEN 'invalid_event_id' WHEN temperature_c IS NULL THEN 'malformed_json' WHEN device_id = 'press/01' THEN 'invalid_event_id'
+    WHEN event_time IS NULL THEN 'invalid_timestamp' WHEN temperature_c > 250 THEN 'out_of_range' END AS reason FROM lines)"""
+IMPORT_ROWS = "SELECT line AS row_no, coalesce(device_id, '') || '-' || line AS event_id, device_id, temperature_c, vibration_mm_s, reason FROM read"
+add("import_csv_rows", IMPORT, IMPORT_ROWS)
+add("import_json_array", IMPORT, IMPORT_ROWS)
+add("csv_records", IMPORT, """
+SELECT line AS row_no, device_id AS machine,
+       CASE WHEN NOT broken THEN 'plant "' || coalesce(site_id, '?') || '",' || chr(10) || 'line ' || sequence END AS operator FROM lines""")
 add("import_ndjson_summary", IMPORT, f"""
-SELECT 'ndjson' AS format, count(*) AS rows, count(DISTINCT device_id) AS devices, 'Machine,Operator,Temp,Timestamp,Vibration' AS columns,
+SELECT 'ndjson' AS format, count(*) AS rows, count(DISTINCT device_id) AS devices,
+       (SELECT string_agg(c, ',' ORDER BY f, c) FROM (SELECT c, min(line) AS f FROM lines, LATERAL (VALUES ('Machine', NOT broken), ('Temp', NOT broken), ('Timestamp', NOT broken),
+         ('Vibration', NOT broken), ('Operator', NOT broken AND sequence IS NOT NULL)) AS v(c, given) WHERE given GROUP BY c)) AS columns,
        'Machine=device_id,Temp=temperature_c,Timestamp=event_time,Vibration=vibration_mm_s' AS mapped, 'Operator' AS ignored,
        'event_id (device id and row number),schema_version (1)' AS derived, {millis('min(event_time)')} AS first_time, {millis('max(event_time)')} AS last_time,
-       count(*) FILTER (temperature_c IS NULL OR device_id = 'press/01' OR event_time IS NULL OR temperature_c > 250) AS problems
-FROM lines""")
+       count(reason) AS problems
+FROM read""")
 
 # --- streaming --------------------------------------------------------------
 STREAMED = DEDUPED + ",\nfresh AS (SELECT * FROM deduped WHERE reason IS NULL),\n" + first_wins("fresh", "won", "", "batch_no * 100000 + idx") + """,
@@ -335,7 +361,7 @@ add("stream_per_second", GOOD, f"SELECT {nano('''date_trunc('second', event_time
 add("lenient_lines", RECORD, "SELECT count(*) FILTER (broken) AS unreadable_lines, count(*) FILTER (NOT broken) AS readable_lines FROM record")
 add("stored_day", READING, "SELECT site_id, count(*) AS n, max(temperature_c) AS max_temperature_c FROM reading WHERE CAST(event_time AS DATE) = DATE '2024-01-10' GROUP BY 1")
 add("cleared_rows", ALERTS, "SELECT (SELECT count(*) FROM reading) AS deleted_events, (SELECT count(*) FROM fired) AS deleted_alerts, CAST(0 AS BIGINT) AS \"left\"")
-add("failure_stages", SRC, """
-SELECT s.stage, count(f.n) AS n FROM (VALUES ('persist', 0), ('alert_persist', 50), ('shutdown_drop', -1)) s(stage, rest)
-LEFT JOIN (SELECT n, n % 100 AS rest FROM src WHERE n % 50 = 0) f ON f.rest = s.rest GROUP BY 1""")
+add("failure_stages", "", """
+SELECT s.stage, count(f.event_id) AS n FROM (VALUES ('persist', 'error', -1), ('alert_persist', 'signup', -1), ('shutdown_drop', 'view', 900)) s(stage, kind, after)
+LEFT JOIN events f ON f.event_type = s.kind AND f.event_id > s.after GROUP BY 1""")
 add("file_names", SRC, "SELECT 'run-' || (n % 50) || '.csv' AS name, 'Authorization: (hidden)' AS header, count(*) AS n FROM src GROUP BY 1")

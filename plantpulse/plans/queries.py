@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
@@ -18,7 +18,6 @@ from plantpulse.functions.text import base_name, display_address, hide_header_va
 from plantpulse.functions.times import format_nano, instant, parse_rfc3339_text
 from plantpulse.operators import alerts as A
 from plantpulse.operators import dedup as D
-from plantpulse.operators import faults as I
 from plantpulse.operators import frames as P
 from plantpulse.operators import metrics as M
 from plantpulse.operators import quality as R
@@ -26,6 +25,7 @@ from plantpulse.operators import rebase as B
 from plantpulse.operators import runs as L
 from plantpulse.operators import store as Q
 from plantpulse.operators import validate as V
+from plantpulse.operators.ordered import global_rank
 from plantpulse.plans import views
 from plantpulse.session import ensure_checkpoint_dir, pin
 from plantpulse.sources import exports, mapping, readers
@@ -103,11 +103,15 @@ def batch_envelopes(spark, d):
 
 @query
 def payload_reasons(spark, d):
-    """The way of a request: envelope, records in their original text, validation, repeats inside the batch."""
-    enveloped = readers.batch_envelope(views.request_bodies(spark, d), max_events=1000)
+    """The way of a request: envelope, records in their original text, validation, repeats inside the batch.
+
+    A request that is refused as a whole has its error for an outcome.
+    """
+    enveloped = readers.batch_envelope(views.request_bodies(spark, d))
     records = readers.explode_payload(readers.good_batches(enveloped))
     checked = D.dedup_in_batch(V.validate(records))
-    return checked.groupBy("batch_id", F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    outcomes = checked.groupBy("batch_id", F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    return outcomes.unionByName(enveloped.where("error is not null").select("batch_id", F.col("error").alias("outcome"), F.lit(1).cast("bigint").alias("n")))
 
 
 @query
@@ -420,14 +424,25 @@ def compare_runs(spark, d):
 
 @query
 def report_lines(spark, d):
+    """The first run sends the dirty records, so its report ends with their data check."""
     records, points = _records(spark, d)
-    return L.report_lines(records, points)
+    first = F.lit("run-00000").alias("run_id")
+    rows = views.imported(spark, d)
+    data = rows.agg(first, F.lit("dirty|records").alias("name"), F.count("*").alias("rows"), F.count_distinct("device_id").alias("devices"))
+    groups = R.rejection_examples(views.checked(spark, d)).select(first, "reason", "label", "n", "row", "detail")
+    return L.report_lines(records, points, datasets=data, rejections=groups)
 
 
 @query
 def run_outcome(spark, d):
+    """With the rows that each run stored: the growth of a counter that begins anew now and then, from scrape to scrape."""
     log, runs = _log(spark, d)
-    return L.run_outcome(L.run_totals(log, runs), runs)
+    stored = M.scrape_long(views.scrapes(spark, d)).where("metric = 'stored'")
+    series = stored.select(views.finished_micros(F.col("t")).alias("t"), (F.col("value") % 9000).alias("value"))
+    start = F.unix_micros("started_at")
+    spans = runs.select("run_id", start.alias("from_t"), (start + F.round(F.col("elapsed_s") * 1e6)).cast("bigint").alias("to_t"))
+    grown = M.growth_between(series, spans).select("run_id", F.col("growth").cast("bigint").alias("stored"))
+    return L.run_outcome(L.run_totals(log, runs), runs, grown)
 
 
 @query
@@ -492,36 +507,6 @@ def metrics_as_of(spark, d):
     return M.metrics_as_of(asked, series)
 
 
-# --- faults -----------------------------------------------------------------
-RATES = I.FaultRates(seed=7, malformed=0.1, late=0.1, duplicate=0.1)
-
-
-def _plan(spark, d):
-    r = views.readings(spark, d).withColumn("row_no", F.col("n") + 1).withColumn("event_time", format_nano(F.col("event_time")))
-    return I.plan_faults(r, RATES)
-
-
-@query
-def fault_plan_counts(spark, d):
-    return I.fault_counts(_plan(spark, d))
-
-
-@query
-def expected_vs_stored(spark, d):
-    """Ids and alerts an ideal receiver would hold against what the operators store: no row means they agree."""
-    ideal = I.expected_outcome(_plan(spark, d), 10, 85.0, 7.1)
-    sent = ideal["sent"].select(
-        F.col("batch_no").cast("string").alias("batch_id"), (F.col("_n") % 10).cast("int").alias("idx"), "_n",
-        F.col("body").alias("raw"), instant("2025-01-01T00:00:00Z").alias("received_at"),
-    )
-    # Copies share device and sequence with their original, so both keys agree on every repeat.
-    stored = D.insert_new(V.accepted(D.dedup_in_batch(V.validate(sent, S.Limits(temp_max_c=1000.0)))), None, ["_n"])
-    kept = D.stored_rows(stored)
-    ids = I.differences(ideal["stored"].select(F.col("event_id").alias("id")), kept.select(F.col("event_id").alias("id")))
-    fired = A.evaluate_alerts(kept).select(F.col("alert_id").alias("id"))
-    return ids.unionByName(I.differences(ideal["alerts"].select(F.col("alert_id").alias("id")), fired))
-
-
 # --- rebase, exports, frames ------------------------------------------------
 @query
 def rebase_latest(spark, d):
@@ -568,36 +553,71 @@ def live_frames(spark, d):
 
 # --- import of files --------------------------------------------------------
 def _recording(spark, d):
-    """The dirty records under everyday column names, in file order, with a column the schema does not know."""
-    rows = views.imported(spark, d).where(F.col("device_id").isNotNull())
+    """The dirty records under everyday column names, in file order, with a column the schema does not know.
+
+    Unreadable records are rows without values.
+    """
+    rows = views.imported(spark, d)
+    lost = F.col("device_id").isNull()
     return rows.orderBy("row_no").select(
         F.col("event_time").alias("Timestamp"), F.col("device_id").alias("Machine"),
-        F.coalesce(F.col("temperature_c").cast("string"), F.lit("hot")).alias("Temp"), F.col("vibration_mm_s").alias("Vibration"),
-        F.col("site_id").alias("Operator"),
+        F.when(~lost, F.coalesce(F.col("temperature_c").cast("string"), F.lit("hot"))).alias("Temp"), F.col("vibration_mm_s").alias("Vibration"),
+        F.when(~lost, F.concat(F.lit('plant "'), F.coalesce("site_id", F.lit("?")), F.lit('",\nline '), F.col("sequence").cast("string"))).alias("Operator"),
     )
 
 
+def _csv_recording(spark, d):
+    path = folder(spark, "recording")
+    _recording(spark, d).write.options(header=True, escape='"').csv(path)
+    return path
+
+
 @query
 def import_csv_rows(spark, d):
     """Written as CSV, read back by the importer: row numbers, derived ids, typed cells and reasons."""
-    path = folder(spark, "recording")
-    _recording(spark, d).write.option("header", True).csv(path)
-    done = mapping.import_file(spark, path)
+    done = mapping.import_file(spark, _csv_recording(spark, d))
     checked = done.checked(instant("2025-01-01T00:00:00Z"))
     return checked.select("row_no", "event_id", "device_id", "temperature_c", "vibration_mm_s", "reason")
 
 
+@query
+def csv_records(spark, d):
+    """Cells with quotes, commas and line breaks, read back in splits."""
+    return readers.read_csv(spark, _csv_recording(spark, d)).select("row_no", F.col("Machine").alias("machine"), F.col("Operator").alias("operator"))
+
+
+def _json_texts(spark, d):
+    """The recording as JSON objects, numbers written as such."""
+    rows = _recording(spark, d)
+    number = F.regexp_replace(F.to_json(F.struct(*rows.columns)), r'"Temp":"([0-9.]+)"', '"Temp":$1')
+    return rows.select(number.alias("value"))
+
+
 @query
 def import_ndjson_summary(spark, d):
     """Written as NDJSON, read back by the importer: the summary row."""
     path = folder(spark, "recording")
-    number = F.regexp_replace(F.to_json(F.struct("Timestamp", "Machine", "Temp", "Vibration", "Operator")), r'"Temp":"([0-9.]+)"', '"Temp":$1')
-    _recording(spark, d).select(number.alias("value")).write.text(path)
+    _json_texts(spark, d).write.text(path)
     done = mapping.import_file(spark, path)
     summary = mapping.dataset_summary(done, done.checked(instant("2025-01-01T00:00:00Z")))
     return summary.withColumns({c: F.array_join(c, ",") for c in ("columns", "mapped", "ignored", "derived")})
 
 
+@query
+def import_json_array(spark, d):
+    """Written as files with an array each, read back by the importer in splits."""
+    path = folder(spark, "recording")
+    rows = global_rank(_json_texts(spark, d).withColumn("at", F.monotonically_increasing_id()), ["at"], "n")
+    page = F.lpad(F.floor((F.col("n") - 1) / 5000).cast("string"), 9, "0")
+    ends = F.max("n").over(Window.partitionBy("page"))
+    begin, end = F.when((F.col("n") - 1) % 5000 == 0, "[").otherwise(""), F.when(F.col("n") == F.col("last"), "]").otherwise(",")
+    pages = rows.withColumn("page", page).withColumn("last", ends).repartition("page").sortWithinPartitions("page", "n")
+    pages.select("page", F.concat(begin, F.col("value"), end).alias("value")).write.partitionBy("page").text(path)
+    done = mapping.import_file(spark, path)
+    checked = done.checked(instant("2025-01-01T00:00:00Z"))
+    return checked.select("row_no", "event_id", "device_id", "temperature_c", "vibration_mm_s", "reason")
+
+
 # --- streaming --------------------------------------------------------------
 def _stream(spark, d):
     """The dirty records as NDJSON files, run through the streaming job until everything there is processed."""
@@ -668,10 +688,11 @@ def cleared_rows(spark, d):
 
 @query
 def failure_stages(spark, d):
-    """Failures of a log, per stage; a stage without failures is listed."""
-    n = F.col("event_id")
-    failed = views.table(spark, d, "events").where(n % 50 == 0)
-    return M.failure_stages(failed.select(F.when(n % 100 == 0, S.FAILURE_STAGES[0]).otherwise(S.FAILURE_STAGES[1]).alias("stage")))
+    """Failures of a log, per stage: each event failed where its type says, or not at all."""
+    persist, alert, shutdown = S.FAILURE_STAGES
+    kind = F.col("event_type")
+    stage = F.when(kind == "error", persist).when(kind == "signup", alert).when((kind == "view") & (F.col("event_id") > 900), shutdown)
+    return M.failure_stages(views.table(spark, d, "events").select(stage.alias("stage")))
 
 
 @query

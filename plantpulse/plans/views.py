@@ -222,6 +222,11 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pin(imported(spark, sf_dir, silence=True))
 
 
+def finished_micros(n: Column) -> Column:
+    """When the attempt of an event ended."""
+    return F.lit(1_704_067_200_000_000) + F.floor(n / 2500) * 3_600_000_000 + F.floor((n % 2500) / 10) * 1_000_000 + (n % 10) * 97_000
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A delivery log: one attempt per driver event, 2500 attempts a run, ten a second; written like a real log."""
     e = table(spark, sf_dir, "events")
@@ -246,12 +251,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pair", "retry", "pos", "a.*"
     )
     n_records = (1 + F.col("pair") % 50).cast("int")
-    finished = F.timestamp_micros(
-        F.lit(1_704_067_200_000_000)
-        + F.floor(F.col("n") / 2500) * 3_600_000_000
-        + F.floor((F.col("n") % 2500) / 10) * 1_000_000
-        + (F.col("n") % 10) * 97_000
-    )
+    finished = F.timestamp_micros(finished_micros(F.col("n")))
     external = F.floor(F.col("n") / 2500) % 2 == 1
     rejected = F.least(n_records, (F.col("pair") % 3).cast("int"))
     log = rows.select(

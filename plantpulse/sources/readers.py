@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
 from plantpulse.functions.text import base_name
-from plantpulse.session import once, prepare
-
-BOM = "﻿"
+from plantpulse.session import once, pin, prepare
+from plantpulse.sources import splits
+from plantpulse.sources.splits import BOM
 
 
 class BadFile(ValueError):
@@ -44,7 +47,8 @@ def with_row_no(df: DataFrame, out: str = "row_no") -> DataFrame:
 def detect_format(spark: SparkSession, path: str) -> str:
     """json, ndjson or csv by the first character that is not blank."""
     text = F.regexp_replace("value", f"\\A{BOM}", "")
-    first = spark.read.text(path).select(F.ltrim(text).alias("v")).where(F.trim(F.regexp_replace("v", r"\s", "")) != "").head(1)
+    # Cut at commas: a whole array may be one line.
+    first = spark.read.option("lineSep", ",").text(path).select(F.ltrim(text).alias("v")).where(F.trim(F.regexp_replace("v", r"\s", "")) != "").head(1)
     if not first:
         raise BadFile("the file is empty")
     return {"[": "json", "{": "ndjson"}.get(first[0]["v"].lstrip()[0], "csv")
@@ -79,46 +83,45 @@ def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of one JSON array per file: (row_no, raw) (S3). An array file is one task, as it has no split points.
+    """Objects of one JSON array per file: (row_no, raw), the text of each object as it stands (S3).
 
-    Rows are numbered within their file; with several files they continue in path order.
+    A file is read in splits, also when it is one line. Rows are numbered within their file; with several files they
+    continue in path order.
     """
-    files = prepare(spark).read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    text = F.regexp_replace("value", f"\\A{BOM}", "")
-    parsed = once(files, items=_elements(text), kind=F.schema_of_variant(F.try_parse_json(text)))
-    broken = parsed.where(F.col("items").isNull() | ~F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False)))
-    if broken.limit(1).count():
-        raise BadFile("the file is not a valid JSON array")
-    items = parsed.select("file", F.posexplode("items").alias("pos", "raw"))
-    is_object = F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT")
-    bad = items.where(~F.coalesce(is_object, F.lit(False))).agg(F.min("pos")).first()[0]
+    array = splits.ArrayElements(spark, path)
+    first = F.col("element") == 0
+    begin = F.when(first, r"\A\s*\[\s*").otherwise(r"\A\s*,\s*")
+    items = pin(array.elements.select("file", "element", F.regexp_like("text", begin).alias("begins"), F.regexp_replace("text", begin, "").alias("raw")))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"), F.lit(False))
+    closing = F.when(first, r"\A\s*\[\s*\]\s*\z").otherwise(r"\A\s*\]\s*\z")
+    wrong = items.where(~(F.col("begins") & is_object)).select("file", "element", F.lit(False).alias("at_end"))
+    open_end = array.tails.where(~F.regexp_like("text", closing)).select("file", "element", F.lit(True).alias("at_end"))
+    bad = wrong.unionByName(open_end).orderBy("file", "element").first()
     if bad is not None:
-        raise BadFile(f"item {bad + 1} is not a JSON object")
-    sizes = parsed.select("file", F.size("items").alias("n"))
+        raise BadFile(("the file is not a valid JSON array: " if bad["at_end"] else "") + f"item {bad['element'] + 1} is not a JSON object")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    sizes = items.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    return items.join(offsets, "file").select((F.col("_offset") + F.col("pos") + 1).alias("row_no"), "raw")
+    return items.join(offsets, "file").select((F.col("_offset") + F.col("element") + 1).alias("row_no"), "raw")
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Text cells with trimmed header names and `row_no` (S4). Short rows leave cells NULL, extra cells are dropped.
 
-    `multi_line` allows line breaks inside quotes; a file is then one task.
+    Line breaks inside quotes belong to their cell; files are read in splits all the same. A quote in the wrong place or
+    one that is never closed is an error that names the line. The header of the first file gives the names.
     """
-    prepare(spark)
-    header = spark.read.text(path).select(F.regexp_replace("value", f"\\A{BOM}", "").alias("v")).where(F.trim("v") != "").head(1)
-    if not header:
+    read = splits.CsvRecords(spark, path)
+    error = read.error
+    if error:
+        raise BadFile(error)
+    header = read.records.where("header").orderBy("record").first()
+    if header is None:
         raise BadFile("the file is empty")
-    options = dict(
-        header=True, inferSchema=False, mode="PERMISSIVE", quote='"', escape='"', multiLine=multi_line,
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True,
-    )
-    names = [c.lstrip(BOM).strip() for c in spark.read.options(**options).csv(path).columns]
-    # A fixed schema: with a second pass over the header every file of the folder is read the same way.
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    cells = spark.read.options(**options).schema(schema).csv(path)
-    numbered = with_row_no(cells)
-    return numbered.select("row_no", *[F.trim(F.col(f"c{i}")).alias(name) for i, name in enumerate(unique(names))])
+    names = [c.strip() for c in next(csv.reader(io.StringIO(header["text"], newline=""), skipinitialspace=True))]
+    parsed = read.records.where("not header").select(F.col("record").alias("row_no"), splits.cells(F.col("text"), len(names)).alias("cells"))
+    trimmed = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return once(parsed, kept=F.col("cells")).select("row_no", *[trimmed(F.col(f"kept.c{i}")).alias(name) for i, name in enumerate(unique(names))])
 
 
 def unique(names: list[str]) -> list[str]:

@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from plantpulse.functions.times import instant
-from plantpulse.operators import faults as I
+import faults as I
 from plantpulse.operators import validate as V
 from plantpulse.schemas import MALFORMED_KINDS
 from plantpulse.streaming import jobs

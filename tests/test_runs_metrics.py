@@ -162,6 +162,33 @@ def test_metrics_as_of(spark):
 def test_failures_and_stored_rows(spark):
     failures = spark.createDataFrame([("persist",), ("persist",)], "stage string")
     assert rows(M.failure_stages(failures), "stage", "n") == [("alert_persist", 0), ("persist", 2), ("shutdown_drop", 0)]
-    series = spark.createDataFrame([("r", "stored", t, float(t * t)) for t in range(10)], "run_id string, metric string, t int, value double")
-    spans = spark.createDataFrame([("r", 2, 5)], "run_id string, from_t int, to_t int")
-    assert rows(M.stored_by_run(series, spans), "run_id", "stored") == [("r", 21.0)]
+
+
+def test_growth_of_a_counter_between_two_moments(spark):
+    values = [5.0, 7.0, 7.0, 20.0, 3.0, 4.0, 1.0, 10.0]  # begins anew at 40 and 60
+    series = spark.createDataFrame([(10 * t, v) for t, v in enumerate(values)], "t long, value double")
+    spans = [("all", 0, 70), ("early", -50, 15), ("before", -50, -10), ("inside", 15, 35), ("reset", 35, 45), ("two", 30, 65), ("late", 65, 500), ("none", 41, 49)]
+    df = spark.createDataFrame(spans, "run_id string, from_t long, to_t long")
+
+    def total(t):
+        seen = [v for i, v in enumerate(values) if 10 * i <= t]
+        return sum(b - a if b >= a else b for a, b in zip(seen, seen[1:])) if seen else None  # noqa: B905
+
+    want = [(r, None if total(b) is None else total(b) - (total(a) or 0.0)) for r, a, b in spans]
+    assert rows(M.growth_between(series, df), "run_id", "growth") == sorted(want, key=repr)
+
+
+def test_comparison_has_texts_beside_measures(spark):
+    slow = '{"rate_per_s":50,"ramp_to_per_s":200,"ramp_s":10,"speed":2,"batch_size":20,"concurrency":1}'
+    cells = dict.fromkeys(["records_done", "accepted", "peak_sent_per_s", "peak_accepted_per_s", "throttled", "request_errors"], 10) | {"p95_ms": 1.5, "p99_ms": None, "max_ms": 3.0, "elapsed_s": 2.04}
+    made = [("a", "2025-01-01 10:00:00", "http://one", "x.csv", '{"batch_size":5,"concurrency":3}', None, None), ("b", "2025-01-02 10:00:00", None, "", slow, 4, 120)]
+    df = spark.createDataFrame(made, "run_id string, started_at string, target string, source string, config string, first_throttled_at_s int, sent_per_s_at_first_throttle long")
+    records = df.withColumn("started_at", F.col("started_at").cast("timestamp")).withColumns({k: F.lit(v).cast("double") for k, v in cells.items()})
+    pairs = spark.createDataFrame([("a", "b")], "run_a string, run_b string")
+    shown = {r["measure"]: (r["shown_a"], r["shown_b"]) for r in L.compare_runs(records, pairs).collect()}
+    assert len(shown) == 15
+    assert shown["Started"] == ("2025-01-01 10:00:00", "2025-01-02 10:00:00")
+    assert shown["Sent to"] == ("http://one", "–") and shown["Data"] == ("x.csv", "–")
+    assert shown["Pace"] == ("as fast as possible, batches of 5, 3 connections", "ramp 50→200/s over 10 s, 2× recorded, batches of 20, 1 connection")
+    assert shown["First 429"] == ("none", "at 4 s (120/s)")
+    assert shown["Took"] == ("2 s", "2 s") and shown["Latency p95"] == ("1.5 ms", "1.5 ms") and shown["Latency p99"] == (None, None)
