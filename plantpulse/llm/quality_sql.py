@@ -16,13 +16,10 @@ figures AS (SELECT texts.r, doc_id, source, coalesce(counted.n, 0) AS n_words, c
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
     coalesce(covered.n, 0) AS n_repeat_words
     FROM texts LEFT JOIN counted USING (r) LEFT JOIN dups USING (r) LEFT JOIN covered USING (r)),
-raw_lines AS (SELECT r, source, lower(trim(unnest(string_split(text, chr(10))), chr(32) || chr(9) || chr(11) || chr(12) || chr(13))) AS line FROM texts),
-lines AS (SELECT r, source, line, sum(length(line) - length(replace(line, ' ', '')) + 1) AS words FROM raw_lines WHERE line <> '' GROUP BY ALL),
-lowest AS (SELECT r, min(line) AS a, max(line) AS b FROM
-    (SELECT r, line, row_number() OVER (PARTITION BY r ORDER BY line) AS k FROM lines) WHERE k <= 2 GROUP BY r),
-families AS (SELECT source, line, CASE WHEN line <> a THEN a WHEN a <> b THEN b END AS family FROM lines JOIN lowest USING (r) GROUP BY ALL),
+raw_lines AS (SELECT r, source, text, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM texts),
+lines AS (SELECT r, source, line, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM raw_lines WHERE line <> '' GROUP BY ALL),
 hosts AS (SELECT source, count(*) AS n FROM texts GROUP BY source),
-above AS (SELECT f.source, line FROM (SELECT source, line, count(*) AS n FROM families GROUP BY ALL) AS f
+above AS (SELECT f.source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM raw_lines WHERE line <> '' GROUP BY ALL) AS f
     JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source WHERE f.n > {LINE_LIMIT} AND f.n > hosts.n * {LINE_SHARE}::DOUBLE),
 lost AS (SELECT r, sum(words) AS words FROM lines JOIN above ON lines.source IS NOT DISTINCT FROM above.source AND lines.line = above.line GROUP BY r),
 judged AS (SELECT figures.*, coalesce(lost.words, 0) AS n_removed_words,
