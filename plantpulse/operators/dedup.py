@@ -4,26 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse import schemas as S
 from plantpulse.functions.skew import null_salt
-from plantpulse.operators.components import components
 from plantpulse.operators.validate import zero_filled
 from plantpulse.session import pin
 
-ROUNDS_BEFORE_SCAN = 8
-
-
 def first_accepted(
     df: DataFrame,
     id_cols: list[str],
     seq_cols: list[str],
     order_cols: list[str],
     outcome: str = "outcome",
-    rounds_before_scan: int = ROUNDS_BEFORE_SCAN,
 ) -> DataFrame:
     """Mark each row `accepted`, `repeated_id` or `repeated_sequence` as a scan in order would (D3).
 
@@ -32,9 +26,8 @@ def first_accepted(
     agree in id and place, as when a request arrives twice, one is accepted and the others repeat its id.
 
     Each round accepts the rows that come first under both keys among the undecided ones and removes their
-    neighbours. Rows equal in both keys are collapsed first and the candidates are plain minima, so a key with a
-    huge number of copies shrinks before any shuffle. What is undecided after `rounds_before_scan` rounds are long chains of
-    conflicts; each chain is then scanned in order by itself.
+    neighbours, then decides chains of conflicts at once (`_chained`). Rows equal in both keys are collapsed first and the
+    candidates are plain minima, so a key with a huge number of copies shrinks before any shuffle.
     """
     keyed = df.select(
         F.struct(*id_cols).alias("_id"),
@@ -43,43 +36,47 @@ def first_accepted(
     )
     undecided = keyed.groupBy("_id", "_seq").agg(F.min("_ord").alias("_ord"))
     winners: list[DataFrame] = []
-    rounds = 0
     while True:
-        # One written table per round: the winners, and the rows whose turn has not come.
-        judged = pin(_judged(undecided).where("_open OR _won"))
-        winners.append(judged.where("_won").select("_id", "_seq", "_ord"))
-        undecided = judged.where("_open").select("_id", "_seq", "_ord")
-        rounds += 1
-        left = undecided.count()
-        if left == 0:
-            break
-        if rounds >= rounds_before_scan:
-            winners.append(_scan(undecided))
-            break
+        for decide in (_first_under_both, _chained):
+            # One written table per step: the winners, and the rows whose turn has not come.
+            judged = pin(_judged(undecided, decide(undecided)).where("_open OR _won"))
+            winners.append(judged.where("_won").select("_id", "_seq", "_ord"))
+            undecided = judged.where("_open").select("_id", "_seq", "_ord")
+            if undecided.isEmpty():
+                return _marked(df, winners, id_cols, seq_cols, order_cols, outcome)
+
+
+def _marked(df: DataFrame, winners: list[DataFrame], id_cols: list[str], seq_cols: list[str], order_cols: list[str], outcome: str) -> DataFrame:
+    """Every row with its outcome, given the accepted ones."""
     first = reduce(DataFrame.unionByName, [w.select("_id", F.col("_ord").alias("_first")) for w in winners])
-    copies = Window.partitionBy(*dict.fromkeys([*id_cols, *order_cols])).orderBy(*seq_cols)
-    marked = df.withColumn("_copy", F.row_number().over(copies)).withColumn("_id", F.struct(*id_cols)).join(first, "_id", "left")
+    marked = df.withColumn("_id", F.struct(*id_cols)).join(first, "_id", "left")
     here = F.struct(*dict.fromkeys([*order_cols, *id_cols]))
-    return marked.withColumn(
+    place = list(dict.fromkeys([*id_cols, *order_cols]))
+    single = F.lit(True)
+    if not df.groupBy(*place).count().where("count > 1").isEmpty():
+        # A request that arrived twice: only then rows are numbered inside their place.
+        marked = marked.withColumn("_copy", F.row_number().over(Window.partitionBy(*place).orderBy(*seq_cols)))
+        single = F.col("_copy") == 1
+    judged = marked.withColumn(
         outcome,
-        F.when((F.col("_first") == here) & (F.col("_copy") == 1), F.lit("accepted"))
+        F.when((F.col("_first") == here) & single, F.lit("accepted"))
         .when(F.col("_first") <= here, F.lit("repeated_id"))
         .otherwise(F.lit("repeated_sequence")),
-    ).drop("_id", "_first", "_copy")
+    )
+    return judged.drop("_id", "_first", "_copy")
 
 
-def _judged(undecided: DataFrame) -> DataFrame:
-    """Add `_won` (first under both keys) and `_open` (neither winner nor neighbour of one)."""
-    won = _first_under_both(undecided)
-    ids = won.select("_id", F.col("_ord").alias("_by_id"))
-    seqs = won.select("_seq", F.lit(0).cast("bigint").alias("_salt"), F.lit(True).alias("_by_seq"))
+def _judged(undecided: DataFrame, won: DataFrame) -> DataFrame:
+    """Add `_won` and `_open` (neither winner nor neighbour of one) for the given winners."""
+    ids = won.select("_id", F.col("_ord").alias("_by_id"), F.col("_seq").alias("_with"))
+    seqs = won.where(F.col("_seq").isNotNull()).select("_seq", F.lit(0).cast("bigint").alias("_salt"), F.lit(True).alias("_by_seq"))
     salted = undecided.withColumn("_salt", null_salt(F.col("_seq").isNull(), "_id"))
     joined = salted.join(ids, "_id", "left").join(seqs, ["_seq", "_salt"], "left")
     return joined.select(
         "_id",
         "_seq",
         "_ord",
-        F.col("_by_id").eqNullSafe(F.col("_ord")).alias("_won"),
+        (F.col("_by_id").eqNullSafe(F.col("_ord")) & F.col("_with").eqNullSafe(F.col("_seq"))).alias("_won"),
         (F.col("_by_id").isNull() & F.col("_by_seq").isNull()).alias("_open"),
     )
 
@@ -96,26 +93,48 @@ def _first_under_both(undecided: DataFrame) -> DataFrame:
     return by_id.join(by_seq, ["_seq", "_ord"], "left_semi").select("_id", "_seq", "_ord").unionByName(free)
 
 
-def _scan(undecided: DataFrame) -> DataFrame:
-    """Ordered scan of every chain of conflicts: a group of rows that are connected by shared ids and sequences."""
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, keep = set(), []
-        rows = rows.sort_values("_n")
-        for own in zip(rows["_row"], rows["_s"]):
-            free = own[0] not in taken and (own[1] is None or own[1] not in taken)
-            keep.append(free)
-            if free:
-                taken.update(own)
-        return rows.loc[keep, ["_c", "_n"]]
-
-    name = lambda kind, key: F.concat(F.lit(kind), F.to_json(key))
-    named = pin(undecided.withColumn("_row", name("i", F.col("_id"))).withColumn("_s", F.when(F.col("_seq").isNotNull(), name("s", F.col("_seq")))))
-    chains = components(named.where("_s IS NOT NULL").select(F.col("_row").alias("a"), F.col("_s").alias("b")))
-    placed = named.join(chains, named["_row"] == chains["node"], "left").withColumn("_c", F.coalesce("component", "_row"))
-    numbered = pin(placed.withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy("_ord"))).drop("node", "component"))
-    kept = numbered.select("_c", "_n", "_row", "_s").groupBy("_c").applyInPandas(scan, "_c string, _n int")
-    return numbered.join(kept, ["_c", "_n"], "left_semi").select("_id", "_seq", "_ord")
+def _first_two(undecided: DataFrame, key: str) -> DataFrame:
+    """Per key its first row `_one` and, where there is a further one, its second `_two`."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_row"))
+    # Spark cuts each task to two rows a key before the shuffle.
+    few = undecided.where(F.col(key).isNotNull()).withColumn("_place", place).where("_place <= 2")
+    return few.groupBy(key).agg(F.min("_row").alias("_one"), F.max("_row").alias("_two"))
+
+
+def _chained(undecided: DataFrame) -> DataFrame:
+    """The accepted rows among those that a chain of single conflicts leads back to a first row.
+
+    A row with one earlier undecided neighbour is accepted exactly when that one is not, so it takes the opposite of what
+    its neighbour gets. Links are followed in powers of two, the number of turns counted along: a chain of n rows takes
+    log2(n) joins, and no task holds it. Rows behind one with several earlier neighbours wait.
+    """
+    rows = undecided.withColumn("_row", F.struct("_ord", "_seq"))
+    salted = rows.withColumn("_salt", null_salt(F.col("_seq").isNull(), "_id"))
+    by_id = _first_two(rows, "_id")
+    by_seq = _first_two(rows, "_seq").select("_seq", F.lit(0).cast("bigint").alias("_salt"), F.col("_one").alias("_one_s"), F.col("_two").alias("_two_s"))
+    met = salted.join(by_id, "_id").join(by_seq, ["_seq", "_salt"], "left")
+
+    def earlier(one: str, two: str) -> Column:
+        return F.when(F.col(one).isNull() | (F.col("_row") == F.col(one)), 0).when(F.col("_row") == F.col(two), 1).otherwise(2)
+
+    counted = met.withColumn("_e", earlier("_one", "_two")).withColumn("_s", earlier("_one_s", "_two_s"))
+    before = F.when(F.col("_e") + F.col("_s") == 1, F.when(F.col("_e") == 1, F.col("_one")).otherwise(F.col("_one_s")))
+    # `_to` is where the links followed so far lead, NULL at a row that has none to follow.
+    links = pin(counted.select("_id", "_seq", "_ord", "_row", before.alias("_to"), (F.col("_e") + F.col("_s") == 0).alias("_free"), F.lit(False).alias("_turned")))
+    ended = links.where("_to IS NULL").select("_row", "_free", "_turned")
+    active = links.where("_to IS NOT NULL").select("_row", "_to", F.lit(True).alias("_turned"))
+    done = [ended]
+    while not active.isEmpty():
+        at = ended.select(F.col("_row").alias("_to"), F.col("_free").alias("_end"), F.col("_turned").alias("_end_turned"))
+        on = active.select(F.col("_row").alias("_to"), F.col("_to").alias("_next"), F.col("_turned").alias("_next_turned"))
+        step = active.join(at, "_to", "left").join(on, "_to", "left")
+        turned = F.col("_turned") != F.coalesce("_end_turned", "_next_turned")
+        step = pin(step.select("_row", F.when(F.col("_end").isNull(), F.col("_next")).alias("_to"), F.col("_end").alias("_free"), turned.alias("_turned")))
+        done.append(step.where("_to IS NULL").select("_row", "_free", "_turned"))
+        ended = reduce(DataFrame.unionByName, done)
+        active = step.where("_to IS NOT NULL").select("_row", "_to", "_turned")
+    accepted = ended.where("_free AND NOT _turned").select("_row")
+    return links.join(accepted, "_row", "left_semi").select("_id", "_seq", "_ord")
 
 
 def dedup_in_batch(checked: DataFrame, batch: str = "batch_id", idx: str = "idx") -> DataFrame:

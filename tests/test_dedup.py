@@ -50,10 +50,26 @@ def test_one_key_with_a_third_of_all_rows(spark):
     assert run(spark, records) == scan(records)
 
 
-def test_long_chain_is_finished_by_a_scan(spark):
-    # Row 2k shares its id with row 2k+1, which shares its sequence with row 2k+2.
-    records = [("b", f"e{i // 2}", "d", (i + 1) // 2, i) for i in range(120)]
-    assert run(spark, records, rounds_before_scan=3) == scan(records)
+def test_a_long_chain_takes_a_few_joins(spark, monkeypatch):
+    """Row 2k shares its id with row 2k+1, which shares its sequence with row 2k+2."""
+    written = []
+    plain = D.pin
+    monkeypatch.setattr(D, "pin", lambda df: written.append(1) or plain(df))
+    n = 100_000
+    df = spark.range(n).select(
+        F.lit("b").alias("batch"), F.format_string("e%d", F.floor(F.col("id") / 2)).alias("event_id"), F.lit("d").alias("device_id"),
+        F.floor((F.col("id") + 1) / 2).alias("sequence"), F.col("id").cast("int").alias("idx"))
+    out = D.first_accepted(df, ["event_id"], ["device_id", "sequence"], ["idx"])
+    assert out.where((F.col("outcome") == "accepted") != (F.col("idx") % 2 == 0)).isEmpty() and out.count() == n
+    assert len(written) <= 25
+
+
+def test_tangled_conflicts_equal_a_scan(spark):
+    """Chains that meet and part: two ids and sequences in common with near rows, in changing order."""
+    rng = random.Random(8)
+    for width in (1, 2, 3):
+        records = [("b", f"e{(i + rng.randrange(width)) // 2}", "d", (i + 1 + rng.randrange(width)) // 2, i) for i in range(150)]
+        assert run(spark, records, scoped=False) == scan(records, scoped=False)
 
 
 def store(spark, records):
@@ -121,16 +137,15 @@ def test_a_request_that_arrives_twice_is_stored_once(spark):
     assert out.count() == 5
 
 
-def test_long_chains_of_conflicts_are_scanned_one_by_one(spark):
+def test_chains_beside_each_other(spark):
     """Row i shares its id with row i - 1 and its sequence with row i + 1, or the other way round, in two chains."""
     links = [(c, i, f"{c}{(i + 1) // 2}", f"d{c}", i // 2) for c in "ab" for i in range(61)]
     df = spark.createDataFrame(links, "c string, idx int, event_id string, device_id string, sequence long")
-    for rounds in (1, 3):
-        out = D.first_accepted(df, ["event_id"], ["device_id", "sequence"], ["idx", "c"], rounds_before_scan=rounds)
-        ids, seqs, want = set(), set(), []
-        for c, i, e, d, s in sorted(links, key=lambda r: (r[1], r[0])):
-            if e not in ids and (d, s) not in seqs:
-                want.append((c, i))
-                ids.add(e)
-                seqs.add((d, s))
-        assert rows(out.where("outcome = 'accepted'"), "c", "idx") == sorted(want, key=repr)
+    out = D.first_accepted(df, ["event_id"], ["device_id", "sequence"], ["idx", "c"])
+    ids, seqs, want = set(), set(), []
+    for c, i, e, d, s in sorted(links, key=lambda r: (r[1], r[0])):
+        if e not in ids and (d, s) not in seqs:
+            want.append((c, i))
+            ids.add(e)
+            seqs.add((d, s))
+    assert rows(out.where("outcome = 'accepted'"), "c", "idx") == sorted(want, key=repr)
