@@ -13,7 +13,8 @@ from plantpulse import schemas as S
 from plantpulse.functions.numbers import fixed_text, is_finite
 from plantpulse.functions.text import counted, human_seconds, reason_label
 from plantpulse.functions.times import format_ms, parse_rfc3339
-from plantpulse.operators.ordered import InOrder
+from plantpulse.operators.ordered import PIECE, InOrder
+from plantpulse.operators.ranks import select_ranks
 from plantpulse.session import pin
 
 MEASUREMENTS = ["temperature_c", "vibration_mm_s"]
@@ -96,61 +97,87 @@ def _device_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def _spacing(ordered: InOrder, out_of_order: Column) -> DataFrame:
-    """Per device and spacing between neighbours in time: how often, with the counts that ride along.
+#: File rows whose order is looked at together; larger numbers make fewer, larger groups.
+ROW_BLOCK = 1 << 20
 
-    Rows without a readable time sort first and only count as rows. The result is far smaller than the rows when
-    readings come at a steady pace, and everything else of the report is computed from it.
+
+def _late_rows(rows: DataFrame, block: int) -> DataFrame:
+    """Per device, rows older than an earlier row of the file.
+
+    A device is cut into blocks of row numbers; the latest time of the blocks before enters as one value per block.
     """
-    lagged = ordered.lag(F.col("t"), "_before")
-    step = F.col("t") - F.col("_before")
-    return lagged.groupBy("device_id", F.when(step > 0, step).alias("step")).agg(
-        F.count("*").alias("n"),
-        F.min("t").alias("first_t"),
-        F.max("t").alias("last_t"),
-        F.count_if(out_of_order).alias("out_of_order"),
-    )
+    cut = rows.select("device_id", "row_no", "t", F.floor(F.col("row_no") / block).alias("_block"))
+    inside = Window.partitionBy("device_id", "_block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("device_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = cut.groupBy("device_id", "_block").agg(F.max("t").alias("_t")).withColumn("_earlier", F.max("_t").over(across))
+    seen = cut.withColumn("_latest", F.max("t").over(inside)).join(edges, ["device_id", "_block"])
+    late = F.col("t") < F.greatest("_latest", "_earlier")
+    return seen.groupBy("device_id").agg(F.count_if(late).alias("out_of_order"))
 
 
-def device_report(rows: DataFrame, pieces: int | None = None) -> DataFrame:
-    """One row per device: rows, first and last time, disorder, usual spacing, gaps and stuck runs.
+def _facts(ordered: InOrder) -> DataFrame:
+    """What the report needs of rows in time order, counted inside each piece.
 
-    The rows are put into file order and into time order once each, in pieces, so one device may hold most of them.
+    `kind` 0 has a row per spacing between neighbours (`key`, NULL where there is none above zero). Each measurement has
+    a kind of its own, with a row per run of one value: all long ones, and the first and last of the piece, `edge`, which
+    may go on in the next one.
     """
-    seen = InOrder(_device_rows(rows), ["device_id"], ["row_no"], pieces).max_before(F.col("t"), "_latest")
-    ordered = InOrder(seen, ["device_id"], ["t", "row_no"], pieces)
-    spacing = pin(_spacing(ordered, F.coalesce(F.col("t") < F.col("_latest"), F.lit(False))))
-    totals = spacing.groupBy("device_id").agg(
-        F.sum("n").alias("rows"),
-        F.min("first_t").alias("first_t"),
-        F.max("last_t").alias("last_t"),
-        F.sum("out_of_order").alias("out_of_order"),
-    )
-    steps = spacing.where(F.col("step").isNotNull())
-    sizes = steps.groupBy("device_id").agg(F.sum("n").alias("_all"))
-    ranked = InOrder(steps.select("device_id", "step", "n"), ["device_id"], ["step"], pieces).running_sum(F.col("n"), "_upto")
-    usual = (
-        ranked.join(sizes, "device_id")
-        .where(_is_middle(F.col("n")))
-        .select("device_id", F.col("step").alias("usual"))
-    )
-    gaps = steps.join(usual, "device_id").groupBy("device_id").agg(F.first("usual").alias("usual"), *_gap_columns())
-    runs = ordered.long_runs({f"_s{i}": F.col(m) for i, m in enumerate(MEASUREMENTS)}, S.STUCK_RUN_LENGTH)
-    joined = totals.join(gaps, "device_id", "left").join(runs, "device_id", "left")
-    return _report_columns(
-        joined.withColumn("stuck_runs", F.coalesce("_s0", F.lit(0)) + F.coalesce("_s1", F.lit(0)))
+    over = ordered.window()
+    step = F.col("t") - F.lag("t").over(over)
+    starts = {m: F.coalesce(F.col(m) != F.lag(m).over(over), F.lit(True)).cast("int").alias(f"_start_{m}") for m in MEASUREMENTS}
+    begun = ordered.df.select("*", F.when(step > 0, step).alias("_step"), *starts.values())
+    upto = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = begun.select("*", *[F.sum(f"_start_{m}").over(upto).alias(f"_run_{m}") for m in MEASUREMENTS])
+    entry = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("key"), value.alias("value"))
+    entries = [entry(0, "_step", F.lit(None).cast("double")), *[entry(i, f"_run_{m}", F.col(m)) for i, m in enumerate(MEASUREMENTS, 1)]]
+    counted = runs.select(*ordered.keys, "t", F.inline(F.array(*entries))).groupBy(*ordered.keys, "kind", "key").agg(
+        F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.first("value").alias("value")
     )
+    last = F.max("key").over(Window.partitionBy(*ordered.keys, "kind"))
+    edge = (F.col("kind") > 0) & ((F.col("key") == 1) | (F.col("key") == last))
+    long = (F.col("n") >= S.STUCK_RUN_LENGTH) & F.col("value").isNotNull()
+    return pin(counted.withColumn("edge", edge).where((F.col("kind") == 0) | F.col("edge") | long))
 
 
-def _is_middle(counts: Column) -> Column:
-    """The spacing that holds index n/2 of all positive spacings in rising order; needs enough of them."""
-    middle = F.floor(F.col("_all") / 2)
-    return (
-        (F.col("_all") >= S.MIN_INTERVALS_FOR_GAP)
-        & (F.col("_upto") > middle)
-        & (F.col("_upto") - counts <= middle)
-        & F.col("step").isNotNull()
-    )
+def _steps_between_pieces(ordered: InOrder) -> DataFrame:
+    place = F.struct(*ordered.order)
+    ends = ordered.df.groupBy(*ordered.keys).agg(F.min_by("t", place).alias("_first"), F.max_by("t", place).alias("_last"))
+    step = F.col("_first") - F.lag("_last").over(Window.partitionBy("device_id").orderBy(PIECE))
+    return ends.select("device_id", step.alias("step"), F.lit(1).cast("bigint").alias("n")).where("step > 0")
+
+
+def _stuck(facts: DataFrame) -> DataFrame:
+    """Per device, runs of at least `STUCK_RUN_LENGTH` equal values; those at the edges of pieces are joined to their neighbours."""
+    runs = facts.where("kind > 0")
+    order = Window.partitionBy("device_id", "kind").orderBy(PIECE, "key")
+    apart = (F.lag(PIECE).over(order) == F.col(PIECE)) | (F.lag("value").over(order) != F.col("value"))
+    begins = F.coalesce(apart, F.lit(True)).cast("int")
+    edges = runs.where("edge").withColumn("_begins", begins)
+    grouped = edges.withColumn("_group", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = grouped.groupBy("device_id", "kind", "_group").agg(F.sum("n").alias("n"), F.first("value").alias("value"))
+    whole = joined.where((F.col("n") >= S.STUCK_RUN_LENGTH) & F.col("value").isNotNull()).select("device_id")
+    return whole.unionByName(runs.where("NOT edge").select("device_id")).groupBy("device_id").agg(F.count("*").alias("stuck_runs"))
+
+
+def device_report(rows: DataFrame, pieces: int | None = None, block: int = ROW_BLOCK) -> DataFrame:
+    """One row per device: rows, first and last time, disorder, usual spacing, gaps and stuck runs.
+
+    The rows are put into time order once, in pieces, so one device may hold most of them.
+    """
+    timed = _device_rows(rows)
+    ordered = InOrder(timed, ["device_id"], ["t", "row_no"], pieces)
+    facts = _facts(ordered)
+    spacing = facts.where("kind = 0")
+    totals = spacing.groupBy("device_id").agg(F.sum("n").alias("rows"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
+    steps = spacing.where("key IS NOT NULL").select("device_id", F.col("key").alias("step"), "n").unionByName(_steps_between_pieces(ordered))
+    steps = steps.groupBy("device_id", "step").agg(F.sum("n").alias("n"))
+    # The usual spacing holds index n/2 of all positive ones in rising order; there have to be enough of them.
+    sizes = steps.groupBy("device_id").agg(F.sum("n").alias("_all")).where(F.col("_all") >= S.MIN_INTERVALS_FOR_GAP)
+    middle = sizes.select("device_id", (F.floor(F.col("_all") / 2) + 1).alias("rank"))
+    usual = select_ranks(steps.withColumnRenamed("step", "value"), middle, ["device_id"]).select("device_id", F.col("value").alias("usual"))
+    gaps = steps.join(usual, "device_id").groupBy("device_id").agg(F.first("usual").alias("usual"), *_gap_columns())
+    joined = totals.join(_late_rows(ordered.df, block), "device_id").join(gaps, "device_id", "left").join(_stuck(facts), "device_id", "left")
+    return _report_columns(joined.withColumn("stuck_runs", F.coalesce("stuck_runs", F.lit(0))))
 
 
 def _gap_columns() -> list[Column]:

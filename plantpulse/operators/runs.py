@@ -15,6 +15,7 @@ from plantpulse.functions.numbers import fixed_text, tenth_ms, third_decimal_ms
 from plantpulse.functions.text import clean_excerpt, display_address, plain_number, table_cell
 from plantpulse.functions.times import format_ms
 from plantpulse.operators.ordered import InOrder
+from plantpulse.operators.ranks import select_ranks
 
 FINISH_ORDER = ["finished_at", "batch_no", "attempt_no"]
 
@@ -135,15 +136,18 @@ def _ranked(latencies: DataFrame, by: list[str]) -> DataFrame:
 
 def latency_summary(attempts: DataFrame) -> DataFrame:
     """Nearest-rank percentiles, maximum and mean per run in ms (L5), over all attempts of the run."""
-    ranked = _ranked(attempts.select("run_id", _latency_us().alias("latency_us")), ["run_id"])
-    nearest = lambda p: F.min(
-        F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p / 100) * F.col("_all"))), F.col("_us"))
-    )
-    return ranked.groupBy("run_id").agg(
-        F.max("_all").cast("bigint").alias("count"),
-        *[third_decimal_ms(nearest(p) / 1e6).alias(f"p{p}_ms") for p in (50, 95, 99)],
-        third_decimal_ms(F.max("_us") / 1e6).alias("max_ms"),
-        third_decimal_ms(F.sum(F.col("_us") * F.col("_n")) / F.max("_all") / 1e6).alias("mean_ms"),
+    latencies = attempts.select("run_id", _latency_us().alias("value"), F.lit(1).cast("bigint").alias("n"))
+    totals = latencies.groupBy("run_id").agg(F.sum("n").alias("count"), F.max("value").alias("_max"), F.sum("value").alias("_sum"))
+    marks = F.array(*[F.struct(F.lit(p).alias("p"), F.greatest(F.lit(1), F.ceil(F.lit(p / 100) * F.col("count"))).cast("bigint").alias("rank")) for p in (50, 95, 99)])
+    wanted = totals.select("run_id", F.inline(marks))
+    found = select_ranks(latencies, wanted.select("run_id", "rank").distinct(), ["run_id"]).join(wanted, ["run_id", "rank"])
+    at = lambda p: third_decimal_ms(F.max(F.when(F.col("p") == p, F.col("value"))) / 1e6).alias(f"p{p}_ms")
+    return totals.join(found.groupBy("run_id").agg(*map(at, (50, 95, 99))), "run_id").select(
+        "run_id",
+        "count",
+        *[f"p{p}_ms" for p in (50, 95, 99)],
+        third_decimal_ms(F.col("_max") / 1e6).alias("max_ms"),
+        third_decimal_ms(F.col("_sum") / F.col("count") / 1e6).alias("mean_ms"),
     )
 
 

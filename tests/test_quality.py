@@ -65,6 +65,34 @@ def test_disorder_gap_and_stuck_sensor(spark, pieces):
     assert rows(R.duplicate_readings(table(spark, records)), "device_id", "duplicate_readings") == [("a", 1), ("b", 0)]
 
 
+def plain_report(records):
+    """The report told device by device, over lists."""
+    out = []
+    for device in {r[3] for r in records}:
+        own = [r for r in records if r[3] == device]
+        at = lambda r: None if r[4] == "bad" else datetime.strptime(r[4], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc).timestamp()
+        late, latest = 0, None
+        for r in own:
+            if at(r) is not None:
+                late += latest is not None and at(r) < latest
+                latest = at(r) if latest is None else max(latest, at(r))
+        timed = sorted((at(r), r[0], r[6], r[7]) for r in own if at(r) is not None)
+        steps = sorted(b[0] - a[0] for a, b in zip(timed, timed[1:]) if b[0] > a[0])  # noqa: B905
+        usual = steps[len(steps) // 2] if len(steps) >= R.S.MIN_INTERVALS_FOR_GAP else 0.0
+        silent = [s for s in steps if usual and s > usual * R.S.GAP_FACTOR]
+        stuck = 0
+        for column in (2, 3):
+            length, before = 0, None
+            for r in timed:
+                value = r[column] if r[column] == r[column] else None
+                length = length + 1 if value is not None and value == before else 1
+                stuck += value is not None and length == R.S.STUCK_RUN_LENGTH
+                before = value
+        shown = lambda t: datetime.fromtimestamp(t, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+        out.append((device, len(own), shown(timed[0][0]), shown(timed[-1][0]), usual, max(silent, default=0.0), len(silent), late, stuck))
+    return sorted(out, key=repr)
+
+
 def test_cut_groups_give_the_same_report(spark):
     import random
 
@@ -77,7 +105,8 @@ def test_cut_groups_give_the_same_report(spark):
     columns = ["device", "rows", "first_time", "last_time", "usual_interval_seconds", "longest_gap_seconds", "gaps", "out_of_order", "stuck_runs"]
     data = table(spark, records).cache()
     whole = rows(R.device_report(data), *columns)
-    assert whole == rows(R.device_report(data, 25), *columns)
+    assert whole == rows(R.device_report(data, 25, block=7), *columns)
+    assert whole == plain_report(records)
     assert sum(r[-1] for r in whole) > 0 and sum(r[-2] for r in whole) > 0 and sum(r[-3] for r in whole) > 0
 
 
