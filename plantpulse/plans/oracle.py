@@ -27,7 +27,7 @@ BASE = SRC + """,
 base AS (
   SELECT n, event_id, device_id, t, sequence, vibration_mm_s, site_id, batch_no, idx,
          CASE WHEN user_id % 15 = 0 AND day(t) BETWEEN 5 AND 16 THEN 50.0 ELSE temperature_c END AS temperature_c,
-         CASE WHEN n % 47 < 12 THEN n % 47 END AS kind,
+         CASE WHEN n % 47 < 14 THEN n % 47 END AS kind,
          t + to_microseconds(k * 50000) AS received_at
   FROM src),
 timed AS (
@@ -64,7 +64,7 @@ record AS (
          CASE WHEN kind = 3 THEN NULL ELSE t END AS event_time,
          CASE WHEN kind = 7 THEN -1 ELSE sequence END AS sequence,
          CASE WHEN kind IN (0, 1) THEN NULL WHEN kind = 2 THEN 9999.0 ELSE temperature_c END AS temperature_c,
-         vibration_mm_s,
+         CASE WHEN kind = 13 THEN NULL WHEN kind = 12 THEN -1.0 ELSE vibration_mm_s END AS vibration_mm_s,
          CASE WHEN kind = 10 THEN 'plant a' ELSE site_id END AS site_id
   FROM dirty)"""
 
@@ -82,6 +82,7 @@ judged AS (
     WHEN event_time > received_at + INTERVAL 5 MINUTE
       THEN 'time_in_future|event_time is further in the future than the allowed clock skew'
     WHEN temperature_c IS NULL THEN 'missing_field|temperature_c is required'
+    WHEN vibration_mm_s IS NULL THEN 'missing_field|vibration_mm_s is required'
     WHEN temperature_c < -50 OR temperature_c > 250 THEN 'out_of_range|temperature_c must be finite and within [-50, 250]'
     WHEN vibration_mm_s < 0 OR vibration_mm_s > 100 THEN 'out_of_range|vibration_mm_s must be finite and within [0, 100]'
     WHEN sequence < 0 THEN 'invalid_sequence|sequence must be >= 0'

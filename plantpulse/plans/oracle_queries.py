@@ -331,7 +331,8 @@ IMPORT = CHECKED + """,
 lines AS (SELECT row_number() OVER (ORDER BY row_no) AS line, CASE WHEN broken THEN NULL ELSE device_id END AS device_id, CASE WHEN broken THEN NULL ELSE temperature_c END AS temperature_c,
     CASE WHEN broken THEN NULL ELSE vibration_mm_s END AS vibration_mm_s, CASE WHEN broken THEN NULL ELSE event_time END AS event_time, broken, site_id, sequence FROM record),
 read AS (SELECT *, CASE WHEN broken THEN 'invalid_event_id' WHEN temperature_c IS NULL THEN 'malformed_json' WHEN device_id = 'press/01' THEN 'invalid_event_id'
-    WHEN event_time IS NULL THEN 'invalid_timestamp' WHEN temperature_c > 250 THEN 'out_of_range' END AS reason FROM lines)"""
+    WHEN event_time IS NULL THEN 'invalid_timestamp' WHEN vibration_mm_s IS NULL THEN 'missing_field'
+    WHEN temperature_c > 250 OR vibration_mm_s < 0 THEN 'out_of_range' END AS reason FROM lines)"""
 IMPORT_ROWS = "SELECT line AS row_no, coalesce(device_id, '') || '-' || line AS event_id, device_id, temperature_c, vibration_mm_s, reason FROM read"
 add("import_csv_rows", IMPORT, IMPORT_ROWS)
 add("import_json_array", IMPORT, IMPORT_ROWS)
@@ -341,20 +342,40 @@ SELECT line AS row_no, device_id AS machine,
 add("import_ndjson_summary", IMPORT, f"""
 SELECT 'ndjson' AS format, count(*) AS rows, count(DISTINCT device_id) AS devices,
        (SELECT string_agg(c, ',' ORDER BY f, c) FROM (SELECT c, min(line) AS f FROM lines, LATERAL (VALUES ('Machine', NOT broken), ('Temp', NOT broken), ('Timestamp', NOT broken),
-         ('Vibration', NOT broken), ('Operator', NOT broken AND sequence IS NOT NULL)) AS v(c, given) WHERE given GROUP BY c)) AS columns,
+         ('Vibration', NOT broken AND vibration_mm_s IS NOT NULL), ('Operator', NOT broken AND sequence IS NOT NULL)) AS v(c, given) WHERE given GROUP BY c)) AS columns,
        'Machine=device_id,Temp=temperature_c,Timestamp=event_time,Vibration=vibration_mm_s' AS mapped, 'Operator' AS ignored,
        'event_id (device id and row number),schema_version (1)' AS derived, {millis('min(event_time)')} AS first_time, {millis('max(event_time)')} AS last_time,
        count(reason) AS problems
 FROM read""")
 
 # --- streaming --------------------------------------------------------------
-STREAMED = DEDUPED + ",\nfresh AS (SELECT * FROM deduped WHERE reason IS NULL),\n" + first_wins("fresh", "won", "", "batch_no * 100000 + idx") + """,
-stored AS (SELECT f.* FROM fresh f JOIN won w ON w.event_id = f.event_id AND w.o = f.batch_no * 100000 + f.idx)"""
+STREAMED = DEDUPED + """,
+fresh AS (SELECT *, row_number() OVER (ORDER BY received_at, batch_no, idx) AS arrival FROM deduped WHERE reason IS NULL),
+""" + first_wins("fresh", "won", "", "arrival") + """,
+stored AS (SELECT f.* FROM fresh f JOIN won w ON w.event_id = f.event_id AND w.o = f.arrival)"""
 add("stream_ingest_stored", STREAMED, "SELECT event_id, device_id, sequence, temperature_c, batch_id, CAST(idx AS INTEGER) AS idx FROM stored")
 add("stream_alerts", STREAMED + fired("stored"), "SELECT alert_id, rule, observed FROM fired")
 add("stream_live_latest", STREAMED, """
 SELECT device_id, event_id, temperature_c FROM (
   SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY received_at DESC, batch_id DESC, idx DESC) AS r FROM stored) WHERE r = 1""")
+SETTING = """setting AS (SELECT min(ts) AS valid_from, 80.0::DOUBLE + day(any_value(ts)) % 7 AS tl, (70 + day(any_value(ts)) % 3)::DOUBLE / 10.0 AS vl
+  FROM events GROUP BY CAST(ts AS DATE))"""
+add("stream_thresholds", STREAMED + ",\n" + SETTING + """,
+dated AS (SELECT r.*, coalesce(s.tl, 85.0) AS tl, coalesce(s.vl, 7.1) AS vl FROM stored r ASOF LEFT JOIN setting s ON r.received_at >= s.valid_from)""", """
+SELECT event_id || ':temperature_high' AS alert_id, CAST(tl AS DOUBLE) AS threshold, temperature_c AS observed FROM dated WHERE temperature_c >= tl
+UNION ALL SELECT event_id || ':vibration_high', CAST(vl AS DOUBLE), vibration_mm_s FROM dated WHERE vibration_mm_s >= vl""")
+add("stream_frames", STREAMED + fired("stored"), f"""
+SELECT 'event' AS type, device_id, '{{"type":"event","data":{{"event_id":"' || event_id || '","device_id":"' || device_id || '","event_time":"'
+       || {nano('event_time')} || '","temperature_c":' || temperature_c || ',"vibration_mm_s":' || vibration_mm_s || '}}}}' AS payload FROM stored
+UNION ALL SELECT 'alert', device_id, '{{"type":"alert","data":{{"alert_id":"' || alert_id || '","device_id":"' || device_id || '","event_id":"' || event_id
+       || '","rule":"' || rule || '","threshold":' || threshold || ',"observed":' || observed || ',"event_time":"' || {nano('event_time')} || '"}}}}' FROM fired""")
+add("stream_metrics", STREAMED + fired("stored"), f"""
+SELECT 'validation_failures' AS metric, r.reason AS label, count(d.reason) AS n FROM {REASONS} LEFT JOIN deduped d ON d.reason = r.reason GROUP BY r.reason
+UNION ALL SELECT 'processed_events', 'stored', count(*) FROM stored
+UNION ALL SELECT 'processed_events', 'duplicate', (SELECT count(*) FROM fresh) - (SELECT count(*) FROM stored)
+UNION ALL SELECT 'processed_events', 'failed', 0
+UNION ALL SELECT 'alerts_created', v.rule, count(f.rule) FROM (VALUES ('temperature_high'), ('vibration_high')) v(rule) LEFT JOIN fired f ON f.rule = v.rule GROUP BY v.rule""")
+add("stream_bounded_dedup", GOOD, "SELECT DISTINCT event_id FROM good")
 add("stream_per_second", GOOD, f"SELECT {nano('''date_trunc('second', event_time)''')} AS second, count(*) AS n FROM good GROUP BY date_trunc('second', event_time)")
 
 # --- tables on disk, names and failures --------------------------------------

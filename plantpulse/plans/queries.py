@@ -619,14 +619,18 @@ def import_json_array(spark, d):
 
 
 # --- streaming --------------------------------------------------------------
-def _stream(spark, d):
+def _stream(spark, d, history=None):
     """The dirty records as NDJSON files, run through the streaming job until everything there is processed."""
     base = folder(spark, "stream")
     rows = views.dirty_json(spark, d)
     lines = F.to_json(F.struct("batch_id", "idx", format_nano(F.col("received_at")).alias("received_at"), "raw"))
     rows.select(lines.alias("value")).write.text(f"{base}/in")
     place = jobs.Tables(base)
-    jobs.run_ingest(spark, f"{base}/in", place, max_files=None)
+    settings = None
+    if history is not None:
+        settings = f"{base}/settings"
+        history.write.parquet(settings)
+    jobs.run_ingest(spark, f"{base}/in", place, max_files=None, thresholds_path=settings)
     return place
 
 
@@ -641,6 +645,37 @@ def stream_alerts(spark, d):
     return spark.read.parquet(_stream(spark, d).alerts).select("alert_id", "rule", "observed")
 
 
+@query
+def stream_thresholds(spark, d):
+    """Alerts of the stream when the thresholds change from day to day: each reading meets those that held at its arrival."""
+    place = _stream(spark, d, views.threshold_history(spark, d))
+    return spark.read.parquet(place.alerts).select("alert_id", "threshold", "observed")
+
+
+@query
+def stream_frames(spark, d):
+    """The live messages that the stream has written."""
+    return spark.read.parquet(_stream(spark, d).frames).select("type", "device_id", "payload")
+
+
+@query
+def stream_metrics(spark, d):
+    """Counters of all micro-batches."""
+    counts = spark.read.parquet(_stream(spark, d).metrics)
+    return counts.groupBy("metric", "label").agg(F.sum("n").alias("n"))
+
+
+@query
+def stream_bounded_dedup(spark, d):
+    """Accepted readings, each event id once, by a stream whose state is bounded; all arrive within its time."""
+    path = folder(spark, "bounded")
+    V.accepted(views.checked(spark, d)).select("event_time", "event_id").write.parquet(f"{path}/in")
+    stream = jobs.dedup_stateful(spark.readStream.schema("event_time timestamp, event_id string").parquet(f"{path}/in"), "60 days")
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id")
+
+
 @query
 def stream_live_latest(spark, d):
     place = _stream(spark, d)

@@ -72,7 +72,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty(spark: SparkSession, sf_dir: str, silence: bool = False) -> DataFrame:
-    """Record columns with faults, before they become JSON text: `kind` 0..11 is a malformed record, NULL a good one.
+    """Record columns with faults, before they become JSON text: `kind` 0..13 is a malformed record, NULL a good one.
 
     Also: days with a stuck temperature, readings one hour late, and copies that collide on the event id, on the
     sequence, on both, and in a chain; with `silence`, as the device report needs, no readings of some devices for days.
@@ -85,7 +85,7 @@ def dirty(spark: SparkSession, sf_dir: str, silence: bool = False) -> DataFrame:
         "temperature_c",
         F.when((F.col("user_id") % 15 == 0) & day.between(5, 16), F.lit(50.0)).otherwise(F.col("temperature_c")),
     )
-    s = s.withColumn("kind", F.when(F.col("n") % 47 < 12, (F.col("n") % 47).cast("int")))
+    s = s.withColumn("kind", F.when(F.col("n") % 47 < 14, (F.col("n") % 47).cast("int")))
     s = s.withColumn("received_at", F.col("t") + F.make_dt_interval(secs=F.col("k") * F.lit(0.05)))
     s = s.withColumn(
         "event_time",
@@ -149,7 +149,7 @@ def dirty_json(spark: SparkSession, sf_dir: str, silence: bool = False) -> DataF
                 F.when(is_kind(1), '"hot"').when(is_kind(2), "9999.0").otherwise(F.col("temperature_c").cast("string")),
             ),
         ),
-        F.concat(F.lit('"vibration_mm_s":'), F.col("vibration_mm_s").cast("string")),
+        F.when(~is_kind(13), F.concat(F.lit('"vibration_mm_s":'), F.when(is_kind(12), "-1.0").otherwise(F.col("vibration_mm_s").cast("string")))),
         F.concat(F.lit('"site_id":'), text(F.when(is_kind(10), "plant a").otherwise(F.col("site_id")))),
         F.when(is_kind(6), F.lit('"received_at":"2024-01-01T00:00:00Z"')),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantpulse import schemas as S
-from plantpulse.operators.alerts import alert_counts, evaluate_alerts
+from plantpulse.operators.alerts import alert_counts, evaluate_alerts, evaluate_with_history
 from plantpulse.operators.dedup import dedup_in_batch, insert_new, processed_outcomes, stored_rows
 from plantpulse.operators.frames import live_frames
 from plantpulse.operators.store import latest_per_device, recent_trend, with_date
@@ -71,13 +71,13 @@ def stream_ingest(spark: SparkSession, path: str, limits: Limits = Limits(), max
     return validate(read_lines(spark, path, max_files), limits)
 
 
-def current_thresholds(spark: SparkSession, path: str | None) -> Thresholds:
-    """The newest row of the settings table that holds by now."""
-    if path is None:
-        return Thresholds()
-    held = spark.read.parquet(path).where(F.col("valid_from") <= F.current_timestamp())
-    row = held.orderBy(F.col("valid_from").desc()).first()
-    return Thresholds(row["temperature_c"], row["vibration_mm_s"]) if row else Thresholds()
+def threshold_history(spark: SparkSession, path: str) -> DataFrame:
+    """The settings table (T7): its rows (valid_from, temperature_c, vibration_mm_s), before them the usual thresholds."""
+    usual = Thresholds()
+    first = spark.range(1).select(
+        F.lit("0001-01-01 00:00:00").cast("timestamp").alias("valid_from"), F.lit(usual.temperature_c).alias("temperature_c"), F.lit(usual.vibration_mm_s).alias("vibration_mm_s")
+    )
+    return first.unionByName(spark.read.parquet(path).select(*first.columns))
 
 
 def persist(
@@ -90,6 +90,9 @@ def persist(
 ) -> None:
     """One micro-batch (T2): events first, then their alerts, then counters and live messages.
 
+    Of repeats in a micro-batch the one that arrived first is stored: by `received_at`, then by request and place in it.
+    A reading meets the thresholds that held when it arrived, also when the micro-batch is run again later.
+
     Every micro-batch reads the key columns of the whole store. `horizon_days` narrows that to the dates around the
     micro-batch; it is off by default because a repeat that carries another event time may then pass.
     """
@@ -106,10 +109,10 @@ def persist(
         if first is not None:
             store = store.where(F.col("event_date").between(F.lit(first), F.lit(last)))
     good = accepted(judged).withColumn("_batch", F.col("batch_id").try_cast("bigint"))
-    outcomes = pin(insert_new(good, store, ["_batch", "batch_id", "idx"]).drop("_batch"))
+    outcomes = pin(insert_new(good, store, ["received_at", "_batch", "batch_id", "idx"]).drop("_batch"))
     stored = stored_rows(outcomes).select(*S.EVENT_SCHEMA.fieldNames())
     with_date(stored).write.mode("overwrite").partitionBy("event_date").parquet(f"{place.events}/epoch={epoch}")
-    alerts = evaluate_alerts(stored, current_thresholds(spark, thresholds_path))
+    alerts = evaluate_alerts(stored) if thresholds_path is None else evaluate_with_history(stored, threshold_history(spark, thresholds_path), "received_at")
     put(alerts, place.alerts)
     put(rejections(judged), place.rejections)
     put(batch_metrics(judged, outcomes, alerts), place.metrics)

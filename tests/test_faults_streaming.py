@@ -122,6 +122,25 @@ def test_live_thresholds(spark, tmp_path):
     assert spark.read.parquet(place.alerts).first()["threshold"] == 10.0
 
 
+def test_thresholds_change_inside_a_micro_batch(spark, tmp_path):
+    """Each reading meets what held when it arrived; before the first setting the usual thresholds hold."""
+    place, settings = jobs.Tables(str(tmp_path / "out")), str(tmp_path / "settings")
+    spark.sql("select * from values (timestamp'2025-01-15 09:10:00', 10.0D, 7.1D), (timestamp'2025-01-15 09:20:00', 99.0D, 7.1D) as t(valid_from, temperature_c, vibration_mm_s)").write.parquet(settings)
+    at = lambda text, minute: text.replace("T09:00:00.000Z", f"T09:{minute:02d}:00.000Z")
+    texts = [at(line(1, i, f"e{i}", i, temp=temp), minute) for i, (minute, temp) in enumerate([(5, 20.0), (6, 90.0), (10, 20.0), (19, 9.0), (20, 90.0), (40, 99.0)])]
+    batch = spark.createDataFrame([(x,) for x in texts], "value string").select(F.from_json("value", jobs.LINE_SCHEMA).alias("r")).select("r.*")
+    jobs.persist(batch, 0, place, thresholds_path=settings)
+    assert rows(spark.read.parquet(place.alerts), "event_id", "threshold") == [("e1", 85.0), ("e2", 10.0), ("e5", 99.0)]
+
+
+def test_the_earlier_arrival_is_stored_whatever_its_request_is_called(spark, tmp_path):
+    place = jobs.Tables(str(tmp_path / "out"))
+    early, late = line(9, 0, "a", 1, temp=1.0).replace("T09:00:00", "T08:59:59"), line(2, 0, "a", 1, temp=2.0)
+    batch = spark.createDataFrame([(late,), (early,)], "value string").select(F.from_json("value", jobs.LINE_SCHEMA).alias("r")).select("r.*")
+    jobs.persist(batch, 0, place)
+    assert rows(spark.read.parquet(place.events), "batch_id", "temperature_c") == [("9", 1.0)]
+
+
 def test_bounded_state_dedup_and_seconds(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.sql("select * from values (timestamp'2025-01-15 08:00:00.1', 'a'), (timestamp'2025-01-15 08:00:00.9', 'a'), (timestamp'2025-01-15 08:00:01', 'b') as t(event_time, event_id)").write.parquet(source)
