@@ -10,15 +10,18 @@ import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantpulse.llm.tokens import groups
 from plantpulse.session import ensure_checkpoint_dir
 
 #: A record: slot, sequence, tokens used, CRC-32 of the token bytes; the tokens, two bytes each; four closing bytes.
@@ -30,6 +33,8 @@ SHARD_SLOTS = 16_384
 ROUNDS = 6
 #: Token lists of words are kept by each Python worker for so many different words.
 CACHED_WORDS = 500_000
+#: Texts of so many bytes are encoded together; a longer text is a group by itself.
+GROUP_BYTES = 4_000_000
 
 
 def stride(tokens: int = SEQUENCE_TOKENS) -> int:
@@ -108,12 +113,58 @@ class Encoder:
         first, *rest = text.split(" ")
         return b"".join([self._encode(first), *map(self.known.__getitem__, rest), self.encoding_end()])
 
+    def encode_all(self, column: pa.Array) -> "Encoded":
+        """The tokens of many texts, as `encode` gives them one by one, with each different piece looked up once."""
+        column = column.cast(pa.string()).fill_null("")
+        loose = pc.match_substring_regex(column, _LOOSE_SPACE_RE2).to_numpy(zero_copy_only=False) | (pc.binary_length(column).to_numpy() == 0)
+        split = pc.split_pattern(pc.if_else(pa.array(loose), "", column), " ")
+        pieces = split.flatten().dictionary_encode()
+        offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        # First pieces have no space before them: they, and whole texts that are not cut, are looked up by themselves.
+        alone = [self.encode(t)[:-2] if o else self._encode(t.split(" ", 1)[0]) for t, o in zip(column.to_pylist(), loose, strict=True)]
+        known = [self.known[w] for w in pieces.dictionary.to_pylist()] + alone + [self.encoding_end()]
+        size = np.array([len(x) for x in known], dtype=np.int64) // 2
+        # One number per piece of a text: that of its first piece, those of the others, the end.
+        order = np.empty(offsets[-1] + len(column), dtype=np.int64)
+        begin = offsets[:-1] + np.arange(len(column))
+        inner = np.ones(len(order), dtype=bool)
+        inner[begin + np.diff(offsets)] = False
+        order[inner] = pieces.indices.to_numpy()
+        order[~inner] = len(known) - 1
+        order[begin] = len(pieces.dictionary) + np.arange(len(column))
+        return Encoded(known, size, order, np.append(begin, len(order)))
+
     def encoding_end(self) -> bytes:
         return struct.pack("<H", self.end)
 
 
-#: A space before white space or the end: the pattern may take it together with what follows.
+@dataclass
+class Encoded:
+    """Tokens of texts as numbers of pieces: `pieces` with their `size` in tokens, `order` those of all texts, text i from
+    `begin[i]` to `begin[i + 1]`."""
+
+    pieces: list[bytes]
+    size: np.ndarray
+    order: np.ndarray
+    begin: np.ndarray
+
+    @property
+    def total(self) -> int:
+        return int(self.size[self.order].sum())
+
+    def tokens(self) -> np.ndarray:
+        """All tokens, one text behind the other."""
+        every = np.frombuffer(b"".join(self.pieces), dtype="<u2")
+        first = np.cumsum(self.size) - self.size
+        n = self.size[self.order]
+        end = np.cumsum(n)
+        return every[np.arange(end[-1] if len(end) else 0) + np.repeat(first[self.order] - (end - n), n)]
+
+
+#: A space before white space or the end: the pattern may take it together with what follows. The second one lists the white
+#: space of the first, for a library that takes ASCII only.
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
+_LOOSE_SPACE_RE2 = r" (?:[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|\z)"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -129,9 +180,10 @@ def _counts(docs: DataFrame, path: str | None) -> dict[int, tuple[int, int]]:
     """Tokens before each partition and in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = encoder(path).encode, 0
+        encode, total = encoder(path).encode_all, 0
         for batch in batches:
-            total += sum(len(encode(t)) // 2 for t in batch.column("text").to_pylist())
+            for begin, end in groups(batch["text"], GROUP_BYTES):
+                total += encode(batch["text"].slice(begin, end - begin)).total
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([total], pa.int64())})
 
     before, at = {}, 0
@@ -163,23 +215,22 @@ def write_shards(docs: DataFrame, folder: str, key: int = 20240229, tokens: int
         return manifest
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         at, expected = before[TaskContext.get().partitionId()]
         last = at + expected
         for batch in batches:
-            sequence, place, data = [], [], []
-            for text in batch.column("text").to_pylist():
-                own = encode(text)
-                begin, n = 0, len(own) // 2
-                while begin < n:
-                    step = min(n - begin, tokens - at % tokens)
-                    sequence.append(at // tokens)
-                    place.append(at % tokens)
-                    data.append(own[2 * begin : 2 * (begin + step)])
-                    begin, at = begin + step, at + step
-            slot = permuted(np.array(sequence, dtype=np.uint64), sequences, key) if sequence else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // slots, pa.int64()), pa.array(slot, pa.int64()), pa.array(sequence, pa.int64()), pa.array(place, pa.int32()), pa.array(data, pa.binary())],
-                                             names=["shard", "slot", "sequence", "place", "data"])
+            for begin, end in groups(batch["text"], GROUP_BYTES):
+                own = encode(batch["text"].slice(begin, end - begin)).tokens()
+                # Cut where a sequence ends.
+                sequence = np.arange(at // tokens, -(-(at + len(own)) // tokens))
+                cuts = np.clip(sequence * tokens, at, None)
+                stops = np.append(cuts[1:], at + len(own))
+                raw = own.tobytes()
+                data = [raw[2 * a : 2 * b] for a, b in zip((cuts - at).tolist(), (stops - at).tolist(), strict=True)]
+                slot = permuted(sequence.astype(np.uint64), sequences, key)
+                yield pa.RecordBatch.from_arrays([pa.array(slot // slots, pa.int64()), pa.array(slot, pa.int64()), pa.array(sequence, pa.int64()), pa.array(cuts % tokens, pa.int32()), pa.array(data, pa.binary())],
+                                                 names=["shard", "slot", "sequence", "place", "data"])
+                at += len(own)
         if at != last:
             raise RuntimeError("the table was not read in the same partitions again; hand in a table read from files")
 
