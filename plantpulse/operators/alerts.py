@@ -38,6 +38,10 @@ def _fire(events: DataFrame, temperature: Column, vibration: Column, created_at:
     )
 
 
+#: What of an alert an expected list fixes.
+GOLDEN = ["alert_id", "device_id", "event_id", "rule", "threshold", "observed"]
+
+
 def evaluate_alerts(events: DataFrame, thresholds: Thresholds = Thresholds(), created_at: Column | None = None) -> DataFrame:
     """At most one alert per reading and rule; a reading equal to the threshold fires (A1, A2)."""
     thresholds.check()
@@ -87,3 +91,17 @@ def alert_counts_by_device(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("device_id", "rule").agg(
         F.count("*").alias("n"), F.max("observed").alias("max_observed")
     )
+
+
+def golden_alerts(fired: DataFrame, expected: DataFrame) -> DataFrame:
+    """Alerts against an expected list, per rule (L16): how many there are on both sides, missing and unexpected.
+
+    Alerts are the same when all of `GOLDEN` agree; repeated ones count as often as they occur. Rows of both sides are
+    counted by their values, so no side is joined to the other.
+    """
+    sides = fired.select(*GOLDEN, F.lit(1).alias("_d")).unionByName(expected.select(*GOLDEN, F.lit(-1).alias("_d")))
+    per = sides.groupBy(*GOLDEN).agg(F.sum("_d").alias("_d"), F.count_if(F.col("_d") == 1).alias("_f"), F.count_if(F.col("_d") == -1).alias("_e"))
+    return per.groupBy("rule").agg(
+        F.sum("_e").alias("expected"), F.sum("_f").alias("fired"), F.sum(F.greatest(-F.col("_d"), F.lit(0))).alias("missing"),
+        F.sum(F.greatest(F.col("_d"), F.lit(0))).alias("unexpected"),
+    )

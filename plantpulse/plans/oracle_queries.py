@@ -36,12 +36,26 @@ add("batch_envelopes", RECORD, """
 SELECT batch_id, CAST(count(*) AS INTEGER) AS n_events, CASE WHEN count(*) > 500 THEN 413 END AS status,
        CASE WHEN count(*) > 500 THEN 'batch_too_large' END AS error, CASE WHEN count(*) > 500 THEN 'too many events in one request' END AS detail
 FROM record GROUP BY 1""")
+ENVELOPE_TEXTS = "CASE fault " + " ".join(
+    f"WHEN '{fault}' THEN '{text}'" for fault, text in {
+        "invalid_json": 'body must be a JSON object like {"events":[...]}', "trailing": "unexpected data after the JSON object", "empty_batch": "events must contain at least one record", "payload_too_large": "request body exceeds the configured limit", "batch_too_large": "too many events in one request",
+    }.items()) + " END"
 # A request is judged at one moment: the arrival of its last record.
 ONE_MOMENT = "FROM (SELECT * REPLACE (max(received_at) OVER (PARTITION BY batch_id) AS received_at) FROM record)),\nchecked AS"
 add("payload_reasons", DEDUPED.replace("FROM record),\nchecked AS", ONE_MOMENT), """
 SELECT batch_id, outcome, CASE WHEN outcome = 'batch_too_large' THEN 1 ELSE count(*) END AS n FROM (
   SELECT batch_id, CASE WHEN count(*) OVER (PARTITION BY batch_id) > 500 THEN 'batch_too_large' ELSE coalesce(reason, 'accepted') END AS outcome
   FROM (SELECT batch_id, reason FROM deduped)) GROUP BY 1, 2""")
+add("payload_shapes", DEDUPED.replace("FROM record),\nchecked AS", ONE_MOMENT), """
+SELECT shape, count(*) AS records, count(*) FILTER (reason IS NULL) AS valid
+FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY idx) AS place FROM checked), (VALUES ('batch'), ('array'), ('ndjson'), ('single')) s(shape)
+WHERE shape <> 'single' OR place = 1 GROUP BY 1""")
+add("envelope_faults", RECORD + """,
+request AS (SELECT batch_id, CAST(batch_id AS INTEGER) % 6 AS fault, count(*) AS n FROM record GROUP BY 1),
+named AS (SELECT batch_id, CASE fault WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'empty_batch' WHEN 3 THEN 'trailing' WHEN 4 THEN 'empty_batch' WHEN 5 THEN 'payload_too_large'
+  ELSE CASE WHEN n > 500 THEN 'batch_too_large' END END AS fault FROM request)""", """
+SELECT batch_id, CASE WHEN fault IS NULL THEN NULL WHEN fault IN ('payload_too_large', 'batch_too_large') THEN 413 ELSE 400 END AS status,
+       CASE fault WHEN 'trailing' THEN 'invalid_json' ELSE fault END AS error, DETAIL AS detail FROM named""".replace("DETAIL", ENVELOPE_TEXTS))
 add("rejection_examples", CHECKED + """,
 bad AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY row_no) AS r, count(*) OVER (PARTITION BY reason) AS n
   FROM checked WHERE reason IS NOT NULL)""",
@@ -78,6 +92,16 @@ fired AS (
          event_time, received_at AS created_at FROM dated WHERE temperature_c >= tl
   UNION ALL SELECT event_id || ':vibration_high', device_id, event_id, 'vibration_high', vl, vibration_mm_s, event_time, received_at
   FROM dated WHERE vibration_mm_s >= vl)""", f"SELECT {ALERT_COLUMNS} FROM fired")
+add("golden_alerts", ALERTS + """,
+listed AS (
+  SELECT event_id || ':temperature_high' AS alert_id, device_id, event_id, 'temperature_high' AS rule, CASE WHEN site_id = 'view' THEN 80.0 ELSE 85.0 END::DOUBLE AS threshold, temperature_c AS observed
+  FROM reading WHERE site_id <> 'click' AND temperature_c >= CASE WHEN site_id = 'view' THEN 80.0 ELSE 85.0 END
+  UNION ALL SELECT event_id || ':vibration_high', device_id, event_id, 'vibration_high', 7.1, vibration_mm_s FROM reading WHERE site_id <> 'click' AND vibration_mm_s >= 7.1),
+made AS (SELECT alert_id, device_id, event_id, rule, threshold, observed FROM fired),
+rules AS (SELECT unnest(['temperature_high', 'vibration_high']) AS rule)""", """
+SELECT rule, (SELECT count(*) FROM listed l WHERE l.rule = r.rule) AS expected, (SELECT count(*) FROM made m WHERE m.rule = r.rule) AS fired,
+       (SELECT count(*) FROM (SELECT * FROM listed EXCEPT ALL SELECT * FROM made) x WHERE x.rule = r.rule) AS missing,
+       (SELECT count(*) FROM (SELECT * FROM made EXCEPT ALL SELECT * FROM listed) x WHERE x.rule = r.rule) AS unexpected FROM rules r""")
 add("alerts_new_only", OUTCOMES + ",\nnewly AS (SELECT * FROM outcomes WHERE outcome = 'stored')" + fired("newly"),
     "SELECT alert_id, device_id, rule, threshold, observed FROM fired")
 add("merge_alerts", GOOD + fired("good") + ",\nolder AS (SELECT * FROM src WHERE site_id IN ('click', 'view'))", """

@@ -114,6 +114,33 @@ def payload_reasons(spark, d):
     return outcomes.unionByName(enveloped.where("error is not null").select("batch_id", F.col("error").alias("outcome"), F.lit(1).cast("bigint").alias("n")))
 
 
+@query
+def payload_shapes(spark, d):
+    """Records of the same requests written in each of the accepted shapes, with those that are valid."""
+    bodies = views.request_bodies(spark, d)
+    items = F.from_json("body", "struct<events: array<string>>")["events"]
+    texts = {
+        "batch": F.col("body"), "array": F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")), "ndjson": F.concat(F.array_join(items, "\n \n"), F.lit("\n")),
+        "single": items[0],
+    }
+    counts = None
+    for shape, text in texts.items():
+        records = readers.explode_payload(bodies.select("batch_id", "received_at", text.alias("body")), shape)
+        per = V.validate(records).groupBy(F.lit(shape).alias("shape")).agg(F.count("*").alias("records"), F.count_if(F.col("reason").isNull()).alias("valid"))
+        counts = per if counts is None else counts.unionByName(per)
+    return counts
+
+
+@query
+def envelope_faults(spark, d):
+    """Requests with what can be wrong with one as a whole, in turn."""
+    n = F.col("batch_id").cast("int") % 6
+    body = F.when(n == 1, F.expr("left(body, length(body) - 2)")).when(n == 2, "{}").when(n == 3, F.concat("body", F.lit(" x"))).when(n == 4, '{"events":[]}')
+    body = F.when(n == 5, F.concat("body", F.repeat(F.lit(" "), S.MAX_BODY_BYTES))).otherwise(F.coalesce(body, F.col("body")))
+    judged = readers.batch_envelope(views.request_bodies(spark, d).withColumn("body", body))
+    return judged.select("batch_id", "status", "error", "detail")
+
+
 @query
 def rejection_examples(spark, d):
     return R.rejection_examples(views.checked(spark, d))
@@ -171,6 +198,18 @@ def alerts_threshold_history(spark, d):
     return A.evaluate_with_history(r, views.threshold_history(spark, d)).withColumns(time_text("event_time", "created_at"))
 
 
+@query
+def golden_alerts(spark, d):
+    """Alerts of all readings against a list that leaves one site out and asks for a lower temperature at another."""
+    r = views.readings(spark, d)
+    at = F.when(F.col("site_id") == "view", 80.0).otherwise(85.0)
+    listed = r.where("site_id <> 'click'").select("event_id", "device_id", F.explode(F.array(
+        F.struct(F.lit("temperature_high").alias("rule"), at.alias("threshold"), F.col("temperature_c").alias("observed")),
+        F.struct(F.lit("vibration_high").alias("rule"), F.lit(7.1).alias("threshold"), F.col("vibration_mm_s").alias("observed")),
+    )).alias("x")).select("event_id", "device_id", "x.*").where("observed >= threshold")
+    return A.golden_alerts(A.evaluate_alerts(r), listed.withColumn("alert_id", A.alert_id(F.col("event_id"), F.col("rule"))))
+
+
 @query
 def alerts_new_only(spark, d):
     return A.alerts_for_new(views.outcomes(spark, d)).select("alert_id", "device_id", "rule", "threshold", "observed")
