@@ -71,28 +71,32 @@ def record_outcomes(attempts: DataFrame) -> DataFrame:
     )
 
 
+def _sums() -> list[Column]:
+    """Counts of rows of `record_outcomes`; they add up over parts of a run."""
+    final = ~F.col("will_retry")
+    return [
+        F.count_if(final).alias("batches_done"),
+        F.sum(F.when(final, F.col("n_records")).otherwise(0)).alias("records_done"),
+        F.sum("accepted").alias("accepted"),
+        F.sum("rejected").alias("rejected"),
+        F.count_if(F.col("status") == 429).alias("throttled"),
+        F.count_if("will_retry").alias("retries"),
+        F.sum("gave_up").alias("gave_up_records"),
+        F.count_if(F.col("kind") == "error").alias("request_errors"),
+        F.sum("errored").alias("errored_records"),
+    ]
+
+
 def run_totals(attempts: DataFrame, runs: DataFrame, basis: str = "done") -> DataFrame:
     """Totals per run (L3). `basis` is what throughput counts: records `done` or `attempted` (planned)."""
-    final = ~F.col("will_retry")
-    totals = (
-        record_outcomes(attempts)
-        .groupBy("run_id")
-        .agg(
-            F.count_if(final).alias("batches_done"),
-            F.sum(F.when(final, F.col("n_records")).otherwise(0)).alias("records_done"),
-            F.sum("accepted").alias("accepted"),
-            F.sum("rejected").alias("rejected"),
-            F.count_if(F.col("status") == 429).alias("throttled"),
-            F.count_if("will_retry").alias("retries"),
-            F.sum("gave_up").alias("gave_up_records"),
-            F.count_if(F.col("kind") == "error").alias("request_errors"),
-            F.sum("errored").alias("errored_records"),
-        )
-    )
-    names = [c for c in totals.columns if c != "run_id"]
+    return _with_runs(record_outcomes(attempts).groupBy("run_id").agg(*_sums()), runs, basis)
+
+
+def _with_runs(totals: DataFrame, runs: DataFrame, basis: str = "done", *kept: str) -> DataFrame:
+    names = [c for c in totals.columns if c not in ("run_id", *kept)]
     joined = runs.select("run_id", "planned", "batches", "elapsed_s").join(totals, "run_id", "left")
     filled = joined.select(
-        "run_id", "planned", "batches", "elapsed_s", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names]
+        "run_id", "planned", "batches", "elapsed_s", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names], *kept
     )
     basis_col = {"done": "records_done", "attempted": "planned"}[basis]
     rate = F.when(F.col("elapsed_s") > 0, F.col(basis_col) / F.col("elapsed_s")).otherwise(0.0)
@@ -151,8 +155,8 @@ def latency_summary(attempts: DataFrame) -> DataFrame:
     )
 
 
-def first_error(attempts: DataFrame) -> DataFrame:
-    """Earliest failed attempt per run, in words that are safe to show."""
+def _error_sample() -> Column:
+    """What is shown of a failed attempt, in words that are safe to show."""
     texts = F.create_map(*[F.lit(p) for pair in STATUS_TEXT.items() for p in pair])
     answered = F.concat(
         F.lit("the service answered "), F.col("status").cast("string"), F.lit(" "),
@@ -161,16 +165,19 @@ def first_error(attempts: DataFrame) -> DataFrame:
     transport = F.when(F.lower("error").contains("deadline exceeded"), F.lit("no answer before the timeout")).otherwise(
         clean_excerpt(F.col("error"), 200)
     )
-    sample = F.struct(
+    return F.struct(
         (F.col("batch_no") + 1).alias("batch"),
         "status",
         F.when(F.col("status").isNull(), transport).otherwise(answered).alias("message"),
         F.when(F.col("status").isNotNull(), clean_excerpt(F.coalesce("body", F.lit("")), 300)).alias("body"),
     )
+
+
+def first_error(attempts: DataFrame) -> DataFrame:
+    """Earliest failed attempt per run."""
     failed = attempts.where(classify_attempt() == "error")
-    return (
-        failed.groupBy("run_id").agg(F.min_by(sample, F.struct(*FINISH_ORDER)).alias("e")).select("run_id", "e.*")
-    )
+    first = failed.groupBy("run_id").agg(F.min_by(F.struct("batch_no", "status", "error", "body"), F.struct(*FINISH_ORDER)).alias("e"))
+    return first.select("run_id", "e.*").select("run_id", _error_sample().alias("e")).select("run_id", "e.*")
 
 
 def _in_seconds(attempts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -255,20 +262,24 @@ def thin_timeline(points: DataFrame, most: int = S.MAX_REPORT_SECONDS) -> DataFr
 
 
 def run_records(attempts: DataFrame, runs: DataFrame, points: DataFrame | None = None) -> DataFrame:
-    """One history row per run."""
+    """One history row per run (L11): totals, answers and first failure come from one pass over the attempts."""
     points = timeline(attempts, runs) if points is None else points
-    statuses = status_counts(attempts).groupBy("run_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts")
-    )
-    errors = first_error(attempts)
-    errors = errors.select("run_id", F.struct("batch", "status", "message", "body").alias("first_error"))
+    first = F.when(F.col("kind") == "error", F.struct(*FINISH_ORDER, "status", "error", "body"))
+    by_status = record_outcomes(attempts).groupBy("run_id", "status").agg(*_sums(), F.count("*").alias("_n"), F.min(first).alias("_first"))
+    entry = F.when(F.col("status").isNotNull(), F.struct("status", F.col("_n").alias("n")))
+    names = [c for c in by_status.columns if c not in ("run_id", "status", "_n", "_first")]
+    per_run = by_status.groupBy("run_id").agg(
+        *[F.sum(c).alias(c) for c in names], F.min("_first").alias("_first"), F.array_sort(F.collect_list(entry)).alias("_answers")
+    )
+    answers = F.when(F.size("_answers") > 0, F.map_from_entries("_answers"))
+    failed = per_run.select("run_id", *names, answers.alias("status_counts"), F.col("_first.*"))
+    error = F.when(F.col("batch_no").isNotNull(), _error_sample()).alias("first_error")
+    totals = _with_runs(failed.select("run_id", *names, "status_counts", error), runs, "done", "status_counts", "first_error")
     return (
         runs.select("run_id", "state", "source", display_address(F.col("target")).alias("target"), "external", "started_at", "config")
-        .join(run_totals(attempts, runs), "run_id")
+        .join(totals, "run_id")
         .join(latency_summary(attempts), "run_id", "left")
         .join(timeline_summary(points), "run_id", "left")
-        .join(statuses, "run_id", "left")
-        .join(errors, "run_id", "left")
         .withColumn("id", F.date_format("started_at", "yyyyMMdd'T'HHmmss.SSS'Z'"))
     )
 
