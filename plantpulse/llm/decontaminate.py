@@ -141,7 +141,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` in which no benchmark item is found, in the columns of `docs`."""
+    """The rows of `docs` in which no benchmark item is found, in the columns of `docs`.
+
+    Null and empty texts hold no item and stay, as do all rows when the benchmark is empty; null items match nothing.
+    Repeated rows stay or go together, and an empty table gives an empty one.
+    """
 
     def keep(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

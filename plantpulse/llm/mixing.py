@@ -124,7 +124,11 @@ def mixture(docs: DataFrame, weights=WEIGHTS, percent: int = TOTAL_PERCENT, bloc
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix in the columns of `docs`: each whole document as often as the schedule takes its start."""
+    """The documents of the mix in the columns of `docs`: each whole document as often as the schedule takes its start.
+
+    Null and empty texts have no words and are never taken. Rows that agree in id, source and text share their copies;
+    an empty table gives an empty one.
+    """
     copies = mixture(docs).filter("copies > 0").groupBy("_doc").agg(F.sum("copies").cast("int").alias("_copies"))
     rows, names = shielded(docs)
     rows = rows.withColumn("_doc", spread_key(*[F.col(names[c]) for c in DOC_COLUMNS]))

@@ -32,9 +32,9 @@ SEQUENCE_TOKENS = 1024
 SHARD_SLOTS = 16_384
 ROUNDS = 6
 #: Token lists of words are kept by each Python worker for so many different words.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 #: Texts of so many bytes are encoded together; a longer text is a group by itself.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 16_000_000
 
 
 def stride(tokens: int = SEQUENCE_TOKENS) -> int:
@@ -116,22 +116,26 @@ class Encoder:
     def encode_all(self, column: pa.Array) -> "Encoded":
         """The tokens of many texts, as `encode` gives them one by one, with each different piece looked up once."""
         column = column.cast(pa.string()).fill_null("")
-        loose = pc.match_substring_regex(column, _LOOSE_SPACE_RE2).to_numpy(zero_copy_only=False) | (pc.binary_length(column).to_numpy() == 0)
-        split = pc.split_pattern(pc.if_else(pa.array(loose), "", column), " ")
+        loose = pc.match_substring_regex(column, _LOOSE_SPACE_RE2)
+        split = pc.split_pattern(pc.if_else(loose, "", column), " ")
         pieces = split.flatten().dictionary_encode()
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = pieces.indices.to_numpy()
         offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        loose = loose.to_numpy(zero_copy_only=False)
         # First pieces have no space before them: they, and whole texts that are not cut, are looked up by themselves.
-        alone = [self.encode(t)[:-2] if o else self._encode(t.split(" ", 1)[0]) for t, o in zip(column.to_pylist(), loose, strict=True)]
-        known = [self.known[w] for w in pieces.dictionary.to_pylist()] + alone + [self.encoding_end()]
-        size = np.array([len(x) for x in known], dtype=np.int64) // 2
+        whole = iter(column.filter(pa.array(loose)).to_pylist())
+        alone = [self._encode(next(whole) if o else words[n]) for n, o in zip(number[offsets[:-1]].tolist(), loose.tolist(), strict=True)]
+        known = [*map(self.known.__getitem__, words), *alone, self.encoding_end()]
+        size = np.array(list(map(len, known)), dtype=np.int64) // 2
         # One number per piece of a text: that of its first piece, those of the others, the end.
         order = np.empty(offsets[-1] + len(column), dtype=np.int64)
         begin = offsets[:-1] + np.arange(len(column))
         inner = np.ones(len(order), dtype=bool)
         inner[begin + np.diff(offsets)] = False
-        order[inner] = pieces.indices.to_numpy()
+        order[inner] = number
         order[~inner] = len(known) - 1
-        order[begin] = len(pieces.dictionary) + np.arange(len(column))
+        order[begin] = len(words) + np.arange(len(column))
         return Encoded(known, size, order, np.append(begin, len(order)))
 
     def encoding_end(self) -> bytes:
