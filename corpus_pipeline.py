@@ -10,27 +10,27 @@ from plantpulse.session import pin
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; the others lose their boilerplate lines."""
+    """Documents that the rules reject go, null and empty texts among them; the others lose their boilerplate lines. Repeated rows are alike."""
     return quality.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays."""
+    """One document of each component of near duplicates stays, the smallest doc_id; rows without words are no duplicates."""
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, up to twice."""
+    """Documents as often as the mix takes them, up to twice; null and empty texts are never taken."""
     return mixing.mixed(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the shards; one row per record in them."""
+    """Writes the shards; one row per record in them. Null and empty texts are an end token, an empty table gives no record."""
     return token_shards.shard_table(spark, token_shards.write_shards(docs, token_shards.new_folder(spark)))
 
 
