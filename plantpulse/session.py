@@ -88,11 +88,30 @@ def scratch(spark: SparkSession):
         yield keep
     finally:
         _scopes.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in made:
             if path not in kept:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                remove_folder(spark, path)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _folder(spark, path)
+    fs.delete(where, True)
+
+
+def written_numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the folders `name=n` under a path whose write has ended, in rising order."""
+    fs, where = _folder(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [entry.getPath() for entry in fs.listStatus(where)]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    ended = [p.getName() for p in names if p.getName().startswith(f"{name}=") and fs.exists(done(p, "_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in ended)
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -21,7 +21,7 @@ from plantpulse.operators.frames import live_frames
 from plantpulse.operators.store import latest_per_device, recent_trend, with_date
 from plantpulse.operators.validate import accepted, rejection_counts, rejections, validate
 from plantpulse.schemas import Limits, Thresholds
-from plantpulse.session import pin, prepare
+from plantpulse.session import pin, prepare, remove_folder, written_numbers
 
 LINE_SCHEMA = "batch_id string, idx int, received_at timestamp, raw string"
 ARRIVAL = ["epoch", "received_at", "batch_id", "idx"]
@@ -131,27 +131,25 @@ def batch_metrics(judged: DataFrame, outcomes: DataFrame, alerts: DataFrame) ->
 
 
 def update_trend(spark: SparkSession, stored: DataFrame, epoch: int, place: Tables) -> None:
-    """Keep the newest readings per device (T6): the previous version and the micro-batch make the next version.
+    """Keep the newest readings per device (T6): the version before and the micro-batch make the next version.
 
     Versions are separate folders, so nothing is overwritten while it is read, and a repeated micro-batch starts
-    from the same predecessor.
+    from the same predecessor. Older versions than that are removed, so two are there at most.
     """
     fresh = stored.withColumn("epoch", F.lit(epoch).cast("bigint")).select(*TREND_COLUMNS)
-    schema = _with(T.StructType([f for f in _with(S.EVENT_SCHEMA, ("epoch", T.LongType())).fields if f.name in TREND_COLUMNS]), ("v", T.LongType()))
-    old = read_table(spark, place.trend, schema)
-    if old is not None:
-        before = old.where(F.col("v") < epoch)
-        last = before.agg(F.max("v")).first()[0]
-        fresh = fresh.unionByName(before.where(F.col("v") == last).select(*TREND_COLUMNS)) if last is not None else fresh
+    before = [v for v in written_numbers(spark, place.trend, "v") if v < epoch]
+    if before:
+        fresh = fresh.unionByName(spark.read.parquet(f"{place.trend}/v={before[-1]}").select(*TREND_COLUMNS))
     newest = Window.partitionBy("device_id").orderBy(*[F.col(c).desc() for c in ARRIVAL])
     top = fresh.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= S.TREND_POINTS).drop("_r")
     top.write.mode("overwrite").parquet(f"{place.trend}/v={epoch}")
+    for v in before[:-1]:
+        remove_folder(spark, f"{place.trend}/v={v}")
 
 
 def trend_rows(spark: SparkSession, place: Tables) -> DataFrame:
     """The current version of the kept readings."""
-    rows = spark.read.parquet(place.trend)
-    return rows.where(F.col("v") == rows.agg(F.max("v")).first()[0]).drop("v")
+    return spark.read.parquet(f"{place.trend}/v={written_numbers(spark, place.trend, 'v')[-1]}")
 
 
 def live_latest(spark: SparkSession, place: Tables) -> DataFrame:
@@ -189,22 +187,51 @@ def dedup_stateful(stream: DataFrame, ttl: str, time: str = "event_time", keys:
     return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys or ["event_id"])
 
 
-def per_second_counts(stream: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rows per event-time second (T10). Without a watermark, so late rows still count; the state is one row per second."""
-    return stream.groupBy(F.window("event_time", "1 second").alias("w"), *(by or [])).agg(F.count("*").alias("n"))
+def per_second_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows per event-time second (T10), of a table or a stream; without a watermark late rows still count."""
+    return rows.groupBy(F.window("event_time", "1 second").alias("w"), *(by or [])).agg(F.count("*").alias("n"))
 
 
-def run_per_second(spark: SparkSession, source: str, schema: str, base: str) -> DataFrame:
-    """Count what is there per second; each update of a second replaces the one before."""
-    counts = per_second_counts(prepare(spark).readStream.schema(schema).parquet(source))
-    updates = f"{base}/seconds"
-    query = (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}"))
-        .option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    rows = spark.read.parquet(updates)
-    return rows.groupBy(F.col("w.start").alias("second")).agg(F.max_by("n", "epoch").alias("n"))
+#: Micro-batches whose counts are read one by one before they are merged.
+MERGE_EPOCHS = 20
+
+
+def count_seconds(batch: DataFrame, epoch: int, base: str) -> None:
+    """Counts of one micro-batch beside those of others: counts add up, so no second has to be kept as state, and a row that
+    comes late by any time adds to its second.
+
+    A micro-batch that is run again replaces its own counts. After `MERGE_EPOCHS` they are merged into one table; what
+    that was made of is removed at the merge after, so a merge can be run again.
+    """
+    spark = batch.sparkSession
+    per_second_counts(batch).write.mode("overwrite").parquet(f"{base}/epoch={epoch}")
+    merged = [v for v in written_numbers(spark, base, "merged") if v < epoch]
+    last = merged[-1] if merged else -1
+    if epoch - last < MERGE_EPOCHS:
+        return
+    counted_seconds(spark, base, epoch, last).write.mode("overwrite").parquet(f"{base}/merged={epoch}")
+    for v in merged[:-1]:
+        remove_folder(spark, f"{base}/merged={v}")
+    for e in written_numbers(spark, base, "epoch"):
+        if e <= last:
+            remove_folder(spark, f"{base}/epoch={e}")
+
+
+def counted_seconds(spark: SparkSession, base: str, upto: int | None = None, merged: int | None = None) -> DataFrame:
+    """`w, n`: the last merged counts (or those up to `merged`) and the counts of the micro-batches behind them."""
+    if merged is None:
+        merged = max(written_numbers(spark, base, "merged"), default=-1)
+    behind = [e for e in written_numbers(spark, base, "epoch") if e > merged and (upto is None or e <= upto)]
+    paths = ([f"{base}/merged={merged}"] if merged >= 0 else []) + [f"{base}/epoch={e}" for e in behind]
+    return spark.read.parquet(*paths).groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def run_per_second(spark: SparkSession, source: str, schema: str, base: str, max_files: int | None = None) -> DataFrame:
+    """Count what is there per second."""
+    reader = prepare(spark).readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    counts = f"{base}/seconds"
+    writer = reader.parquet(source).writeStream.foreachBatch(lambda df, epoch: count_seconds(df, epoch, counts))
+    writer.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return counted_seconds(spark, counts).select(F.col("w.start").alias("second"), "n")

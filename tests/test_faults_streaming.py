@@ -153,6 +153,35 @@ def test_bounded_state_dedup_and_seconds(spark, tmp_path):
     assert [r["n"] for r in counts.orderBy("second").collect()] == [2, 1]
 
 
+def test_seconds_are_merged_and_late_rows_count(spark, tmp_path, monkeypatch):
+    """A file a micro-batch: few folders stay, and what comes late by hours or again in a micro-batch is counted once."""
+    monkeypatch.setattr(jobs, "MERGE_EPOCHS", 4)
+    source, want = str(tmp_path / "in"), {}
+    for i in range(13):
+        second = 5 if i == 11 else i // 2
+        want[second] = want.get(second, 0) + 2
+        spark.sql(f"select timestamp'2025-01-15 08:00:00' + make_dt_interval(0, 0, 0, {second} + d) event_time from values (0.1), (0.2) as t(d)").coalesce(1).write.mode("append").parquet(source)
+    counts = jobs.run_per_second(spark, source, "event_time timestamp", str(tmp_path / "out"), max_files=1)
+    found = {r["second"].second: r["n"] for r in counts.collect()}
+    assert sorted(found.values()) == sorted(want.values()) and sum(found.values()) == 26
+    base = str(tmp_path / "out" / "seconds")
+    left = {name: jobs.written_numbers(spark, base, name) for name in ("epoch", "merged")}
+    assert len(left["merged"]) == 2 and len(left["epoch"]) <= 8
+    again = spark.sql("select timestamp'2025-01-15 09:00:00' event_time")
+    for _ in range(2):
+        jobs.count_seconds(again, 13, base)
+    assert {r["n"] for r in jobs.counted_seconds(spark, base).where("minute(w.start) = 0 and hour(w.start) = 9").collect()} == {1}
+
+
+def test_two_versions_of_the_trend_stay(spark, tmp_path):
+    place = jobs.Tables(str(tmp_path / "out"))
+    for epoch in range(4):
+        batch = spark.createDataFrame([(line(epoch, 0, f"e{epoch}", epoch),)], "value string").select(F.from_json("value", jobs.LINE_SCHEMA).alias("r")).select("r.*")
+        jobs.persist(batch, epoch, place)
+    assert jobs.written_numbers(spark, place.trend, "v") == [2, 3]
+    assert rows(jobs.live_latest(spark, place), "event_id") == [("e3",)] and jobs.live_trend(spark, place).first()["points"] == 4
+
+
 def test_stateless_validation_stream(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "checked")
     put(source, "1.jsonl", [line(1, 0, "a", 1), line(1, 1, "bad id", 2)])
