@@ -9,11 +9,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.llm.common import spread_key
-from plantpulse.llm.tokens import groups, mix, powers, text_bytes
+from plantpulse.llm.tokens import GROUP_BYTES, groups, mix, powers, text_bytes
 from plantpulse.session import pin
 
 MATCH_BYTES = 50
@@ -24,13 +25,13 @@ PLACES = MATCH_BYTES - TRIGGER_BYTES + 1
 SIDE = PLACES // 2
 #: Phrases of one bucket, and dictionary suffixes of one bucket, about.
 BUCKET_PHRASES = 1_000_000
-BUCKET_EDGES = 50_000
-#: Edges of one trigger in a bucket's task; the suffixes of triggers with more are compared by hash, in no task alone.
-HOT_EDGES = 1_000
-#: Phrases that a task packs together.
+BUCKET_RUNS = 1_000_000
+#: Phrases, and dictionary suffixes, that a task packs together.
 PACK_PHRASES = 1_000_000
-_AT_BITS = 28
-_BYTES = np.random.Generator(np.random.PCG64(50)).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PACK_RUNS = 1_000_000
+#: No text of a row has 2**31 bytes.
+_AT_BITS = 31
+_BYTES, _OTHER_BYTES = (np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (50, 51))
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -155,8 +156,8 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
         bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
         rest = np.flatnonzero(~later)
         rest = rest[np.argsort(bucket[rest], kind="stable")]
-        edges = np.searchsorted(bucket[rest], np.arange(buckets + 1))
-        out += [row(b, 0, rest[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
+        there, at = np.unique(bucket[rest], return_index=True)
+        out += [row(int(b), 0, chosen) for b, chosen in zip(there, np.split(rest, at[1:]), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), _PACK_SCHEMA, strict=True)], schema=_PACK_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +177,13 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "_row", "text").mapInArrow(run, PACK)
 
 
-WHOLE, EDGE, HOT = range(3)
+#: A phrase that a smaller document has as a whole, and the sides that it shares with another document.
+WHOLE, LEFT, RIGHT = range(3)
 
 
-def _marks(table: pa.Table, hot_edges: int) -> pa.Table:
-    """`_row, number, edge` of a bucket: phrases that a smaller document has as a whole (WHOLE), and, as EDGE, the first ones of
-    their content that share a trigger and a side with a phrase of another document; HOT where the trigger has many such."""
+def _marks(table: pa.Table) -> pa.Table:
+    """`_row, number, mark` of a bucket: phrases that a smaller document has as a whole (WHOLE), and the first ones of their
+    content that share a trigger and its LEFT or RIGHT side, or both (their sum), with a phrase of another document."""
     small, content, sides, doc, row, number, told = [], [], [], [], [], [], []
     for r in zip(*(table.column(c).to_pylist() for c in _FIELDS[1:]), strict=True):
         kind, keys, contents, side, texts, numbers, docs, rows = r
@@ -196,7 +198,7 @@ def _marks(table: pa.Table, hot_edges: int) -> pa.Table:
         doc.append(np.frombuffer(docs, dtype=np.int64)[place])
         row.append(np.frombuffer(rows, dtype=np.int64)[place])
         number.append(n)
-    out_row, out_number, out_edge = [x for x, _ in told], [x for _, x in told], [np.full(len(x), WHOLE, dtype=np.int32) for x, _ in told]
+    out_row, out_number, out_mark = [x for x, _ in told], [x for _, x in told], [np.full(len(x), WHOLE, dtype=np.int32) for x, _ in told]
     if small:
         small, content, sides, doc, row, number = map(np.concatenate, (small, content, sides, doc, row, number))
         order = np.lexsort((doc, content, small))
@@ -206,8 +208,8 @@ def _marks(table: pa.Table, hot_edges: int) -> pa.Table:
         smallest = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
         whole = doc > smallest
         heads = np.flatnonzero(~whole)
-        edge = np.zeros(len(order), dtype=bool)
-        for shift in (16, 0):
+        shared = np.zeros(len(order), dtype=np.int32)
+        for mark, shift in ((LEFT, 16), (RIGHT, 0)):
             side = (sides[heads] >> np.uint32(shift)) & np.uint32(0xFFFF)
             name = (small[heads].astype(np.uint64) << np.uint64(16)) | side
             by = np.lexsort((doc[heads], name))
@@ -215,56 +217,13 @@ def _marks(table: pa.Table, hot_edges: int) -> pa.Table:
             start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
             stop = np.append(start[1:], len(name))
             several = np.repeat(d[start] < d[stop - 1], stop - start)
-            edge[heads[by[several & (name & np.uint64(0xFFFF) != 0)]]] = True
-        _, trigger, n_edges = np.unique(small[edge], return_inverse=True, return_counts=True)
-        for chosen, kind in ((whole, np.full(whole.sum(), WHOLE)), (edge, np.where(n_edges[trigger] > hot_edges, HOT, EDGE))):
+            shared[heads[by[several & (name & np.uint64(0xFFFF) != 0)]]] += mark
+        for chosen in (whole, shared > 0):
             out_row.append(row[chosen])
             out_number.append(number[chosen])
-            out_edge.append(kind.astype(np.int32))
+            out_mark.append(np.where(whole, WHOLE, shared)[chosen].astype(np.int32))
     join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-    return pa.table({"_row": join(out_row, pa.int64()), "number": join([x.astype(np.int64) for x in out_number], pa.int32()), "edge": join(out_edge, pa.int32())})
-
-
-def _repeated_edges(table: pa.Table) -> pa.Table:
-    """`_row, begin, end`: bytes of the edges of a bucket that a smaller document has as well.
-
-    All suffixes of the dictionary's phrases that hold a whole match are brought into order by their first MATCH_BYTES
-    bytes; suffixes that agree in them stand side by side, and the smallest document among them is the one to keep.
-    """
-    rows, docs, begins = (table.column(c).to_numpy() for c in ("_row", "doc_id", "begin"))
-    column = table.column("bytes").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-    counts = np.diff(offsets) - MATCH_BYTES + 1
-    entry = np.repeat(np.arange(len(rows)), counts)
-    inner = np.arange(len(entry)) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = offsets[entry] + inner
-    width = -(-MATCH_BYTES // 8)
-    columns = []
-    for k in range(width):
-        value = np.zeros(len(start), dtype=np.uint64)
-        for j in range(8 * k, 8 * k + 8):
-            value = value << np.uint64(8) | (data[start + j].astype(np.uint64) if j < MATCH_BYTES else np.uint64(0))
-        columns.append(value)
-    order = np.lexsort((docs[entry], *columns[::-1]))
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    d = docs[entry][order]
-    repeated = np.zeros(len(order), dtype=bool)
-    repeated[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))] if len(d) else False
-    at = np.flatnonzero(repeated)
-    run = np.ones(len(at), dtype=bool)
-    run[1:] = (np.diff(at) != 1) | (entry[at[1:]] != entry[at[:-1]])
-    first, last = at[run], at[np.append(np.flatnonzero(run)[1:] - 1, len(at) - 1)] if len(at) else at
-    base = begins[entry[first]]
-    return pa.table({"_row": pa.array(rows[entry[first]], pa.int64()), "begin": pa.array(base + inner[first], pa.int32()), "end": pa.array(base + inner[last] + MATCH_BYTES, pa.int32())})
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
+    return pa.table({"_row": join(out_row, pa.int64()), "number": join([x.astype(np.int64) for x in out_number], pa.int32()), "mark": join(out_mark, pa.int32())})
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -278,51 +237,132 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return docs.filter(F.octet_length("text") >= MATCH_BYTES).select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, packed binary")
 
 
-def _edges(held: DataFrame, buckets: int) -> DataFrame:
-    """`bucket, _row, doc_id, begin, bytes` of the edges: the dictionary entries whose suffixes have to be compared."""
+def _opened(packed: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Texts in groups of about GROUP_BYTES bytes: which rows, their bytes, and where each text begins."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    begin, size, texts = 0, 0, []
+    for i in range(len(packed)):
+        texts.append(unpack(packed[i].as_py()))
+        size += len(texts[-1])
+        if size >= GROUP_BYTES or i == len(packed) - 1:
+            yield slice(begin, i + 1), np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+            begin, size, texts = i + 1, 0, []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for row, doc, packed, numbers in zip(*(batch.column(c).to_pylist() for c in ("_row", "doc_id", "packed", "edges")), strict=True):
-                if not numbers:
-                    continue
-                data = _unpacked(packed)
-                found = phrases(data, np.array([0, len(data)]))
-                raw = data.tobytes()
-                chosen = np.array(sorted(set(numbers)))
-                low, high = found.low[chosen], found.high[chosen]
-                out[0] += (mix(found.key[chosen]) % np.uint64(buckets)).astype(np.int64).tolist()
-                out[1] += [row] * len(chosen)
-                out[2] += [doc] * len(chosen)
-                out[3] += low.tolist()
-                out[4] += [raw[a : b + MATCH_BYTES] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "_row", "doc_id", "begin", "bytes"])
-
-    return held.select("_row", "doc_id", "packed", "edges").mapInArrow(run, "bucket int, _row long, doc_id long, begin int, bytes binary")
-
-
-def _hot_ranges(held: DataFrame) -> DataFrame:
-    """`_row, begin, end` of the matches in hot edges that a smaller document has in a hot edge as well.
-
-    Matches are named by 128 bits of their content. The smallest document of each is found by partial aggregation; only
-    matches of several documents are joined back, one row for each.
-    """
+
+def _places(found: Phrases, numbers: pa.Array) -> np.ndarray:
+    """Places in `found` of the phrases whose numbers are listed per text."""
+    first = np.searchsorted(found.row, np.arange(len(numbers)))
+    lengths = numbers.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.unique(np.repeat(first, lengths) + numbers.flatten().to_numpy(zero_copy_only=False))
+
+
+def _stretches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each `low` to its `high`."""
+    lengths = np.maximum(high - low + 1, 0)
+    return np.repeat(low - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def _named(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64-bit names of the runs of MATCH_BYTES bytes that begin at `at`."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(table[data] * powers(len(data), _BASE), out=total[1:])
+    return mix((total[at + MATCH_BYTES] - total[at]) * powers(len(data) + 1, _INVERSE)[at])
+
+
+RUNS = "pack long, bucket int, kind int, names binary, docs binary, members binary, texts binary, begins binary, rows binary"
+_RUN_FIELDS = [f.split()[0] for f in RUNS.split(", ")]
+_RUN_SCHEMA = pa.schema([(n, {"pack": pa.int64(), "bucket": pa.int32(), "kind": pa.int32()}.get(n, pa.binary())) for n in _RUN_FIELDS])
+
+
+def _runs(held: DataFrame, buckets: int) -> DataFrame:
+    """The suffixes of the edges by bucket, packed: the dictionary entries that have to be compared.
+
+    Only the first MATCH_BYTES bytes of a suffix count. On a LEFT edge these are the suffixes that hold the left side of
+    the trigger, on a RIGHT edge those that hold the right one. Of equal ones of a pack only the smallest document's
+    travel, so what is frequent travels once a pack; those of later documents are repeats for certain (kind 1). The row
+    of kind 1 also tells the pack's rows."""
+
+    def pack(serial: int, text, begin, bucket, name, ids, rows) -> pa.RecordBatch:
+        doc = ids[text]
+        order = np.lexsort((doc, name, bucket))
+        text, begin, bucket, name, doc = (x[order] for x in (text, begin, bucket, name, doc))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])
+        later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+        out = [(serial, serial % buckets, 1, b"", b"", b"", _planes(text[later].astype(np.uint32)), _planes(begin[later].astype(np.uint32)), rows.tobytes())]
+        rest = np.flatnonzero(~later)
+        there, at = np.unique(bucket[rest], return_index=True)
+        for b, chosen in zip(there, np.split(rest, at[1:]), strict=True):
+            members, place = np.unique(text[chosen], return_inverse=True)
+            out.append((serial, int(b), 0, _planes(name[chosen]), _planes(ids[members]), _planes(members.astype(np.uint32)),
+                        _planes(place.astype(np.uint32)), _planes(begin[chosen].astype(np.uint32)), b""))
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), _RUN_SCHEMA, strict=True)], schema=_RUN_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The rows come from files, so a task that is run again makes the same packs.
+        serial = TaskContext.get().partitionId() << 32
+        held, n, n_texts = [], 0, 0
         for batch in batches:
-            for row, doc, packed, numbers in zip(*(batch.column(c).to_pylist() for c in ("_row", "doc_id", "packed", "hot")), strict=True):
-                data = _unpacked(packed)
-                found = phrases(data, np.array([0, len(data)]))
-                raw = data.tobytes()
-                at = [i for n in sorted(set(numbers)) for i in range(found.low[n], found.high[n] + 1)]
-                names = [hashlib.blake2b(raw[i : i + MATCH_BYTES], digest_size=16).digest() for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([row] * len(at), pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32())], names=["run", "_row", "doc_id", "begin"])
+            ids, rows = (batch.column(c).to_numpy() for c in ("doc_id", "_row"))
+            for some, data, offsets in _opened(batch.column("packed")):
+                found = phrases(data, offsets)
+                left, right = (_places(found, batch.column(c)[some]) for c in ("lefts", "rights"))
+                middle = found.trigger - SIDE
+                at = np.unique(np.concatenate([_stretches(found.low[left], np.minimum(found.high, middle)[left]), _stretches(np.maximum(found.low, middle)[right], found.high[right])]))
+                bucket = (_named(data, at, _OTHER_BYTES) % np.uint64(buckets)).astype(np.int32)
+                name = _named(data, at, _BYTES)
+                text = np.searchsorted(offsets, at, side="right") - 1
+                # A long text may lie in several packs.
+                for s in range(0, len(at), PACK_RUNS):
+                    t = text[s : s + PACK_RUNS]
+                    held.append((t - t[0] + n_texts, at[s : s + PACK_RUNS] - offsets[t], bucket[s : s + PACK_RUNS], name[s : s + PACK_RUNS], ids[some][t[0] : t[-1] + 1], rows[some][t[0] : t[-1] + 1]))
+                    n, n_texts = n + len(t), n_texts + int(t[-1] - t[0]) + 1
+                    if n >= PACK_RUNS:
+                        yield pack(serial, *map(np.concatenate, zip(*held, strict=True)))
+                        serial, held, n, n_texts = serial + 1, [], 0, 0
+        if n:
+            yield pack(serial, *map(np.concatenate, zip(*held, strict=True)))
 
-    runs = held.filter("size(hot) > 0").select("_row", "doc_id", "packed", "hot").mapInArrow(run, "run binary, _row long, doc_id long, begin int")
-    first = runs.groupBy("run").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last")
-    # Written first: its size is then known, so Spark moves the matches only when it is large.
-    return runs.join(pin(first), "run").filter("doc_id > _first").select("_row", "begin", (F.col("begin") + MATCH_BYTES).alias("end"))
+    return held.filter("size(lefts) + size(rights) > 0").select("_row", "doc_id", "packed", "lefts", "rights").mapInArrow(run, RUNS)
+
+
+def _repeated_runs(table: pa.Table) -> pa.Table:
+    """`pack, texts, begins, rows` of a bucket: the suffixes of each pack whose first MATCH_BYTES bytes a smaller document has.
+
+    The suffixes of all packs are brought into one order by name; equal ones stand side by side, and the smallest document
+    among them is the one to keep."""
+    cells = [dict(zip(_RUN_FIELDS, r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in _RUN_FIELDS), strict=True)]
+    out = [(c["pack"], c["texts"], c["begins"], c["rows"]) for c in cells if c["kind"] == 1]
+    cells = [c for c in cells if c["kind"] == 0]
+    if cells:
+        places = [_from_planes(c["texts"], np.uint32) for c in cells]
+        name = np.concatenate([_from_planes(c["names"], np.uint64) for c in cells])
+        doc = np.concatenate([_from_planes(c["docs"], np.int64)[p] for c, p in zip(cells, places, strict=True)])
+        order = np.lexsort((doc, name))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = name[order][1:] != name[order][:-1]
+        d = doc[order]
+        repeated = np.zeros(len(order), dtype=bool)
+        repeated[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+        for c, place, mine in zip(cells, places, np.split(repeated, np.cumsum([len(p) for p in places])[:-1]), strict=True):
+            if mine.any():
+                text = _from_planes(c["members"], np.uint32)[place[mine]]
+                out.append((c["pack"], _planes(text), _planes(_from_planes(c["begins"], np.uint32)[mine]), b""))
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in out], kind) for i, (n, kind) in enumerate(zip(("pack", "texts", "begins", "rows"), kinds, strict=True))})
+
+
+def _ranges(table: pa.Table) -> pa.Table:
+    """`_row, begin, end` of a pack: the bytes under its repeated suffixes."""
+    rows = next(np.frombuffer(r, dtype=np.int64) for r in table.column("rows").to_pylist() if r)
+    text, begin = (np.concatenate([_from_planes(x, np.uint32) for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("texts", "begins"))
+    order = np.lexsort((begin, text))
+    text, begin = text[order], begin[order]
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (np.diff(begin) != 1)
+    last = np.ones(len(text), dtype=bool)
+    last[:-1] = new[1:]
+    return pa.table({"_row": pa.array(rows[text[new]], pa.int64()), "begin": pa.array(begin[new], pa.int32()), "end": pa.array(begin[last] + MATCH_BYTES, pa.int32())})
 
 
 def _cut(held: DataFrame) -> DataFrame:
@@ -330,24 +370,26 @@ def _cut(held: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, ranges = batch.column("_row").to_pylist(), batch.column("ranges").to_pylist()
             out = [[], [], [], [], []]
-            for row, packed, whole, ranges in zip(*(batch.column(c).to_pylist() for c in ("_row", "packed", "wholes", "ranges")), strict=True):
-                data = _unpacked(packed)
+            for some, data, offsets in _opened(batch.column("packed")):
                 depth = np.zeros(len(data) + 1, dtype=np.int32)
-                if whole:
-                    found = phrases(data, np.array([0, len(data)]))
-                    chosen = np.array(sorted(set(whole)))
-                    np.add.at(depth, found.low[chosen], 1)
-                    np.add.at(depth, found.high[chosen] + MATCH_BYTES, -1)
-                for r in ranges or ():
-                    depth[r["begin"]] += 1
-                    depth[r["end"]] -= 1
-                gone = np.cumsum(depth[:-1]) > 0
-                step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                values = row, int(gone.sum()), len(begin), hashlib.sha256(data[~gone].tobytes()).hexdigest(), [{"begin": int(a), "end": int(b)} for a, b in zip(begin, end, strict=True)]
-                for have, value in zip(out, values, strict=True):
-                    have.append(value)
+                found = phrases(data, offsets)
+                whole = _places(found, batch.column("wholes")[some])
+                np.add.at(depth, found.low[whole], 1)
+                np.add.at(depth, found.high[whole] + MATCH_BYTES, -1)
+                for first, several in zip(offsets.tolist(), ranges[some], strict=False):
+                    for r in several or ():
+                        depth[first + r["begin"]] += 1
+                        depth[first + r["end"]] -= 1
+                all_gone = np.cumsum(depth[:-1]) > 0
+                for row, a, b in zip(rows[some], offsets[:-1], offsets[1:], strict=True):
+                    gone = all_gone[a:b]
+                    step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+                    begin, end = np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()
+                    values = row, int(gone.sum()), len(begin), hashlib.sha256(data[a:b][~gone].tobytes()).hexdigest(), [{"begin": x, "end": y} for x, y in zip(begin, end, strict=True)]
+                    for have, value in zip(out, values, strict=True):
+                        have.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["_row", "n_removed", "n_spans", "kept_sha256", "spans"])
 
@@ -360,7 +402,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     A byte is removed when a run of MATCH_BYTES bytes over it also begins in a document with a smaller doc_id; `spans`
     are the removed ranges of bytes. Phrases that are whole repeats are known from the dictionary alone; only where a
     phrase shares its trigger and one side with another are suffixes compared. Phrases are told apart by 64 bits of
-    content within the bucket and 32 bits of their trigger. Null texts are empty, and texts under MATCH_BYTES bytes
+    content within the bucket and 32 bits of their trigger, suffixes by 64 bits of their first MATCH_BYTES bytes within
+    a bucket that a second hash names. Null texts are empty, and texts under MATCH_BYTES bytes
     keep everything; so do rows without a doc_id, which give no other document a repeat either. Rows of one doc_id
     are never repeats of each other. An empty table gives an empty result; other columns are not looked at.
     """
@@ -369,14 +412,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     named = rows.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (20 * BUCKET_PHRASES)))
-    hot_edges = HOT_EDGES
-    marks = _packed(named, buckets).groupBy("bucket").applyInArrow(lambda table: _marks(table, hot_edges), "_row long, number int, edge int")
-    marks = marks.groupBy("_row").agg(*[F.collect_list(F.when(F.col("edge") == kind, F.col("number"))).alias(name) for kind, name in ((WHOLE, "wholes"), (EDGE, "edges"), (HOT, "hot"))])
+    marks = _packed(named, buckets).groupBy("bucket").applyInArrow(_marks, "_row long, number int, mark int")
+    marks = marks.groupBy("_row").agg(
+        F.collect_list(F.when(F.col("mark") == WHOLE, F.col("number"))).alias("wholes"),
+        *[F.collect_list(F.when(F.col("mark").bitwiseAND(side) > 0, F.col("number"))).alias(name) for side, name in ((LEFT, "lefts"), (RIGHT, "rights"))],
+    )
     held = pin(_compressed(named).join(marks, "_row"))
-    n_edges = held.agg(F.coalesce(F.sum(F.size("edges")), F.lit(0))).first()[0]
-    edges = _edges(held, max(1, -(-n_edges // BUCKET_EDGES)))
-    ranges = pin(edges.groupBy("bucket").applyInArrow(_repeated_edges, "_row long, begin int, end int").unionByName(_hot_ranges(held)))
-    ranges = ranges.groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    n_edges = held.agg(F.coalesce(F.sum(F.size("lefts") + F.size("rights")), F.lit(0))).first()[0]
+    runs = _runs(held, max(1, -(-n_edges * (SIDE + 1) // BUCKET_RUNS)))
+    repeated = runs.groupBy("bucket").applyInArrow(_repeated_runs, "pack long, texts binary, begins binary, rows binary")
+    ranges = repeated.groupBy("pack").applyInArrow(_ranges, "_row long, begin int, end int")
+    ranges = pin(ranges).groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     cut = _cut(held.join(ranges, "_row", "left").filter("size(wholes) > 0 or ranges is not null")).dropDuplicates(["_row"])
     base = rows.select("_row", "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha"))
     out = base.join(cut, "_row", "left")

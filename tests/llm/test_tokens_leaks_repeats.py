@@ -130,7 +130,7 @@ def found_repeats(df):
 def test_repeats_are_those_of_brute_force(docs, doc_rows, nothing, clashing, monkeypatch):
     want = removed([(r[0], (r[1] or "").encode()) for r in doc_rows])
     assert found_repeats(docs) == want
-    for name, value in (("BUCKET_PHRASES", 60), ("PACK_PHRASES", 50), ("BUCKET_EDGES", 20)):
+    for name, value in (("BUCKET_PHRASES", 60), ("PACK_PHRASES", 50), ("BUCKET_RUNS", 200), ("PACK_RUNS", 300)):
         monkeypatch.setattr(repeats, name, value)
     assert found_repeats(clashing) == want
     assert repeats.repeated_passages(nothing).count() == 0
@@ -165,24 +165,36 @@ def test_repeats_beside_a_side_of_any_hash(spark):
     assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
-def test_edges_of_a_hot_passage_meet_in_no_single_task(spark, monkeypatch, tmp_path):
-    """No bucket gets more edges of one trigger than HOT_EDGES, and the results stay those of brute force."""
+def test_a_hot_suffix_travels_once_a_pack(spark, monkeypatch, tmp_path):
+    """Whatever the number of documents that hold a suffix, a pack hands on only its smallest one's; results stay those of brute force."""
     rng = random.Random(6)
     own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     hot, mild = own(140), own(140)
     rows = [(i // 2 * 2, own(80) + (hot if i % 3 else mild if i % 5 == 0 else "") + own(80)) for i in range(120)] + [(None, hot)]
-    plain = repeats._repeated_edges
+    plain = repeats._repeated_runs
 
     def counted(table):
-        (tmp_path / str(random.SystemRandom().random())).write_text(str(table.num_rows))
+        told, most = 0, 0
+        for cell in table.to_pylist():
+            if cell["kind"] == 1:
+                told += len(cell["texts"]) // 4
+                continue
+            docs = repeats._from_planes(cell["docs"], np.int64)[repeats._from_planes(cell["texts"], np.uint32)]
+            by_name = {}
+            for name, doc in zip(repeats._from_planes(cell["names"], np.uint64).tolist(), docs.tolist(), strict=True):
+                by_name.setdefault(name, set()).add(doc)
+            most = max([most, *map(len, by_name.values())])
+        (tmp_path / str(random.SystemRandom().random())).write_text(f"{told} {most}")
         return plain(table)
 
-    monkeypatch.setattr(repeats, "_repeated_edges", counted)
-    monkeypatch.setattr(repeats, "HOT_EDGES", 20, raising=False)
-    monkeypatch.setattr(repeats, "BUCKET_EDGES", 1)
-    assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == removed([(d, t.encode()) for d, t in rows])
-    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
-    assert sizes and max(sizes) <= 2 * repeats.HOT_EDGES
+    monkeypatch.setattr(repeats, "_repeated_runs", counted)
+    want = removed([(d, t.encode()) for d, t in rows])
+    for n_runs in (1_000_000, 500):
+        monkeypatch.setattr(repeats, "PACK_RUNS", n_runs)
+        monkeypatch.setattr(repeats, "BUCKET_RUNS", n_runs)
+        assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == want
+    told, most = zip(*(map(int, f.read_text().split()) for f in tmp_path.iterdir()), strict=True)
+    assert sum(told) > 0 and max(most) == 1
 
 
 def test_phrases_cover_every_match_once():
