@@ -118,12 +118,24 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> Phrases:
 
 def _planes(values: np.ndarray) -> bytes:
     """Byte planes, which compress where numbers are small."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+    if not len(values):
+        return b""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
 
 def _from_planes(data: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).reshape(-1).view(kind) if data else np.zeros(0, dtype=kind)
+    planes = zstandard.ZstdDecompressor().decompress(data) if data else b""
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T).reshape(-1).view(kind) if planes else np.zeros(0, dtype=kind)
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Numbers below 2**32 as what each adds to the one before, for numbers that mostly rise."""
+    return _planes(np.diff(values.astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, np.uint32), dtype=np.uint32)
 
 
 PACK = "bucket int, kind int, keys binary, contents binary, sides binary, texts binary, numbers binary, docs binary, rows binary"
@@ -149,7 +161,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
             chosen = chosen[np.argsort(small[chosen], kind="stable")]
             texts, place = np.unique(text[chosen], return_inverse=True)
             only = chosen if kind == 0 else chosen[:0]
-            return (bucket, kind, _planes(np.diff(small[only], prepend=np.uint32(0)).astype(np.uint32)), content[only].tobytes(), _planes(sides[only]),
+            return (bucket, kind, _steps(small[only]), content[only].tobytes(), _planes(sides[only]),
                     _planes(place.astype(np.uint32)), _planes(number[chosen].astype(np.uint32)), ids[texts].tobytes(), names[texts].tobytes())
 
         out = [row((int(names[0]) + turn) % buckets, 1, np.flatnonzero(later))] if later.any() else []
@@ -192,7 +204,7 @@ def _marks(table: pa.Table) -> pa.Table:
         if kind == 1:
             told.append((np.frombuffer(rows, dtype=np.int64)[place], n))
             continue
-        small.append(np.cumsum(_from_planes(keys, np.uint32), dtype=np.uint32))
+        small.append(_from_steps(keys))
         content.append(np.frombuffer(contents, dtype=np.uint64))
         sides.append(_from_planes(side, np.uint32))
         doc.append(np.frombuffer(docs, dtype=np.int64)[place])
@@ -269,6 +281,19 @@ def _named(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
     return mix((total[at + MATCH_BYTES] - total[at]) * powers(len(data) + 1, _INVERSE)[at])
 
 
+def _later(doc: np.ndarray, *names: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same name. All are brought into one order, in which equal names stand side by side."""
+    order = np.lexsort((doc, *names))
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for name in names:
+        new[1:] |= name[order][1:] != name[order][:-1]
+    d = doc[order]
+    later = np.zeros(len(order), dtype=bool)
+    later[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+    return later
+
+
 RUNS = "pack long, bucket int, kind int, names binary, docs binary, members binary, texts binary, begins binary, rows binary"
 _RUN_FIELDS = [f.split()[0] for f in RUNS.split(", ")]
 _RUN_SCHEMA = pa.schema([(n, {"pack": pa.int64(), "bucket": pa.int32(), "kind": pa.int32()}.get(n, pa.binary())) for n in _RUN_FIELDS])
@@ -283,19 +308,15 @@ def _runs(held: DataFrame, buckets: int) -> DataFrame:
     of kind 1 also tells the pack's rows."""
 
     def pack(serial: int, text, begin, bucket, name, ids, rows) -> pa.RecordBatch:
-        doc = ids[text]
-        order = np.lexsort((doc, name, bucket))
-        text, begin, bucket, name, doc = (x[order] for x in (text, begin, bucket, name, doc))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])
-        later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-        out = [(serial, serial % buckets, 1, b"", b"", b"", _planes(text[later].astype(np.uint32)), _planes(begin[later].astype(np.uint32)), rows.tobytes())]
+        later = _later(ids[text], name, bucket)
+        out = [(serial, serial % buckets, 1, b"", b"", b"", _steps(text[later]), _steps(begin[later]), rows.tobytes())]
         rest = np.flatnonzero(~later)
+        rest = rest[np.argsort(bucket[rest], kind="stable")]
         there, at = np.unique(bucket[rest], return_index=True)
         for b, chosen in zip(there, np.split(rest, at[1:]), strict=True):
             members, place = np.unique(text[chosen], return_inverse=True)
-            out.append((serial, int(b), 0, _planes(name[chosen]), _planes(ids[members]), _planes(members.astype(np.uint32)),
-                        _planes(place.astype(np.uint32)), _planes(begin[chosen].astype(np.uint32)), b""))
+            out.append((serial, int(b), 0, _planes(name[chosen]), _planes(ids[members]), _steps(members),
+                        _steps(place), _steps(begin[chosen]), b""))
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), _RUN_SCHEMA, strict=True)], schema=_RUN_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,19 +356,14 @@ def _repeated_runs(table: pa.Table) -> pa.Table:
     out = [(c["pack"], c["texts"], c["begins"], c["rows"]) for c in cells if c["kind"] == 1]
     cells = [c for c in cells if c["kind"] == 0]
     if cells:
-        places = [_from_planes(c["texts"], np.uint32) for c in cells]
+        places = [_from_steps(c["texts"]) for c in cells]
         name = np.concatenate([_from_planes(c["names"], np.uint64) for c in cells])
         doc = np.concatenate([_from_planes(c["docs"], np.int64)[p] for c, p in zip(cells, places, strict=True)])
-        order = np.lexsort((doc, name))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = name[order][1:] != name[order][:-1]
-        d = doc[order]
-        repeated = np.zeros(len(order), dtype=bool)
-        repeated[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+        repeated = _later(doc, name)
         for c, place, mine in zip(cells, places, np.split(repeated, np.cumsum([len(p) for p in places])[:-1]), strict=True):
             if mine.any():
-                text = _from_planes(c["members"], np.uint32)[place[mine]]
-                out.append((c["pack"], _planes(text), _planes(_from_planes(c["begins"], np.uint32)[mine]), b""))
+                text = _from_steps(c["members"])[place[mine]]
+                out.append((c["pack"], _steps(text), _steps(_from_steps(c["begins"])[mine]), b""))
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({n: pa.array([r[i] for r in out], kind) for i, (n, kind) in enumerate(zip(("pack", "texts", "begins", "rows"), kinds, strict=True))})
 
@@ -355,7 +371,7 @@ def _repeated_runs(table: pa.Table) -> pa.Table:
 def _ranges(table: pa.Table) -> pa.Table:
     """`_row, begin, end` of a pack: the bytes under its repeated suffixes."""
     rows = next(np.frombuffer(r, dtype=np.int64) for r in table.column("rows").to_pylist() if r)
-    text, begin = (np.concatenate([_from_planes(x, np.uint32) for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("texts", "begins"))
+    text, begin = (np.concatenate([_from_steps(x) for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("texts", "begins"))
     order = np.lexsort((begin, text))
     text, begin = text[order], begin[order]
     new = np.ones(len(text), dtype=bool)

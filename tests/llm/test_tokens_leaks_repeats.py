@@ -177,9 +177,9 @@ def test_a_hot_suffix_travels_once_a_pack(spark, monkeypatch, tmp_path):
         told, most = 0, 0
         for cell in table.to_pylist():
             if cell["kind"] == 1:
-                told += len(cell["texts"]) // 4
+                told += len(repeats._from_steps(cell["texts"]))
                 continue
-            docs = repeats._from_planes(cell["docs"], np.int64)[repeats._from_planes(cell["texts"], np.uint32)]
+            docs = repeats._from_planes(cell["docs"], np.int64)[repeats._from_steps(cell["texts"])]
             by_name = {}
             for name, doc in zip(repeats._from_planes(cell["names"], np.uint64).tolist(), docs.tolist(), strict=True):
                 by_name.setdefault(name, set()).add(doc)
