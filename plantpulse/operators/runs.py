@@ -18,6 +18,8 @@ from plantpulse.operators.ordered import InOrder
 from plantpulse.operators.ranks import select_ranks
 
 FINISH_ORDER = ["finished_at", "batch_no", "attempt_no"]
+#: Seconds of a silence that one array lists.
+SILENCE = 3600
 
 # Standard HTTP status texts.
 STATUS_TEXT = {
@@ -208,8 +210,12 @@ def timeline(attempts: DataFrame, runs: DataFrame) -> DataFrame:
     end = F.coalesce(F.lead("t").over(by_run) - 1, F.col("t"))
     counts = ["requests", "sent", "records", "throttled", "errors"]
     values = [*counts, "p50_ms", "p95_ms"]
-    spans = points.join(marks, ["run_id", "t"], "left").select("*", F.sequence(start, end).alias("_span"))
-    dense = spans.select("run_id", F.col("t").alias("_t"), *values, F.explode("_span").alias("t"))
+    # First into hours and then into their seconds: a silence of years is no long array either.
+    spans = points.join(marks, ["run_id", "t"], "left").select("*", start.alias("_start"), end.alias("_end"))
+    hours = spans.select("*", F.explode(F.sequence(*[F.floor(F.col(c) / SILENCE).cast("int") for c in ("_start", "_end")])).alias("_hour"))
+    first = F.col("_hour") * SILENCE
+    seconds = F.sequence(F.greatest("_start", first), F.least("_end", first + SILENCE - 1))
+    dense = hours.select("run_id", F.col("t").alias("_t"), *values, F.explode(seconds).alias("t"))
     here = F.col("t") == F.col("_t")
     return dense.select(
         "run_id",

@@ -99,6 +99,16 @@ def test_all_attempts_of_a_large_run_and_a_busy_second_count(spark):
     assert (point["t"], point["requests"], point["p50_ms"], point["p95_ms"]) == (0, n, 0.3, 0.7)
 
 
+def test_a_long_silence_is_no_long_array(spark, monkeypatch):
+    """Seconds before the first answer and between answers, over several steps that do not end where the silence does."""
+    monkeypatch.setattr(L, "SILENCE", 7)
+    attempts = log(spark, [(r, i, 0, t + 0.5, 0.1, 1, 202, False) for r, times in (("a", (3, 17, 18, 48)), ("b", (20, 21, 27, 28))) for i, t in enumerate(times)])
+    points = L.timeline(attempts, runs(spark, "a", "b"))
+    want = [("a", t, int(t in (3, 17, 18, 48))) for t in range(49)] + [("b", t, int(t in (20, 21, 27, 28))) for t in range(29)]
+    assert rows(points, "run_id", "t", "requests") == sorted(want, key=repr)
+    assert points.schema["t"].dataType.simpleString() == "int"
+
+
 def test_dense_seconds_beyond_an_hour(spark):
     attempts = log(spark, [("r", 0, 0, -5, 0.1, 1, 202, False), ("r", 1, 0, 4.2, 0.1, 1, 202, False), ("r", 2, 0, 3600.0, 0.1, 1, 202, False)])
     points = L.timeline(attempts, runs(spark, "r"))
