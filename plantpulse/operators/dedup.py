@@ -25,13 +25,41 @@ def first_accepted(
     conflicts with nothing; a refused row blocks nobody. Rows with one place in the order follow by id; of rows that
     agree in id and place, as when a request arrives twice, one is accepted and the others repeat its id.
 
-    Each round accepts the rows that come first under both keys among the undecided ones and removes their
+    Rows that meet no other are accepted as they are; only the others go through the rounds. Each round accepts the rows that come first under both keys among the undecided ones and removes their
     neighbours, then decides chains of conflicts at once (`_chained`). Rows equal in both keys are collapsed first and the
     candidates are plain minima, so a key with a huge number of copies shrinks before any shuffle.
     """
+    split = pin(_with_met(df, id_cols, seq_cols))
+    alone = split.where("NOT _met").drop("_met").withColumn(outcome, F.lit("accepted"))
+    return _in_rounds(split.where("_met").drop("_met"), id_cols, seq_cols, order_cols, outcome).unionByName(alone)
+
+
+def _complete(cols: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+
+
+def _with_met(df: DataFrame, id_cols: list[str], seq_cols: list[str]) -> DataFrame:
+    """Add `_met`: whether the row may share a key with another one.
+
+    Keys are counted by 64-bit hashes: a hash that occurs once belongs to one row. Different keys of one hash are kept
+    apart by the rounds, which compare the keys themselves.
+    """
+    by_id = F.xxhash64(F.lit(0), *id_cols)
+    # A row without a sequence key looks its id up twice, so that such rows don't pile up in one task.
+    by_seq = F.when(_complete(seq_cols), F.xxhash64(F.lit(1), *seq_cols))
+    keys = df.select(F.explode(F.filter(F.array(by_id, by_seq), lambda k: k.isNotNull())).alias("_key"))
+    shared = pin(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+    sides = [shared.select(F.col("_key").alias(key), F.lit(True).alias(flag)) for key, flag in (("_by_id", "_id_met"), ("_by_seq", "_seq_met"))]
+    keyed = df.withColumn("_by_id", by_id).withColumn("_by_seq", F.coalesce(by_seq, by_id))
+    joined = keyed.join(sides[0], "_by_id", "left").join(sides[1], "_by_seq", "left")
+    return joined.select(*df.columns, (F.col("_id_met").isNotNull() | F.col("_seq_met").isNotNull()).alias("_met"))
+
+
+def _in_rounds(df: DataFrame, id_cols: list[str], seq_cols: list[str], order_cols: list[str], outcome: str) -> DataFrame:
+    """The rows of `df` with their outcome, in rounds of plain minima."""
     keyed = df.select(
         F.struct(*id_cols).alias("_id"),
-        F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in seq_cols]), F.struct(*seq_cols)).alias("_seq"),
+        F.when(_complete(seq_cols), F.struct(*seq_cols)).alias("_seq"),
         F.struct(*dict.fromkeys([*order_cols, *id_cols])).alias("_ord"),
     )
     undecided = keyed.groupBy("_id", "_seq").agg(F.min("_ord").alias("_ord"))
