@@ -11,7 +11,7 @@ from plantpulse import schemas as S
 from plantpulse.functions.text import plain_number
 from plantpulse.operators.ordered import InOrder, carry_forward
 from plantpulse.operators.validate import zero_filled
-from plantpulse.session import pin
+from plantpulse.session import once, pin
 
 
 def ingest_outcomes(attempts: DataFrame) -> DataFrame:
@@ -114,13 +114,10 @@ def sample_values(lines: DataFrame) -> DataFrame:
     """Metric text lines as (name, labels, value); a name ends at a space or a brace."""
     line = F.col("line")
     name = F.regexp_extract(line, r"\A([^ {#]+)[ {]", 1)
-    return (
-        lines.withColumn("name", name)
-        .where(F.col("name") != "")
-        .withColumn("labels", F.regexp_extract(line, r"\A[^ {]+\{(.*)\}", 1))
-        .withColumn("value", F.substring_index(line, " ", -1).try_cast("double"))
-        .drop("line")
-    )
+    labels = F.regexp_extract(line, r"\A[^ {]+\{(.*)\}", 1)
+    # Taken apart once: filters on the name and the series would otherwise repeat the patterns for each comparison.
+    apart = once(lines.drop("name", "labels", "value"), name=name, labels=labels, value=F.substring_index(line, " ", -1).try_cast("double"))
+    return apart.where(F.col("name") != "").drop("line")
 
 
 def sample_sum(samples: DataFrame, name: str, label: str | None = None, by: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from plantpulse.operators import dedup as D
+from plantpulse.operators import metrics as M
 
 
 def test_only_rows_that_share_a_key_go_through_the_rounds(spark, monkeypatch):
@@ -32,3 +33,14 @@ def test_rows_of_one_hash_are_told_apart(spark, monkeypatch):
     plain = F.xxhash64
     monkeypatch.setattr(D.F, "xxhash64", lambda *cols: plain(*cols) % 3)
     assert run() == usual and len(usual) == len(records)
+
+
+def test_metric_lines_are_taken_apart_once(spark):
+    lines = spark.createDataFrame([
+        (1, "# HELP x"), (1, 'pulse_processed_events_total{outcome="stored"} 4'), (1, 'pulse_processed_events_total{outcome="failed"} 1'),
+        (2, 'pulse_processed_events_total{outcome="stored"} 9'), (2, "pulse_queue_depth 3"), (2, "pulse_queue_depth_limit 7"),
+    ], "t bigint, line string")
+    stored = M.scrape_long(lines).where("metric = 'stored'")
+    assert sorted(map(tuple, stored.collect())) == [(1, "stored", 4.0), (2, "stored", 9.0)]
+    plan = stored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 2
