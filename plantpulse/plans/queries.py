@@ -596,7 +596,7 @@ def _recording(spark, d):
 
     Unreadable records are rows without values.
     """
-    rows = views.imported(spark, d)
+    rows = pin(views.imported(spark, d))  # Written, since putting rows in order draws a sample and reads them again.
     lost = F.col("device_id").isNull()
     return rows.orderBy("row_no").select(
         F.col("event_time").alias("Timestamp"), F.col("device_id").alias("Machine"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.operators import dedup as D
 from plantpulse.operators import metrics as M
+from plantpulse.plans import queries, views
 
 
 def test_only_rows_that_share_a_key_go_through_the_rounds(spark, monkeypatch):
@@ -44,3 +45,14 @@ def test_metric_lines_are_taken_apart_once(spark):
     assert sorted(map(tuple, stored.collect())) == [(1, "stored", 4.0), (2, "stored", 9.0)]
     plan = stored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 2
+
+
+def test_recording_is_decoded_before_it_is_put_in_order(spark, tmp_path):
+    events = spark.range(300).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.lit("view").alias("event_type"), F.col("id").cast("double").alias("value"), F.format_string('{"k": %d}', F.col("id") % 90).alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = queries._recording(spark, str(tmp_path))
+    assert "parse_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == views.imported(spark, str(tmp_path)).count() > 300
