@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import array
 import base64
-import re
 import struct
 import sys
 import uuid
@@ -31,10 +29,8 @@ TRAILER = b"\0\0\0\n"
 SEQUENCE_TOKENS = 1024
 SHARD_SLOTS = 16_384
 ROUNDS = 6
-#: Token lists of words are kept by each Python worker for so many different words.
-CACHED_WORDS = 1_000_000
 #: Texts of so many bytes are encoded together; a longer text is a group by itself.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 4_000_000
 
 
 def stride(tokens: int = SEQUENCE_TOKENS) -> int:
@@ -74,20 +70,6 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-class Known(dict):
-    """Tokens of words that follow a space."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
-        if len(self) < CACHED_WORDS and len(word) < 64:
-            self[word] = found
-        return found
-
-
 class Encoder:
     """Byte-level BPE of a rank file; tokens of a text as little-endian 16-bit numbers, with an end token."""
 
@@ -98,45 +80,59 @@ class Encoder:
         if self.end >= 2**16 or sys.byteorder != "little":
             raise ValueError("tokens are written as two little-endian bytes")
         self.encoding = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known = Known(lambda word: self._encode(" " + word))
+        #: Bytes of each token.
+        self.width = np.zeros(self.end, dtype=np.int64)
+        self.width[list(ranks.values())] = list(map(len, ranks))
 
-    def _encode(self, piece: str) -> bytes:
-        return array.array("H", self.encoding.encode_ordinary(piece)).tobytes()
+    def _encode(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
     def encode(self, text: str | None) -> bytes:
-        """The pattern always parts a text before a space that stands before something else, so the pieces between such
-        spaces can be encoded one by one, and each different piece once."""
-        if not text:
-            return self.encoding_end()
-        if _LOOSE_SPACE.search(text):
-            return self._encode(text) + self.encoding_end()
-        first, *rest = text.split(" ")
-        return b"".join([self._encode(first), *map(self.known.__getitem__, rest), self.encoding_end()])
+        return self._encode(text or "").astype("<u2").tobytes() + self.encoding_end()
 
     def encode_all(self, column: pa.Array) -> "Encoded":
-        """The tokens of many texts, as `encode` gives them one by one, with each different piece looked up once."""
+        """The tokens of many texts, as `encode` gives them one by one, with each different piece looked up once.
+
+        The pattern always parts a text before a space that stands before something else, so the pieces between such spaces can be
+        encoded in any order: the different ones are one text, and the bytes of its tokens tell where a piece ends.
+        Nothing is kept from one call to the next.
+        """
         column = column.cast(pa.string()).fill_null("")
         loose = pc.match_substring_regex(column, _LOOSE_SPACE_RE2)
         split = pc.split_pattern(pc.if_else(loose, "", column), " ")
-        pieces = split.flatten().dictionary_encode()
-        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        number = pieces.indices.to_numpy()
         offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        loose = loose.to_numpy(zero_copy_only=False)
+        every = split.flatten()
+        inner = np.ones(len(every), dtype=bool)
+        inner[offsets[:-1]] = False
         # First pieces have no space before them: they, and whole texts that are not cut, are looked up by themselves.
-        whole = iter(column.filter(pa.array(loose)).to_pylist())
-        alone = [self._encode(next(whole) if o else words[n]) for n, o in zip(number[offsets[:-1]].tolist(), loose.tolist(), strict=True)]
-        known = [*map(self.known.__getitem__, words), *alone, self.encoding_end()]
-        size = np.array(list(map(len, known)), dtype=np.int64) // 2
+        alone = pc.if_else(loose, column, every.take(pa.array(offsets[:-1])))
+        own = [self._encode(text).astype("<u2") for text in alone.to_pylist()]
+        pieces = every.filter(pa.array(inner)).dictionary_encode()
+        found, size = self._pieces(pieces.dictionary)
+        size = np.concatenate([size, np.fromiter(map(len, own), dtype=np.int64, count=len(own)), [1]])
         # One number per piece of a text: that of its first piece, those of the others, the end.
-        order = np.empty(offsets[-1] + len(column), dtype=np.int64)
+        order = np.empty(len(every) + len(column), dtype=np.int32)
         begin = offsets[:-1] + np.arange(len(column))
-        inner = np.ones(len(order), dtype=bool)
-        inner[begin + np.diff(offsets)] = False
-        order[inner] = number
-        order[~inner] = len(known) - 1
-        order[begin] = len(words) + np.arange(len(column))
-        return Encoded(known, size, order, np.append(begin, len(order)))
+        last = begin + np.diff(offsets)
+        middle = np.ones(len(order), dtype=bool)
+        middle[begin] = middle[last] = False
+        order[middle] = pieces.indices.to_numpy()
+        order[begin] = len(pieces.dictionary) + np.arange(len(column))
+        order[last] = len(size) - 1
+        return Encoded(np.concatenate([found, *own, np.array([self.end], dtype="<u2")]), size, order, np.append(begin, len(order)))
+
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words that follow a space, one word behind the other, and how many each has."""
+        if not len(words):
+            return np.zeros(0, dtype="<u2"), np.zeros(0, dtype=np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        found = self._encode(" " + text)
+        ends = np.cumsum(self.width[found])
+        stops = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        last = np.searchsorted(ends, stops)
+        if ends[-1] != stops[-1] or (ends[last] != stops).any():
+            raise RuntimeError("a token goes beyond the end of a piece")
+        return found.astype("<u2"), np.diff(last, prepend=-1)
 
     def encoding_end(self) -> bytes:
         return struct.pack("<H", self.end)
@@ -144,10 +140,10 @@ class Encoder:
 
 @dataclass
 class Encoded:
-    """Tokens of texts as numbers of pieces: `pieces` with their `size` in tokens, `order` those of all texts, text i from
-    `begin[i]` to `begin[i + 1]`."""
+    """Tokens of texts as numbers of pieces: `found` are the tokens of all pieces, `size` how many each has, `order` the pieces of all
+    texts, those of text i from `begin[i]` to `begin[i + 1]`."""
 
-    pieces: list[bytes]
+    found: np.ndarray
     size: np.ndarray
     order: np.ndarray
     begin: np.ndarray
@@ -158,16 +154,14 @@ class Encoded:
 
     def tokens(self) -> np.ndarray:
         """All tokens, one text behind the other."""
-        every = np.frombuffer(b"".join(self.pieces), dtype="<u2")
         first = np.cumsum(self.size) - self.size
         n = self.size[self.order]
         end = np.cumsum(n)
-        return every[np.arange(end[-1] if len(end) else 0) + np.repeat(first[self.order] - (end - n), n)]
+        return self.found[np.arange(end[-1] if len(end) else 0) + np.repeat(first[self.order] - (end - n), n)]
 
 
-#: A space before white space or the end: the pattern may take it together with what follows. The second one lists the white
-#: space of the first, for a library that takes ASCII only.
-_LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
+#: A space before white space or the end: the pattern may take it together with what follows. The white space is listed,
+#: for a library that takes ASCII only.
 _LOOSE_SPACE_RE2 = r" (?:[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|\z)"
 _encoders: dict[str, Encoder] = {}
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -17,3 +18,15 @@ def test_many_texts_are_encoded_as_one_by_one():
         made = encoder.encode_all(pa.array(texts, pa.string()).slice(begin, end - begin))
         assert made.tokens().tobytes() == b"".join(want[begin:end]) and made.total * 2 == sum(map(len, want[begin:end]))
         assert np.diff(made.begin).sum() == len(made.order)
+
+
+def test_nothing_is_kept_between_groups():
+    encoder = token_shards.encoder()
+    texts = [" ".join(f"g{g}w{i}" for i in range(30_000)) for g in range(6)]
+    encoder.encode_all(pa.array(texts[:1], pa.string()))
+    tracemalloc.start()
+    for text in texts[1:]:
+        encoder.encode_all(pa.array([text], pa.string()))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 2_000_000
