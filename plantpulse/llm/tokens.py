@@ -15,6 +15,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_BYTE = _BYTE[_LOWER]
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -92,6 +93,7 @@ def words(column: pa.Array) -> Words:
     after[inner[inner > 0] - 1] = False
     ends = np.flatnonzero(solid & ~after) + 1
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * powers(n), out=total[1:])
+    np.multiply(_LOWER_BYTE[data], powers(n), out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * powers(n, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
     return Words(hashes, np.searchsorted(starts, offsets))

@@ -266,6 +266,19 @@ def test_components_with_common_passages_and_chains(spark, monkeypatch):
     assert found_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3) == classes(rows)
 
 
+def test_sets_of_many_texts_are_made_together(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "a b"]
+    made, plain = [], jaccard.shingle_sets
+    monkeypatch.setattr(jaccard, "shingle_sets", lambda text: made.append(1) or plain(text))
+    found = list(jaccard._own_sets(pa.array(texts, pa.string())))
+    assert len(made) == 1 and len(found) == len(texts)
+    for text, own in zip(texts, found, strict=True):
+        w = (text or "").split()
+        assert len(own) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()}) and (np.diff(own) > 0).all()
+        assert own.tolist() == plain(tokens.words(pa.array([text], pa.string())))[0].tolist()
+
+
 def test_one_document_of_each_component_stays(docs, doc_rows, clashing, nothing):
     want = {c for _, n, c in classes([(r[0], r[1]) for r in doc_rows]) if n}
     out = jaccard.one_of_each(docs).collect()
