@@ -117,7 +117,7 @@ def test_same_rows_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     df = QUERIES[name](spark, SF_DIR)
     cursor = con.execute(SQL[name])
@@ -127,5 +127,5 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_registered_names():
-    assert [n for n in QUERIES if n != "pipeline"] and {n.split("_")[0] for n in QUERIES if n != "pipeline"} == {f"op{i}" for i in range(1, 11)}
+    assert [n for n in QUERIES if n != "pipeline"] and {n.split("_")[0] for n in QUERIES if n != "pipeline"} == {f"op{i}" for i in range(1, 14)}
     assert CLASHES
